@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import clear_of, fine_bins, running_sum, stash, word_count
+from plumbline.llm.shared import clear_of, fine_bins, running_sums, stash, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -58,7 +58,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     n, budget, level = by_source.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).crossJoin(shares.agg(F.max("common"))).first()
     bins = fine_bins(n)
     binned = sized.withColumn("bin", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * bins / F.lit(1 << 32)).cast("long"))
-    summed = running_sum(binned, ["source"], "bin", ["key", "doc_id", "size"], "size", "sent").drop("bin")
+    summed = running_sums(binned, ["source"], "bin", ["key", "doc_id", "size"], {"sent": F.col("size")}).drop("bin")
     s = shares.select(F.col("source").alias("_source"), "source_size", "rank", "weight", "target")
     queued = summed.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("first_finish", F.col("sent") / F.col("weight"))
     queued, _ = stash(queued, "mixing-queue")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, line_dedup, mixing
+from plumbline.llm import chat, decontaminate, line_dedup, mixing, url_filter
 from plumbline.llm.shared import table
 
 
@@ -22,9 +22,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(chat.with_forged(table(spark, sf_dir, "conversations")))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.report(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op6_mixing, op8_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op6_mixing, op8_line_dedup, op9_chat, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.REPORT_SQL, "op8_line_dedup": line_dedup.REPORT_SQL}
+    return {"op6_mixing": mixing.REPORT_SQL, "op8_line_dedup": line_dedup.REPORT_SQL, "op9_chat": chat.REPORT_SQL, "op10_url_filter": url_filter.REPORT_SQL}

@@ -77,19 +77,19 @@ def fine_bins(rows: int) -> int:
     return max(16, math.ceil(math.sqrt(max(rows, 1))))
 
 
-def running_sum(df: DataFrame, keys: list[str], bin_col: str, order: list[Column | str], value: str, out: str) -> DataFrame:
-    """Inclusive running sum of value per keys in the order (bin_col, order), without a task that holds a whole key.
+def running_sums(df: DataFrame, keys: list[str], bin_col: str, order: list[Column | str], sums: dict[str, Column]) -> DataFrame:
+    """Inclusive running sums per keys in the order (bin_col, order), without a task that holds a whole key.
 
     Sums of each bin are summed up first (one row a bin), then rows are summed within their bin. Null keys are a key.
     """
     by = [*keys, bin_col]
     over = Window.partitionBy(*keys).orderBy(F.col(bin_col)).rowsBetween(Window.unboundedPreceding, -1)
-    base = df.groupBy(*by).agg(F.sum(value).alias("_in_bin")).withColumn("_base", F.coalesce(F.sum("_in_bin").over(over), F.lit(0)))
-    base = base.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "_base")
     within = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = df.withColumn("_own", F.sum(value).over(within))
+    base = df.groupBy(*by).agg(*[F.sum(v).alias(f"_in_{k}") for k, v in sums.items()])
+    base = base.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], *[F.coalesce(F.sum(f"_in_{k}").over(over), F.lit(0)).alias(f"_base_{k}") for k in sums])
+    own = df.select("*", *[F.sum(v).over(within).alias(f"_own_{k}") for k, v in sums.items()])
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]
-    return own.join(base, on, "left").withColumn(out, F.col("_own") + F.col("_base")).drop("_own", "_base", *[f"_k{i}" for i in range(len(by))])
+    return own.join(base, on).select(*df.columns, *[(F.col(f"_own_{k}") + F.col(f"_base_{k}")).alias(k) for k in sums])
 
 
 def utf8(col: pa.Array) -> list[bytes | None]:
