@@ -28,13 +28,13 @@ def lower_ascii(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{WHITE}+"), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE_CHARS))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{WHITE}+"))
 
 
 def word_count(text: Column) -> Column:
     """The number of words ``[^\\x20\\x09-\\x0D]+``, 0 for null, as a long."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE_CHARS))
-    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, f"{WHITE}+"))).cast("long")
+    return F.size(words_of(text)).cast("long")
 
 
 def shared_dir(spark: SparkSession) -> str:
