@@ -14,7 +14,7 @@ give no rows; extra columns pass through ``dedup_lines``. A text that loses all
 
 Scale: only (hash, id) pairs and the heavy keys are shuffled, plus the texts once to meet their dropped keys. Nothing
 is broadcast or collected by this code. Counts are combined on the map side, so a line that a third of all documents
-share is one row a task; the join against runs is a sort-merge join that AQE can split.
+share is one row a task. Joins are sort-merge joins at every size, which AQE can split and which need no table in memory.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
         # Rows with the same id are in the same batch: distinct makes them one document.
         runs.add(keys.where(F.col("batch") == k).select("h1", "h2", "doc_id").distinct())
     heavy = runs.compacted().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
-    lost = keys.join(heavy, ["h1", "h2"]).where("doc_id < last_doc").select("doc_id", "h1", "h2").distinct()
+    lost = keys.join(heavy.hint("merge"), ["h1", "h2"]).where("doc_id < last_doc").select("doc_id", "h1", "h2").distinct()
     out, _ = stash(lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("keys")), "lines-drops")
     for p in [path, *(p for level in runs.levels for _, p in level)]:
         drop_path(docs.sparkSession, p)
@@ -154,7 +154,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     d = drops(docs, min_chars, min_docs, batches, fanout).select(F.col("doc_id").alias(f"{gone}_id"), F.col("keys").alias(gone))
-    return docs.join(d, F.col("doc_id") == F.col(f"{gone}_id"), "left").drop(f"{gone}_id").mapInArrow(run, docs.schema)
+    return docs.join(d.hint("merge"), F.col("doc_id") == F.col(f"{gone}_id"), "left").drop(f"{gone}_id").mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def report(docs: DataFrame) -> DataFrame:
 
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     d = drops(docs).select(F.col("doc_id").alias("_id"), "keys")
-    met = given.join(d, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "keys")
+    met = given.join(d.hint("merge"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "keys")
     return met.mapInArrow(by_batch(work), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
