@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, decontaminate, langid, line_dedup, mixing, quality, url_filter
+from plumbline.llm import chat, decontaminate, langid, licenses, line_dedup, mixing, quality, url_filter
 from plumbline.llm.shared import table
 
 
@@ -14,6 +14,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
@@ -39,8 +43,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op5_quality, op6_mixing, op7_langid, op8_line_dedup, op9_chat, op10_url_filter)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_licenses, op5_quality, op6_mixing, op7_langid, op8_line_dedup, op9_chat, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.REPORT_SQL, "op8_line_dedup": line_dedup.REPORT_SQL, "op9_chat": chat.REPORT_SQL, "op10_url_filter": url_filter.REPORT_SQL}
+    return {"op2_licenses": licenses.REPORT_SQL, "op6_mixing": mixing.REPORT_SQL, "op8_line_dedup": line_dedup.REPORT_SQL, "op9_chat": chat.REPORT_SQL, "op10_url_filter": url_filter.REPORT_SQL}
