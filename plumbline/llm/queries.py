@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, decontaminate, langid, licenses, line_dedup, mixing, pitman_yor, quality, url_filter
+from plumbline.llm import chat, dart_minhash, decontaminate, langid, licenses, line_dedup, mixing, pitman_yor, quality, url_filter
 from plumbline.llm.shared import table
 
 
@@ -22,6 +22,10 @@ def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.report(table(spark, sf_dir, "documents"))
 
 
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.report(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_pitman_yor, op5_quality, op6_mixing, op7_langid, op8_line_dedup, op9_chat, op10_url_filter)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_pitman_yor, op4_dart_minhash, op5_quality, op6_mixing, op7_langid, op8_line_dedup, op9_chat, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
