@@ -87,29 +87,44 @@ class Model:
                 return self.scores[n][found].mean(axis=0)
         return None
 
-    def text(self, text: str | None, cache: dict[str, np.ndarray | None]) -> tuple[str, float]:
+    def text(self, text: str | None, known: Known) -> tuple[str, float]:
         if not text or not self.langs:
             return "und", 0.0
-        total, n = np.zeros(len(self.langs)), 0
-        for w, k in Counter(words(text)).items():
-            if w in cache:
-                s = cache[w]
-            else:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                s = cache[w] = self.word(w)
-            if s is not None:
-                total += k * s
-                n += k
-        if not n:
+        known.begin()
+        rows = list(map(known.__getitem__, words(text)))
+        sums = known.table[rows].sum(axis=0, dtype=np.float64)
+        if not (n := sums[-1]):
             return "und", 0.0
-        score = total / n * min(n, SHARP) + self.prior
+        score = sums[:-1] / n * min(n, SHARP) + self.prior
         p = np.exp(score - score.max())
         p /= p.sum()
         best = int(p.argmax())
         return self.langs[best], float(p[best])
 
 
+class Known(dict):
+    """Rows of words in a table of scores for each language and a last column: 1, or 0 where nothing of a word is known."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.model = model
+        self.table = np.zeros((1 << 12, len(model.langs) + 1), np.float32)
+
+    def begin(self) -> None:
+        """Between texts: forget all words when there are too many."""
+        if len(self) >= CACHE:
+            self.clear()
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        if n >= len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        s = self.model.word(word)
+        self.table[n, :-1] = 0 if s is None else s
+        self.table[n, -1] = s is not None
+        return n
+
+
 def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_gram: int = MAX_GRAM) -> Model:
     """A model of labelled rows (doc_id, text, lang); those with a null text or language are no use."""
     labelled = rows.where("lang is not null and text is not null")
@@ -160,9 +175,9 @@ def predict(docs: DataFrame, model: Model, lang_col: str = "lang_pred", score_co
     names = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, np.ndarray | None] = {}
+        known = Known(shared.value)
         for batch in batches:
-            said = [shared.value.text(t, cache) for t in batch.column(len(names)).to_pylist()]
+            said = [shared.value.text(t, known) for t in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=[*names, lang_col, score_col])
 
     schema = docs.withColumns({lang_col: F.lit("").cast("string"), score_col: F.lit(0.0)}).schema
