@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import running_sums, word_count
+from plumbline.llm.shared import running_sums, stash, word_count
 
 BUDGET = 512
 HISTORY = 128
@@ -60,11 +60,12 @@ def spans(conversations: DataFrame, budget: int, history: int) -> DataFrame:
     )
     clean = clean.withColumn("tokens", word_count(F.col("text")) + 1).withColumn("bin", F.floor(F.col("turn") / BIN_TURNS))
     order = ["turn", "role", "text"]
-    placed = running_sums(clean, ["key"], "bin", order, {"past": F.col("tokens"), "pos": F.lit(1)})
+    placed, _ = stash(running_sums(clean, ["key"], "bin", order, {"past": F.col("tokens"), "pos": F.lit(1)}), "chat-placed")
     system = placed.where("pos = 1 and role = 'system'").select(F.col("key").alias("system_key"), F.col("text").alias("system"), F.col("tokens").alias("system_tokens"))
     placed = placed.join(system, F.col("key") == F.col("system_key"), "left").drop("system_key")
     stride = F.greatest(F.floor((F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0))) / 2), F.lit(budget // 8))
     placed = placed.withColumn("stride", stride).withColumn("long", (F.col("tokens") > F.col("stride")).cast("long"))
+    placed, _ = stash(placed, "chat-strides")
     placed = running_sums(placed, ["key"], "bin", order, {"longs": F.col("long")}).withColumn("before", F.col("past") - F.col("tokens"))
     span = Window.partitionBy("key", F.floor((F.col("past") - 1) / F.col("stride")), 2 * F.col("longs") - F.col("long"))
     return placed.withColumn("start", F.min("before").over(span))
@@ -75,7 +76,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
 
     loss: (start, length) in code points of text, each an assistant turn's text.
     """
-    turns = spans(conversations, budget, history)
+    turns, _ = stash(spans(conversations, budget, history), "chat-turns")
     own = turns.select("key", "conv_id", "start", F.lit(2).alias("part"), "pos", "role", "text")
     starts = turns.where("start = before").select("key", "conv_id", "start", "system")
     opening = starts.where("start > 0 and system is not null").select("key", "conv_id", "start", F.lit(0).alias("part"), F.lit(1).cast("long").alias("pos"), F.lit("system").alias("role"), F.col("system").alias("text"))
