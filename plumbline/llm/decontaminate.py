@@ -194,14 +194,23 @@ class Found:
     def hit(self) -> int:
         return sum(b - a for a, b in self.spans)
 
-    def without_spans(self) -> str:
+    def without_spans(self) -> bytes:
         """The text without the hit spans, each from its first word's start to its last word's end."""
         at = [(m.start(), m.end()) for m in _SPAN.finditer(self.text)]
         out, done = [], 0
         for a, b in self.spans:
             out.append(self.text[done : at[a][0]])
             done = at[b - 1][1]
-        return b"".join([*out, self.text[done:]]).decode()
+        return b"".join([*out, self.text[done:]])
+
+
+def cleaned(found: Found, blocks: list[Broadcast]) -> str | None:
+    """The text without hit spans, nor those that come about where a span has gone."""
+    while found.spans:
+        found = Found(found.without_spans())
+        for block in blocks:
+            found.add(block.value)
+    return None if found.text is None else found.text.decode()
 
 
 def over(batches: Iterable[pa.RecordBatch], blocks: list[Broadcast], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[Found]]]:
@@ -260,7 +269,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
             keep = [not f.words or f.hit <= max_coverage * len(f.words) for f in found]
             columns = batch.columns[: len(names)]
             if any(f.spans for f in found):
-                texts = [f.without_spans() if f.spans else None if f.text is None else f.text.decode() for f in found]
+                texts = [cleaned(f, blocks) for f in found]
                 columns[text_at] = pa.array(texts, columns[text_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 

@@ -43,12 +43,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return levels.withColumn("common", F.coalesce(level, F.lit(0.0))).select("source", "source_size", "rank", "weight", F.least("most", F.col("weight") * F.col("common")).alias("target"), "common")
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """For each document: doc_id, source, size, source_size, weight, target, key, first_finish, copies, and carry's columns.
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """For each document: doc_id, source, size, source_size, weight, target, key, sent, first_finish and copies.
 
     first_finish is the finish time of the first copy; each further one comes source_size / weight later.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *carry)
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     sized = sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     sized, _ = stash(sized, "mixing-sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
@@ -95,13 +95,18 @@ def at_row(row) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The documents in the order of the mix, a row for each copy, with epoch and finish; range-sorted over partitions."""
-    kept = {c: f"_doc{i}" for i, c in enumerate(docs.columns)}
-    carried = docs.select("doc_id", "source", "text", *[F.col(c).alias(k) for c, k in kept.items()])
-    planned = plan(carried, weights, max_epochs, tuple(kept.values())).where("copies > 0")
-    copies = planned.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("finish", finish(F.col("epoch")))
+    kept = [f"_doc{i}" for i in range(len(docs.columns))]
+    # Rows alike in id, source and size are told apart by number on both sides.
+    alike = ["doc_id", "source", "size"]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *[F.col(c).alias(k) for c, k in zip(docs.columns, kept, strict=True)])
+    texts = texts.withColumn("nr", F.row_number().over(Window.partitionBy(*alike).orderBy(F.lit(0))))
+    planned = plan(docs, weights, max_epochs).withColumn("nr", F.row_number().over(Window.partitionBy(*alike).orderBy("sent"))).where("copies > 0")
+    planned = planned.select(*[F.col(c).alias(f"_{c}") for c in (*alike, "nr")], "source_size", "rank", "weight", "key", "sent", "copies")
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*alike, "nr")]
+    copies = texts.join(planned.hint("merge"), on).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("finish", finish(F.col("epoch")))
     names = [clear_of("epoch", docs.columns), clear_of("finish", docs.columns)]
     ordered = copies.orderBy("finish", "rank", "key", "doc_id", "size")
-    return ordered.select(*[F.col(k).alias(c) for c, k in kept.items()], F.col("epoch").alias(names[0]), F.col("finish").alias(names[1]))
+    return ordered.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, kept, strict=True)], F.col("epoch").alias(names[0]), F.col("finish").alias(names[1]))
 
 
 def report(docs: DataFrame) -> DataFrame:
