@@ -10,8 +10,9 @@ K ln K + 2 K of them fall on average, whatever the text's length, and further on
 Texts with equal words are one node. Nodes that share a band of ROWS coordinates are candidates, but no bucket is
 expanded into pairs: its most central member (the one with the most bucket mates) is compared with each other member,
 and what that links is contracted by connected components. Only buckets in which several components remain are compared
-across those components, where signatures agree well enough to leave a link possible. Every link is verified by the
-exact similarity of all shingles. At similarity 0.8 a pair shares no band with odds of 6e-5, at 0.85 of 3e-7.
+across those components: small ones pair by pair, large ones in blocks of members that a task compares in memory. Every
+link is verified by the exact similarity of all shingles. At similarity 0.8 a pair shares no band with odds of 6e-5, at
+0.85 of 3e-7.
 
 Edge cases: null texts and texts without words are classes of their own, as are rows without an id (class null); rows
 with the same id and different words are linked by that id alone; repeated rows are in one class; very long texts have
@@ -44,6 +45,9 @@ AGREE = SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / K) ** 0.5
 #: Texts are sketched so many at a time, and fewer where they are long.
 AT_ONCE, CELLS_AT_ONCE = 512, 1_000_000
 WORD_CACHE = 300_000
+#: Up to so many members an open bucket is compared pair by pair; members of larger ones are compared in blocks.
+PAIRWISE = 32
+BLOCK_MEMBERS, BLOCK_CELLS = 2048, 1_000_000
 
 _U = np.uint64
 
@@ -177,32 +181,80 @@ def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select("a", "b", "sa", "sb").mapInArrow(by_batch(work), "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs whose exact similarity is SIMILAR at least; pairs are of ids of docs' rows."""
+def cells_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, cells) for nodes that are ids of docs' rows."""
 
-    def to_cells(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes = WordHashes()
         cells = [shingle_cells((t or b"").lower().split(), hashes).tobytes() for t in utf8(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], names=["node", "cells"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
+    return texts.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(by_batch(work), "node long, cells binary").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose exact similarity is SIMILAR at least."""
+
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
+        keep = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             p, q = np.frombuffer(x, _U), np.frombuffer(y, _U)
             both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(both / (len(p) + len(q) - both))
-        made = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
-        return made.filter(pa.array([s >= SIMILAR for s in out], pa.bool_()))
+            keep.append(both >= SIMILAR * (len(p) + len(q) - both))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
-    texts = texts.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(by_batch(to_cells), "node long, cells binary")
-    cells, path = stash(texts.dropDuplicates(["node"]), "near-cells")
     met = pairs.join(cells.select(F.col("node").alias("a"), F.col("cells").alias("ca")).hint("merge"), "a")
     met = met.join(cells.select(F.col("node").alias("b"), F.col("cells").alias("cb")).hint("merge"), "b")
-    out, _ = stash(met.select("a", "b", "ca", "cb").mapInArrow(by_batch(compare), "a long, b long, similarity double"), "near-links")
-    drop_path(docs.sparkSession, path)
-    return out
+    return stash(met.select("a", "b", "ca", "cb").mapInArrow(by_batch(compare), "a long, b long"), "near-links")[0]
+
+
+def block_links(table: pa.Table) -> pa.Table:
+    """Links between different components among the members of two blocks of a group, one for each two components.
+
+    Members outside the group's main component are held against all others: their cells are marked, and marks are
+    counted member by member.
+    """
+    rows = sorted(table.select(["node", "component", "main", "cells"]).to_pylist(), key=lambda r: r["node"])
+    cells = [np.frombuffer(r["cells"], _U) for r in rows]
+    sizes = np.array([len(c) for c in cells])
+    first = np.cumsum(sizes) - sizes
+    known, code = np.unique(np.concatenate(cells), return_inverse=True)
+    marked = np.zeros(len(known), bool)
+    nodes = np.array([r["node"] for r in rows])
+    part = np.array([r["component"] for r in rows])
+    out_a, out_b = [], []
+    for i in range(len(rows)):
+        if part[i] == rows[i]["main"]:
+            continue
+        mine = code[first[i] : first[i] + sizes[i]]
+        marked[mine] = True
+        both = np.add.reduceat(marked[code], first, dtype=np.int64)
+        marked[mine] = False
+        near = np.flatnonzero((both >= SIMILAR * (sizes + sizes[i] - both)) & (part != part[i]))
+        for j in near[np.unique(part[near], return_index=True)[1]] if len(near) else ():
+            out_a.append(min(nodes[i], nodes[j]))
+            out_b.append(max(nodes[i], nodes[j]))
+            part[part == part[j]] = part[i]
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+
+def group_links(open_: DataFrame, cells: DataFrame) -> DataFrame:
+    """Links across the components of large buckets (bucket, node, component), without a row for each pair.
+
+    Buckets with common members are one group. A group's members are cut into blocks of bounded size; a task holds two
+    blocks, and every two blocks of a group meet once.
+    """
+    lead = open_.groupBy("bucket").agg(F.min("node").alias("b"))
+    together = components(open_.join(lead.hint("merge"), "bucket").select(F.col("node").alias("a"), "b"))
+    members = open_.select("node", "component").distinct().join(together.withColumnRenamed("component", "group").hint("merge"), "node")
+    members = stash(members.join(cells.hint("merge"), "node"), "near-members")[0]
+    main = members.groupBy("group", "component").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"))
+    size = members.groupBy("group").agg(F.ceil(F.greatest(F.sum(F.length("cells")) / (8 * BLOCK_CELLS), F.count("*") / BLOCK_MEMBERS)).alias("blocks"))
+    dealt = members.join(main.join(size, "group").hint("merge"), "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = dealt.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component", "main", "cells")
+    return met.groupBy("group", "i", "j").applyInArrow(block_links, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -237,19 +289,21 @@ def links_of(sketched: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
     central = mates.groupBy("node").agg(F.sum("n").alias("mates"))
     leaders = mates.join(central.hint("merge"), "node").groupBy("bucket").agg(F.max_by("node", F.struct("mates", -F.col("node"))).alias("leader"))
     stars = mates.join(leaders.hint("merge"), "bucket").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    links = verified(stash(agreeing(stars, nodes), "near-pairs")[0], docs)
+    cells, cells_path = stash(cells_of(mates.select("node").distinct(), docs), "near-cells")
+    links = verified(stash(agreeing(stars, nodes), "near-pairs")[0], cells)
     part, part_path = stash(components(links), "near-components")
     # Buckets that still hold several components: compare across them.
-    told = mates.join(part.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    told = mates.join(part.hint("merge"), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
     several = told.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
     open_, open_path = stash(told.join(several.hint("merge"), "bucket"), "near-open")
-    other = open_.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = open_.withColumnRenamed("node", "a").join(other.hint("merge"), "bucket").where("a < b and component <> cb").select("a", "b").distinct()
-    rest = rest.join(stars.hint("merge"), ["a", "b"], "left_anti")
-    more = verified(stash(agreeing(rest, nodes), "near-pairs")[0], docs)
-    for path in (mates_path, part_path, open_path):
+    small, large = open_.where(F.col("n") <= PAIRWISE), open_.where(F.col("n") > PAIRWISE)
+    other = small.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
+    rest = small.withColumnRenamed("node", "a").join(other.hint("merge"), "bucket").where("a < b and component <> cb").select("a", "b").distinct()
+    more = verified(stash(agreeing(rest, nodes), "near-pairs")[0], cells)
+    grouped, _ = stash(group_links(large, cells), "near-links")
+    for path in (mates_path, part_path, open_path, cells_path):
         drop_path(docs.sparkSession, path)
-    return nodes.select("words", "node"), links.union(more)
+    return nodes.select("words", "node"), links.union(more).union(grouped)
 
 
 def classes(docs: DataFrame) -> DataFrame:
