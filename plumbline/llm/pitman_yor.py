@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import stash, utf8
+from plumbline.llm.shared import drop_path, stash, utf8
 
 #: Context restaurants; the last number is the start of a text. Fits in 16 bits.
 CONTEXTS = 65_535
@@ -233,43 +233,63 @@ def merge(table: pa.Table) -> pa.Table:
 
 
 class Tables:
-    """Tables with their customers, sorted by the dish (a number) they serve; a dish always has a table."""
+    """Tables with their customers, sorted by the dish (a number) they serve; and of each dish, customers and tables."""
 
     def __init__(self, dish: np.ndarray, size: np.ndarray, n: int) -> None:
-        self.dish, self.size, self.n = dish, size, n
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Customers and tables of each dish."""
-        return np.bincount(self.dish, self.size, self.n).astype(np.int64), np.bincount(self.dish, minlength=self.n)
-
-    def _pick(self, dishes: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """For each dish a table of it, by weight."""
-        sums = np.cumsum(weight)
-        first, past = np.searchsorted(self.dish, dishes, "left"), np.searchsorted(self.dish, dishes, "right")
-        low = np.where(first > 0, sums[first - 1], 0.0)
-        at = np.searchsorted(sums, low + rng.random(len(dishes)) * (sums[past - 1] - low), "right")
-        return np.clip(at, first, past - 1)
+        self.dish, self.size = dish, size
+        self.customers, self.tables = np.bincount(dish, size, n).astype(np.int64), np.bincount(dish, minlength=n)
+
+    def _first(self) -> np.ndarray:
+        return np.cumsum(self.tables) - self.tables
+
+    def _pick(self, dishes: np.ndarray, less: float, rng: np.random.Generator) -> np.ndarray:
+        """For each dish one of its tables, by size less a constant."""
+        first, many = self._first()[dishes], self.tables[dishes]
+        if (several := np.flatnonzero(many > 1)).size:
+            sums = np.cumsum(self.size - less)
+            low, past = first[several], first[several] + many[several]
+            began = np.where(low > 0, sums[low - 1], 0.0)
+            at = np.searchsorted(sums, began + rng.random(len(several)) * (sums[past - 1] - began), "right")
+            first[several] = np.clip(at, low, past - 1)
+        return first
 
     def take(self, dishes: np.ndarray, rng: np.random.Generator) -> None:
         """Take one customer of each of some distinct dishes out, all customers alike; empty tables go."""
-        if len(dishes):
-            self.size[self._pick(dishes, self.size, rng)] -= 1
-            if (gone := self.size == 0).any():
-                self.dish, self.size = self.dish[~gone], self.size[~gone]
+        if not len(dishes):
+            return
+        at = self._pick(dishes, 0.0, rng)
+        self.size[at] -= 1
+        self.customers[dishes] -= 1
+        if (gone := self.size[at] == 0).any():
+            self.tables[dishes[gone]] -= 1
+            self.dish, self.size = np.delete(self.dish, at[gone]), np.delete(self.size, at[gone])
 
     def seat(self, dishes: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> None:
         """Seat one customer for each of some distinct dishes; new: the weight of opening a table."""
         if not len(dishes):
             return
-        customers, tables = self.counts()
-        old = np.where(tables[dishes] > 0, customers[dishes] - discount * tables[dishes], 0.0)
+        old = self.customers[dishes] - discount * self.tables[dishes]
         opens = rng.random(len(dishes)) * (old + new) >= old
         if not opens.all():
-            self.size[self._pick(dishes[~opens], self.size - discount, rng)] += 1
+            self.size[self._pick(dishes[~opens], discount, rng)] += 1
+        self.customers[dishes] += 1
         if opens.any():
-            dish, size = np.concatenate([self.dish, dishes[opens]]), np.concatenate([self.size, np.ones(opens.sum(), np.int64)])
-            by = np.argsort(dish, kind="stable")
-            self.dish, self.size = dish[by], size[by]
+            opened = dishes[opens]
+            at = (self._first() + self.tables)[opened]
+            self.dish, self.size = np.insert(self.dish, at, opened), np.insert(self.size, at, 1)
+            self.tables[opened] += 1
+
+    def reseat(self, dishes: np.ndarray, tables: np.ndarray, customers: np.ndarray) -> None:
+        """Give distinct dishes these customers at so many tables: one holds who is left when each other has one."""
+        keep = np.ones(len(self.customers), bool)
+        keep[dishes] = False
+        rest = keep[self.dish]
+        size = np.ones(tables.sum(), np.int64)
+        size[np.cumsum(tables) - tables] = customers - tables + 1
+        dish = np.concatenate([self.dish[rest], np.repeat(dishes, tables)])
+        by = np.argsort(dish, kind="stable")
+        self.dish, self.size = dish[by], np.concatenate([self.size[rest], size])[by]
+        self.customers[dishes], self.tables[dishes] = customers, tables
 
 
 def first_tables(count: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -306,6 +326,15 @@ class Totals:
         n, t = self.parent_customers[k] + more_customers, self.parent_tables[k] + more_tables
         return (customers - self.parent_discount * tables + (THETA + self.parent_discount * t) * self.base) / (THETA + n)
 
+    def put_split(self, p: np.ndarray, words: np.ndarray, split: np.ndarray, k: int) -> None:
+        """Set the probabilities of split words, whose seating no shard has as a whole."""
+        if split.any():
+            at = [int(w) for w in words[split]]
+            p[split] = self.parent(np.array([self.split_customers[k][w] for w in at]), np.array([self.split_tables[k][w] for w in at]), k)
+
+    def is_split(self, words: np.ndarray) -> np.ndarray:
+        return np.isin(words, np.array(list(self.split_customers[0]), np.uint64)) if self.split_customers and self.split_customers[0] else np.zeros(len(words), bool)
+
 
 class Shard:
     """The seating of a shard's words. Everything follows from the shard's row, the totals so far and the seed."""
@@ -315,146 +344,174 @@ class Shard:
         self.word = np.cumsum(unpacked(row["pair_word"], np.uint32), dtype=np.int64)
         self.context = np.frombuffer(row["pair_context"], np.uint16).astype(np.int64)
         self.count = unpacked(row["pair_count"], np.int64)
-        self.seen = np.flatnonzero(self.count)
         self.row, self.totals = row, totals
         self.rng = np.random.default_rng([7, row["shard"]])
-        self.split = np.zeros(len(self.words), bool)
-        if totals and totals.split_customers and totals.split_customers[0]:
-            self.split = np.isin(self.words, np.array(list(totals.split_customers[0]), np.uint64))
+        self.split = totals.is_split(self.words) if totals else np.zeros(len(self.words), bool)
+        #: A pair with one customer has one table whatever comes; seating moves the others' customers.
+        self.many = np.flatnonzero(self.count >= 2)
+        lone = np.flatnonzero(self.count == 1)
+        self.lone_contexts = np.bincount(self.context[lone], minlength=CONTEXTS + 1)
+        self.lone_words = np.bincount(self.word[lone], minlength=len(self.words))
+
+    def customers_by_context(self) -> np.ndarray:
+        return self.lone_contexts + np.bincount(self.context[self.many], self.count[self.many], CONTEXTS + 1)
+
+    def by_context(self, tables: np.ndarray) -> np.ndarray:
+        """Tables of each context, from those of the pairs with several customers."""
+        return self.lone_contexts + np.bincount(self.context[self.many], tables, CONTEXTS + 1)
 
-    def by_context(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.context[self.seen], values[self.seen], CONTEXTS + 1)
+    def by_word(self, tables: np.ndarray) -> np.ndarray:
+        """Tables of each word in all contexts: its customers at the parent."""
+        return self.lone_words + np.bincount(self.word[self.many], tables, len(self.words)).astype(np.int64)
+
+    def one_each(self) -> np.ndarray:
+        return np.ones(len(self.many), np.int64)
 
     def simulate(self, rounds: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Sweep by sweep: tables of each pair, then the parent's customers and tables of each word.
+        """Sweep by sweep: tables of the pairs with several customers, then the parent's customers and tables of each word.
 
         rounds: how many sweeps go by each of the totals' rounds.
         """
-        t, rng = self.totals, self.rng
-        tables = np.minimum(self.count, 1)
-        begun = False
+        t, rng, many = self.totals, self.rng, self.many
+        context, word = self.context[many], self.word[many]
+        begun = self.by_word(self.one_each())
+        parent = Tables(np.flatnonzero(begun), begun[begun > 0], len(self.words))
+        seats: Tables | None = None
+        every = np.arange(len(many))
         for k, sweeps in enumerate(rounds):
-            theirs = t.tables[k] - self.by_context(tables)  # tables of the other shards, as last told
-            if not begun:
-                mine = self.word_customers(tables)
-                parent = Tables(np.arange(len(self.words))[mine > 0], mine[mine > 0].astype(np.int64), len(self.words))
-                own_customers, own_tables = parent.counts()
-                p = self.parent_now(parent, k, own_customers.sum(), own_tables.sum())
-                new = (THETA + t.discount * t.tables[k][self.context]) * p[self.word]
-                tables = first_tables(self.count, new, t.discount, rng)
-                many = np.flatnonzero(self.count >= 2)
-                seats = self.opened(many, tables)
-                begun = True
-            own_customers, own_tables = (x[~self.split].sum() for x in parent.counts())
+            told = [x[~self.split].sum() for x in (parent.customers, parent.tables)]  # this shard's part of the totals
+            theirs = t.tables[k] - self.by_context(self.one_each() if seats is None else seats.tables)
+            if seats is None:
+                new = (THETA + t.discount * t.tables[k][context]) * self.parent_now(parent, k, told)[word]
+                seats = Tables(every, self.one_each(), len(many))
+                seats.reseat(every, first_tables(self.count[many], new, t.discount, rng), self.count[many])
             for _ in range(sweeps):
                 for _ in range(MOVES):
-                    p = self.parent_now(parent, k, own_customers, own_tables)
-                    weight = THETA + t.discount * (theirs + self.by_context(tables))
-                    # A pair with one customer has one table whatever comes; the others each move one customer.
-                    seats.take(np.arange(len(many)), rng)
-                    seats.seat(np.arange(len(many)), weight[self.context[many]] * p[self.word[many]], t.discount, rng)
-                    tables[many] = np.bincount(seats.dish, minlength=len(many))
-                    self.follow(parent, self.word_customers(tables), rng, k, own_customers, own_tables)
-                customers, at = parent.counts()
-                yield tables.copy(), customers, at
-
-    def opened(self, many: np.ndarray, tables: np.ndarray) -> Tables:
-        """Tables for pairs with two customers or more: one holds who is left when each other has one."""
-        dish = np.repeat(np.arange(len(many)), tables[many])
-        size = np.ones(len(dish), np.int64)
-        first = np.cumsum(tables[many]) - tables[many]
-        if len(many):
-            size[first] = self.count[many] - tables[many] + 1
-        return Tables(dish, size, len(many))
-
-    def word_customers(self, tables: np.ndarray) -> np.ndarray:
-        return np.bincount(self.word, tables, len(self.words)).astype(np.int64)
-
-    def parent_now(self, parent: Tables, k: int, began_customers: int, began_tables: int) -> np.ndarray:
+                    weight = THETA + t.discount * (theirs + self.by_context(seats.tables))
+                    new = weight[context] * self.parent_now(parent, k, told)[word]
+                    seats.take(every, rng)
+                    seats.seat(every, new, t.discount, rng)
+                    self.follow(parent, self.by_word(seats.tables), rng, k)
+                yield seats.tables.copy(), parent.customers.copy(), parent.tables.copy()
+
+    def parent_now(self, parent: Tables, k: int, told: list[int]) -> np.ndarray:
         """The parent's probability of each word: totals as told, with what this shard has changed since."""
-        t = self.totals
-        customers, tables = parent.counts()
         mine = ~self.split
-        p = t.parent(customers, tables, k, customers[mine].sum() - began_customers, tables[mine].sum() - began_tables)
-        if self.split.any():
-            at = [int(w) for w in self.words[self.split]]
-            p[self.split] = t.parent(np.array([t.split_customers[k][w] for w in at]), np.array([t.split_tables[k][w] for w in at]), k)
+        more = [x[mine].sum() - y for x, y in zip((parent.customers, parent.tables), told, strict=True)]
+        p = self.totals.parent(parent.customers, parent.tables, k, *more)
+        self.totals.put_split(p, self.words, self.split, k)
         return p
 
-    def follow(self, parent: Tables, want: np.ndarray, rng: np.random.Generator, k: int, began_customers: int, began_tables: int) -> None:
+    def follow(self, parent: Tables, want: np.ndarray, rng: np.random.Generator, k: int) -> None:
         """Customers come to the parent and leave it as tables of contexts open and go."""
         t = self.totals
-        while True:
-            have, _ = parent.counts()
-            if not ((more := np.flatnonzero(have < want)).size + (less := np.flatnonzero(have > want)).size):
-                return
-            big = more[want[more] - have[more] > 64]
-            if big.size:  # many at once: as on opening
-                n = first_tables(want[big], np.full(len(big), (THETA + t.parent_discount * t.parent_tables[k]) * t.base), t.parent_discount, rng)
-                rest = ~np.isin(parent.dish, big)
-                dish = np.repeat(big, n)
-                size = np.ones(len(dish), np.int64)
-                size[np.cumsum(n) - n] = want[big] - n + 1
-                dish, size = np.concatenate([parent.dish[rest], dish]), np.concatenate([parent.size[rest], size])
-                by = np.argsort(dish, kind="stable")
-                parent.dish, parent.size = dish[by], size[by]
-                more = np.setdiff1d(more, big)
-            parent.take(less, rng)
-            parent.seat(more, np.full(len(more), (THETA + t.parent_discount * t.parent_tables[k]) * t.base), t.parent_discount, rng)
+        opening = (THETA + t.parent_discount * t.parent_tables[k]) * t.base
+        crowd = np.flatnonzero(want - parent.customers > 64)
+        if crowd.size:  # many at once are seated as on opening
+            parent.reseat(crowd, first_tables(want[crowd], np.full(len(crowd), opening), t.parent_discount, rng), want[crowd])
+        while (apart := np.flatnonzero(parent.customers != want)).size:
+            more = parent.customers[apart] < want[apart]
+            parent.take(apart[~more], rng)
+            parent.seat(apart[more], np.full(more.sum(), opening), t.parent_discount, rng)
 
 
 #: Rows of the sums that are not of a context: the parent's sums, and figures for the discounts and the vocabulary.
 PARENT, ONES_TWOS, PARENT_ONES_TWOS, SIZES = -1, -2, -3, -4
 
 
-def sums_of(shards: DataFrame, totals: Totals | None, rounds: list[int], split: list[int]) -> DataFrame:
-    """Over all shards, (k, context, tables, customers) of the start, or of each sweep k of the last round."""
+class Sums:
+    """What a task's shards add up to, sweep by sweep of the last round: rows (k, context, tables, customers)."""
+
+    def __init__(self, sweeps: int, split: np.ndarray) -> None:
+        self.dense = np.zeros((sweeps, 2, CONTEXTS + 1))
+        self.split = split
+        self.single: dict[tuple[int, int], list[float]] = {}
+        self.split_customers: dict[tuple[int, int], int] = {}
+
+    def _add(self, k: int, what: int, first: float, second: float) -> None:
+        held = self.single.setdefault((k, what), [0.0, 0.0])
+        held[0] += first
+        held[1] += second
+
+    def add(self, s: Shard, k: int, tables: np.ndarray, customers: np.ndarray, at: np.ndarray) -> None:
+        self.dense[k, 0] += s.by_context(tables)
+        self.dense[k, 1] += s.customers_by_context()
+        here = np.isin(s.words, self.split)
+        for w, n in zip(s.words[here], customers[here], strict=True):
+            self.split_customers[k, int(w)] = self.split_customers.get((k, int(w)), 0) + int(n)
+        self._add(k, PARENT, at[~here].sum(), customers[~here].sum())
+        self._add(k, ONES_TWOS, (s.count == 1).sum(), (s.count == 2).sum())
+        self._add(k, PARENT_ONES_TWOS, (customers[~here] == 1).sum(), (customers[~here] == 2).sum())
+        self._add(k, SIZES, (s.word_count > 0).sum(), s.word_count.sum())
+
+    def rows(self) -> pa.StructArray:
+        """Of split words, k counts from -10 down, and the word's hash stands where contexts do."""
+        parts = []
+        for k in range(len(self.dense)):
+            at = np.flatnonzero(self.dense[k].any(0))
+            parts.append((np.full(len(at), k), at, self.dense[k, 0, at], self.dense[k, 1, at]))
+        if self.single:
+            parts.append(tuple(np.array(x) for x in zip(*((k, c, *v) for (k, c), v in self.single.items()), strict=True)))
+        if self.split_customers:
+            words = np.array([w for _, w in self.split_customers], np.uint64).view(np.int64)
+            parts.append((np.array([-10 - k for k, _ in self.split_customers]), words, np.array(list(self.split_customers.values())), np.zeros(len(words))))
+        columns = [np.concatenate([p[i] for p in parts]) for i in range(4)]
+        return pa.StructArray.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, _SUMS.types, strict=True)], fields=list(_SUMS))
+
+    def row(self, schema: pa.Schema) -> pa.RecordBatch:
+        """One row that holds them as a list, null in the other columns."""
+        rows = self.rows()
+        held = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+        return pa.RecordBatch.from_arrays([held if f.name == "sums" else pa.nulls(1, f.type) for f in schema], schema=schema)
+
+
+def swept(shards: DataFrame, totals: Totals | None, rounds: list[int], split: list[int], answer: bool = False) -> DataFrame:
+    """A pass over the shards: rows of the sums, and with answer what each chunk's words and pairs come to in the last round.
+
+    An answer has counts of the words, their customers and tables at the parent (of the first sweep, then the changes),
+    counts of the pairs and their tables over all sweeps. Without totals the pass is of the start: one table each.
+    """
     last = rounds[-1] if rounds else 1
     wanted = np.array(split, np.uint64)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[float]] = {}
-        split_held: dict[tuple[int, int], int] = {}
-
-        def add(k: int, context: int, tables: float, customers: float) -> None:
-            h = held.setdefault((k, context), [0.0, 0.0])
-            h[0] += tables
-            h[1] += customers
+    def answers(s: Shard, states: list) -> pa.RecordBatch:
+        row = s.row
+        tables = np.minimum(s.count, 1) * len(states)
+        tables[s.many] = sum(x[0] for x in states)
+        changes = [np.diff(np.array([x[i] for x in states]), axis=0, prepend=0).T for i in (1, 2)]
+        word_at, pair_at = (np.cumsum(unpacked(row[n], np.int32), dtype=np.int64) for n in ("word_at", "pair_at"))
+        a = b = 0
+        out = []
+        for chunk, n, m in zip(row["chunks"], row["n_words"], row["n_pairs"], strict=True):
+            w, p = word_at[a : a + n], pair_at[b : b + m]
+            a, b = a + n, b + m
+            out.append({
+                "chunk": chunk, "shard": row["shard"], "word_count": packed(s.word_count[w]), "customers": packed(changes[0][w].T.ravel()), "parent_tables": packed(changes[1][w].T.ravel()),
+                "count": packed(s.count[p]), "tables": packed(tables[p].astype(np.int64)), "sums": None,
+            })
+        return pa.RecordBatch.from_pylist(out, schema=_ANSWER_ARROW)
 
-        dense = np.zeros((last, 2, CONTEXTS + 1))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums(last, wanted)
         for batch in batches:
             for row in batch.to_pylist():
                 s = Shard(row, totals)
-                states = list(s.simulate(rounds))[-last:] if totals else [(np.minimum(s.count, 1), None, None)]
-                for k, (tables, customers, at) in enumerate(states):
-                    dense[k, 0] += s.by_context(tables)
-                    dense[k, 1] += s.by_context(s.count)
-                    if customers is None:
-                        customers = s.word_customers(tables)
-                        at = np.minimum(customers, 1)
-                    here = np.isin(s.words, wanted)
-                    for w, n in zip(s.words[here], customers[here], strict=True):
-                        split_held[k, int(w)] = split_held.get((k, int(w)), 0) + int(n)
-                    add(k, PARENT, at[~here].sum(), customers[~here].sum())
-                    add(k, ONES_TWOS, (s.count == 1).sum(), (s.count == 2).sum())
-                    add(k, PARENT_ONES_TWOS, (customers[~here] == 1).sum(), (customers[~here] == 2).sum())
-                    add(k, SIZES, (s.word_count > 0).sum(), s.word_count.sum())
-        for k in range(last):
-            at = np.flatnonzero(dense[k].any(0))
-            yield _sums_batch(np.full(len(at), k), at, dense[k, 0, at], dense[k, 1, at])
-        yield _sums_batch(*zip(*((k, c, *v) for (k, c), v in held.items()), strict=True)) if held else _sums_batch([], [], [], [])
-        # Split words' customers: k from -10 down, and the word's hash where contexts stand.
-        words = np.array([w for _, w in split_held], np.uint64).view(np.int64)
-        yield _sums_batch([-10 - k for k, _ in split_held], words, list(split_held.values()), [0.0] * len(split_held))
-
-    return shards.mapInArrow(run, "k int, context long, tables double, customers double").groupBy("k", "context").agg(F.sum("tables").alias("tables"), F.sum("customers").alias("customers"))
+                begun = s.by_word(s.one_each())
+                states = list(s.simulate(rounds))[-last:] if totals else [(s.one_each(), begun, np.minimum(begun, 1))]
+                for k, state in enumerate(states):
+                    sums.add(s, k, *state)
+                if answer:
+                    yield answers(s, states)
+        yield sums.row(_ANSWER_ARROW)
+
+    return shards.mapInArrow(run, ANSWER_SCHEMA)
 
 
-_SUMS = pa.schema([("k", pa.int32()), ("context", pa.int64()), ("tables", pa.float64()), ("customers", pa.float64())])
+def summed(passed: DataFrame) -> DataFrame:
+    return passed.where("sums is not null").select(F.explode("sums").alias("s")).groupBy("s.k", "s.context").agg(F.sum("s.tables").alias("tables"), F.sum("s.customers").alias("customers"))
 
 
-def _sums_batch(k, context, tables, customers) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, t.to_pandas_dtype()), t) for x, t in zip((k, context, tables, customers), _SUMS.types, strict=True)], schema=_SUMS)
+_SUMS = pa.schema([("k", pa.int32()), ("context", pa.int64()), ("tables", pa.float64()), ("customers", pa.float64())])
 
 
 def collected(sums: DataFrame, n: int, totals: Totals | None) -> Totals:
@@ -497,40 +554,8 @@ def joined(a: Totals, b: Totals) -> Totals:
 
 # ---- answers and scores ----------------------------------------------------------------------------------------------
 
-ANSWER_SCHEMA = "chunk long, shard int, word_count binary, parent binary, count binary, tables binary"
-_ANSWER_ARROW = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), *[(n, pa.binary()) for n in ("word_count", "parent", "count", "tables")]])
-
-
-def answers(shards: DataFrame, told, rounds: list[int]) -> DataFrame:
-    """For each chunk and shard: counts and the parent's probabilities of its words, counts and tables (over samples) of its pairs.
-
-    told: broadcast totals of the rounds, then of each sample.
-    """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = told.value
-        first = len(rounds)
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = Shard(row, totals)
-                states = list(s.simulate(rounds))[-rounds[-1] :]
-                tables = sum(x[0] for x in states)
-                parent = np.empty((len(states), len(s.words)), np.float32)
-                for i, (_, customers, at) in enumerate(states):
-                    parent[i] = totals.parent(customers, at, first + i)
-                    if s.split.any():
-                        w = [int(x) for x in s.words[s.split]]
-                        parent[i, s.split] = totals.parent(np.array([totals.split_customers[first + i][x] for x in w]), np.array([totals.split_tables[first + i][x] for x in w]), first + i)
-                word_at, pair_at = np.cumsum(unpacked(row["word_at"], np.int32), dtype=np.int64), np.cumsum(unpacked(row["pair_at"], np.int32), dtype=np.int64)
-                a = b = 0
-                rows = []
-                for chunk, n, m in zip(row["chunks"], row["n_words"], row["n_pairs"], strict=True):
-                    w, p = word_at[a : a + n], pair_at[b : b + m]
-                    a, b = a + n, b + m
-                    rows.append({"chunk": chunk, "shard": row["shard"], "word_count": packed(s.word_count[w]), "parent": packed(parent[:, w].ravel()), "count": packed(s.count[p]), "tables": packed(tables[p].astype(np.int64))})
-                yield pa.RecordBatch.from_pylist(rows, schema=_ANSWER_ARROW)
-
-    return shards.mapInArrow(run, ANSWER_SCHEMA)
+ANSWER_SCHEMA = "chunk long, shard int, word_count binary, customers binary, parent_tables binary, count binary, tables binary, sums array<struct<k:int,context:long,tables:double,customers:double>>"
+_ANSWER_ARROW = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), *[(n, pa.binary()) for n in ("word_count", "customers", "parent_tables", "count", "tables")], ("sums", pa.list_(pa.struct(list(_SUMS))))])
 
 
 SCORE_SCHEMA = "doc_id long, trained boolean, n_tokens long, n_known long, base_score double, score double"
@@ -547,13 +572,19 @@ def scored(chunked: DataFrame, answered: DataFrame, told, layout: Layout, n_trai
         contexts = (THETA + totals.discount * np.array(totals.tables[rounds : rounds + samples])) / (THETA + totals.customers)
         for row in chunk.to_pylist():
             p = Pairs(row, layout)
-            word_count, parent = np.zeros(len(p.words), np.int64), np.zeros((samples, len(p.words)))
+            word_count = np.zeros(len(p.words), np.int64)
+            seated = np.zeros((2, samples, len(p.words)), np.int64)
             count, tables = np.zeros(len(p.word)), np.zeros(len(p.word))
             for s, pairs, words in p.of_shard():
                 r = back[s]
                 word_count[words] += unpacked(r["word_count"], np.int64)
-                parent[:, words] = unpacked(r["parent"], np.float32).reshape(samples, -1)
+                for i, name in enumerate(("customers", "parent_tables")):
+                    seated[i][:, words] = np.cumsum(unpacked(r[name], np.int64).reshape(samples, -1), axis=0)
                 count[pairs], tables[pairs] = unpacked(r["count"], np.int64), unpacked(r["tables"], np.int64)
+            split = totals.is_split(p.words)
+            parent = [totals.parent(seated[0, i], seated[1, i], rounds + i) for i in range(samples)]
+            for i in range(samples):
+                totals.put_split(parent[i], p.words, split, rounds + i)
             at = p.context.astype(np.int64)
             prob = (count - totals.discount * tables / samples) / (THETA + totals.customers[at])
             for i in range(samples):
@@ -579,16 +610,18 @@ def score_texts(docs: DataFrame, trained: Column, chunk_tokens: int = CHUNK_TOKE
     often = chunked.select(F.explode("often").alias("o")).groupBy("o.word").agg(F.sum("o.n").alias("n")).where(F.col("n") > least)
     layout.split = {int(np.int64(r["word"]).astype(np.uint64)): math.ceil(r["n"] * layout.shards / n) for r in often.collect()}
     split = sorted(layout.split)
-    shards, _ = stash(sent(chunked, layout).groupBy("shard").applyInArrow(merge, SHARD_SCHEMA), "lm-shards")
-    start = collected(sums_of(shards, None, [], split), 1, None)
-    burnt = collected(sums_of(shards, start, [BURN_IN], split).where(last_of(BURN_IN)), BURN_IN, start)
+    shards, shards_path = stash(sent(chunked, layout).groupBy("shard").applyInArrow(merge, SHARD_SCHEMA), "lm-shards")
+    start = collected(summed(swept(shards, None, [], split)), 1, None)
+    burnt = collected(summed(swept(shards, start, [BURN_IN], split)).where(last_of(BURN_IN)), BURN_IN, start)
     for x in (burnt.tables, burnt.parent_customers, burnt.parent_tables, burnt.split_customers, burnt.split_tables):
         del x[:-1]  # the last sweep of the burn-in is what the next round goes by
     rounds = [BURN_IN, SAMPLES]
     told = joined(start, burnt)
-    told = joined(told, collected(sums_of(shards, told, rounds, split), SAMPLES, start))
+    passed, _ = stash(swept(shards, told, rounds, split, answer=True), "lm-answers")
+    drop_path(spark, shards_path)
+    told = joined(told, collected(summed(passed), SAMPLES, start))
     shared = spark.sparkContext.broadcast(told)
-    out = scored(chunked, answers(shards, shared, rounds), shared, layout, n_trained, len(rounds), SAMPLES)
+    out = scored(chunked, passed.where("chunk is not null").drop("sums"), shared, layout, n_trained, len(rounds), SAMPLES)
     return out.withColumn("train_tokens", F.lit(n_trained).cast("long"))
 
 
