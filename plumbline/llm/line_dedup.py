@@ -124,8 +124,8 @@ def drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
         # Rows with the same id are in the same batch: distinct makes them one document.
         runs.add(keys.where(F.col("batch") == k).select("h1", "h2", "doc_id").distinct())
     heavy = runs.compacted().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
-    lost = keys.join(heavy.hint("merge"), ["h1", "h2"]).where("doc_id < last_doc").select("doc_id", "h1", "h2").distinct()
-    out, _ = stash(lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("keys")), "lines-drops")
+    lost = keys.join(heavy.hint("merge"), ["h1", "h2"]).where("doc_id < last_doc")
+    out, _ = stash(lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("keys")), "lines-drops")
     for p in [path, *(p for level in runs.levels for _, p in level)]:
         drop_path(docs.sparkSession, p)
     return out
