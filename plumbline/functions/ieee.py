@@ -10,7 +10,7 @@ from enum import IntFlag
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAN, INF = F.lit(float("nan")), F.lit(float("inf"))
+NAN, INF = float("nan"), float("inf")
 
 
 class Flag(IntFlag):

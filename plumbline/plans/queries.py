@@ -39,8 +39,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BOUNDS = ((1.0, 50.0), (0.0, 0.1))
 ROOT = ((1.0, 0.0), (50.0, 0.1))
 SPLITS = (3, 2)
-Y = F.get("y", F.lit(0))
-RULES = (Rule(0, Y, "<=", F.lit(42.0)), Rule(1, F.get("x", F.lit(1)), "<", F.lit(0.095)), Rule(2, Y, "~", F.lit(40.0), 0.02), Rule(3, Y, "finite"))
+
+
+def y() -> Column:
+    return F.get("y", F.lit(0))
+
+
+def rules() -> list[Rule]:
+    return [Rule(0, y(), "<=", F.lit(42.0)), Rule(1, F.get("x", F.lit(1)), "<", F.lit(0.095)), Rule(2, y(), "~", F.lit(40.0), 0.02), Rule(3, y(), "finite")]
+
+
 
 OBS_SQL = """
 obs AS (SELECT o * 8 + n AS id, q, d, q * (1 - d) AS y, n, o FROM (SELECT l_orderkey AS o, l_linenumber AS n, max(l_quantity) AS q, max(l_discount) AS d FROM lineitem GROUP BY ALL))"""
@@ -54,8 +62,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations with a risk that rises towards the bound, facts where it is passed, and channel masks."""
-    bad = Y > 42
-    risk = F.when(bad, F.lit(1.0)).otherwise(F.pow(Y / 45, F.lit(8.0)))
+    bad = y() > 42
+    risk = F.when(bad, F.lit(1.0)).otherwise(F.pow(y() / 45, F.lit(8.0)))
     channels = F.when(bad, F.lit(2)).otherwise(F.lit(0)) + F.when(F.get("x", F.lit(1)) > 0.05, F.lit(16)).otherwise(F.lit(0))
     return observations(spark, sf_dir).select("id", "x", risk.alias("risk"), channels.alias("channels"), bad.alias("fact"), F.when(F.col("n") > 1, F.lit(18)).otherwise(F.lit(2)).alias("measured"))
 
@@ -240,13 +248,13 @@ found AS (
 
 @query("WITH " + CONSTRAINTS_SQL + " SELECT id, subject, round(magnitude, 9) AS magnitude, 1.0::DOUBLE AS strength FROM found")
 def constraint_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.constraints(observations(spark, sf_dir), RULES).select(F.get("observations", F.lit(0)).alias("id"), "subject", F.round("magnitude", 9).alias("magnitude"), "strength")
+    return evidence.constraints(observations(spark, sf_dir), rules()).select(F.get("observations", F.lit(0)).alias("id"), "subject", F.round("magnitude", 9).alias("magnitude"), "strength")
 
 
 @query("WITH " + OBS_SQL + """ SELECT id, round(least((42.0 - y) / greatest(abs(y), 42.0, 1.0), (0.095 - d) / 1.0, (0.8 - abs(y - 40.0)) / 0.8, 1.0), 9) AS level,
   y > 42 OR d >= 0.095 OR abs(y - 40.0) / 0.8 > 1 AS violates FROM obs""")
 def level_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observations(spark, sf_dir).select("id", F.round(evidence.level(RULES), 9).alias("level"), evidence.violates(RULES, F.col("y")).alias("violates"))
+    return observations(spark, sf_dir).select("id", F.round(evidence.level(rules()), 9).alias("level"), evidence.violates(rules(), F.col("y")).alias("violates"))
 
 
 @query("""SELECT l_orderkey * 8 + l_linenumber AS id, subject, strength FROM lineitem, (VALUES ('o0:divergent', 0), ('o1:divergent', 1)) v(subject, n),
@@ -361,7 +369,7 @@ rho AS (
 
 def all_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Physical, sensitivity and numerical items with their order o as the set."""
-    found = evidence.constraints(observations(spark, sf_dir), RULES).unionByName(evidence.sensitivity(values(spark, sf_dir))).unionByName(evidence.path_gap(observations(spark, sf_dir), reduced(spark, sf_dir)).where("magnitude > 1e-13"))
+    found = evidence.constraints(observations(spark, sf_dir), rules()).unionByName(evidence.sensitivity(values(spark, sf_dir))).unionByName(evidence.path_gap(observations(spark, sf_dir), reduced(spark, sf_dir)).where("magnitude > 1e-13"))
     return found.withColumn("o", F.floor(F.get("observations", F.lit(0)) / 8))
 
 
