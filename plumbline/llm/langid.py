@@ -6,7 +6,8 @@ n = ``max_gram`` first, and by shorter ones only where none of n is known. A tex
 languages' mean scores per word with the sharpness of ``SHARP`` words, times the prior; the best language wins.
 
 Training takes labelled rows whose id hash falls under a share that leaves ``max_train_rows`` rows on average (all
-rows, where there are no more); words and n-grams are counted in a distributed aggregation and the ``max_words`` and
+rows, where there are no more); words and n-grams are counted in a distributed aggregation (a word that a
+text repeats n times as n's number of binary digits, so that no text outweighs others by its length) and the ``max_words`` and
 ``max_grams`` most frequent of each are kept, so the model that is broadcast has a fixed bound.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; without labelled rows every text is; unknown
@@ -73,7 +74,7 @@ class Model:
         for n, table in enumerate(held):
             base = np.log(totals[n] + 0.5 * (len(table) + 1))
             self.rows.append({k: i for i, k in enumerate(table)})
-            self.scores.append((np.log(np.array(list(table.values())).reshape(-1, len(self.langs)) + 0.5) - base).astype(np.float32))
+            self.scores.append((np.log(np.array(list(table.values()), float).reshape(len(table), len(self.langs)) + 0.5) - base).astype(np.float32))
         total = sum(rows.values())
         self.prior = np.array([math.log(rows[lang] / total) for lang in self.langs]) if total else np.zeros(0)
 
@@ -146,7 +147,8 @@ def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, max_words: int
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[lang, -1, ""] += 1
-                for w, k in Counter(words(text)).items():
+                for w, n in Counter(words(text)).items():
+                    k = n.bit_length()
                     seen[lang, 0, w] += k
                     for size in range(1, max_gram + 1):
                         for g in grams(w, size):
