@@ -2,7 +2,7 @@
 
 A file's header is what its whole text says about licensing: the lines that hold one of ``cues``. The collection for
 TF-IDF is all headers and the templates; a term's weight is its count times ``ln((1 + N) / (1 + df)) + 1``. A header
-takes the template of the highest cosine, if that reaches ``min_score`` (ties: the template first by name). A file is a
+takes the licence of the template of the highest cosine, if that reaches ``min_score`` (ties: the licence first by name). A file is a
 licence file when at least ``file_share`` of its words are in its header; it speaks for its directory. A directory's
 licence is that of most of its licence files (ties: by name). A file without a header of its own inherits from the
 nearest ancestor directory that has a licence, found by joining the paths of its ancestors.
@@ -18,7 +18,7 @@ one row. Ancestors are one row for each level of a path, and meet directories by
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,18 +32,18 @@ DIR_SIZE = 64
 
 #: What headers and licence files usually say.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file. Redistribution and use in source and binary forms.",
-    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License. Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "This work is licensed under the Creative Commons Attribution NonCommercial 4.0 International License. Licensed under CC BY-NC 4.0.",
-    "CC0-1.0": "To the extent possible under law, all copyright is waived. Dedicated to the public domain under CC0 1.0 Universal.",
-    "GPL-2.0": "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "ISC": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted. ISC License.",
-    "LGPL-3.0": "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Proprietary": "Copyright. All rights reserved. Proprietary and confidential; unauthorized copying is strictly prohibited.",
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    "BSD-3-Clause": ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0 Universal.",),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 2."),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 3."),
+    "ISC": ("ISC License.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted."),
+    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.",),
+    "MIT": ("Released under the MIT License.", "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "Proprietary": ("Copyright. All rights reserved.", "Proprietary and confidential; unauthorized copying is strictly prohibited."),
 }
 
 
@@ -66,23 +66,23 @@ def weights(texts: DataFrame, n: int) -> DataFrame:
     return weighed.join(norms, "name")
 
 
-def scores(headers: DataFrame, templates: Mapping[str, str] = TEMPLATES, min_score: float = MIN_SCORE) -> DataFrame:
+def scores(headers: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, min_score: float = MIN_SCORE) -> DataFrame:
     """(header, license, score) for distinct headers that reach min_score with their best template."""
     spark = headers.sparkSession
-    known = spark.createDataFrame([(f"t:{k}", v) for k, v in templates.items()], "name string, text string")
+    known = spark.createDataFrame([(f"t:{i}:{k}", v) for k, texts in templates.items() for i, v in enumerate(texts)], "name string, text string")
     texts = headers.select(F.concat(F.lit("h:"), "header").alias("name"), F.col("header").alias("text")).where("header is not null").distinct().unionByName(known)
     texts, _ = stash(texts, "license-headers")
     w, _ = stash(weights(texts, texts.count()), "license-weights")
-    mine = w.where("name like 't:%'").select(F.substring("name", 3, 1 << 20).alias("license"), "term", (F.col("weight") / F.col("norm")).alias("t"))
+    mine = w.where("name like 't:%'").select(F.expr("substring(name, 5)").alias("license"), F.col("name").alias("template"), "term", (F.col("weight") / F.col("norm")).alias("t"))
     theirs = w.where("name like 'h:%'").select("name", "term", (F.col("weight") / F.col("norm")).alias("h"))
-    dots = theirs.join(mine, "term").groupBy("name", "license").agg(F.round(F.sum(F.col("h") * F.col("t")), 9).alias("score"))
+    dots = theirs.join(mine, "term").groupBy("name", "license", "template").agg(F.round(F.sum(F.col("h") * F.col("t")), 9).alias("score"))
     first = dots.groupBy("name").agg(F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), "license")).alias("license"))
     return first.where(F.col("score") >= min_score).select(F.expr("substring(name, 3)").alias("header"), "license", "score")
 
 
 def directory(path: Column) -> Column:
-    """What stands before the last slash; "" without one."""
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
+    """What stands before the last slash; "" without one; null for null."""
+    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
 
 
 def ancestors(folder: Column) -> Column:
@@ -92,7 +92,7 @@ def ancestors(folder: Column) -> Column:
     return F.when(folder == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("folder")))).otherwise(F.concat(F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("folder"))), deeper))
 
 
-def scan(files: DataFrame, templates: Mapping[str, str] = TEMPLATES, min_score: float = MIN_SCORE, file_share: float = FILE_SHARE) -> DataFrame:
+def scan(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, min_score: float = MIN_SCORE, file_share: float = FILE_SHARE) -> DataFrame:
     """For files (id, path, text): id, path, license, score (of the own header), licensed_by (header or directory), from_dir."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     h = header(text)
@@ -120,7 +120,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def _values() -> str:
-    return ", ".join("('t:{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+    return ", ".join("('t:{}:{}', '{}')".format(i, k, v.replace("'", "''")) for k, texts in TEMPLATES.items() for i, v in enumerate(texts))
 
 
 REPORT_SQL = (
@@ -143,7 +143,7 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 w AS (SELECT name, term, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM texts)) / (1 + df)) + 1) AS weight FROM tf JOIN df USING (term)),
 u AS (SELECT name, term, weight / sqrt(sum(weight * weight) OVER (PARTITION BY name)) AS u FROM w),
 dots AS (
-  SELECT a.name, b.name[3:] AS license, round(sum(a.u * b.u), 9) AS score FROM u a JOIN u b USING (term)
+  SELECT a.name, b.name[5:] AS license, b.name AS template, round(sum(a.u * b.u), 9) AS score FROM u a JOIN u b USING (term)
   WHERE a.name LIKE 'h:%' AND b.name LIKE 't:%' GROUP BY ALL),
 best AS (
   SELECT name[3:] AS header, license AS own, score FROM dots
