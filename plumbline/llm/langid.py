@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.shared import clear_of
 
 MAX_TRAIN_ROWS = 8192
-MAX_WORDS = 100_000
-MAX_GRAMS = 200_000
+MAX_WORDS = 50_000
+MAX_GRAMS = 100_000
 MAX_GRAM = 5
 SHARP = 8.0
 MIN_SCORE = 0.5
@@ -58,23 +58,23 @@ def grams(word: str, n: int) -> list[str]:
 class Model:
     """Log probabilities of each language for known words and n-grams."""
 
-    def __init__(self, counts: list[tuple[str, int, str, int]], rows: dict[str, int], max_gram: int = MAX_GRAM) -> None:
+    def __init__(self, counts: Iterable[tuple[str, int, str, int]], rows: dict[str, int], max_gram: int = MAX_GRAM) -> None:
         """counts: (language, n, key, count), n = 0 for words; rows: training rows by language."""
         self.langs = sorted(rows)
         self.max_gram = max_gram
         at = {lang: i for i, lang in enumerate(self.langs)}
-        totals = np.zeros((max_gram + 1, len(self.langs)))
-        held: list[dict[str, np.ndarray]] = [{} for _ in range(max_gram + 1)]
-        for lang, n, key, count in counts:
-            held[n].setdefault(key, np.zeros(len(self.langs)))[at[lang]] += count
-            totals[n, at[lang]] += count
         #: Row numbers of words (0) and of n-grams by n, and the rows.
-        self.rows: list[dict[str, int]] = []
+        self.rows: list[dict[str, int]] = [{} for _ in range(max_gram + 1)]
+        given: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in range(max_gram + 1)]
+        for lang, n, key, count in counts:
+            row = self.rows[n].setdefault(key, len(self.rows[n]))
+            for held, v in zip(given[n], (row, at[lang], count), strict=True):
+                held.append(v)
         self.scores: list[np.ndarray] = []
-        for n, table in enumerate(held):
-            base = np.log(totals[n] + 0.5 * (len(table) + 1))
-            self.rows.append({k: i for i, k in enumerate(table)})
-            self.scores.append((np.log(np.array(list(table.values()), float).reshape(len(table), len(self.langs)) + 0.5) - base).astype(np.float32))
+        for table, (row, lang_at, count) in zip(self.rows, given, strict=True):
+            sums = np.zeros((len(table), len(self.langs)))
+            np.add.at(sums, (np.array(row, int), np.array(lang_at, int)), count)
+            self.scores.append((np.log(sums + 0.5) - np.log(sums.sum(0) + 0.5 * (len(table) + 1))).astype(np.float32))
         total = sum(rows.values())
         self.prior = np.array([math.log(rows[lang] / total) for lang in self.langs]) if total else np.zeros(0)
 
@@ -164,10 +164,12 @@ def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, max_words: int
     try:
         docs = {r["lang"]: r["count"] for r in best.where("n = -1").collect()}
         top = [F.col("count").desc(), "n", "key", "lang"]
-        kept = best.where("n = 0").orderBy(*top).limit(max_words).collect() + best.where("n > 0").orderBy(*top).limit(max_grams).collect()
+        kept = [best.where(kind).orderBy(*top).limit(most).toArrow() for kind, most in (("n = 0", max_words), ("n > 0", max_grams))]
     finally:
         best.unpersist()
-    return Model([tuple(r) for r in kept], docs, max_gram)
+    # Column by column and piece by piece: rows of Python objects would take the driver far more memory.
+    counts = (row for part in kept for piece in part.to_batches(max_chunksize=4096) for row in zip(*(piece.column(c).to_pylist() for c in ("lang", "n", "key", "count")), strict=True))
+    return Model(counts, docs, max_gram)
 
 
 def predict(docs: DataFrame, model: Model, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
