@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import by_batch, drop_path, stash, utf8
+from plumbline.llm.shared import by_batch, drop_path, pieces, stash, utf8
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -43,8 +43,8 @@ DARTS = K * np.log(K) + 2 * K
 #: Agreement of signatures below which a pair cannot be similar: five standard deviations under SIMILAR.
 AGREE = SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / K) ** 0.5
 #: Texts are sketched so many at a time, and fewer where they are long.
-AT_ONCE, CELLS_AT_ONCE = 512, 1_000_000
-WORD_CACHE = 300_000
+AT_ONCE, CELLS_AT_ONCE = 256, 400_000
+WORD_CACHE = 100_000
 #: Up to so many members an open bucket is compared pair by pair; members of larger ones are compared in blocks.
 PAIRWISE = 32
 BLOCK_MEMBERS, BLOCK_CELLS = 2048, 1_000_000
@@ -151,7 +151,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         ids, keys, cells, total = [], [], [], 0
-        for batch in batches:
+        for batch in pieces(batches):
             for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 words = (text or b"").lower().split()
                 ids.append(doc)

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import clear_of, utf8
+from plumbline.llm.shared import clear_of, pieces, utf8
 
 WINDOW = 10
 #: Words of items in one broadcast automaton at most; a single longer item gets a block of its own.
@@ -228,7 +228,7 @@ def over(batches: Iterable[pa.RecordBatch], blocks: list[Broadcast], text_at: in
         yield from zip(held, each, strict=True)
 
     held, size = [], 0
-    for batch in batches:
+    for batch in pieces(batches):
         held.append(batch)
         size += batch.nbytes
         if len(blocks) < 2 or size >= HELD_BYTES:

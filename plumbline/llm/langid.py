@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import clear_of
+from plumbline.llm.shared import clear_of, pieces
 
 MAX_TRAIN_ROWS = 8192
 MAX_WORDS = 50_000
@@ -38,7 +38,9 @@ MAX_GRAMS = 100_000
 MAX_GRAM = 5
 SHARP = 8.0
 MIN_SCORE = 0.5
-CACHE = 200_000
+CACHE = 100_000
+#: Distinct words a training task counts before it hands its counts on.
+TRAIN_WORDS = 25_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -135,27 +137,30 @@ def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, max_words: int
         labelled = labelled.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) < share)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of some documents at a time: words, n-grams, and rows as n = -1."""
-        seen: Counter[tuple[str, int, str]] = Counter()
+        """Counts of some documents at a time: words, n-grams, and rows as n = -1. N-grams are taken of distinct words."""
+        seen: Counter[tuple[str, str]] = Counter()
+        rows: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
-            keys = list(seen)
-            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(seen.values(), pa.int64())], names=["lang", "n", "key", "count"])
-            seen.clear()
+            sums: Counter[tuple[str, int, str]] = Counter({(lang, -1, ""): n for lang, n in rows.items()})
+            for (lang, w), k in seen.items():
+                sums[lang, 0, w] = k
+                for size in range(1, max_gram + 1):
+                    for g in grams(w, size):
+                        sums[lang, size, g] += k
+            keys = list(sums)
+            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(sums.values(), pa.int64())], names=["lang", "n", "key", "count"])
+            seen.clear(), rows.clear()
             return made
 
-        for batch in batches:
+        for batch in pieces(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[lang, -1, ""] += 1
+                rows[lang] += 1
                 for w, n in Counter(words(text)).items():
-                    k = n.bit_length()
-                    seen[lang, 0, w] += k
-                    for size in range(1, max_gram + 1):
-                        for g in grams(w, size):
-                            seen[lang, size, g] += k
-                if len(seen) > 500_000:
+                    seen[lang, w] += n.bit_length()
+                if len(seen) > TRAIN_WORDS:
                     yield out()
-        if seen:
+        if rows:
             yield out()
 
     counted = labelled.select("text", "lang").mapInArrow(count, "lang string, n int, key string, count long")
@@ -180,7 +185,7 @@ def predict(docs: DataFrame, model: Model, lang_col: str = "lang_pred", score_co
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             said = [shared.value.text(t, known) for t in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=[*names, lang_col, score_col])
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import by_batch, clear_of, drop_path, stash, utf8
+from plumbline.llm.shared import by_batch, clear_of, drop_path, pieces, stash, utf8
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -146,7 +146,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     text_at = [n.lower() for n in names].index("text")
 
     def run(batches_in: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_in:
+        for batch in pieces(batches_in):
             columns, lost = batch.columns[: len(names)], batch.column(len(names)).to_pylist()
             if any(lost):
                 texts = utf8(columns[text_at])

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import drop_path, stash, utf8
+from plumbline.llm.shared import drop_path, pieces, stash, utf8
 
 #: Context restaurants; the last number is the start of a text. Fits in 16 bits.
 CONTEXTS = 65_535
@@ -96,7 +96,7 @@ def chunks(docs: DataFrame, trained: Column, chunk_tokens: int = CHUNK_TOKENS) -
             coder.clear(), ids.clear(), learn.clear(), parts.clear()
             return pa.RecordBatch.from_pylist([row], schema=_CHUNK_ARROW)
 
-        for batch in batches:
+        for batch in pieces(batches):
             for doc, use, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
                 words = (text or b"").lower().split()
                 words.append(END)

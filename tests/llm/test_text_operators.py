@@ -303,21 +303,25 @@ def test_lm_scores(spark, chunk, shard):
     assert model > 0.8 * base  # the order of words tells much here
 
 
-def test_lm_is_a_distribution(spark):
-    """The probabilities of all words after a word, and of one unknown word, sum to 1."""
+def test_lm_is_a_distribution():
+    """The parent's probabilities of all words and of an unknown one sum to 1, and so do a context's over them."""
+    rng = np.random.default_rng(3)
+    tables = rng.integers(1, 4, 30)
+    customers = tables + rng.integers(0, 9, 30)
+    totals = pitman_yor.Totals(np.zeros(1), [], [float(customers.sum())], [float(tables.sum())], [{}], [{}], 0.6, 0.7, 30)
+    parent = totals.parent(np.append(customers, 0), np.append(tables, 0), 0)
+    assert parent.sum() == pytest.approx(1) and (parent > 0).all()
+    t = rng.integers(0, 3, 31)
+    c = t * rng.integers(1, 5, 31)
+    context = (c - totals.discount * t + (pitman_yor.THETA + totals.discount * t.sum()) * parent) / (pitman_yor.THETA + c.sum())
+    assert context.sum() == pytest.approx(1)
+
+
+def test_lm_is_reproducible(spark):
     from pyspark.sql import functions as F
 
-    train = [(i, t) for i, t in lm_texts() if t][:80]
-    vocab = sorted({w for _, t in train for w in t.split()})
-    probes = [(5000 + k, f"{vocab[3]} {w}") for k, w in enumerate([*vocab, "unknownword"])]
-    docs = docs_of(spark, [*train, *probes, (4999, vocab[3])])
-    score = {r.doc_id: r.score for r in pitman_yor.score_texts(docs, F.col("doc_id") < 4999).collect()}
-    # P(start w3 w end) / P(end | w) is needed; the end's share comes from texts of w alone.
-    alone = [(6000 + k, w) for k, w in enumerate([*vocab, "unknownword"])]
-    one = {r.doc_id: r.score for r in pitman_yor.score_texts(docs_of(spark, [*train, *alone]), F.col("doc_id") < 4999).collect()}
-    first = {r.doc_id: r.score for r in pitman_yor.score_texts(docs_of(spark, [*train, (4999, vocab[3])]), F.col("doc_id") < 4999).collect()}
-    assert first[4999] == pytest.approx(score[4999], abs=1e-9)  # held-out texts change nothing
-    assert all(math.isfinite(s) and s < 0 for s in [*score.values(), *one.values()])
+    runs = [sorted((r.doc_id or -1, r.score) for r in pitman_yor.score_texts(docs_of(spark, lm_texts()), F.col("doc_id") % 3 > 0, 500, 400).collect()) for _ in range(2)]
+    assert runs[0] == runs[1] and all(math.isfinite(s) and s <= 0 for _, s in runs[0])
 
 
 def test_lm_without_training_or_rows(spark):
