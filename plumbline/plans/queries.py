@@ -515,8 +515,8 @@ def unit_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("p_partkey", F.round("v", 9).alias("value"), F.round(sample.to_unit(F.col("v"), interval), 9).alias("back"), "choice", sample.to_unit(F.col("choice"), choice).alias("choice_back"))
 
 
-@query("WITH " + OBS_SQL + """ SELECT id, axis, round(CASE WHEN axis = 0 THEN CASE WHEN q - 1.0 < 50.0 - q THEN q + 1e-4 * 49 ELSE q - 1e-4 * 49 END ELSE q END, 9) AS q,
-  round(CASE WHEN axis = 1 THEN CASE WHEN d - 0.0 < 0.1 - d THEN d + 1e-4 * 0.1 ELSE d - 1e-4 * 0.1 END ELSE d END, 9) AS d
+@query("WITH " + OBS_SQL + """ SELECT id, axis, round(CASE WHEN axis = 0 THEN CASE WHEN q - 1.0 >= 1e-4 * 49 AND 50.0 - q < 1e-4 * 49 THEN q - 1e-4 * 49 ELSE q + 1e-4 * 49 END ELSE q END, 9) AS q,
+  round(CASE WHEN axis = 1 THEN CASE WHEN d - 0.0 >= 1e-4 * 0.1 AND 0.1 - d < 1e-4 * 0.1 THEN d - 1e-4 * 0.1 ELSE d + 1e-4 * 0.1 END ELSE d END, 9) AS d
   FROM obs, (VALUES (0), (1)) v(axis)""")
 def probe_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = sample.probe_star(observations(spark, sf_dir), [Axis("q", *BOUNDS[0]), Axis("d", *BOUNDS[1])])

@@ -55,7 +55,7 @@ def from_unit(u: Column, axis: Axis) -> Column:
         return F.get(F.array(*map(F.lit, axis.choices)), at)
     value = F.lit(axis.lo) + F.lit(axis.hi - axis.lo) * u
     value = F.greatest(F.lit(axis.lo), F.least(F.lit(axis.hi), value))
-    return F.round(value) if axis.integer else value
+    return value
 
 
 def to_unit(v: Column, axis: Axis) -> Column:
@@ -130,22 +130,20 @@ def grid(spark: SparkSession, per_axis: int, axes: Sequence[Axis], midpoints: bo
 
 
 def probe_star(points: DataFrame, axes: Sequence[Axis], step: float = STEP) -> DataFrame:
-    """(base, axis, x): each point moved along each axis by step of its width, away from the nearer bound.
+    """(base, axis, x): each point moved along each axis by step of its width, back only where the upper bound is nearer than that.
 
-    On a choice it moves to a neighbouring value.
+    On a choice it moves to the value before it, from the first to the second.
     """
     moved = []
     for i, a in enumerate(axes):
         v = F.get("x", F.lit(i))
         if a.discrete:
-            order = sorted(a.choices)
-            values = F.array(*map(F.lit, order))
+            values = F.array(*map(F.lit, a.choices))
             at = F.array_position(values, v) - 1
-            to = F.get(values, F.when(at + 1 < len(order), at + 1).otherwise(at - 1).cast("int"))
-        elif a.integer:
-            to = F.when(v + 1 <= a.hi, v + 1).otherwise(v - 1)
+            to = F.get(values, F.when(at > 0, at - 1).otherwise(at + 1).cast("int"))
         else:
-            to = F.when(v - a.lo < a.hi - v, v + step * a.width).otherwise(v - step * a.width)
+            by = step * (a.hi - a.lo)
+            to = F.when((v - a.lo >= by) & (a.hi - v < by), v - by).otherwise(v + by)
         moved.append(F.struct(F.lit(i).alias("axis"), _with("x", i, to).alias("x")))
     return points.select(F.col("id").alias("base"), F.explode(F.array(*moved)).alias("p")).select("base", "p.axis", "p.x")
 
