@@ -28,7 +28,7 @@ def d(x: Column | float) -> Column:
 
 def negative(x: Column) -> Column:
     """Whether the sign bit is set, also of -0.0; false for NaN."""
-    return F.when(x == 0, F.atan2(x, F.lit(-1.0)) < 0).otherwise(~F.isnan(x) & (x < 0))
+    return F.when(x == 0, x.cast("string").startswith("-")).otherwise(~F.isnan(x) & (x < 0))
 
 
 def is_finite(x: Column) -> Column:

@@ -85,7 +85,10 @@ def predicate_column(text: str, names: list[str]) -> Column:
     def holds(e: Expr) -> Column:
         if e.op in ("and", "or", "not"):
             parts = [holds(x) for x in e.args]
-            return parts[0] & parts[1] if e.op == "and" else parts[0] | parts[1] if e.op == "or" else ~parts[0]
+            if e.op == "not":
+                return ~parts[0]
+            both = parts[0] & parts[1] if e.op == "and" else parts[0] | parts[1]
+            return F.when(parts[0].isNotNull() & parts[1].isNotNull(), both)  # undefined if a part is
         a, b = map(value, e.args)
         known = {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "==": a == b, "!=": a != b}[e.op]
         return F.when(~F.isnan(a) & ~F.isnan(b), known)

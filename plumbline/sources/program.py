@@ -12,9 +12,9 @@ import queue
 import shlex
 import subprocess
 import threading
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plumbline.functions.ieee import Flag
@@ -77,17 +77,18 @@ class Program:
 def run_program(points: DataFrame, command: str, outputs: int, timeout: float = TIMEOUT) -> DataFrame:
     """points (with x) with y, flags, steps and error."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = [c.lower() for c in points.columns].index("x")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Program(command, outputs, timeout)
         try:
-            for f in frames:
-                said = [p.ask([float(v) for v in x]) for x in f["x"]]
-                f["y"] = [s[0] for s in said]
-                f["flags"] = [int(Flag.NAN) if any(v != v for v in s[0]) else 0 for s in said]
-                f["steps"], f["error"] = [s[1] for s in said], [s[2] for s in said]
-                yield f
+            for b in batches:
+                said = [p.ask([float(v) for v in x]) for x in b.column(at).to_pylist()]
+                flags = [int(Flag.NAN) if any(v != v for v in s[0]) else 0 for s in said]
+                made = [pa.array([s[0] for s in said], pa.list_(pa.float64())), pa.array(flags, pa.int32()), pa.array([s[1] for s in said], pa.int64()), pa.array([s[2] for s in said], pa.string())]
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, "y", "flags", "steps", "error"])
         finally:
             p.stop()
 
     fields = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in points.schema)
-    return points.mapInPandas(run, f"{fields}, y array<double>, flags int, steps long, error string")
+    return points.mapInArrow(run, f"{fields}, y array<double>, flags int, steps long, error string")
