@@ -87,7 +87,7 @@ class Model:
         for n in range(self.max_gram, 0, -1):
             get = self.rows[n].get
             if found := [i for g in grams(word, n) if (i := get(g)) is not None]:
-                return self.scores[n][found].mean(axis=0)
+                return np.add.reduce(self.scores[n].take(found, 0), 0) * (1 / len(found))
         return None
 
     def text(self, text: str | None, known: Known) -> tuple[str, float]:

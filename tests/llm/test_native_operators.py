@@ -258,7 +258,7 @@ def test_license_scan(spark):
 # ---- queries and pipeline
 
 
-@pytest.mark.parametrize("name", ["op2_licenses", "op6_mixing", "op8_line_dedup", "op9_chat", "op10_url_filter"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op2_licenses", "op6_mixing", "op8_line_dedup", "op9_chat", "op10_url_filter"])
 def test_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     d = "/root/testdata/sf0.001"
