@@ -99,7 +99,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     # Rows alike in id, source and size are told apart by number on both sides.
     alike = ["doc_id", "source", "size"]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *[F.col(c).alias(k) for c, k in zip(docs.columns, kept, strict=True)])
-    texts = texts.withColumn("nr", F.row_number().over(Window.partitionBy(*alike).orderBy(F.lit(0))))
+    text = kept[[c.lower() for c in docs.columns].index("text")]
+    texts = texts.withColumn("nr", F.row_number().over(Window.partitionBy(*alike).orderBy(F.xxhash64(text))))
     planned = plan(docs, weights, max_epochs).withColumn("nr", F.row_number().over(Window.partitionBy(*alike).orderBy("sent"))).where("copies > 0")
     planned = planned.select(*[F.col(c).alias(f"_{c}") for c in (*alike, "nr")], "source_size", "rank", "weight", "key", "sent", "copies")
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*alike, "nr")]
