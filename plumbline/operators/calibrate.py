@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import ieee
+from plumbline.functions.median import medians
 from plumbline.operators.evidence import CHANNELS
 
 #: Least scales by channel: noise that is no evidence.
@@ -33,13 +34,13 @@ def _counted(evidence: DataFrame) -> DataFrame:
 
 def channel_scale(evidence: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The median of each channel's positive finite magnitudes, at least its floor: keys, channel, scale."""
-    return _counted(evidence).groupBy(*keys, "channel").agg(F.median("magnitude").alias("m")).select(*keys, "channel", F.greatest("m", _floor()).alias("scale"))
+    return medians(_counted(evidence), [*keys, "channel"], "magnitude").select(*keys, "channel", F.greatest("median", _floor()).alias("scale"))
 
 
 def claim_scale(evidence: DataFrame, keys: Sequence[str] = (), least: int = MIN_CLAIMS) -> DataFrame:
     """The same for each subject with at least so many magnitudes: keys, channel, subject, scale."""
-    out = _counted(evidence).groupBy(*keys, "channel", "subject").agg(F.median("magnitude").alias("m"), F.count("*").alias("n")).where(F.col("n") >= least)
-    return out.select(*keys, "channel", "subject", F.greatest("m", _floor()).alias("scale"))
+    out = medians(_counted(evidence), [*keys, "channel", "subject"], "magnitude").where(F.col("n") >= least)
+    return out.select(*keys, "channel", "subject", F.greatest("median", _floor()).alias("scale"))
 
 
 def strength(magnitude: Column, scale: Column) -> Column:

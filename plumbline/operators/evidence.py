@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import ieee
+from plumbline.functions.median import medians
 
 CHANNELS = ("Behavioral", "Physical", "Numerical", "Differential", "Sensitivity")
 
@@ -123,7 +124,7 @@ def slopes(values: DataFrame) -> DataFrame:
 
 def slope_reference(values: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The median slope of each axis and output."""
-    return slopes(values).groupBy(*keys, "axis", "output").agg(F.median("slope").alias("typical"))
+    return medians(slopes(values), [*keys, "axis", "output"], "slope").withColumnRenamed("median", "typical").drop("n")
 
 
 def sensitivity(values: DataFrame, keys: Sequence[str] = (), reference: DataFrame | None = None, factor: float = 1.5) -> DataFrame:
@@ -139,14 +140,16 @@ def monotony(values: DataFrame, keys: Sequence[str] = (), increasing: bool = Tru
     rel = F.abs(F.col("y1") - F.col("y0")) / F.greatest(F.abs("y0"), F.abs("y1"), F.lit(1.0))
     wrong = F.col("y1") < F.col("y0") if increasing else F.col("y1") > F.col("y0")
     steps = values.where(_both_finite()).withColumn("rel", rel).withColumn("wrong", wrong)
-    out = steps.groupBy(*keys, "axis", "output").agg(
+    by = [*keys, "axis", "output"]
+    out = steps.groupBy(*by).agg(
         F.count_if("wrong").alias("violated"),
         F.count("*").alias("total"),
         F.coalesce(F.max(F.when(F.col("wrong"), F.col("rel"))), F.lit(0.0)).alias("worst"),
-        F.median("rel").alias("typical"),
-        F.median(F.when(F.col("wrong"), F.col("rel"))).alias("typical_wrong"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("wrong"), F.array("base", "perturbed")))))).alias("offenders"),
     )
+    typical = medians(steps, by, "rel").select(*by, F.col("median").alias("typical"))
+    typical_wrong = medians(steps.where("wrong"), by, "rel").select(*by, F.col("median").alias("typical_wrong"))
+    out = out.join(typical, by, "left").join(typical_wrong, by, "left")
     ratio = F.greatest(F.try_divide(F.col("typical_wrong"), F.col("typical")), F.lit(2.2250738585072014e-308))
     severity = F.when((F.col("typical") > 0) & F.col("typical_wrong").isNotNull(), F.abs(F.ln(ratio))).otherwise(F.lit(0.0))
     return out.withColumn("severity", severity).drop("typical", "typical_wrong")

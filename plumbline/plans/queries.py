@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import ieee
 from plumbline.operators import atlas, calibrate, compare, evidence, metrics, regions
 from plumbline.operators.evidence import Rule
+from plumbline.plans.scratch import stash
 from plumbline.sources import sample
 from plumbline.sources.sample import Axis
 
@@ -368,14 +369,14 @@ rho AS (
 
 
 def all_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Physical, sensitivity and numerical items with their order o as the set."""
+    """Physical, sensitivity and numerical items with their order o as the set; written, as several steps read it."""
     found = evidence.constraints(observations(spark, sf_dir), rules()).unionByName(evidence.sensitivity(values(spark, sf_dir))).unionByName(evidence.path_gap(observations(spark, sf_dir), reduced(spark, sf_dir)).where("magnitude > 1e-13"))
-    return found.withColumn("o", F.floor(F.get("observations", F.lit(0)) / 8))
+    return stash(found.withColumn("o", F.floor(F.get("observations", F.lit(0)) / 8)), "evidence")
 
 
 def strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = all_evidence(spark, sf_dir)
-    return calibrate.calibrated(found, calibrate.channel_scale(found), calibrate.claim_scale(found))
+    return stash(calibrate.calibrated(found, calibrate.channel_scale(found), calibrate.claim_scale(found)), "strengths")
 
 
 @query("WITH " + ALL_SQL + " SELECT channel, round(scale, 9) AS scale FROM chan")

@@ -329,3 +329,15 @@ def test_driver_queries_match_sql(spark):
         names = [d[0] for d in rel.description]
         assert sorted(names) == cols, name
         assert got == sorted(tuple(show(r[names.index(c)]) for c in cols) for r in rel.fetchall()), name
+
+
+def test_medians(spark):
+    from statistics import median
+
+    from plumbline.functions.median import medians
+
+    rnd = random.Random(2)
+    rows = [(k, v) for k, n in ((None, 1), ("a", 2), ("b", 3), ("c", 20_001), ("d", 6000)) for v in ([rnd.gauss(0, 1) for _ in range(n)] if k != "d" else [float(rnd.randrange(3)) for _ in range(n)])]
+    got = {r.k: (r.median, r.n) for r in medians(spark.createDataFrame([*rows, ("e", None)], "k string, v double"), ["k"], "v").collect()}
+    assert got == {k: (pytest.approx(median([v for q, v in rows if q == k])), sum(q == k for q, _ in rows)) for k in {k for k, _ in rows}}
+    assert medians(spark.createDataFrame(rows, "k string, v double"), [], "v").first().n == len(rows)
