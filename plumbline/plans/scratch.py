@@ -25,10 +25,17 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        drop(spark, path)
+    except Exception:  # noqa: BLE001  the session is gone, and with it the way to the folder
+        return
+
+
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """df written and read again: its lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(drop, spark, path)
+    atexit.register(_drop_at_exit, spark, path)
     return spark.read.schema(df.schema).parquet(path)
