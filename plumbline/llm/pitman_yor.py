@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import drop_path, pieces, stash, utf8
+from plumbline.llm.shared import drop_path, pieces, release_shuffles, stash, utf8
 
 #: Context restaurants; the last number is the start of a text. Fits in 16 bits.
 CONTEXTS = 65_535
@@ -611,6 +611,7 @@ def score_texts(docs: DataFrame, trained: Column, chunk_tokens: int = CHUNK_TOKE
     layout.split = {int(np.int64(r["word"]).astype(np.uint64)): math.ceil(r["n"] * layout.shards / n) for r in often.collect()}
     split = sorted(layout.split)
     shards, shards_path = stash(sent(chunked, layout).groupBy("shard").applyInArrow(merge, SHARD_SCHEMA), "lm-shards")
+    release_shuffles(spark)
     start = collected(summed(swept(shards, None, [], split)), 1, None)
     burnt = collected(summed(swept(shards, start, [BURN_IN], split)).where(last_of(BURN_IN)), BURN_IN, start)
     for x in (burnt.tables, burnt.parent_customers, burnt.parent_tables, burnt.split_customers, burnt.split_tables):
