@@ -72,11 +72,6 @@ def stash(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), drop_at_
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files that no plan refers to any more; it does so as the driver collects garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def fine_bins(rows: int) -> int:
     """How many bins split rows so that both the bins and the rows of a bin stay near the square root of rows."""
     return max(16, math.ceil(math.sqrt(max(rows, 1))))
