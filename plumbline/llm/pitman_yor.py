@@ -3,8 +3,11 @@
 Words are drawn in Chinese restaurants, one for each context. Contexts are previous words, hashed into CONTEXTS
 restaurants (and one for the start of a text); all share one parent, the unigram restaurant, whose own parent is uniform
 over the distinct training words and one unknown word. A customer of a context who opens a table sends a customer to the
-parent. Seating is sampled by Gibbs moves, each of which takes a customer out, chosen evenly among those of a word in a
-restaurant, and seats them again given all others. After burn-in, each sweep gives a sample; a token's probability is
+parent. Seating is sampled by Gibbs moves, each of which takes a customer out and seats them again given all others. A
+sweep moves every customer of every context, then every customer of the parent. (The only customer of a word in a
+context opens a table whatever comes: their move is that of their customer at the parent.) Where a word has more than
+ROUNDS customers in a restaurant, one in ROUNDS of them is out at a time, and these do not see each other as they sit
+down. After burn-in, each sweep gives a sample; a token's probability is
 the mean over samples of its predictive probability, and a text's score the sum of their log10, the end included.
 
 Words: the UTF-8 text with A-Z lower-cased, split at ASCII white space; 64-bit hashes stand for words (two of a billion
@@ -45,7 +48,9 @@ SHARD_TOKENS = 2_000_000
 MIN_SHARDS = 32
 #: Words with at least this share of all tokens can be split over shards; so there are at most as many as its inverse.
 SPLIT_SHARE = 1 / 65_536
-BURN_IN, SAMPLES, MOVES = 2, 3, 2
+BURN_IN, SAMPLES = 2, 3
+#: In so many steps at most a sweep moves the customers of a word in a restaurant.
+ROUNDS = 64
 THETA = 1.0
 
 #: The end of a text; no word has white space.
@@ -253,31 +258,72 @@ class Tables:
             first[several] = np.clip(at, low, past - 1)
         return first
 
-    def take(self, dishes: np.ndarray, rng: np.random.Generator) -> None:
-        """Take one customer of each of some distinct dishes out, all customers alike; empty tables go."""
+    def take(self, dishes: np.ndarray, rng: np.random.Generator, many: np.ndarray | None = None) -> None:
+        """Take one customer (or so many) of each of some distinct dishes out, all customers alike; empty tables go."""
         if not len(dishes):
             return
-        at = self._pick(dishes, 0.0, rng)
-        self.size[at] -= 1
-        self.customers[dishes] -= 1
-        if (gone := self.size[at] == 0).any():
-            self.tables[dishes[gone]] -= 1
-            self.dish, self.size = np.delete(self.dish, at[gone]), np.delete(self.size, at[gone])
-
-    def seat(self, dishes: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> None:
-        """Seat one customer for each of some distinct dishes; new: the weight of opening a table."""
+        if many is None:
+            at = self._pick(dishes, 0.0, rng)
+            self.size[at] -= 1
+        else:  # evenly spaced among the dish's customers, who are in the order of their tables
+            first, step = (np.cumsum(self.customers) - self.customers)[dishes], self.customers[dishes] / many
+            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            out = np.floor((np.repeat(rng.random(len(dishes)) * 0.999999, many) + nth) * np.repeat(step, many)).astype(np.int64)
+            at = np.searchsorted(np.cumsum(self.size), np.repeat(first, many) + out, "right")
+            self.size -= np.bincount(at, minlength=len(self.size))
+            at = np.unique(at)  # a table can lose several
+        self.customers[dishes] -= 1 if many is None else many
+        gone = at[self.size[at] == 0]
+        if len(gone):
+            self.tables -= np.bincount(self.dish[gone], minlength=len(self.tables))
+            self.dish, self.size = np.delete(self.dish, gone), np.delete(self.size, gone)
+
+    def seat(self, dishes: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator, many: np.ndarray | None = None) -> None:
+        """Seat one customer (or so many, at once) for each of some distinct dishes; new: the weight of opening a table."""
         if not len(dishes):
             return
         old = self.customers[dishes] - discount * self.tables[dishes]
-        opens = rng.random(len(dishes)) * (old + new) >= old
-        if not opens.all():
-            self.size[self._pick(dishes[~opens], discount, rng)] += 1
-        self.customers[dishes] += 1
-        if opens.any():
-            opened = dishes[opens]
+        if many is None:
+            alone = rng.random(len(dishes)) * (old + new) >= old
+            joins, opened = dishes[~alone], dishes[alone]
+        else:
+            opens = rng.binomial(many, np.clip(new / (old + new), 0, 1))
+            joins, opened = np.repeat(dishes, many - opens), np.repeat(dishes, opens)
+        if len(joins):
+            self.size += np.bincount(self._pick(joins, discount, rng), minlength=len(self.size))
+        self.customers[dishes] += 1 if many is None else many
+        if len(opened):
             at = (self._first() + self.tables)[opened]
             self.dish, self.size = np.insert(self.dish, at, opened), np.insert(self.size, at, 1)
-            self.tables[opened] += 1
+            self.tables += np.bincount(opened, minlength=len(self.tables))
+
+    def stir(self, new: np.ndarray, discount: float, rng: np.random.Generator) -> None:
+        """Move as many customers of each dish as it has."""
+        have = self.customers.copy()
+        steps = np.minimum(have, ROUNDS)
+        for r in range(steps.max(initial=0)):
+            dishes = np.flatnonzero(steps > r)
+            many = have[dishes] * (r + 1) // steps[dishes] - have[dishes] * r // steps[dishes]
+            many = None if (many == 1).all() else many
+            self.take(dishes, rng, many)
+            self.seat(dishes, new[dishes], discount, rng, many)
+
+    def part(self, dishes: np.ndarray) -> Tables:
+        """The tables of some sorted dishes, numbered anew."""
+        number = np.full(len(self.customers), -1)
+        number[dishes] = np.arange(len(dishes))
+        number = number[self.dish]
+        return Tables(number[number >= 0], self.size[number >= 0], len(dishes))
+
+    def put(self, dishes: np.ndarray, part: Tables) -> None:
+        """Take such a part back."""
+        keep = np.ones(len(self.customers), bool)
+        keep[dishes] = False
+        rest = keep[self.dish]
+        dish = np.concatenate([self.dish[rest], dishes[part.dish]])
+        by = np.argsort(dish, kind="stable")
+        self.dish, self.size = dish[by], np.concatenate([self.size[rest], part.size])[by]
+        self.customers[dishes], self.tables[dishes] = part.customers, part.tables
 
     def reseat(self, dishes: np.ndarray, tables: np.ndarray, customers: np.ndarray) -> None:
         """Give distinct dishes these customers at so many tables: one holds who is left when each other has one."""
@@ -292,6 +338,11 @@ class Tables:
         self.customers[dishes], self.tables[dishes] = customers, tables
 
 
+def classes(count: np.ndarray) -> np.ndarray:
+    """Doubling classes of counts (0: nothing to move), so that what is stirred together takes about as many steps."""
+    return np.ceil(np.log2(np.clip(count, 1, ROUNDS + 1))).astype(np.int64)
+
+
 def first_tables(count: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """How many tables count customers open who come one after another, drawn for doubling crowds at a time."""
     tables, seated = np.minimum(count, 1), np.minimum(count, 1)
@@ -347,8 +398,11 @@ class Shard:
         self.row, self.totals = row, totals
         self.rng = np.random.default_rng([7, row["shard"]])
         self.split = totals.is_split(self.words) if totals else np.zeros(len(self.words), bool)
-        #: A pair with one customer has one table whatever comes; seating moves the others' customers.
-        self.many = np.flatnonzero(self.count >= 2)
+        #: A pair with one customer has one table whatever comes, and moves at the parent only; the others by class.
+        many = np.flatnonzero(self.count >= 2)
+        kind = classes(self.count[many])
+        self.many = many[np.argsort(kind, kind="stable")]
+        self.ends = np.cumsum(np.bincount(kind)).tolist() if len(many) else []
         lone = np.flatnonzero(self.count == 1)
         self.lone_contexts = np.bincount(self.context[lone], minlength=CONTEXTS + 1)
         self.lone_words = np.bincount(self.word[lone], minlength=len(self.words))
@@ -376,23 +430,29 @@ class Shard:
         context, word = self.context[many], self.word[many]
         begun = self.by_word(self.one_each())
         parent = Tables(np.flatnonzero(begun), begun[begun > 0], len(self.words))
-        seats: Tables | None = None
-        every = np.arange(len(many))
+        tables, seats = self.one_each(), []
         for k, sweeps in enumerate(rounds):
             told = [x[~self.split].sum() for x in (parent.customers, parent.tables)]  # this shard's part of the totals
-            theirs = t.tables[k] - self.by_context(self.one_each() if seats is None else seats.tables)
-            if seats is None:
+            theirs = t.tables[k] - self.by_context(tables)
+            if k == 0:
+                every = np.flatnonzero(begun)
+                parent.reseat(every, first_tables(begun[every], self.opening(parent, k, told)[every], t.parent_discount, rng), begun[every])
                 new = (THETA + t.discount * t.tables[k][context]) * self.parent_now(parent, k, told)[word]
-                seats = Tables(every, self.one_each(), len(many))
-                seats.reseat(every, first_tables(self.count[many], new, t.discount, rng), self.count[many])
+                tables = first_tables(self.count[many], new, t.discount, rng)
+                for a, b in zip([0, *self.ends], self.ends, strict=False):
+                    dishes = np.arange(b - a)
+                    seats.append(Tables(dishes, np.ones(b - a, np.int64), b - a))
+                    seats[-1].reseat(dishes, tables[a:b], self.count[many[a:b]])
+                self.follow(parent, self.by_word(tables), rng, k, told)
             for _ in range(sweeps):
-                for _ in range(MOVES):
-                    weight = THETA + t.discount * (theirs + self.by_context(seats.tables))
-                    new = weight[context] * self.parent_now(parent, k, told)[word]
-                    seats.take(every, rng)
-                    seats.seat(every, new, t.discount, rng)
-                    self.follow(parent, self.by_word(seats.tables), rng, k)
-                yield seats.tables.copy(), parent.customers.copy(), parent.tables.copy()
+                for part, a, b in zip(seats, [0, *self.ends], self.ends, strict=False):
+                    if a < b:
+                        weight = THETA + t.discount * (theirs + self.by_context(tables))
+                        part.stir(weight[context[a:b]] * self.parent_now(parent, k, told)[word[a:b]], t.discount, rng)
+                        tables[a:b] = part.tables
+                        self.follow(parent, self.by_word(tables), rng, k, told)
+                self.stir_parent(parent, rng, k, told)
+                yield tables.copy(), parent.customers.copy(), parent.tables.copy()
 
     def parent_now(self, parent: Tables, k: int, told: list[int]) -> np.ndarray:
         """The parent's probability of each word: totals as told, with what this shard has changed since."""
@@ -402,17 +462,29 @@ class Shard:
         self.totals.put_split(p, self.words, self.split, k)
         return p
 
-    def follow(self, parent: Tables, want: np.ndarray, rng: np.random.Generator, k: int) -> None:
-        """Customers come to the parent and leave it as tables of contexts open and go."""
+    def opening(self, parent: Tables, k: int, told: list[int]) -> np.ndarray:
+        """The weight of opening a table at the parent, for each word."""
         t = self.totals
-        opening = (THETA + t.parent_discount * t.parent_tables[k]) * t.base
-        crowd = np.flatnonzero(want - parent.customers > 64)
-        if crowd.size:  # many at once are seated as on opening
-            parent.reseat(crowd, first_tables(want[crowd], np.full(len(crowd), opening), t.parent_discount, rng), want[crowd])
-        while (apart := np.flatnonzero(parent.customers != want)).size:
-            more = parent.customers[apart] < want[apart]
-            parent.take(apart[~more], rng)
-            parent.seat(apart[more], np.full(more.sum(), opening), t.parent_discount, rng)
+        tables = t.parent_tables[k] + parent.tables[~self.split].sum() - told[1]
+        return np.full(len(self.words), (THETA + t.parent_discount * tables) * t.base)
+
+    def follow(self, parent: Tables, want: np.ndarray, rng: np.random.Generator, k: int, told: list[int]) -> None:
+        """Customers come to the parent and leave it as tables of contexts open and go."""
+        discount, opening = self.totals.parent_discount, self.opening(parent, k, told)
+        less = np.flatnonzero(want < parent.customers)
+        parent.take(less, rng, parent.customers[less] - want[less])
+        while (more := np.flatnonzero(want > parent.customers)).size:  # few at a time for those who are there
+            crowd = np.minimum(want[more] - parent.customers[more], np.maximum(parent.customers[more] // 4, 1))
+            parent.seat(more, opening[more], discount, rng, crowd)
+
+    def stir_parent(self, parent: Tables, rng: np.random.Generator, k: int, told: list[int]) -> None:
+        """Move all customers of the parent, but for split words, whose seating is drawn with the totals."""
+        kind = np.where(self.split, 0, classes(parent.customers))
+        for c in range(1, kind.max(initial=0) + 1):
+            if (dishes := np.flatnonzero(kind == c)).size:
+                part = parent.part(dishes)
+                part.stir(self.opening(parent, k, told)[dishes], self.totals.parent_discount, rng)
+                parent.put(dishes, part)
 
 
 #: Rows of the sums that are not of a context: the parent's sums, and figures for the discounts and the vocabulary.

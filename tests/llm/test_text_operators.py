@@ -352,3 +352,41 @@ def test_gibbs_moves_sample_the_posterior():
         t.take(np.arange(n), rng)
         t.seat(np.arange(n), np.full(n, new), d, rng)
     assert abs((t.tables == 1).mean() - (1 - d) / (1 - d + new)) < 0.02
+
+
+def test_lone_customers_move_at_the_parent():
+    """Words with three contexts of one customer each: tables at the parent are as likely as the model has them."""
+    n, d = 4000, 0.6
+    row = {"shard": 0, "words": np.arange(n, dtype=np.uint64).tobytes(), "word_count": pitman_yor.packed(np.full(n, 3)), "pair_word": pitman_yor.packed(np.diff(np.repeat(np.arange(n), 3), prepend=0).astype(np.uint32)), "pair_context": np.tile(np.arange(3, dtype=np.uint16), n).tobytes(), "pair_count": pitman_yor.packed(np.ones(3 * n, np.int64))}
+    context = np.bincount([0, 1, 2], minlength=pitman_yor.CONTEXTS + 1) * n
+    told = [3.0 * n] * 2, [1.0 * n] * 2
+    totals = pitman_yor.Totals(context, [context] * 2, *map(list, told), [{}] * 2, [{}] * 2, 0.5, d, n)
+    _, customers, tables = list(pitman_yor.Shard(row, totals).simulate([12, 1]))[-2]  # the state that the first round ends with
+    w = (pitman_yor.THETA + d * tables.sum()) * totals.base
+    odds = np.array([w * (1 - d) * (2 - d), 3 * w**2 * (1 - d), w**3])
+    assert (customers == 3).all()
+    assert np.allclose(np.bincount(tables, minlength=4)[1:] / n, odds / odds.sum(), atol=0.03)
+
+
+def test_a_sweep_moves_a_share_of_all_customers():
+    rng, n = np.random.default_rng(2), 5000
+    t = pitman_yor.Tables(np.zeros(1, np.int64), np.array([n]), 1)
+    t.stir(np.array([1e15]), 0.3, rng)  # who moves, opens a table
+    assert t.customers[0] == t.size.sum() == n and n / 2 < t.tables[0] == len(t.size)
+
+
+def test_crowds_sample_the_posterior():
+    """100 customers, more than ROUNDS: odds of t tables are a generalised Stirling number times new ** t."""
+    rng, n, dishes, new, d = np.random.default_rng(2), 100, np.arange(1000), 30.0, 0.3
+    ways = np.zeros(n + 2)
+    ways[1] = 1.0
+    for c in range(1, n):
+        ways = ways * np.maximum(c - d * np.arange(n + 2), 0) + np.append(0, ways[:-1])
+        ways /= ways.sum()
+    odds = ways * new ** np.arange(n + 2)
+    want = (odds * np.arange(n + 2)).sum() / odds.sum()
+    t = pitman_yor.Tables(dishes, np.ones(1000, np.int64), 1000)
+    t.reseat(dishes, pitman_yor.first_tables(np.full(1000, n), np.full(1000, new), d, rng), np.full(1000, n))
+    for _ in range(15):
+        t.stir(np.full(1000, new), d, rng)
+    assert (t.customers == n).all() and t.tables.mean() == pytest.approx(want, rel=0.04)
