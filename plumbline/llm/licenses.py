@@ -1,6 +1,7 @@
 """License scans, in DataFrame functions only: TF-IDF cosine of headers to templates, then inheritance down the tree.
 
-A file's header is what its whole text says about licensing: the lines that hold one of ``cues``. The collection for
+A file's header is what its whole text says about licensing: the lines that hold one of ``CUES``, and the passages that
+say what a template says, whatever lines and marks they are wrapped in and whether they hold a cue. The collection for
 TF-IDF is all headers and the templates; a term's weight is its count times ``ln((1 + N) / (1 + df)) + 1``. A header
 takes the licence of the template of the highest cosine, if that reaches ``min_score`` (ties: the licence first by name). A file is a
 licence file when at least ``file_share`` of its words are in its header; it speaks for its directory. A directory's
@@ -18,6 +19,7 @@ one row. Ancestors are one row for each level of a path, and meet directories by
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,10 +53,26 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(text), "[^a-z0-9.]+"), lambda t: F.btrim(t, F.lit(".")) != "")
 
 
-def header(text: Column) -> Column:
-    """The lines about licensing, joined; null where there is none."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(CUES))
-    return F.when(F.lower(text).rlike(CUES), F.array_join(lines, "\n"))
+def passages(templates: Mapping[str, Sequence[str]]) -> str:
+    """A regular expression of the templates and their sentences of four words or more, with anything but words between words."""
+    said = set()
+    for text in (t for texts in templates.values() for t in texts):
+        for part in (text, *re.split(r"\.\s+", text)):
+            words = [w.strip(".") for w in re.split("[^a-z0-9.]+", part.lower()) if w.strip(".")]
+            if len(words) >= 4 or part == text:
+                said.add("[^A-Za-z0-9]+".join(w.replace(".", "[.]") for w in words))
+    # The longest first; sentences that begin alike are told apart after their beginning.
+    return f"(?i)\\b(?:{'|'.join(sorted(said - {''}, key=lambda x: (-len(x), x)))})\\b" if said - {""} else ""
+
+
+def header(text: Column, templates: Mapping[str, Sequence[str]] = TEMPLATES) -> Column:
+    """The lines with a cue and the passages of templates beyond them, joined; null where there is neither."""
+    lines = F.when(F.lower(text).rlike(CUES), F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(CUES))).otherwise(F.array().cast("array<string>"))
+    if rx := passages(templates):
+        found = F.filter(F.regexp_extract_all(text, F.lit(rx), F.lit(0)), lambda p: p.contains("\n") | ~F.lower(p).rlike(CUES))
+        bare = lambda x: F.regexp_replace(x, "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
+        lines = F.when(F.size(found) > 0, F.concat(F.filter(lines, lambda x: ~F.exists(found, lambda p: F.contains(p, bare(x)))), found)).otherwise(lines)
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n"))
 
 
 def weights(texts: DataFrame, n: int) -> DataFrame:
@@ -95,7 +113,7 @@ def ancestors(folder: Column) -> Column:
 def scan(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, min_score: float = MIN_SCORE, file_share: float = FILE_SHARE) -> DataFrame:
     """For files (id, path, text): id, path, license, score (of the own header), licensed_by (header or directory), from_dir."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    h = header(text)
+    h = header(text, templates)
     read = files.select("id", "path", h.alias("header"), (word_count(h) >= file_share * word_count(text)).alias("is_file"))
     read, _ = stash(read, "license-files")
     best = scores(read, templates, min_score).select(F.col("header").alias("_header"), F.col("license").alias("own"), "score")

@@ -255,6 +255,46 @@ def test_license_scan(spark):
     assert {r.license for r in licenses.scan(table, templates={}).collect()} == {None}
 
 
+BSD = """Copyright (c) 2021, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+ISC = """/*
+ * Permission to use, copy, modify, and distribute this software for any
+ * purpose with or without fee is hereby granted, provided that this notice appears in all copies.
+ */
+"""
+
+
+def test_each_template_finds_its_license(spark):
+    """On its own, and wrapped over commented lines; such a file speaks for its directory."""
+    want, files = {}, []
+    for k, (name, texts) in enumerate(licenses.TEMPLATES.items()):
+        for i, text in enumerate(texts):
+            words = text.split()
+            wrapped = "\n".join("# " + " ".join(words[at : at + 3]) for at in range(0, len(words), 3))
+            for j, t in enumerate((text, wrapped)):
+                want[len(want)] = name
+                files.append((len(files), f"d{k}{i}{j}/LICENSE", t))
+    n = len(files)
+    files += [(n + i, f"{path.split('/')[0]}/code.py", "x = 1") for i, path, _ in files]
+    got = {r.id: (r.license, r.licensed_by) for r in licenses.scan(spark.createDataFrame(files, "id long, path string, text string")).collect()}
+    for i, name in want.items():
+        assert got[i] == (name, "header") and got[n + i] == (name, "directory"), files[i]
+
+
+def test_standard_texts_are_no_copyright_lines(spark):
+    files = [(1, "a/LICENSE", BSD), (2, "a/x.py", "y"), (3, "b/isc.c", ISC), (4, "c/x", "permission to use this room\nis granted"), (5, "c/y", "All rights reserved.")]
+    got = {r.id: r.license for r in licenses.scan(spark.createDataFrame(files, "id long, path string, text string")).collect()}
+    assert got == {1: "BSD-3-Clause", 2: "BSD-3-Clause", 3: "ISC", 4: "Proprietary", 5: "Proprietary"}
+
+
 # ---- queries and pipeline
 
 
