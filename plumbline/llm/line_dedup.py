@@ -2,8 +2,9 @@
 
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z lower-cased; keys of at least
 ``min_chars`` code points take part. A run is a table sorted by the key's 128-bit hash with the number of documents that
-hold it and the largest id among them. Each batch of documents is merged against the runs there are by hash: keys that
-no run has yet (the anti-join) and what the batch adds to the others become a new run at level 0. Whenever a level has
+hold it, the largest id among them, and whether no earlier run has the key. Each batch of documents is merged against the
+runs there are by hash: keys that no run has yet (the anti-join), marked as such, and what the batch adds to the others
+become a new run at level 0, so that of all runs exactly one has a key's mark. Whenever a level has
 ``fanout`` runs they are compacted into one sorted run of the next level. At the end, documents merge-join the
 compacted run's heavy keys, and lose the lines whose key ``min_docs`` documents hold, except in the largest id.
 
@@ -64,7 +65,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class Runs:
-    """Levelled sorted runs of (h1, h2, n_docs, last_doc) in the shared folder."""
+    """Levelled sorted runs of (h1, h2, n_docs, last_doc, is_first) in the shared folder."""
 
     def __init__(self, fanout: int = FANOUT) -> None:
         self.fanout = fanout
@@ -93,21 +94,36 @@ class Runs:
         rows = runs[0]
         for run in runs[1:]:
             rows = rows.unionByName(run)
-        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("is_first").alias("is_first"))
 
     def add(self, keys: DataFrame) -> None:
         """Merge a batch of distinct (h1, h2, doc_id) against the runs and add what it brings as a new run.
 
         Documents come whole and in one batch, so counts of different runs add up.
         """
-        self._put(0, keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        batch, path = stash(keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), "lines-batch")
+        if self.all():
+            marked = [self.unseen(batch).withColumn("is_first", F.lit(True)), self.seen(batch).withColumn("is_first", F.lit(False))]
+        else:
+            marked = [batch.withColumn("is_first", F.lit(True))]
+        self._put(0, self.merged(marked))
+        drop_path(batch.sparkSession, path)
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows of a batch whose key no run has: what exact dedup at first sight keeps."""
         for run in self.all():
-            keys = keys.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
+            keys = keys.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         return keys
 
+    def seen(self, keys: DataFrame) -> DataFrame:
+        """The rows of a batch whose key a run has; exactly one run has the key's mark."""
+        firsts = [run.where("is_first").select("h1", "h2").hint("merge") for run in self.all()]
+        parts = [keys.join(run, ["h1", "h2"], "left_semi") for run in firsts]
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        return rows
+
     def compacted(self) -> DataFrame | None:
         """All runs as one."""
         if not (runs := self.all()):

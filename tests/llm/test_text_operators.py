@@ -390,3 +390,15 @@ def test_crowds_sample_the_posterior():
     for _ in range(15):
         t.stir(np.full(1000, new), d, rng)
     assert (t.customers == n).all() and t.tables.mean() == pytest.approx(want, rel=0.04)
+
+
+def test_batches_are_merged_against_the_runs(spark):
+    """Each key is marked as new in one run, that of the batch that brought it; what later batches add is counted."""
+    batches = [[(1, "a"), (2, "b")], [(3, "a"), (4, "c")], [(5, "a"), (6, "c"), (7, "d")]]
+    for fanout, n_runs in ((4, 3), (2, 2)):
+        runs = line_dedup.Runs(fanout)
+        for rows in batches:
+            runs.add(spark.createDataFrame([(ord(k), 0, i) for i, k in rows], "h1 long, h2 long, doc_id long"))
+        firsts = collections.Counter(chr(r.h1) for run in runs.all() for r in run.where("is_first").collect())
+        assert len(runs.all()) == n_runs and firsts == {"a": 1, "b": 1, "c": 1, "d": 1}
+        assert {(chr(r.h1), r.n_docs, r.last_doc, r.is_first) for r in runs.compacted().collect()} == {("a", 3, 5, True), ("b", 1, 2, True), ("c", 2, 6, True), ("d", 1, 7, True)}
