@@ -13,7 +13,8 @@ rows with the same id count as one document, and each of them loses or keeps its
 repeats counts once, and in the document that keeps it all its lines stay; blank and short lines always stay; no rows
 give no rows; extra columns pass through ``dedup_lines``. A text that loses all its lines becomes empty.
 
-Scale: only (hash, id) pairs and the heavy keys are shuffled, plus the texts once to meet their dropped keys. Nothing
+Scale: runs are dealt by hash into sorted files, and batches alike: a merge reads the runs in place and shuffles the
+batch alone. Only (hash, id) pairs and the heavy keys are shuffled, plus the texts once to meet their dropped keys. Nothing
 is broadcast or collected by this code. Counts are combined on the map side, so a line that a third of all documents
 share is one row a task. Joins are sort-merge joins at every size, which AQE can split and which need no table in memory.
 """
@@ -23,17 +24,18 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import by_batch, clear_of, drop_path, pieces, stash, utf8
+from plumbline.llm.shared import Bucketed, buckets_of, by_batch, clear_of, drop_path, pieces, setting, stash, utf8
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 4
-FANOUT = 4
+FANOUT = 2
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _PAIR = "<qq"
@@ -65,32 +67,49 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class Runs:
-    """Levelled sorted runs of (h1, h2, n_docs, last_doc, is_first) in the shared folder."""
+    """Levelled sorted runs of (h1, h2, n_docs, last_doc, is_first) in the shared folder.
 
-    def __init__(self, fanout: int = FANOUT) -> None:
-        self.fanout = fanout
-        self.levels: list[list[tuple[DataFrame, str]]] = []
+    A run is dealt by hash into ``buckets`` files, each sorted by hash. Batches are dealt alike, so merging them against
+    runs, and runs with each other, reads every run in place: no run is shuffled or sorted again.
+    """
 
-    @staticmethod
-    def _sorted(rows: DataFrame) -> DataFrame:
-        """Sorted by hash within the partitions that the last aggregation dealt by hash."""
-        return rows.sortWithinPartitions("h1", "h2")
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None) -> None:
+        self.spark, self.fanout, self.buckets = spark, fanout, buckets or buckets_of(spark)
+        self.levels: list[list[Bucketed]] = []
+        self.compactions = 0
 
     def all(self) -> list[DataFrame]:
-        return [run for level in self.levels for run, _ in level]
+        return [self.read(run) for level in self.levels for run in level]
 
-    def _put(self, level: int, rows: DataFrame) -> None:
+    @staticmethod
+    def read(run: Bucketed) -> DataFrame:
+        """The run's rows, as rows: a union of bare columnar scans would not keep their buckets together (Spark 4.1)."""
+        return run.rows.where("n_docs > 0")
+
+    @contextmanager
+    def in_place(self) -> Iterator[None]:
+        """For actions that merge runs: scans stay bucketed below a union, and files of one bucket each are read as sorted."""
+        with setting(self.spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"), setting(self.spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true"):
+            with setting(self.spark, "spark.sql.shuffle.partitions", str(self.buckets)):
+                yield
+
+    def _made(self, rows: DataFrame, name: str) -> Bucketed:
+        with self.in_place():
+            return Bucketed(rows, name, ["h1", "h2"], self.buckets, sort=True)
+
+    def _put(self, level: int, run: Bucketed) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(stash(self._sorted(rows), f"lines-run-{level}"))
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self.merged([run for run, _ in old]))
-            for run, path in old:
-                drop_path(run.sparkSession, path)
+            self.compactions += 1
+            self._put(level + 1, self._made(self.merged([self.read(run) for run in old]), f"lines_run_{level + 1}"))
+            for run in old:
+                run.drop()
 
-    @staticmethod
-    def merged(runs: list[DataFrame]) -> DataFrame:
+    def merged(self, runs: list[DataFrame]) -> DataFrame:
+        """Runs as one; inside ``in_place`` a union of tables that are dealt alike is grouped without a shuffle."""
         rows = runs[0]
         for run in runs[1:]:
             rows = rows.unionByName(run)
@@ -99,15 +118,15 @@ class Runs:
     def add(self, keys: DataFrame) -> None:
         """Merge a batch of distinct (h1, h2, doc_id) against the runs and add what it brings as a new run.
 
-        Documents come whole and in one batch, so counts of different runs add up.
+        Keys that the anti-join with the runs leaves are new and get the mark; of the others the new run holds what the
+        batch adds. Documents come whole and in one batch, so counts of different runs add up.
         """
-        batch, path = stash(keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), "lines-batch")
-        if self.all():
-            marked = [self.unseen(batch).withColumn("is_first", F.lit(True)), self.seen(batch).withColumn("is_first", F.lit(False))]
-        else:
-            marked = [batch.withColumn("is_first", F.lit(True))]
-        self._put(0, self.merged(marked))
-        drop_path(batch.sparkSession, path)
+        grouped = keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        if not self.all():
+            self._put(0, self._made(grouped.withColumn("is_first", F.lit(True)), "lines_run_0"))
+            return
+        marked = self.unseen(grouped).withColumn("is_first", F.lit(True)).unionByName(self.seen(grouped).withColumn("is_first", F.lit(False)))
+        self._put(0, self._made(marked, "lines_run_0"))
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows of a batch whose key no run has: what exact dedup at first sight keeps."""
@@ -125,25 +144,33 @@ class Runs:
         return rows
 
     def compacted(self) -> DataFrame | None:
-        """All runs as one."""
-        if not (runs := self.all()):
-            return None
-        return runs[0] if len(runs) == 1 else self.merged(runs)
+        """All runs as one, which is then the only one."""
+        if len(runs := self.all()) > 1:
+            old, self.levels = self.levels, [*([] for _ in self.levels), [self._made(self.merged(runs), "lines_run_all")]]
+            self.compactions += 1
+            for run in (run for level in old for run in level):
+                run.drop()
+        return self.all()[0] if runs else None
+
+    def drop(self) -> None:
+        for run in (run for level in self.levels for run in level):
+            run.drop()
+        self.levels = []
 
 
 def drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """(doc_id, keys): the 16-byte hashes whose lines a document loses; only documents that lose some."""
     raw = line_keys(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
     keys, path = stash(raw, "lines-keys", ("batch",))
-    runs = Runs(fanout)
+    runs = Runs(docs.sparkSession, fanout)
     for k in range(batches):
         # Rows with the same id are in the same batch: distinct makes them one document.
         runs.add(keys.where(F.col("batch") == k).select("h1", "h2", "doc_id").distinct())
     heavy = runs.compacted().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
     lost = keys.join(heavy.hint("merge"), ["h1", "h2"]).where("doc_id < last_doc")
     out, _ = stash(lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("keys")), "lines-drops")
-    for p in [path, *(p for level in runs.levels for _, p in level)]:
-        drop_path(docs.sparkSession, p)
+    drop_path(docs.sparkSession, path)
+    runs.drop()
     return out
 
 

@@ -7,6 +7,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,9 +39,14 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Where that is unset a local session gets a new folder; on a cluster executors would not see it, so there it is a fault.
+    """
     told = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         told = tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(told)
         told = spark.sparkContext.getCheckpointDir()
@@ -72,6 +78,45 @@ def stash(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), drop_at_
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the actions inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+class Bucketed:
+    """A table in the shared folder, dealt by keys into one file a bucket: what joins or groups by them needs no shuffle.
+
+    Rows that come dealt by the same keys into as many partitions as there are buckets make one file a bucket.
+    """
+
+    def __init__(self, df: DataFrame, name: str, keys: list[str], buckets: int, sort: bool = False) -> None:
+        self.spark, self.name = df.sparkSession, f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+        self.path = f"{shared_dir(self.spark)}/stash/{self.name}"
+        writer = df.write.option("compression", "zstd").option("path", self.path).bucketBy(buckets, *keys)
+        (writer.sortBy(*keys) if sort else writer).saveAsTable(self.name)
+        atexit.register(self.drop)
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        atexit.unregister(self.drop)
+        if self.spark.sparkContext._jsc is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+            _drop_at_exit(self.spark, self.path)
+
+
+def buckets_of(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def fine_bins(rows: int) -> int:
     """How many bins split rows so that both the bins and the rows of a bin stay near the square root of rows."""
     return max(16, math.ceil(math.sqrt(max(rows, 1))))

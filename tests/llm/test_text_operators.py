@@ -138,11 +138,39 @@ def test_line_dedup_stage_and_runs(spark):
     got = {r.doc_id: r.text for r in out.collect()}
     assert got[0] == "own line of document 0, which is long as well" and got[5] == texts[5][1] and got[9] is None
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
-    runs = line_dedup.Runs(fanout=2)
+    runs = line_dedup.Runs(spark, fanout=2)
     keys = line_dedup.line_keys(docs_of(spark, texts))
     runs.add(keys)
     assert runs.unseen(keys).count() == 0
     assert runs.unseen(line_dedup.line_keys(docs_of(spark, [(50, LONG + " with a new end")]))).count() == 1
+    runs.drop()
+
+
+def test_line_runs_batch_by_batch(spark):
+    """Of each batch the anti-join leaves what no earlier batch had; runs are merged level by level, and read in place."""
+    rnd = random.Random(3)
+    pool = [f"line number {i} of the pool, which is long enough to count" for i in range(60)]
+    runs, had, held = line_dedup.Runs(spark, fanout=3), set(), collections.defaultdict(set)
+    for batch in range(7):
+        texts = [(batch * 10 + i, "\n".join(rnd.sample(pool, 4))) for i in range(3)]
+        for i, t in texts:
+            for line in t.split("\n"):
+                held[line].add(i)
+        keys = line_dedup.line_keys(docs_of(spark, texts)).distinct()
+        mine = {line for _, t in texts for line in t.split("\n")}
+        if batch:
+            distinct = keys.select("h1", "h2").distinct()
+            assert runs.unseen(distinct).count() == len(mine - had)
+            assert runs.seen(distinct).count() == len(mine & had)
+        runs.add(keys)
+        had |= mine
+    assert runs.compactions == 2 and [len(level) for level in runs.levels] == [1, 2]
+    with runs.in_place():
+        plan = runs.merged(runs.all())._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    got = sorted((r.n_docs, r.last_doc, r.is_first) for r in runs.compacted().collect())
+    assert got == sorted((len(v), max(v), True) for v in held.values())
+    runs.drop()
 
 
 # ---- near-dedup
