@@ -130,10 +130,14 @@ def scan(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, m
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Every document as a file of the tree source/lang/(runs of 64 ids)/id."""
-    none = F.lit("none")
-    path = F.concat_ws("/", F.coalesce("source", none), F.coalesce("lang", none), F.floor(F.col("doc_id") / DIR_SIZE).cast("string"), F.col("doc_id").cast("string"))
-    files = docs.select(F.col("doc_id").cast("long").alias("id"), F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text")
+    """Every document as a file of a tree: below its source, language, run of 64 ids and run of 8 ids, or only the first of these.
+
+    How deep a file lies goes by its id, so that folders of every level have files, and licence files speak for all below.
+    """
+    none, doc = F.lit("none"), F.col("doc_id").cast("long")
+    levels = F.array(F.coalesce("source", none), F.coalesce("lang", none), *[F.floor(doc / size).cast("string") for size in (DIR_SIZE, DIR_SIZE // 8)])
+    path = F.concat_ws("/", F.array_join(F.slice(levels, 1, (F.pmod(doc, F.lit(4)) + 1).cast("int")), "/"), doc.cast("string"))
+    files = docs.select(doc.alias("id"), F.when(doc.isNotNull(), path).alias("path"), "text")
     return scan(files).withColumnRenamed("id", "doc_id").withColumn("score", F.round("score", 6))
 
 
@@ -144,7 +148,8 @@ def _values() -> str:
 REPORT_SQL = (
     r"""
 WITH files AS (
-  SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || CAST(doc_id // 64 AS VARCHAR) AS folder,
+  SELECT CAST(doc_id AS BIGINT) AS doc_id,
+         array_to_string(list_slice([coalesce(source, 'none'), coalesce(lang, 'none'), CAST(doc_id // 64 AS VARCHAR), CAST(doc_id // 8 AS VARCHAR)], 1, 1 + doc_id % 4), '/') AS folder,
          coalesce(text, '') AS text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(lower(x), '@CUES@')) AS lines
   FROM documents),
 read AS (
@@ -169,11 +174,14 @@ best AS (
 said AS (SELECT r.*, own, score FROM read r LEFT JOIN best USING (header)),
 of_dir AS (
   SELECT folder, own AS inherited FROM (SELECT folder, own, count(*) AS n FROM said WHERE is_file AND own IS NOT NULL GROUP BY ALL)
-  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY n DESC, own) = 1)
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY n DESC, own) = 1),
+near AS (
+  SELECT f.folder AS below, arg_max(d.folder, length(d.folder)) AS folder, arg_max(d.inherited, length(d.folder)) AS inherited
+  FROM (SELECT DISTINCT folder FROM said) f JOIN of_dir d ON f.folder = d.folder OR starts_with(f.folder, d.folder || '/') GROUP BY f.folder)
 SELECT s.doc_id, s.folder || '/' || s.doc_id AS path, coalesce(own, d.inherited) AS license, round(score, 6) AS score,
        CASE WHEN own IS NOT NULL THEN 'header' WHEN d.inherited IS NOT NULL THEN 'directory' END AS licensed_by,
        CASE WHEN own IS NULL THEN d.folder END AS from_dir
-FROM said s LEFT JOIN of_dir d ON s.folder = d.folder
+FROM said s LEFT JOIN near d ON s.folder = d.below
 """
     .replace("@CUES@", CUES)
     .replace("@VALUES@", _values())
