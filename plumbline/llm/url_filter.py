@@ -3,10 +3,11 @@
 A URL's host is what stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; its path
 is what follows up to ``?``, ``#`` or the end. Rules are of two kinds. A host rule (host, path) fits that host and all
 its subdomains where the URL's path starts with the rule's. A pattern rule is a regular expression, searched in host +
-path, with the literal token that every match holds as a whole token. Tokens are runs of ``[a-z0-9]``.
+path in lower case, with its literal tokens: sets of whole tokens of which every match holds one set, one for each way
+in which its alternatives can match. Tokens are runs of ``[a-z0-9]``.
 
-Each rule is filed under that of its tokens which the fewest URLs have. A URL's tokens fetch the rules filed under
-them; only those run their regular expression. Of the host rules that fit, the longest decides; else block wins over
+Of each of its sets a rule is filed under the token which the fewest URLs have. A URL's tokens fetch the rules filed
+under them; only those run their regular expression. Of the host rules that fit, the longest decides; else block wins over
 allow among the pattern rules that fit; else ``default`` decides, and a URL without a host is blocked.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path; rules without a token are filed under the
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ from plumbline.llm.shared import lower_ascii
 
 @dataclass(frozen=True)
 class Rule:
-    """Allow or block what the pattern finds in host + path; tokens: whole tokens of every URL that it fits.
+    """Allow or block what the pattern finds in host + path; tokens: sets of whole tokens, of which every URL that it fits has one.
 
     size: for host rules the length, by which the longest wins; 0 for pattern rules.
     """
@@ -39,7 +41,7 @@ class Rule:
     action: str
     name: str
     pattern: str
-    tokens: tuple[str, ...]
+    tokens: tuple[tuple[str, ...], ...]
     size: int = 0
 
 
@@ -48,17 +50,25 @@ def host_rule(action: str, host: str, path: str = "/") -> Rule:
     # The last token may go on in the URL, unless something that is no token's part ends it.
     tokens = re.findall(r"[a-z0-9]+(?![a-z0-9])", host)
     tokens += re.findall(r"[a-z0-9]+(?=[^A-Za-z0-9])", re.sub(r"[A-Za-z0-9]*[A-Z][A-Za-z0-9]*", "-", path))
-    return Rule(action, whole, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}", tuple(dict.fromkeys(tokens)), len(whole))
+    return Rule(action, whole, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}", (tuple(dict.fromkeys(tokens)),), len(whole))
 
 
-def token_rule(action: str, token: str) -> Rule:
-    """A pattern rule for a token that stands alone in the host or the path."""
-    return Rule(action, token, rf"(?:^|[^a-z0-9]){re.escape(token)}(?:[^a-z0-9]|$)", (token,))
+def words_rule(action: str, name: str, *parts: Sequence[str], between: str = "[-_./]") -> Rule:
+    """A pattern rule: one token of each part, one after the other with one separator between, as whole tokens."""
+    body = between.join(f"(?:{'|'.join(map(re.escape, p))})" for p in parts)
+    return Rule(action, name, rf"(?:^|[^a-z0-9]){body}(?:[^a-z0-9]|$)", tuple(product(*parts)))
 
 
 #: The rules of op10: host rules as the contract has them, then pattern rules.
 HOST_RULES = (host_rule("allow", "com"), host_rule("block", "example.com", "/en/"), host_rule("allow", "www.example.com", "/en/"), host_rule("block", "net", "/es/"), host_rule("block", "net", "/fr/"))
-PATTERN_RULES = tuple(token_rule("block", t) for t in ("porn", "xxx", "casino", "viagra", "torrent", "phishing"))
+PATTERN_RULES = (
+    words_rule("block", "pills", ("cheap", "discount", "online"), ("pills", "meds", "pharmacy")),
+    words_rule("block", "farms", ("spam", "link"), ("farm", "farms"), between="-"),
+    words_rule("block", "bonus", ("casino", "poker", "slots"), ("bonus", "free", "online")),
+    words_rule("block", "gated", ("track", "click", "out"), ("redirect", "go"), between="/(?:[a-z0-9]+/)*"),
+    words_rule("block", "adult", ("porn", "xxx")),
+    words_rule("block", "junk", ("casino", "viagra", "torrent", "phishing")),
+)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -73,29 +83,30 @@ def tokens_of(place: Column) -> Column:
 
 
 def index(rules: Sequence[Rule], urls: DataFrame) -> DataFrame:
-    """(token, nr, action, name, pattern, size): each rule once, under its token that the fewest of the URLs have."""
+    """(token, nr, action, name, pattern, size): each rule under that token of each of its sets which the fewest of the URLs have."""
     spark = urls.sparkSession
-    rows = [(nr, r.action, r.name, r.pattern, r.size, t) for nr, r in enumerate(rules) for t in (r.tokens or ("",))]
-    table = spark.createDataFrame(rows, "nr int, action string, name string, pattern string, size int, token string")
+    rows = [(nr, k, r.action, r.name, r.pattern, r.size, t) for nr, r in enumerate(rules) for k, held in enumerate(r.tokens or ((),)) for t in (held or ("",))]
+    table = spark.createDataFrame(rows, "nr int, way int, action string, name string, pattern string, size int, token string")
     seen = urls.select(F.explode("tokens").alias("token")).join(table.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    best = table.join(seen, "token", "left").groupBy("nr", "action", "name", "pattern", "size").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("rarest"))
-    return best.select(F.col("rarest.token").alias("token"), "nr", "action", "name", "pattern", "size")
+    best = table.join(seen, "token", "left").groupBy("nr", "way", "action", "name", "pattern", "size").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("rarest"))
+    return best.select(F.col("rarest.token").alias("token"), "nr", "action", "name", "pattern", "size").distinct()
 
 
 def judge(places: DataFrame, rules: Sequence[Rule], default: str = "allow") -> DataFrame:
-    """For distinct (host, path): rule, verdict, candidates (rules fetched) and by: which rule decided, if one did."""
+    """For distinct (host, path): rule, verdict, candidates (rules fetched), matched (those that fit) and by: which rule decided, if one did."""
     urls = places.select("host", "path").distinct().withColumn("place", F.concat("host", lower_path()))
     urls = urls.withColumn("tokens", tokens_of(F.col("place")))
     fetched = urls.select("host", "path", F.explode("tokens").alias("token")).join(index(rules, urls), "token")
     text = F.when(F.col("size") > 0, F.concat("host", "path")).otherwise(F.concat("host", lower_path()))
     fits = F.regexp_like(text, F.col("pattern"))
+    # A URL that has several of a rule's tokens fetches it for each; it is one candidate all the same.
     # max: the longest host rule, else a pattern rule, block first; among equals the first
     rank = F.struct("size", (F.col("action") == "block").alias("block"), (-F.col("nr")).alias("first"), "name", "action")
-    best = fetched.groupBy("host", "path").agg(F.max(F.when(fits, rank)).alias("best"), F.count("*").alias("candidates"))
+    best = fetched.groupBy("host", "path").agg(F.max(F.when(fits, rank)).alias("best"), F.size(F.collect_set("nr")).cast("long").alias("candidates"), F.size(F.collect_set(F.when(fits, F.col("nr")))).cast("long").alias("matched"))
     out = urls.select(F.col("host").alias("h"), F.col("path").alias("p")).join(best, (F.col("h") == F.col("host")) & (F.col("p") == F.col("path")), "left")
     rule = F.when(F.col("best.size") > 0, F.col("best.name"))
     fallback = F.when(F.col("h") == "", F.lit("block")).otherwise(F.lit(default))
-    return out.select(F.col("h").alias("host"), F.col("p").alias("path"), rule.alias("rule"), F.coalesce("best.action", fallback).alias("verdict"), F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"), F.col("best.name").alias("by"))
+    return out.select(F.col("h").alias("host"), F.col("p").alias("path"), rule.alias("rule"), F.coalesce("best.action", fallback).alias("verdict"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("candidates", "matched")], F.col("best.name").alias("by"))
 
 
 def lower_path() -> Column:
@@ -117,7 +128,8 @@ def report(pages: DataFrame) -> DataFrame:
     return placed.join(judge(placed, (*HOST_RULES, *PATTERN_RULES)), ["host", "path"]).select("page_id", "host", "path", "rule", "verdict")
 
 
-REPORT_SQL = r"""
+REPORT_SQL = (
+    r"""
 WITH split AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
@@ -129,7 +141,8 @@ best AS (
   FROM places JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
 SELECT s.page_id, s.host, s.path, b.rule,
        CASE WHEN b.action IS NOT NULL THEN b.action WHEN s.host = '' THEN 'block'
-            WHEN regexp_matches(translate(s.host || s.path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])(porn|xxx|casino|viagra|torrent|phishing)([^a-z0-9]|$)') THEN 'block'
+            WHEN regexp_matches(translate(s.host || s.path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '@PATTERNS@') THEN 'block'
             ELSE 'allow' END AS verdict
 FROM split s LEFT JOIN best b USING (host, path)
-"""
+""".replace("@PATTERNS@", "|".join(r.pattern for r in PATTERN_RULES))
+)
