@@ -2,9 +2,12 @@
 
 Of every whole text, counts are taken (words, their characters, symbols, repeated lines, words in repeated 5-word
 windows). A text with fewer than 10 words or with more than 20 % of its words in repeated windows fails the base rule.
-The others' transformed statistic vectors are compared with their language and source: a minimum covariance determinant
-estimate of centre and scatter is found by concentration steps, deterministically, from a start at medians and
-quartile ranges; a text whose squared Mahalanobis distance passes ``cutoff`` is rejected.
+The others' transformed statistic vectors are compared with their language and source by a minimum covariance
+determinant estimate: from three starts (medians with quartile ranges, all texts, directions from the median),
+concentration steps take the ``SUBSET`` of the texts that are nearest by the estimate so far and estimate anew from them,
+until no determinant falls any more; the start with the least determinant wins. A text whose squared Mahalanobis
+distance passes ``cutoff`` is rejected. Ranks go by counts in fixed bins (of e^(1/BINS) of squared distance; a subset takes whole bins), so
+that results depend neither on the order of rows nor on how they are dealt.
 
 A language and source with fewer than ``min_group`` texts are judged by the estimate of their language, one with fewer
 by that of all texts. To every variance a floor is added, so a statistic that most texts share exactly does not make
@@ -15,14 +18,15 @@ own; repeated rows count and are judged alike; without rows there are none; when
 estimate is needed; extra columns pass through ``keep_typical``, whose own columns avoid their names.
 
 Scale: each text is read once and its counts are written; concentration steps aggregate those rows, with map-side
-combine, to a few numbers a group. Quantiles are mergeable sketches. A hot source is nowhere gathered.
+combine, to counts of bins, whose number does not grow with the texts, and a few numbers a group. A hot source is nowhere
+gathered. Only groups that judge a text are estimated.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import WHITE_CHARS, stash, words_of
@@ -31,12 +35,12 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SUBSET = 0.75
-STEPS = 4
+MAX_STEPS = 12
 MIN_GROUP = 50
-#: The chi-square quantile at 1 - 1e-6 for 5 degrees of freedom is near 37; heavier tails than the normal get some room.
-CUTOFF = 60.0
-#: Added to the variances of the vector's five parts.
-FLOORS = (0.04, 0.04, 0.25, 0.02, 0.02)
+#: Added to the variances of the vector's five parts, so that each of them alone can reject a text.
+FLOORS = (0.04, 0.04, 0.25, 0.01, 0.005)
+#: Bins of an e-fold of squared distance, and of 1 of a statistic where quartiles are found.
+BINS, GRID = 256, 1024
 P = len(FLOORS)
 
 
@@ -88,43 +92,95 @@ def chi_square_at(q: float, k: int) -> float:
 CONSISTENCY = SUBSET / chi_square_below(chi_square_at(SUBSET, P), P + 2)
 
 
-def factored(moments: DataFrame) -> DataFrame:
-    """The Cholesky factor l_ij of each group's scatter with floors, from means m_i and mean products s_ij."""
-    out = moments
+#: The quantile of the chi-square distribution that one in a million normal texts passes.
+CUTOFF = round(chi_square_at(1 - 1e-6, P), 3)
+
+LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
+
+
+def factored(scatter: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The Cholesky factor l_ij of each group's scatter c_ij with floors, and its determinant (det); m_i and carry's columns stay."""
+    out = scatter
+    for i, j in LOWER:
+        s = F.greatest(F.col(f"c_{i}{j}"), F.lit(0.0)) + FLOORS[i] if i == j else F.col(f"c_{i}{j}")
+        for k in range(j):
+            s = s - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
+        out = out.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(s, F.lit(FLOORS[i] / 10))) if i == j else s / F.col(f"l_{j}{j}"))
+    det = F.lit(1.0)
     for i in range(P):
-        for j in range(i + 1):
-            s = F.greatest(F.col(f"s_{i}{j}") - F.col(f"m_{i}") * F.col(f"m_{j}"), F.lit(0.0)) * CONSISTENCY + FLOORS[i] if i == j else (F.col(f"s_{i}{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) * CONSISTENCY
-            for k in range(j):
-                s = s - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
-            out = out.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(s, F.lit(FLOORS[i] / 10))) if i == j else s / F.col(f"l_{j}{j}"))
-    return out.select("group", *[f"m_{i}" for i in range(P)], *[f"l_{i}{j}" for i in range(P) for j in range(i + 1)])
+        det = det * F.col(f"l_{i}{i}") * F.col(f"l_{i}{i}")
+    return out.select("group", *carry, *[f"m_{i}" for i in range(P)], *[f"l_{i}{j}" for i, j in LOWER], det.alias("det"))
 
 
-def with_distance(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance by their group's model; null where the group has none."""
+def with_distance(rows: DataFrame, model: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """rows with d2, the squared Mahalanobis distance by their group's model, and carry's columns of it; null where the group has none."""
     out = rows.join(model.withColumnRenamed("group", "_group"), F.col("group").eqNullSafe(F.col("_group")), "left")
-    for i in range(P):
+    ys = []
+    for i in range(P):  # one column after the other, or each would hold all before it many times
         y = F.col(f"z_{i}") - F.col(f"m_{i}")
         for j in range(i):
             y = y - F.col(f"l_{i}{j}") * F.col(f"y_{j}")
         out = out.withColumn(f"y_{i}", y / F.col(f"l_{i}{i}"))
-    return out.withColumn("d2", sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(1, P)), F.col("y_0") * F.col("y_0"))).select(*rows.columns, "d2")
+        ys.append(F.col(f"y_{i}") * F.col(f"y_{i}"))
+    return out.withColumn("d2", sum(ys[1:], ys[0])).select(*rows.columns, *carry, "d2")
+
+
+def moments(rows: DataFrame, by: tuple[str, ...], factor: float) -> DataFrame:
+    """Means m_i and scatters c_ij of rows by some columns."""
+    sums = rows.groupBy(*by).agg(*[F.avg(f"z_{i}").alias(f"m_{i}") for i in range(P)], *[F.avg(F.col(f"z_{i}") * F.col(f"z_{j}")).alias(f"s_{i}{j}") for i, j in LOWER])
+    return sums.select(*by, *[f"m_{i}" for i in range(P)], *[((F.col(f"s_{i}{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) * factor).alias(f"c_{i}{j}") for i, j in LOWER])
+
+
+def quartiles(rows: DataFrame) -> DataFrame:
+    """q_i_1, q_i_2, q_i_3 of each group: the lower ends of the grid's cells that the quartiles fall into."""
+    cells = rows.select("group", F.posexplode(F.array(*[f"z_{i}" for i in range(P)])).alias("part", "z"))
+    counted = cells.groupBy("group", "part", F.floor(F.col("z") * GRID).alias("cell")).agg(F.count("*").alias("n"))
+    each = Window.partitionBy("group", "part")
+    upto = counted.select("*", F.sum("n").over(each.orderBy("cell")).alias("upto"), F.sum("n").over(each).alias("total"))
+    said = [F.min(F.when((F.col("part") == i) & (F.col("upto") >= F.col("total") * (k / 4)), F.col("cell") / GRID)).alias(f"q_{i}_{k}") for i in range(P) for k in (1, 2, 3)]
+    return upto.groupBy("group").agg(*said)
 
 
-def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """A model for each group of (group, z_0, z_1, ...) by concentration steps."""
-    quarts = rows.groupBy("group").agg(*[F.percentile_approx(f"z_{i}", [0.25, 0.5, 0.75]).alias(f"q_{i}") for i in range(P)])
-    scales = [F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, 2) for i in range(P)]
+def starts(rows: DataFrame) -> DataFrame:
+    """The first models (group, start, m_i, l_ij, det)."""
+    spread = [F.col(f"q_{i}_3") - F.col(f"q_{i}_1") for i in range(P)]
+    q = quartiles(rows).select("group", *[F.col(f"q_{i}_2").alias(f"m_{i}") for i in range(P)], *[F.sqrt(F.pow(spread[i] / 1.349, 2) + FLOORS[i]).alias(f"v_{i}") for i in range(P)])
+    q, _ = stash(q, "quality-quartiles")
     zero = F.lit(0.0)
-    start = quarts.select("group", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(P)], *[(F.sqrt(scales[i] + FLOORS[i]) if i == j else zero).alias(f"l_{i}{j}") for i in range(P) for j in range(i + 1)])
-    model, _ = stash(start, "quality-model")
-    for _ in range(steps):
-        far = with_distance(rows, model)
-        cut = far.groupBy("group").agg(F.percentile_approx("d2", SUBSET).alias("cut")).withColumnRenamed("group", "_group")
-        near = far.join(cut, F.col("group").eqNullSafe(F.col("_group"))).where("d2 <= cut")
-        moments = near.groupBy("group").agg(*[F.avg(f"z_{i}").alias(f"m_{i}") for i in range(P)], *[F.avg(F.col(f"z_{i}") * F.col(f"z_{j}")).alias(f"s_{i}{j}") for i in range(P) for j in range(i + 1)])
-        model, _ = stash(factored(moments), "quality-model")
-    return model
+    first = q.select("group", F.lit(0).alias("start"), *[f"m_{i}" for i in range(P)], *[(F.pow(f"v_{i}", 2) if i == j else zero).alias(f"c_{i}{j}") for i, j in LOWER])
+    second = moments(rows, ("group",), 1.0).withColumn("start", F.lit(1))
+    # Directions: what lies far out counts no more than what lies near.
+    u = [(F.col(f"z_{i}") - F.col(f"m_{i}")) / F.col(f"v_{i}") for i in range(P)]
+    length = sum((x * x for x in u[1:]), u[0] * u[0])
+    met = rows.join(q, "group").withColumn("length", length)
+    signs = [F.avg(F.when(F.col("length") > 0, u[i] * u[j] / F.col("length")).otherwise(0.0)).alias(f"s_{i}{j}") for i, j in LOWER]
+    third = met.groupBy("group").agg(*[F.max(f"m_{i}").alias(f"m_{i}") for i in range(P)], *[F.max(f"v_{i}").alias(f"v_{i}") for i in range(P)], *signs)
+    third = third.select("group", F.lit(2).alias("start"), *[f"m_{i}" for i in range(P)], *[(F.col(f"s_{i}{j}") * F.col(f"v_{i}") * F.col(f"v_{j}") * P).alias(f"c_{i}{j}") for i, j in LOWER])
+    return factored(first.unionByName(second).unionByName(third), ("start",))
+
+
+def concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """The model of the SUBSET of each group's texts that are nearest by a model so far."""
+    far = with_distance(rows, model, ("start",)).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * BINS))
+    counted = far.groupBy("group", "start", "bin").agg(F.count("*").alias("n"))
+    each = Window.partitionBy("group", "start")
+    upto = counted.select("*", F.sum("n").over(each.orderBy("bin")).alias("upto"), F.sum("n").over(each).alias("total"))
+    cut = upto.where(F.col("upto") >= F.col("total") * SUBSET).groupBy("group", "start").agg(F.min("bin").alias("cut"))
+    return factored(moments(far.join(cut, ["group", "start"]).where("bin <= cut"), ("group", "start"), CONSISTENCY), ("start",))
+
+
+def estimate(rows: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
+    """The model of least determinant for each group of (group, z_0, z_1, ...)."""
+    model, _ = stash(starts(rows), "quality-model")
+    before = None
+    for _ in range(max_steps):
+        model, _ = stash(concentrated(rows, model), "quality-model")
+        total = model.agg(F.sum(F.log("det"))).first()[0]
+        if total is None or before is not None and before - total < 1e-9:
+            break
+        before = total
+    names = [c for c in model.columns if c not in ("group", "start")]
+    return model.groupBy("group").agg(F.min_by(F.struct(*names), F.struct("det", "start")).alias("best")).select("group", *[F.col(f"best.{c}").alias(c) for c in names])
 
 
 def group_names() -> list[Column]:
@@ -136,16 +192,18 @@ def group_names() -> list[Column]:
 def judged(docs: DataFrame, min_group: int = MIN_GROUP, cutoff: float = CUTOFF, carry: tuple[str, ...] = ()) -> DataFrame:
     """counts() with d2 (null for what fails the base rule) and kept."""
     said, _ = stash(counts(docs, carry), "quality-counts")
-    some = said.where("not base_failed").select(*[z.alias(f"z_{i}") for i, z in enumerate(vector())], F.array(*group_names()).alias("groups"))
-    rows = some.select(F.explode("groups").alias("group"), *[f"z_{i}" for i in range(P)])
-    large = rows.groupBy("group").agg(F.count("*").alias("n"), F.lit(1).alias("one")).where((F.col("n") >= min_group) | (F.col("group") == '{"n":1}')).select("group")
-    large, _ = stash(large, "quality-groups")
-    model = estimate(rows.join(large, "group", "left_semi"))
-    own = said.withColumns({f"z_{i}": F.when(~F.col("base_failed"), z) for i, z in enumerate(vector())})
-    for k, g in enumerate(group_names()[:2]):
-        have = large.select(F.col("group").alias(f"_g{k}"))
-        own = own.join(have, g == F.col(f"_g{k}"), "left")
-    own = own.withColumn("group", F.coalesce("_g0", "_g1", F.lit('{"n":1}')))
+    names = group_names()
+    fits = said.where("not base_failed").select(*[g.alias(f"g{k}") for k, g in enumerate(names)], *[z.alias(f"z_{i}") for i, z in enumerate(vector())])
+    sizes = fits.groupBy("g0", "g1").agg(F.count("*").alias("n"))
+    wide = Window.partitionBy("g1")
+    pick = F.when(F.col("n") >= min_group, F.col("g0")).when(F.sum("n").over(wide) >= min_group, F.col("g1")).otherwise(names[2])
+    told, _ = stash(sizes.select("g0", "g1", pick.alias("group")), "quality-groups")
+    # A group's estimate is from all its texts, those that are judged by a group of their own included.
+    used = told.select("group").distinct()
+    rows = fits.withColumn("group", F.explode(F.array("g0", "g1", names[2]))).join(used, "group", "left_semi").select("group", *[f"z_{i}" for i in range(P)])
+    model = estimate(stash(rows, "quality-rows")[0])
+    own = said.withColumns({f"z_{i}": F.when(~F.col("base_failed"), z) for i, z in enumerate(vector())}).withColumn("_g0", names[0])
+    own = own.join(told.select(F.col("g0").alias("_of"), "group"), F.when(~F.col("base_failed"), F.col("_g0")) == F.col("_of"), "left")
     far = with_distance(own, model)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
     return far.select(*said.columns, "d2", kept.alias("kept"))
@@ -161,4 +219,67 @@ def keep_typical(docs: DataFrame, min_group: int = MIN_GROUP, cutoff: float = CU
 
 def report(docs: DataFrame) -> DataFrame:
     """The contract's columns for every document, and d2."""
-    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("d2", 4).alias("d2"))
+
+
+def report_sql() -> str:
+    """The same in SQL, with the concentration steps written out one after the other."""
+    zs, ms = [f"z_{i}" for i in range(P)], [f"m_{i}" for i in range(P)]
+    ls = [f"l_{i}{j}" for i, j in LOWER]
+
+    def factor(source: str) -> str:
+        """Column by column, from c_ij."""
+        out = f"SELECT * FROM {source}"
+        for i, j in LOWER:
+            s = f"greatest(c_{i}{j}, 0) + {FLOORS[i]}" if i == j else f"c_{i}{j}"
+            s += "".join(f" - l_{i}{k} * l_{j}{k}" for k in range(j))
+            out = f"SELECT *, " + (f"sqrt(greatest({s}, {FLOORS[i] / 10!r}))" if i == j else f"({s}) / l_{j}{j}") + f" AS l_{i}{j} FROM ({out})"
+        det = " * ".join(f"l_{i}{i} * l_{i}{i}" for i in range(P))
+        return f"SELECT grp, start, {', '.join(ms + ls)}, {det} AS det FROM ({out})"
+
+    def far(rows: str, on: str) -> str:
+        out = rows + on
+        for i in range(P):
+            y = f"z_{i} - m_{i}" + "".join(f" - l_{i}{j} * y_{j}" for j in range(i))
+            out = f"SELECT *, ({y}) / l_{i}{i} AS y_{i} FROM ({out})"
+        return f"SELECT *, {' + '.join(f'y_{i} * y_{i}' for i in range(P))} AS d2 FROM ({out})"
+
+    def moment(source: str, by: str, more: str, weight: float) -> str:
+        cs = ", ".join(f"(avg(z_{i} * z_{j}) - avg(z_{i}) * avg(z_{j})) * {weight!r} AS c_{i}{j}" for i, j in LOWER)
+        return f"SELECT {by}{more}, {', '.join(f'avg({z}) AS {m}' for z, m in zip(zs, ms, strict=True))}, {cs} FROM {source} GROUP BY {by}"
+
+    parts = [
+        r"""t AS (SELECT row_number() OVER () AS rid, CAST(doc_id AS BIGINT) AS doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents)""",
+        r"""grams AS (SELECT rid, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5))""",
+        "again AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM grams QUALIFY count(*) OVER (PARTITION BY rid, g) > 1) GROUP BY rid)",
+        r"""said AS (SELECT t.rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS ls FROM t) t LEFT JOIN again USING (rid))""",
+        f"based AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM said)",
+        """fits AS (SELECT rid, lang, source, ln(1.0 + n_words) AS z_0, ln((word_chars + 100) / (n_words + 20)) * 3 AS z_1, ln(1.0 + 1000 * n_symbols / word_chars) AS z_2, sqrt(n_dup_lines / n_words) AS z_3, sqrt(n_repeat_words / n_words) AS z_4,
+  ['3', lang, source] AS g0, ['2', lang] AS g1, ['1'] AS g2 FROM based WHERE NOT base_failed)""",
+        f"told AS (SELECT rid, CASE WHEN count(*) OVER (PARTITION BY g0) >= {MIN_GROUP} THEN g0 WHEN count(*) OVER (PARTITION BY g1) >= {MIN_GROUP} THEN g1 ELSE g2 END AS grp FROM fits)",
+        f"rws AS (SELECT grp, {', '.join(zs)} FROM (SELECT unnest([g0, g1, g2]) AS grp, {', '.join(zs)} FROM fits) WHERE grp IN (SELECT grp FROM told))",
+        f"cells AS (SELECT grp, part, floor(z * {GRID}) AS cell, count(*) AS n FROM (SELECT grp, unnest(range({P})) AS part, unnest([{', '.join(zs)}]) AS z FROM rws) GROUP BY ALL)",
+        "upto AS (SELECT *, sum(n) OVER (PARTITION BY grp, part ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY grp, part) AS total FROM cells)",
+        "qs AS (SELECT grp, " + ", ".join(f"min(cell / {GRID}) FILTER (part = {i} AND upto >= total * {k / 4}) AS q_{i}_{k}" for i in range(P) for k in (1, 2, 3)) + " FROM upto GROUP BY grp)",
+        "q AS (SELECT grp, " + ", ".join(f"q_{i}_2 AS m_{i}, sqrt(pow((q_{i}_3 - q_{i}_1) / 1.349, 2) + {FLOORS[i]}) AS v_{i}" for i in range(P)) + " FROM qs)",
+        "u AS (SELECT r.grp, " + ", ".join(f"m_{i}, v_{i}, (z_{i} - m_{i}) / v_{i} AS u_{i}" for i in range(P)) + " FROM rws r JOIN q ON r.grp = q.grp)",
+        "us AS (SELECT *, " + " + ".join(f"u_{i} * u_{i}" for i in range(P)) + " AS len FROM u)",
+        "sg AS (SELECT grp, 2 AS start, " + ", ".join(f"max(m_{i}) AS m_{i}" for i in range(P)) + ", " + ", ".join(f"avg(CASE WHEN len > 0 THEN u_{i} * u_{j} / len ELSE 0 END) * max(v_{i}) * max(v_{j}) * {P} AS c_{i}{j}" for i, j in LOWER) + " FROM us GROUP BY grp)",
+        f"al AS ({moment('rws', 'grp', ', 1 AS start', 1.0)})",
+        "md AS (SELECT grp, 0 AS start, " + ", ".join(ms) + ", " + ", ".join(f"v_{i} * v_{i} AS c_{i}{j}" if i == j else f"0.0 AS c_{i}{j}" for i, j in LOWER) + " FROM q)",
+        f"s0 AS ({factor('(SELECT * FROM md UNION ALL BY NAME SELECT * FROM al UNION ALL BY NAME SELECT * FROM sg)')})",
+    ]
+    for k in range(MAX_STEPS):
+        parts.append(f"f{k} AS (SELECT *, floor(ln(d2 + 1e-6) * {BINS}) AS bin FROM ({far('SELECT r.*, s.* EXCLUDE (grp) FROM rws r', f' JOIN s{k} s ON r.grp = s.grp')}))")
+        parts.append(f"c{k} AS (SELECT grp, start, min(bin) AS cut FROM (SELECT *, sum(n) OVER (PARTITION BY grp, start ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY grp, start) AS total FROM (SELECT grp, start, bin, count(*) AS n FROM f{k} GROUP BY ALL)) WHERE upto >= total * {SUBSET} GROUP BY ALL)")
+        parts.append(f"n{k} AS ({moment(f'f{k} JOIN c{k} USING (grp, start) WHERE bin <= cut', 'grp, start', '', CONSISTENCY)})")
+        parts.append(f"s{k + 1} AS ({factor(f'n{k}')})")
+    parts.append(f"best AS (SELECT * FROM s{MAX_STEPS} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY det, start) = 1)")
+    parts.append(f"dist AS ({far('SELECT f.rid, f.z_0, f.z_1, f.z_2, f.z_3, f.z_4, b.* FROM fits f JOIN told USING (rid)', ' JOIN best b ON told.grp = b.grp')})")
+    withs = ",\n".join(p.replace(" AS (", " AS MATERIALIZED (", 1) for p in parts)
+    return f"WITH {withs}\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d2 <= {CUTOFF}, true) AS kept, round(d2, 4) AS d2 FROM based LEFT JOIN dist USING (rid)"
+
+
+REPORT_SQL = report_sql()

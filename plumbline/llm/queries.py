@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.REPORT_SQL, "op2_licenses": licenses.REPORT_SQL, "op6_mixing": mixing.REPORT_SQL, "op8_line_dedup": line_dedup.REPORT_SQL, "op9_chat": chat.REPORT_SQL, "op10_url_filter": url_filter.REPORT_SQL}
+    return {"op1_decontaminate": decontaminate.REPORT_SQL, "op2_licenses": licenses.REPORT_SQL, "op5_quality": quality.REPORT_SQL, "op6_mixing": mixing.REPORT_SQL, "op8_line_dedup": line_dedup.REPORT_SQL, "op9_chat": chat.REPORT_SQL, "op10_url_filter": url_filter.REPORT_SQL}
