@@ -5,17 +5,18 @@ An unseen word is scored by character n-grams of itself between word ends (``^wo
 n = ``max_gram`` first, and by shorter ones only where none of n is known. A text's score is the softmax of its
 languages' mean scores per word with the sharpness of ``SHARP`` words, times the prior; the best language wins.
 
-Training takes labelled rows whose id hash falls under a share that leaves ``max_train_rows`` rows on average (all
-rows, where there are no more); words and n-grams are counted in a distributed aggregation (a word that a
-text repeats n times as n's number of binary digits, so that no text outweighs others by its length) and the ``max_words`` and
-``max_grams`` most frequent of each are kept, so the model that is broadcast has a fixed bound.
-
-Edge cases: a null text or one without a letter is ``und`` with score 0; without labelled rows every text is; unknown
-scripts, of which not even a single character is known, are ``und`` with score 0; ties go to the language first by code
-point; repeated rows are judged alike; null ids are judged, and hashed as an empty id; extra columns pass through
+The prior is each language's share of all labelled rows. Words and n-grams are counted, every occurrence (a text of more
+than TEXT_WORDS words weighs as one of so many, or one repeated line could be most of a language), in a bounded sample of whole labelled rows: of each language those whose id hash falls under a share that leaves ``max_train_rows``
+rows on average in all, dealt evenly, so that a rare language has all its rows where it has few. All that the sample
+holds is kept; the sample bounds the model that is broadcast.
+
+Edge cases: a null text or one without a letter is ``und`` with score 0; without labelled rows every text is; a text
+with letters of which not even one is known (another script) gets the most frequent language, with score 0, as nothing
+of it speaks for any; ties go to the language first by code point; repeated rows are judged alike; null ids are judged, and hashed as an empty id; extra columns pass through
 ``keep_known``. Whole texts are scored, whatever their length.
 
-Scale: prediction is one pass without a shuffle. A worker keeps scores of words it has met in a bounded cache.
+Scale: prediction is one pass without a shuffle. A worker keeps scores of words it has met in a bounded cache, and scores
+the words that some texts have and it lacks all at once.
 """
 
 from __future__ import annotations
@@ -30,16 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import clear_of, pieces
+from plumbline.llm.shared import clear_of, drop_path, pieces, stash
 
 MAX_TRAIN_ROWS = 8192
-MAX_WORDS = 50_000
-MAX_GRAMS = 100_000
 MAX_GRAM = 5
 SHARP = 8.0
 MIN_SCORE = 0.5
-CACHE = 100_000
-#: Distinct words a training task counts before it hands its counts on.
+CACHE = 250_000
+#: Words of a text that count in full, and parts of a count (whole numbers add up to the same in any order).
+TEXT_WORDS, UNIT = 1000, 1024
+#: Distinct words whose n-grams a training task counts before it hands the counts on.
 TRAIN_WORDS = 25_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -60,14 +61,14 @@ def grams(word: str, n: int) -> list[str]:
 class Model:
     """Log probabilities of each language for known words and n-grams."""
 
-    def __init__(self, counts: Iterable[tuple[str, int, str, int]], rows: dict[str, int], max_gram: int = MAX_GRAM) -> None:
+    def __init__(self, counts: Iterable[tuple[str, int, str, float]], rows: dict[str, int], max_gram: int = MAX_GRAM) -> None:
         """counts: (language, n, key, count), n = 0 for words; rows: training rows by language."""
         self.langs = sorted(rows)
         self.max_gram = max_gram
         at = {lang: i for i, lang in enumerate(self.langs)}
         #: Row numbers of words (0) and of n-grams by n, and the rows.
         self.rows: list[dict[str, int]] = [{} for _ in range(max_gram + 1)]
-        given: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in range(max_gram + 1)]
+        given: list[tuple[list[int], list[int], list[float]]] = [([], [], []) for _ in range(max_gram + 1)]
         for lang, n, key, count in counts:
             row = self.rows[n].setdefault(key, len(self.rows[n]))
             for held, v in zip(given[n], (row, at[lang], count), strict=True):
@@ -80,29 +81,49 @@ class Model:
         total = sum(rows.values())
         self.prior = np.array([math.log(rows[lang] / total) for lang in self.langs]) if total else np.zeros(0)
 
-    def word(self, word: str) -> np.ndarray | None:
-        """The word's score for each language, or None where nothing of it is known."""
-        if (known := self.rows[0].get(word)) is not None:
-            return self.scores[0][known]
-        for n in range(self.max_gram, 0, -1):
-            get = self.rows[n].get
-            if found := [i for g in grams(word, n) if (i := get(g)) is not None]:
-                return np.add.reduce(self.scores[n].take(found, 0), 0) * (1 / len(found))
-        return None
-
-    def text(self, text: str | None, known: Known) -> tuple[str, float]:
-        if not text or not self.langs:
-            return "und", 0.0
-        known.begin()
-        rows = list(map(known.__getitem__, words(text)))
-        sums = known.table[rows].sum(axis=0, dtype=np.float64)
-        if not (n := sums[-1]):
-            return "und", 0.0
-        score = sums[:-1] / n * min(n, SHARP) + self.prior
-        p = np.exp(score - score.max())
-        p /= p.sum()
-        best = int(p.argmax())
-        return self.langs[best], float(p[best])
+    def of_words(self, wanted: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's score for each language, and whether anything of it is known."""
+        out, known = np.zeros((len(wanted), len(self.langs)), np.float32), np.zeros(len(wanted), bool)
+        left = list(range(len(wanted)))
+        for n in range(self.max_gram + 1):
+            # Words first (0), then their n-grams from the longest to the shortest.
+            size = 0 if n == 0 else self.max_gram + 1 - n
+            get = self.rows[size].get
+            rows, met, sizes, rest = [], [], [], []
+            for i in left:
+                found = [r for g in (grams(wanted[i], size) if size else (wanted[i],)) if (r := get(g)) is not None]
+                if found:
+                    rows += found
+                    met.append(i)
+                    sizes.append(len(found))
+                else:
+                    rest.append(i)
+            if met:
+                first = np.cumsum(sizes) - sizes
+                out[met] = np.add.reduceat(self.scores[size][rows], first, 0) / np.array(sizes, np.float32)[:, None]
+                known[met] = True
+            left = rest
+        return out, known
+
+    def texts(self, given: list[str | None], known: Known) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        found = [words(t) if t else [] for t in given]
+        known.begin(found)
+        out = []
+        for ws in found:
+            if not ws or not self.langs:
+                out.append(("und", 0.0))
+                continue
+            sums = known.table[list(map(known.__getitem__, ws))].sum(axis=0, dtype=np.float64)
+            if not (n := sums[-1]):
+                out.append((self.langs[int(self.prior.argmax())], 0.0))
+                continue
+            score = sums[:-1] / n * min(n, SHARP) + self.prior
+            p = np.exp(score - score.max())
+            p /= p.sum()
+            best = int(p.argmax())
+            out.append((self.langs[best], float(p[best])))
+        return out
 
 
 class Known(dict):
@@ -113,67 +134,74 @@ class Known(dict):
         self.model = model
         self.table = np.zeros((1 << 12, len(model.langs) + 1), np.float32)
 
-    def begin(self) -> None:
-        """Between texts: forget all words when there are too many."""
-        if len(self) >= CACHE:
+    def begin(self, texts: list[list[str]]) -> None:
+        """Learn the words of these texts; forget all others when there are too many."""
+        new = {w for ws in texts for w in ws if w not in self}
+        if len(self) + len(new) > CACHE:
             self.clear()
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        if n >= len(self.table):
+            new = {w for ws in texts for w in ws}
+        if not new or not self.model.langs:
+            return
+        fresh = list(new)
+        while len(self) + len(fresh) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        s = self.model.word(word)
-        self.table[n, :-1] = 0 if s is None else s
-        self.table[n, -1] = s is not None
-        return n
+        at = len(self)
+        self.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+        scores, known = self.model.of_words(fresh)
+        self.table[at : at + len(fresh), :-1] = scores
+        self.table[at : at + len(fresh), -1] = known
+
 
+def shares(rows: dict[str, int], most: int) -> dict[str, float]:
+    """The share of each language's rows in a sample of most rows: dealt evenly, what one lacks goes to the others."""
+    out, left = {}, most
+    for k, (lang, n) in enumerate(sorted(rows.items(), key=lambda x: (x[1], x[0]))):
+        take = min(n, left / (len(rows) - k))
+        out[lang] = take / n
+        left -= take
+    return out
 
-def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, max_gram: int = MAX_GRAM) -> Model:
+
+def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, max_gram: int = MAX_GRAM) -> Model:
     """A model of labelled rows (doc_id, text, lang); those with a null text or language are no use."""
     labelled = rows.where("lang is not null and text is not null")
-    n = labelled.count()
-    if n > max_train_rows:
-        share = int(max_train_rows / n * (1 << 30))
-        labelled = labelled.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) < share)
+    docs = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if sum(docs.values()) > max_train_rows:
+        given = [(lang, int(share * (1 << 30))) for lang, share in shares(docs, max_train_rows).items()]
+        quota = rows.sparkSession.createDataFrame(given, "lang string, quota long")
+        spot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30))
+        labelled = labelled.join(quota, "lang").where(spot < F.col("quota"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of some documents at a time: words, n-grams, and rows as n = -1. N-grams are taken of distinct words."""
-        seen: Counter[tuple[str, str]] = Counter()
-        rows: Counter[str] = Counter()
-
-        def out() -> pa.RecordBatch:
-            sums: Counter[tuple[str, int, str]] = Counter({(lang, -1, ""): n for lang, n in rows.items()})
-            for (lang, w), k in seen.items():
-                sums[lang, 0, w] = k
-                for size in range(1, max_gram + 1):
-                    for g in grams(w, size):
-                        sums[lang, size, g] += k
-            keys = list(sums)
-            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(sums.values(), pa.int64())], names=["lang", "n", "key", "count"])
-            seen.clear(), rows.clear()
-            return made
-
+        """Counts of the words of some documents at a time."""
         for batch in pieces(batches):
+            seen: Counter[tuple[str, str]] = Counter()
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows[lang] += 1
-                for w, n in Counter(words(text)).items():
-                    seen[lang, w] += n.bit_length()
-                if len(seen) > TRAIN_WORDS:
-                    yield out()
-        if rows:
-            yield out()
-
-    counted = labelled.select("text", "lang").mapInArrow(count, "lang string, n int, key string, count long")
-    counted = counted.groupBy("lang", "n", "key").agg(F.sum("count").alias("count"))
-    best = counted.persist()
-    try:
-        docs = {r["lang"]: r["count"] for r in best.where("n = -1").collect()}
-        top = [F.col("count").desc(), "n", "key", "lang"]
-        kept = [best.where(kind).orderBy(*top).limit(most).toArrow() for kind, most in (("n = 0", max_words), ("n > 0", max_grams))]
-    finally:
-        best.unpersist()
+                found = words(text)
+                unit = UNIT * min(1.0, TEXT_WORDS / max(len(found), 1))
+                for w, n in Counter(found).items():
+                    seen[lang, w] += max(1, round(n * unit))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["lang", "key", "count"])
+
+    def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of the n-grams of some distinct words at a time."""
+        for batch in pieces(batches, TRAIN_WORDS):
+            seen: Counter[tuple[str, int, str]] = Counter()
+            for lang, w, k in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for size in range(1, max_gram + 1):
+                    for g in grams(w, size):
+                        seen[lang, size, g] += k
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array([k[2] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["lang", "n", "key", "count"])
+
+    counted = labelled.select("text", "lang").mapInArrow(count, "lang string, key string, count long").groupBy("lang", "key").agg(F.sum("count").alias("count"))
+    held, held_path = stash(counted, "langid-words")
+    spelt = held.mapInArrow(spell, "lang string, n int, key string, count long").groupBy("lang", "n", "key").agg(F.sum("count").alias("count"))
+    kept, path = stash(held.select("lang", F.lit(0).alias("n"), "key", "count").unionByName(spelt), "langid-counts")
+    table = kept.withColumn("count", F.col("count") / UNIT).toArrow()
+    for p in (held_path, path):
+        drop_path(rows.sparkSession, p)
     # Column by column and piece by piece: rows of Python objects would take the driver far more memory.
-    counts = (row for part in kept for piece in part.to_batches(max_chunksize=4096) for row in zip(*(piece.column(c).to_pylist() for c in ("lang", "n", "key", "count")), strict=True))
+    counts = (row for piece in table.to_batches(max_chunksize=4096) for row in zip(*(piece.column(c).to_pylist() for c in ("lang", "n", "key", "count")), strict=True))
     return Model(counts, docs, max_gram)
 
 
@@ -186,7 +214,7 @@ def predict(docs: DataFrame, model: Model, lang_col: str = "lang_pred", score_co
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(shared.value)
         for batch in pieces(batches):
-            said = [shared.value.text(t, known) for t in batch.column(len(names)).to_pylist()]
+            said = shared.value.texts(batch.column(len(names)).to_pylist(), known)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=[*names, lang_col, score_col])
 
     schema = docs.withColumns({lang_col: F.lit("").cast("string"), score_col: F.lit(0.0)}).schema
@@ -201,7 +229,7 @@ HELD_OUT = "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 3 = 1"
 
 
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs whose language is known with min_score at least; it rejects texts without letters and garbled ones."""
+    """docs whose language is known with min_score at least; it rejects texts without letters, of which nothing is known, and garbled ones."""
     lang, score = clear_of("lang_pred", docs.columns), clear_of("lang_score", docs.columns)
     told = predict(docs, train(training_rows(docs)), lang, score)
     return told.where((F.col(lang) != "und") & (F.col(score) >= min_score)).select(*docs.columns)
