@@ -11,15 +11,17 @@ Texts with equal words are one node. Nodes that share a band of ROWS coordinates
 expanded into pairs: its most central member (the one with the most bucket mates) is compared with each other member,
 and what that links is contracted by connected components. Only buckets in which several components remain are compared
 across those components: small ones pair by pair, large ones in blocks of members that a task compares in memory. Every
-link is verified by the exact similarity of all shingles. At similarity 0.8 a pair shares no band with odds of 6e-5, at
+candidate pair is verified by the exact similarity of all shingles, by the same rule in both. At similarity 0.8 a pair shares no band with odds of 6e-5, at
 0.85 of 3e-7.
 
 Edge cases: null texts and texts without words are classes of their own, as are rows without an id (class null); rows
-with the same id and different words are linked by that id alone; repeated rows are in one class; very long texts have
-as many coordinates as others; no rows give no rows; extra columns pass through ``keep_one``.
+with the same id and different words are texts of their own, each with its class; repeated rows are in one class; very
+long texts have as many coordinates as others; no rows give no rows; extra columns pass through ``keep_one``, which
+leaves one row of each class, of rows alike in id and text too, one row of each words that only rows without an id have,
+and all rows without words.
 
 Scale: signatures are one pass; exact copies are collapsed by an aggregation with map-side combine before anything is
-joined; all joins are sort-merge joins on node or bucket ids, which AQE can split. Nothing is collected or broadcast.
+joined; all large joins are sort-merge joins on node or bucket ids, which AQE can split. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -30,18 +32,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import by_batch, drop_path, pieces, stash, utf8
+from plumbline.llm.shared import WHITE_CHARS, by_batch, clear_of, drop_path, pieces, stash, utf8
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 32, 6
 K = BANDS * ROWS
 DARTS = K * np.log(K) + 2 * K
-#: Agreement of signatures below which a pair cannot be similar: five standard deviations under SIMILAR.
-AGREE = SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / K) ** 0.5
 #: Texts are sketched so many at a time, and fewer where they are long.
 AT_ONCE, CELLS_AT_ONCE = 256, 400_000
 WORD_CACHE = 100_000
@@ -132,65 +132,66 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return h
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("said", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64()))])
+
+
+def text_key() -> Column:
+    """A number that tells the texts of one id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def words_key(words: list[bytes]) -> bytes | None:
+    """A 128-bit hash of a text's words; null without any."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, words (a 128-bit hash, null without words), bands and the signature's K low bytes."""
+    """doc_id, said (the text's key), words (the words' key) and bands."""
 
-    def rows(ids: list, keys: list, cells: list[np.ndarray]) -> pa.RecordBatch:
+    def rows(ids: list, said: list, keys: list, cells: list[np.ndarray]) -> pa.RecordBatch:
         have = [i for i, c in enumerate(cells) if len(c)]
-        made = signatures([cells[i] for i in have]) if have else np.empty((0, K), _U)
-        bucket = bands(made).view(np.int64).tolist()
-        low = made.astype(np.uint8)
-        b, s = [None] * len(ids), [None] * len(ids)
+        bucket = bands(signatures([cells[i] for i in have])).view(np.int64).tolist() if have else []
+        b = [None] * len(ids)
         for n, i in enumerate(have):
-            b[i], s[i] = bucket[n], low[n].tobytes()
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, keys, b, s), _SKETCH.types, strict=True)], schema=_SKETCH)
+            b[i] = bucket[n]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, said, keys, b), _SKETCH.types, strict=True)], schema=_SKETCH)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        ids, keys, cells, total = [], [], [], 0
+        ids, said, keys, cells, total = [], [], [], [], 0
         for batch in pieces(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
                 words = (text or b"").lower().split()
                 ids.append(doc)
-                keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+                said.append(key)
+                keys.append(words_key(words))
                 cells.append(shingle_cells(words, hashes))
                 total += len(cells[-1])
                 if len(ids) >= AT_ONCE or total >= CELLS_AT_ONCE:
-                    yield rows(ids, keys, cells)
-                    ids, keys, cells, total = [], [], [], 0
+                    yield rows(ids, said, keys, cells)
+                    ids, said, keys, cells, total = [], [], [], [], 0
         if ids:
-            yield rows(ids, keys, cells)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, words binary, bands array<long>, signature binary")
-
+            yield rows(ids, said, keys, cells)
 
-def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose signatures leave a similarity of SIMILAR possible."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, K) for i in (2, 3))
-        keep = pa.array((a == b).mean(1) >= AGREE)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
-
-    s = nodes.select("node", "signature")
-    met = pairs.join(s.select(F.col("node").alias("a"), F.col("signature").alias("sa")).hint("merge"), "a")
-    met = met.join(s.select(F.col("node").alias("b"), F.col("signature").alias("sb")).hint("merge"), "b")
-    return met.select("a", "b", "sa", "sb").mapInArrow(by_batch(work), "a long, b long")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("said"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, said long, words binary, bands array<long>")
 
 
 def cells_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, cells) for nodes that are ids of docs' rows."""
+    """(node, cells) for nodes (node, text_id, words): of docs' rows with that id those with these words."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes = WordHashes()
-        cells = [shingle_cells((t or b"").lower().split(), hashes).tobytes() for t in utf8(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], names=["node", "cells"])
+        nodes, cells = [], []
+        for node, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+            words = (text or b"").lower().split()
+            if words_key(words) == key:
+                nodes.append(node)
+                cells.append(shingle_cells(words, hashes).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(cells, pa.binary())], names=["node", "cells"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
-    return texts.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(by_batch(work), "node long, cells binary").dropDuplicates(["node"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), F.col("text").cast("binary").alias("text"))
+    met = texts.join(wanted.hint("merge"), "text_id").select("node", "words", "text")
+    return met.mapInArrow(by_batch(work), "node long, cells binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -235,7 +236,9 @@ def block_links(table: pa.Table) -> pa.Table:
         for j in near[np.unique(part[near], return_index=True)[1]] if len(near) else ():
             out_a.append(min(nodes[i], nodes[j]))
             out_b.append(max(nodes[i], nodes[j]))
-            part[part == part[j]] = part[i]
+            # The main component keeps its name, so that what joins it is passed over from now on.
+            old, new = (part[j], part[i]) if part[i] == rows[i]["main"] else (part[i], part[j])
+            part[part == old] = new
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
@@ -279,9 +282,23 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def links_of(sketched: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links): the distinct texts by their least id, and verified links between them that connect all similar ones."""
-    nodes, _ = stash(sketched.where("words is not null and doc_id is not null").groupBy("words").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "near-nodes")
+def numbered(sketched: DataFrame) -> tuple[DataFrame, bool]:
+    """(words, text_id, bands, node) of the distinct texts with an id, and whether an id has several texts.
+
+    text_id: the least id with these words. It is the text's node as well, but where several texts have it: there only
+    the least words' text is, and others have a negative number of their words.
+    """
+    texts, _ = stash(sketched.where("words is not null and doc_id is not null").groupBy("words").agg(F.min("doc_id").alias("text_id"), F.first("bands").alias("bands")), "near-texts")
+    shared = texts.groupBy("text_id").agg(F.count("*").alias("n"), F.min("words").alias("lead")).where("n > 1").select("text_id", "lead")
+    if shared.isEmpty():
+        return texts.withColumn("node", F.col("text_id")), False
+    own = F.coalesce(F.col("words") == F.col("lead"), F.lit(True))
+    other = -1 - F.pmod(F.xxhash64("words"), F.lit(1 << 62))
+    return stash(texts.join(shared, "text_id", "left").select("words", "text_id", "bands", F.when(own, F.col("text_id")).otherwise(other).alias("node")), "near-nodes")[0], True
+
+
+def links_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified links (a, b) between the distinct texts that connect all similar ones."""
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     mates, mates_path = stash(placed.join(shared.hint("merge"), "bucket"), "near-buckets")
@@ -289,8 +306,9 @@ def links_of(sketched: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
     central = mates.groupBy("node").agg(F.sum("n").alias("mates"))
     leaders = mates.join(central.hint("merge"), "node").groupBy("bucket").agg(F.max_by("node", F.struct("mates", -F.col("node"))).alias("leader"))
     stars = mates.join(leaders.hint("merge"), "bucket").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    cells, cells_path = stash(cells_of(mates.select("node").distinct(), docs), "near-cells")
-    links = verified(stash(agreeing(stars, nodes), "near-pairs")[0], cells)
+    wanted = nodes.select("node", "text_id", "words").join(mates.select("node").distinct().hint("merge"), "node", "left_semi")
+    cells, cells_path = stash(cells_of(wanted, docs), "near-cells")
+    links = verified(stars, cells)
     part, part_path = stash(components(links), "near-components")
     # Buckets that still hold several components: compare across them.
     told = mates.join(part.hint("merge"), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
@@ -299,31 +317,55 @@ def links_of(sketched: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame
     small, large = open_.where(F.col("n") <= PAIRWISE), open_.where(F.col("n") > PAIRWISE)
     other = small.select("bucket", F.col("node").alias("b"), F.col("component").alias("cb"))
     rest = small.withColumnRenamed("node", "a").join(other.hint("merge"), "bucket").where("a < b and component <> cb").select("a", "b").distinct()
-    more = verified(stash(agreeing(rest, nodes), "near-pairs")[0], cells)
+    more = verified(rest, cells)
     grouped, _ = stash(group_links(large, cells), "near-links")
     for path in (mates_path, part_path, open_path, cells_path):
         drop_path(docs.sparkSession, path)
-    return nodes.select("words", "node"), links.union(more).union(grouped)
+    return links.union(more).union(grouped)
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and text_id for every row: the least id of its class, and the least with the same words."""
+def _classified(docs: DataFrame) -> DataFrame:
+    """doc_id, said, words of every row, with the class's number (group), class_id and text_id where a row with an id has these words."""
     sketched, path = stash(sketches(docs), "near-sketches")
-    nodes, links = links_of(sketched, docs)
-    part, _ = stash(components(links), "near-components")
-    named = nodes.join(part.hint("merge"), "node", "left").select("words", F.col("node").alias("text_id"), F.coalesce("component", "node").alias("class_id"))
-    out = sketched.select("doc_id", "words").join(named.hint("merge"), "words", "left")
-    own = F.col("doc_id").isNull() | F.col("class_id").isNull()
-    out = out.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"))
-    made, _ = stash(out, "near-classes")
+    nodes, several = numbered(sketched)
+    part, _ = stash(components(links_of(nodes, docs)), "near-components")
+    named = nodes.select("words", "text_id", "node").join(part.hint("merge"), "node", "left").select("words", "text_id", F.coalesce("component", "node").alias("group"))
+    if several:  # a class goes by the least id in it, which need not be that of its least node
+        named = named.join(named.groupBy("group").agg(F.min("text_id").alias("class_id")).hint("merge"), "group")
+    else:
+        named = named.withColumn("class_id", F.col("group"))
+    out = sketched.select("doc_id", "said", "words").join(named.hint("merge"), "words", "left")
+    made, _ = stash(out.select("doc_id", "said", "words", "group", "class_id", "text_id"), "near-classes")
     drop_path(docs.sparkSession, path)
     return made
 
 
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id and text_id for every row: the least id of its class, and the least with the same words."""
+    own = F.col("doc_id").isNull() | F.col("class_id").isNull()
+    return _classified(docs).select("doc_id", *[F.when(own, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "text_id")])
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each class the document with the least id; rows without an id stay."""
-    gone = classes(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    """Of each class one row, that with the least id; and all rows without words.
+
+    A row without an id goes where its words are in a class, else one of those with its words stays. Of rows alike in id
+    and text any one stays.
+    """
+    met = _classified(docs).where("words is not null")
+    # Rows of one class go by its number, those of words that no row with an id has by their words.
+    rows = met.groupBy("group", F.when(F.col("group").isNull(), F.col("words")).alias("apart"), "doc_id", "said").agg(F.count("*").alias("n"))
+    first = rows.groupBy("group", "apart").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "said", "n")).alias("k"))
+    keepers, _ = stash(first.select(F.col("k.doc_id").alias("_id"), F.col("k.said").alias("_said"), F.col("k.n").alias("_n")), "near-keepers")
+    flag, said = clear_of("row_n", docs.columns), clear_of("row_said", docs.columns)
+    keyed = docs.withColumn(said, text_key())
+    kept = keyed.join(keepers.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col(said) == F.col("_said"))).withColumn(flag, F.col("_n")).select(*docs.columns, said, flag)
+    wordless = docs.where(F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WHITE_CHARS)) == "")
+    if keepers.where("_n > 1").isEmpty():
+        return kept.select(*docs.columns).union(wordless)
+    kept, _ = stash(kept, "near-kept")
+    once = kept.where(F.col(flag) > 1).dropDuplicates(["doc_id", said])
+    return kept.where(F.col(flag) == 1).union(once).select(*docs.columns).union(wordless)
 
 
 def report(docs: DataFrame) -> DataFrame:

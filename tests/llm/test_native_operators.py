@@ -236,6 +236,25 @@ def test_only_candidates_run(spark):
     assert got["a.com", "/en/1"].candidates == 1 and got["rare.com", "/en/x"].candidates == 2 and got["rare.com", "/en/x"].rule == "rare.com/en/"
 
 
+def test_pattern_rules(spark):
+    """Only URLs with the rarest token of one of a rule's ways fetch it, and only whole tokens in order fit."""
+    urls = {
+        "http://cheap-pills.example.org/x": (1, "block", "pills"), "http://a.example.org/buy/discount_meds": (1, "block", "pills"), "http://cheap.example.org/the/pills": (1, "allow", None),
+        "http://a.example.org/pills/cheap": (1, "allow", None), "http://a.example.org/cheapest-pills": (0, "allow", None), "http://a.example.org/Out/a/b/GO": (1, "block", "gated"),
+        "http://a.example.org/casino/bonus": (2, "block", "bonus"), "http://casinos.example.org/": (0, "allow", None), "http://a.spam-farm.io/": (1, "block", "farms"), "http://a.example.org/" + "pills/" * 20_000: (1, "allow", None),
+    }
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    host, path = url_filter.parts(F.col("url"))
+    got = url_filter.judge(pages.select(host.alias("host"), path.alias("path")), url_filter.PATTERN_RULES).collect()
+    told = {(r.host, r.path): (r.candidates, r.verdict, r.by) for r in got}
+    for url, (candidates, verdict, by) in urls.items():
+        at = url.split("://")[1]
+        found = told[at.split("/")[0], "/" + at.split("/", 1)[1]]
+        assert found[1:] == (verdict, by), url
+        assert found[0] <= max(candidates, 1), (url, found)
+    assert sum(r.candidates for r in got) < len(urls) * len(url_filter.PATTERN_RULES) / 3 and all(r.matched <= r.candidates for r in got)
+
+
 # ---- licenses
 
 
@@ -253,6 +272,18 @@ def test_license_scan(spark):
     assert got[11] == ("MIT", "directory", "a") and got[15] == ("GPL-3.0", "directory", "e")  # a tie goes by name
     assert licenses.scan(table.where("false")).count() == 0
     assert {r.license for r in licenses.scan(table, templates={}).collect()} == {None}
+    deep = [(1, "r/LICENSE", mit), (2, "r/" + "d/" * 300 + "x", "code"), (3, "r/" + "e" * 5000 + "/x", None), (4, "s/x", "code")]
+    assert {r.id: r.license for r in licenses.scan(spark.createDataFrame(deep, "id long, path string, text string")).collect()} == {1: "MIT", 2: "MIT", 3: "MIT", 4: None}
+
+
+def test_license_report_inherits_from_all_levels(spark):
+    """The query's tree has files at every level; a licence file of a source's folder speaks for the folders below."""
+    mit = "Released under the MIT License."
+    rows = [(i, mit if i == 4 else "plain words " * 30, "en", "src", None) for i in range(16)] + [(1000 + i, "plain words", "de", "other", None) for i in range(4)]
+    got = {r.doc_id: r for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, folder string")).collect()}
+    assert [got[i].path.count("/") for i in range(4)] == [1, 2, 3, 4]
+    assert all(got[i].license == "MIT" for i in range(16)) and got[5].from_dir == "src" and got[4].licensed_by == "header"
+    assert all(got[1000 + i].license is None for i in range(4))
 
 
 BSD = """Copyright (c) 2021, Some Body
@@ -298,7 +329,7 @@ def test_standard_texts_are_no_copyright_lines(spark):
 # ---- queries and pipeline
 
 
-@pytest.mark.parametrize("name", ["op1_decontaminate", "op2_licenses", "op6_mixing", "op8_line_dedup", "op9_chat", "op10_url_filter"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op2_licenses", "op5_quality", "op6_mixing", "op8_line_dedup", "op9_chat", "op10_url_filter"])
 def test_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     d = "/root/testdata/sf0.001"

@@ -237,10 +237,24 @@ def test_near_dedup_edges(spark):
     assert by[None] == {None} and by[5] == {4} and by[1] == {1} and by[2] == {2}
     assert dart_minhash.classes(empty(spark)).count() == 0
     kept = dart_minhash.keep_one(docs_of(spark, [(7, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (8, None)]))
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 3), (False, 8), (True, 0)]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 3), (False, 8)]
     assert kept.columns[-1] == "Gone"
 
 
+def test_near_dedup_repeated_ids_and_rows(spark):
+    """One row of a class stays, whatever is repeated; texts that share an id are judged each by its words."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    a2, b2 = a + " end", b + " end"
+    texts = [(1, a), (1, a), (2, a), (1, b), (7, b2), (9, a2), (None, c), (None, c), (None, a), (None, None), (5, ""), (5, " ")]
+    docs = docs_of(spark, texts)
+    got = collections.Counter((r.doc_id, r.class_id) for r in dart_minhash.classes(docs).collect())
+    assert got == collections.Counter([(1, 1)] * 3 + [(2, 1), (7, 1), (9, 1)] + [(None, None)] * 4 + [(5, 5)] * 2)
+    kept = sorted((r.doc_id or 0, r.text or "") for r in dart_minhash.keep_one(docs).collect())
+    assert kept == sorted([(1, a), (1, b), (0, c), (0, ""), (5, ""), (5, " ")])
+    again = sorted((r.doc_id or 0, r.text or "") for r in dart_minhash.keep_one(docs.repartition(3)).collect())
+    assert again == kept
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     base = [b"w%d" % i for i in rng.integers(0, 30, 600)]  # many repeated shingles would not show with sets
@@ -286,8 +300,70 @@ def test_language_id(spark):
 
 def test_language_id_backs_off_to_shorter_grams():
     m = langid.Model([("a", 0, "known", 3), ("b", 0, "other", 3), ("a", 3, "^kn", 5), ("b", 3, "zzz", 5), ("b", 1, "z", 9), ("a", 1, "k", 9)], {"a": 1, "b": 1}, 3)
-    assert m.word("known") is m.word("known") or (m.word("known") == m.word("known")).all()
-    assert m.word("knight").argmax() == 0 and m.word("uz").argmax() == 1 and m.word("ééé") is None
+    scores, known = m.of_words(["known", "knight", "uz", "ééé"])
+    assert known.tolist() == [True, True, True, False]
+    assert scores[:3].argmax(1).tolist() == [0, 0, 1]
+    assert m.texts(["привет мир", None, "..."], langid.Known(m)) == [("a", 0.0), ("und", 0.0), ("und", 0.0)]
+
+
+def plain_language(text, counts, docs, max_gram=langid.MAX_GRAM):
+    """Language and score by the definition, word by word."""
+    langs = sorted(docs)
+    found = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not found or not langs:
+        return "und", 0.0
+    tables = {n: collections.defaultdict(dict) for n in range(max_gram + 1)}
+    totals = collections.Counter()
+    for (lang, n, key), c in counts.items():
+        tables[n][key][lang] = c
+        totals[lang, n] += c
+    logp = lambda lang, n, key: math.log(tables[n][key].get(lang, 0) + 0.5) - math.log(totals[lang, n] + 0.5 * (len(tables[n]) + 1))
+    sums, known = dict.fromkeys(langs, 0.0), 0
+    for w in found:
+        for n in (0, *range(max_gram, 0, -1)):
+            pieces = [w] if n == 0 else list(w) if n == 1 else [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+            if hit := [x for x in pieces if x in tables[n]]:
+                known += 1
+                for lang in langs:
+                    sums[lang] += sum(logp(lang, n, x) for x in hit) / len(hit)
+                break
+    prior = {lang: math.log(docs[lang] / sum(docs.values())) for lang in langs}
+    if not known:
+        return max(langs, key=lambda x: (prior[x], -langs.index(x))), 0.0
+    score = {lang: sums[lang] / known * min(known, langid.SHARP) + prior[lang] for lang in langs}
+    total = sum(math.exp(v - max(score.values())) for v in score.values())
+    return max(langs, key=lambda x: score[x]), 1 / total
+
+
+def test_language_id_against_plain_scorer(spark):
+    """The whole operator against a scorer that is written from the definition alone."""
+    rnd = random.Random(8)
+    texts, langs = [], {}
+    for i in range(120):
+        lang = rnd.choice(list(SAID))
+        mixed = SAID[lang].split() + rnd.choice(list(SAID.values())).split()[:3]
+        texts.append((i, " ".join(rnd.choice(mixed)[: rnd.randint(2, 9)] + rnd.choice(["", "", "x", "ß"]) for _ in range(rnd.randint(1, 20)))))
+        langs[i] = lang if rnd.random() < 0.9 else None
+    odd = [(300, "река"), (301, "qqq zzz"), (302, None), (303, "7 8")]
+    texts, langs = texts + odd, langs | {i: None for i, _ in odd}
+    counts, docs = collections.Counter(), collections.Counter()
+    for i, t in texts:
+        if langs.get(i) and zlib.crc32(str(i).encode()) % 3 != 1:
+            docs[langs[i]] += 1
+            for w in re.findall(r"[^\W\d_]+", t.lower()):
+                counts[langs[i], 0, w] += 1
+                for n in range(1, langid.MAX_GRAM + 1):
+                    for g in list(w) if n == 1 else [f"^{w}$"[k : k + n] for k in range(len(w) + 3 - n)]:
+                        counts[langs[i], n, g] += 1
+    for r in langid.report(docs_of(spark, texts, langs)).collect():
+        lang, score = plain_language(dict(texts)[r.doc_id], counts, docs)
+        assert r.score == pytest.approx(score, abs=2e-4)
+        assert r.lang_pred == lang or score < 0.51
+
+
+def test_language_sample_is_dealt_evenly():
+    assert langid.shares({"a": 10, "b": 1000, "c": 2000}, 410) == {"a": 1.0, "b": 0.2, "c": 0.1}
+    assert langid.shares({"a": 5, "b": 5}, 100) == {"a": 1.0, "b": 1.0}
 
 
 # ---- LM scoring
