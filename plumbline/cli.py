@@ -36,7 +36,7 @@ def run(a: argparse.Namespace) -> int:
         print(e, file=sys.stderr)
         return 2
     c = Campaign(model, Config(a.strategy, a.seed, a.budget)).run()
-    print(json.dumps({"model": model.name, "evaluations": c.evaluations, "coverage": c.atlas.coverage(), "bands": c.atlas.bands(), "findings": c.findings}, indent=1))
+    print(json.dumps({"model": model.name, "evaluations": c.evaluations, "coverage": c.space.shares(), "bands": c.space.edges(), "findings": c.findings}, indent=1))
     if a.out:
         archive.write(spark, c, a.out)
     return 1 if c.findings else 0

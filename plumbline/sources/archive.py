@@ -31,13 +31,13 @@ TABLES = {
 
 def tables(spark: SparkSession, c: Campaign) -> dict[str, DataFrame]:
     """A finished campaign as DataFrames."""
-    cells = [(i, n, x.depth, x.label, x.samples, x.mean, x.risk_max, x.channels, x.measured, [b[0] for b in x.bounds], [b[1] for b in x.bounds]) for n, i in enumerate(c.atlas.leaves) for x in (c.atlas.cells[i],)]
+    cells = [tuple(x[k] for k in ("cell", "seq", "depth", "label", "samples", "mean_risk", "max_risk", "channels", "measured", "lo", "hi")) for x in c.space.table()]
     rows = {
         "observations": [(o.id, o.x, o.y, o.traces, o.flags, o.steps, a, b) for o, a, b in zip(c.records, c.online, c.risks, strict=True)],
         "probes": c.pairs.probes,
         "swaps": c.pairs.swaps,
         "cells": cells,
-        "bands": [tuple(b[k] for k in ("axis", "lo", "hi", "facing_lo", "facing_hi", "transitions")) for b in c.atlas.bands()],
+        "bands": [tuple(b[k] for k in ("axis", "lo", "hi", "facing_lo", "facing_hi", "transitions")) for b in c.space.edges()],
         "decisions": [tuple(d[k] for k in ("evaluation", "family", "cell", "risk", "gain", "x")) for d in c.decisions],
         "evidence": [(e.channel, e.subject, e.magnitude, e.strength, e.observations, e.fixed) for s in c.sets for e in c.scales.apply(s)],
         "findings": [(f["cell"], f["cells"], [b[0] for b in f["bounds"]], [b[1] for b in f["bounds"]], f["representative"], f["observation"], f["online_risk"], f["final_risk"], f["samples"], f["signature"]) for f in c.findings],
@@ -60,8 +60,8 @@ def write(spark: SparkSession, c: Campaign, path: str) -> dict:
         df.write.mode("errorifexists").parquet(f"{path}/{name}")
     config = {k: v for k, v in vars(c.c).items() if k != "policy"} | {"policy": vars(c.c.policy)}
     manifest = {
-        "schema": SCHEMA, "model": c.m.name, "model_text": to_text(c.m), "config": config, "counts": {"evaluations": c.evaluations, "steps": c.steps, "unplaced": c.atlas.unplaced, "cells": len(c.atlas.leaves), "findings": len(c.findings)},
-        "coverage": c.atlas.coverage(), "calibration": {"channel": c.scales.channel, "claim": {"|".join(k): v for k, v in c.scales.claim.items()}}, "correlation": {"|".join(k): v for k, v in c.rho.items()},
+        "schema": SCHEMA, "model": c.m.name, "model_text": to_text(c.m), "config": config, "counts": {"evaluations": c.evaluations, "steps": c.steps, "unplaced": c.space.outside, "cells": len(c.space.leaves), "findings": len(c.findings)},
+        "coverage": c.space.shares(), "calibration": {"channel": c.scales.channel, "claim": {"|".join(k): v for k, v in c.scales.claim.items()}}, "correlation": {"|".join(k): v for k, v in c.rho.items()},
         "environment": {"python": platform.python_version(), "spark": spark.version}, "digests": {name: digest(spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")) for name in made},
     }
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/manifest")

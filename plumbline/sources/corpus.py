@@ -16,9 +16,10 @@ from plumbline.functions import ieee
 from plumbline.lang import lanes, scalar
 from plumbline.lang.model import Model, from_text
 from plumbline.lang.syntax import Expr, ModelError, Parser
-from plumbline.operators.atlas import SUSPICIOUS, Policy
+
 from plumbline.operators.regions import LOCALISED
-from plumbline.plans.campaign import Campaign, Config, bounds_of
+from plumbline.plans.campaign import Campaign, config_of
+from plumbline.plans.partition import SUSPICIOUS, extent
 
 SCHEMAS = ("1", "2", "3")
 KNOWN = {
@@ -106,7 +107,7 @@ class Region:
         """Bounds on every axis of the model, clipped to its domain."""
         out = []
         for a in m.params:
-            lo, hi = bounds_of(a)
+            lo, hi = extent(a)
             p, q = self.axes.get(a.name, (lo, hi))
             out.append((max(lo, p), min(hi, q)))
         return out
@@ -160,21 +161,21 @@ def share(region: Region, m: Model, box: list[tuple[float, float]], per_axis: in
 
 def outcome(entry: str, c: Campaign, truth: Truth) -> dict:
     """What a campaign found of what is true."""
-    bad = [c.atlas.cells[i] for i in c.atlas.leaves if c.atlas.cells[i].label == SUSPICIOUS]
-    shares = [[share(r, c.m, x.bounds) for x in bad] for r in truth.regions]
-    sizes = [c.atlas.size(x) for x in bad]
-    touched = [any(all(hi >= p and lo <= q for (lo, hi), (p, q) in zip(x.bounds, r.box(c.m), strict=True)) for x in bad) for r in truth.regions]
+    bad = [i for i in c.space.leaves if c.space.label[i] == SUSPICIOUS]
+    boxes, sizes = [c.space.box(i) for i in bad], c.space.volume[bad].tolist()
+    shares = [[share(r, c.m, x) for x in boxes] for r in truth.regions]
+    touched = [any(all(hi >= p and lo <= q for (lo, hi), (p, q) in zip(x, r.box(c.m), strict=True)) for x in boxes) for r in truth.regions]
     inside = [r.holds(c.m) for r in truth.regions]
     first = next((k for k, o in enumerate(c.records) if any(f(o.x) for f in inside)), None)
     volume = sum(sizes)
     best = [max((s[k] for s in shares), default=0.0) for k in range(len(bad))]
-    values = [v for b in c.atlas.bands() for v in (b["facing_lo"], b["facing_hi"], (b["facing_lo"] + b["facing_hi"]) / 2)]
     names = [a.name for a in c.m.params]
-    hits = sum(min((abs(v - b["at"]) for v, d in zip(values, [d for d in c.atlas.bands() for _ in range(3)], strict=True) if names[d["axis"]] == b["axis"]), default=math.inf) <= b["tolerance"] for b in truth.boundaries)
+    values = [(names[e["axis"]], v) for e in c.space.edges() for v in (e["facing_lo"], e["facing_hi"], (e["facing_lo"] + e["facing_hi"]) / 2)]
+    hits = sum(any(axis == b["axis"] and abs(v - b["at"]) <= b["tolerance"] for axis, v in values) for b in truth.boundaries)
     return {
         "entry": entry, "strategy": c.c.strategy, "seed": c.c.seed, "budget": c.c.budget, "evaluations": c.evaluations, "steps": c.steps, "declared_regions": len(truth.regions), "detected_regions": sum(touched),
-        "localised_regions": sum(t and max(s, default=0.0) >= LOCALISED for t, s in zip(touched, shares, strict=True)), "findings": len(c.findings), "leaf_cells": len(c.atlas.leaves), "first_true_failure": first, "first_flagged": c.first_flagged,
-        **c.atlas.coverage(), "false_positive": 1 - sum(v * s for v, s in zip(sizes, best, strict=True)) / volume if volume and truth.regions else 0.0 if truth.control and not volume else None,
+        "localised_regions": sum(t and max(s, default=0.0) >= LOCALISED for t, s in zip(touched, shares, strict=True)), "findings": len(c.findings), "leaf_cells": len(c.space.leaves), "first_true_failure": first, "first_flagged": c.first_flagged,
+        **c.space.shares(), "false_positive": 1 - sum(v * s for v, s in zip(sizes, best, strict=True)) / volume if volume and truth.regions else 0.0 if truth.control and not volume else None,
         "boundaries": len(truth.boundaries), "boundary_hits": hits,
     }
 
@@ -189,8 +190,7 @@ def sweep(campaigns: DataFrame) -> DataFrame:
         for f in frames:
             rows = []
             for entry, text, truth, config in f[["entry", "model", "truth", "config"]].itertuples(index=False):
-                d = json.loads(config)
-                c = Campaign(from_text(text), Config(**{**d, "silenced": tuple(d["silenced"]), "policy": Policy(**d["policy"])})).run()
+                c = Campaign(from_text(text), config_of(config)).run()
                 rows.append(outcome(entry, c, Truth.read(truth)))
             made = pd.DataFrame(rows)
             for name in ("first_true_failure", "first_flagged"):
@@ -213,12 +213,12 @@ def verify(m: Model, truth: Truth, per_axis: int = 0) -> dict:
     x = np.stack([g.ravel() for g in np.meshgrid(*axes, indexing="ij")], axis=1)
     r = lanes.evaluate(m, x)
     run = scalar.compiled(m)
-    from plumbline.plans.campaign import Observation, pointwise
+    from plumbline.plans.readings import Observation, pointwise
 
     fails = np.array([bool(pointwise(m, Observation(i, p.tolist(), q.y, q.traces, q.flags, q.steps, q.rules))) for i, p in enumerate(x) for q in (run(p.tolist()),)])
     inside_of = [reg.holds(m) for reg in truth.regions]
     inside = np.array([any(f(p.tolist()) for f in inside_of) for p in x])
-    width = [hi - lo for lo, hi in map(bounds_of, m.params)]
+    width = [hi - lo for lo, hi in map(extent, m.params)]
 
     def margin(p: np.ndarray) -> float:
         return min((sum(max(lo - v, v - hi, 0.0) / w for v, (lo, hi), w in zip(p, reg.box(m), width, strict=True)) for reg in truth.regions), default=1.0)

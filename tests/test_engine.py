@@ -15,7 +15,7 @@ from plumbline.lang import columns, lanes, scalar, units
 from plumbline.lang.model import compile_model, from_text, to_text
 from plumbline.lang.syntax import ModelError
 from plumbline.operators import atlas, calibrate, compare, evidence, metrics, regions
-from plumbline.plans import campaign, minimize
+from plumbline.plans import campaign, minimize, partition, readings, search
 from plumbline.plans.campaign import Campaign, Config
 from plumbline.sources import archive, corpus, program, sample
 from plumbline.sources.sample import Axis
@@ -87,7 +87,7 @@ def test_columns_agree_with_scalar(spark):
     wide = {r.id: r for r in lanes.run_model(df, m).collect()}
     assert all(np.allclose(wide[i].y, got[i].y, rtol=1e-9, equal_nan=True) for i in wide)
     items = evidence.constraints(columns.run_model(df, m), columns.rules_of(m)).count()
-    assert items == sum(len([e for e in campaign.pointwise(m, campaign.Observation(i, v.tolist(), q.y, q.traces, q.flags, q.steps, q.rules)) if "require" in e.subject]) for i, v in enumerate(x) for q in (run(v.tolist()),))
+    assert items == sum(len([e for e in readings.pointwise(m, readings.Observation(i, v.tolist(), q.y, q.traces, q.flags, q.steps, q.rules)) if "require" in e.subject]) for i, v in enumerate(x) for q in (run(v.tolist()),))
 
 
 def test_reference_path_is_more_exact():
@@ -153,9 +153,9 @@ def test_ieee_columns(spark):
 
 def test_generators(spark):
     axes = [Axis("a", -1.0, 2.0), Axis("c", choices=(1.0, 4.0, 9.0))]
-    acq = campaign.Acquisition()
+    rows = search.halton_rows(1, 300, 2)
     for r in sample.halton(spark, 50, axes).orderBy("id").collect():
-        assert r.x == pytest.approx(campaign.from_unit(acq.unit(2), axes))
+        assert r.x == pytest.approx(campaign.from_unit(rows[r.id], axes))
     s = sample.Stream(7)
     drawn = [s() for _ in range(20)]
     u = {r.id: r.x for r in sample.uniform(spark, 10, [Axis("u"), Axis("v")], 7).repartition(3).collect()}
@@ -168,50 +168,56 @@ def test_generators(spark):
 def test_dataframe_atlas_agrees_with_the_search(spark):
     """The retrospective atlas of DataFrames and the one of the search file and split alike."""
     rnd = random.Random(3)
-    marks = [campaign.Mark(i, [rnd.uniform(0, 1), rnd.uniform(0, 1)], 0.9 if rnd.random() < 0.1 else rnd.random() * 0.3, 2, 18, False) for i in range(400)]
-    for p in marks:
-        p.fact = p.risk > 0.8 and p.x[0] > 0.6
+    marks = [(i, [rnd.uniform(0, 1), rnd.uniform(0, 1)], 0.9 if rnd.random() < 0.1 else rnd.random() * 0.3) for i in range(400)]
+    marks = [(i, x, risk, 2, risk > 0.8 and x[0] > 0.6, 18) for i, x, risk in marks]
     m = compile_model("model m { input a in [0, 1] input b in [0, 1] }")
-    mine = campaign.Atlas(m, atlas.Policy(max_depth=5))
-    mine.remeasure(marks)
-    while mine.refine():
+    mine = partition.Partition(m.params, atlas.Policy(max_depth=5))
+    _, x, risk, speaking, fact, reading = zip(*marks, strict=True)
+    mine.refill(x, risk, speaking, reading, fact)
+    while mine.divide():
         pass
-    mine.relabel()
-    df = spark.createDataFrame([(p.observation, p.x, p.risk, p.channels, p.fact, p.measured) for p in marks], "id long, x array<double>, risk double, channels int, fact boolean, measured int")
+    one_by_one = partition.Partition(m.params, atlas.Policy(max_depth=5))
+    for _, *p in marks:
+        one_by_one.add(p[0], p[1], p[2], p[4], p[3])
+    one_by_one.judge()
+    while one_by_one.divide():
+        pass
+    assert one_by_one.table() == mine.table()
+    df = spark.createDataFrame(marks, "id long, x array<double>, risk double, channels int, fact boolean, measured int")
     cells, _ = atlas.build(df, ([0.0, 0.0], [1.0, 1.0]), policy=atlas.Policy(max_depth=5))
     got = {(tuple(r.lo), tuple(r.hi)): (r.label, r.samples) for r in cells.collect()}
-    want = {(tuple(b[0] for b in c.bounds), tuple(b[1] for b in c.bounds)): (c.label, c.samples) for i in mine.leaves for c in (mine.cells[i],)}
+    want = {(tuple(c["lo"]), tuple(c["hi"])): (c["label"], c["samples"]) for c in mine.table()}
     assert got == want and len(want) > 10
     cover = atlas.coverage(cells, ([0.0, 0.0], [1.0, 1.0])).first()
-    assert cover.trusted == pytest.approx(mine.coverage()["trusted"])
+    assert cover.trusted == pytest.approx(mine.shares()["trusted"])
     bands = sorted((r.axis, r.lo, r.hi, r.transitions) for r in atlas.merge_bands(atlas.raw_bands(cells, 2)).collect())
-    assert bands == sorted((b["axis"], b["lo"], b["hi"], b["transitions"]) for b in mine.bands())
+    assert bands == sorted((b["axis"], b["lo"], b["hi"], b["transitions"]) for b in mine.edges())
 
 
 def test_fusion_agrees_with_the_search(spark):
     rnd = random.Random(5)
-    sets = {k: [campaign.Item(rnd.choice(evidence.CHANNELS), f"s{rnd.randrange(3)}", 10 ** rnd.uniform(-3, 1), rnd.sample(range(6), rnd.randint(1, 3)), 1.0 if fixed else 0.0, fixed) for _ in range(rnd.randint(1, 6)) for fixed in (rnd.random() < 0.3,)] for k in range(40)}
+    sets = {k: [readings.Item(rnd.choice(evidence.CHANNELS), f"s{rnd.randrange(3)}", 10 ** rnd.uniform(-3, 1), rnd.sample(range(6), rnd.randint(1, 3)), 1.0 if fixed else 0.0, fixed) for _ in range(rnd.randint(1, 6)) for fixed in (rnd.random() < 0.3,)] for k in range(40)}
     rows = [(k, e.channel, e.subject, e.magnitude, e.strength, e.observations, e.fixed) for k, s in sets.items() for e in s]
     df = spark.createDataFrame(rows, "k long, channel string, subject string, magnitude double, strength double, observations array<bigint>, fixed boolean")
-    scales = campaign.Scales(list(sets.values()))
+    scales = readings.Scales(list(sets.values()))
     done = {k: scales.apply(s) for k, s in sets.items()}
     cal = calibrate.calibrated(df, calibrate.channel_scale(df), calibrate.claim_scale(df))
-    rho = campaign.correlation(list(done.values()))
+    rho = readings.correlation(list(done.values()))
     got_rho = {(r.a, r.b): r.rho for r in calibrate.channel_correlation(calibrate.strongest(cal, ["k"])).collect()}
     assert all(got_rho[p] == pytest.approx(rho[p]) for p in got_rho)
     risk_of = {r.k: r.score for r in calibrate.fused(cal, ["k"], calibrate.channel_correlation(calibrate.strongest(cal, ["k"]))).collect()}
     for k, s in done.items():
-        assert risk_of.get(k, 0.0) == pytest.approx(campaign.fuse(s, rho))
+        assert risk_of.get(k, 0.0) == pytest.approx(readings.fuse(s, rho))
 
 
-@pytest.mark.parametrize("strategy", list(campaign.STRATEGIES))
+@pytest.mark.parametrize("strategy", list(search.STRATEGIES))
 def test_campaigns(strategy):
     m = compile_model(CIRCLE)
     config = Config(strategy, seed=5, budget=300)
     c, again = Campaign(m, config).run(), Campaign(m, config).run()
     assert c.evaluations == 300 and campaign.summary("c", c) == campaign.summary("c", again)
-    assert all(-1 - 1e-9 <= v <= 3 + 1e-9 for o in c.records for v in o.x) and sum(c.atlas.coverage().values()) == pytest.approx(1)
-    assert c.findings and all(c.atlas.cells[f["cell"]].label == atlas.SUSPICIOUS for f in c.findings)
+    assert all(-1 - 1e-9 <= v <= 3 + 1e-9 for o in c.records for v in o.x) and sum(c.space.shares().values()) == pytest.approx(1)
+    assert c.findings and all(c.space.label[f["cell"]] == partition.SUSPICIOUS for f in c.findings)
     out = corpus.outcome("circle", c, corpus.Truth.read(CIRCLE_TRUTH))
     assert out["detected_regions"] == 1 and 0 <= out["false_positive"] < 0.5
 
