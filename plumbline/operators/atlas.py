@@ -117,8 +117,9 @@ def inside(x: str = "x", lo: str = "lo", hi: str = "hi") -> Column:
 def locate(points: DataFrame, leaves: DataFrame, keys: Sequence[str] = (), bins: int = 256, span: tuple[float, float] | None = None) -> DataFrame:
     """Each point with the first leaf (by seq) whose closed box holds it: points' columns and cell; null where none does.
 
-    A range join by an equi-join: the first axis is cut into bins, a leaf is listed in every bin it touches, and a
-    point looks in its own. span: the first axis' bounds, if they are known.
+    A range join by an equi-join: the first axis is cut into bins, a bin lists the leaves that touch it in order, and a
+    point looks through its own bin's. So each point meets one row, and rows that are alike stay as many as they are.
+    span: the first axis' bounds, if they are known.
     """
     k = list(keys)
     if span is None:
@@ -132,12 +133,14 @@ def locate(points: DataFrame, leaves: DataFrame, keys: Sequence[str] = (), bins:
 
     known = ~F.isnan(F.get("x", F.lit(0)))
     numbered = points.withColumn("_bin", F.when(known, bin_of(F.get("x", F.lit(0)))))
-    listed = leaves.select(*[F.col(c).alias(f"_{c}") for c in k], F.col("cell").alias("_cell"), F.col("seq").alias("_seq"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(bin_of(F.get("lo", F.lit(0))), bin_of(F.get("hi", F.lit(0))))).alias("_b"))
-    on = (F.col("_bin") == F.col("_b")) & inside("x", "_lo", "_hi")
+    spread = leaves.select(*[F.col(c).alias(f"_{c}") for c in k], F.struct("seq", "cell", "lo", "hi").alias("_leaf"), F.explode(F.sequence(bin_of(F.get("lo", F.lit(0))), bin_of(F.get("hi", F.lit(0))))).alias("_b"))
+    listed = spread.groupBy(*[f"_{c}" for c in k], "_b").agg(F.sort_array(F.collect_list("_leaf")).alias("_leaves"))
+    on = F.col("_bin") == F.col("_b")
     for c in k:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    met = numbered.join(listed, on, "left")
-    return met.groupBy(*[c for c in points.columns]).agg(F.min_by("_cell", "_seq").alias("cell"))
+    holds = lambda leaf: F.forall(F.arrays_zip(F.col("x").alias("x"), leaf["lo"].alias("lo"), leaf["hi"].alias("hi")), lambda v: ieee.ge(v["x"], v["lo"]) & ieee.le(v["x"], v["hi"]))
+    found = F.get(F.filter("_leaves", holds), F.lit(0))["cell"]
+    return numbered.join(listed, on, "left").select(*points.columns, found.alias("cell"))
 
 
 def filed(points: DataFrame, leaves: DataFrame, keys: Sequence[str] = (), policy: Policy = Policy()) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import ieee
@@ -70,9 +72,8 @@ def channel_correlation(sets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     Fewer than three sets, or a channel that never varies, give 0.
     """
     pairs = list(combinations(CHANNELS, 2))
-    w = Window.partitionBy(*[F.col(k) for k in keys])
-    centred = sets.select(*keys, *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in CHANNELS])
-    sums = centred.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.col(c) * F.col(c)).alias(f"v_{c}") for c in CHANNELS], *[F.sum(F.col(a) * F.col(b)).alias(f"c_{a}_{b}") for a, b in pairs])
+    # Variances and covariances are mergeable sums: one aggregation, combined on the map side.
+    sums = sets.groupBy(*keys).agg(F.count("*").alias("n"), *[(F.var_pop(c) * F.count("*")).alias(f"v_{c}") for c in CHANNELS], *[(F.covar_pop(a, b) * F.count("*")).alias(f"c_{a}_{b}") for a, b in pairs])
 
     def rho(a: str, b: str) -> Column:
         spread = F.sqrt(F.col(f"v_{a}") * F.col(f"v_{b}"))
@@ -132,30 +133,58 @@ def _of_channel(channel: str) -> Column:
     return F.get(F.transform(F.filter("f.parts", lambda p: p["channel"] == channel), lambda p: p["strength"]), F.lit(0))
 
 
-def pareto_front(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows that no other row dominates: at least as large in all columns and larger in one.
+def _undominated(table: np.ndarray) -> np.ndarray:
+    """Which rows no other row dominates: at least as large in all columns and larger in one."""
+    order = np.lexsort(table.T[::-1])[::-1]  # a row comes after all that dominate it
+    kept = np.empty((0, table.shape[1]))
+    out = np.zeros(len(table), bool)
+    for at in range(0, len(order), 256):
+        rows = order[at : at + 256]
+        block = table[rows]
+        over = lambda by: ((by[None, :, :] >= block[:, None, :]).all(2) & (by[None, :, :] > block[:, None, :]).any(2)).any(1)
+        fine = ~over(block)
+        for k in range(0, len(kept), 4096):
+            fine[fine] = ~(((kept[None, k : k + 4096] >= block[fine][:, None]).all(2) & (kept[None, k : k + 4096] > block[fine][:, None]).any(2)).any(1))
+        out[rows[fine]] = True
+        kept = np.concatenate([kept, block[fine]])
+    return out
 
-    Equal rows do not dominate each other. First each partition drops what its own rows of the first column's top
-    dominate, so the quadratic comparison runs over few rows.
-    """
-    cols = list(columns)
-    points = rows.select(*cols).distinct()
-    other = points.select(*[F.col(c).alias(f"_{c}") for c in cols])
-    all_of = [F.col(f"_{c}") >= F.col(c) for c in cols]
-    one_of = F.lit(False)
-    for c in cols:
-        one_of = one_of | (F.col(f"_{c}") > F.col(c))
-    if len(cols) == 2:  # a skyline: the running maximum of the second over the first, from the top
-        down = Window.orderBy(F.col(cols[0]).desc(), F.col(cols[1]).desc()).rowsBetween(Window.unboundedPreceding, -1)
-        front = points.withColumn("_best", F.max(cols[1]).over(down)).where(F.col("_best").isNull() | (F.col(cols[1]) > F.col("_best"))).select(*cols)
-    else:
-        cond = one_of
-        for c in all_of:
-            cond = cond & c
-        front = points.join(other, cond, "left_anti")
-    return rows.join(front, cols, "left_semi")
 
+def pareto_front(rows: DataFrame, columns: Sequence[str], fan_in: int = 16) -> DataFrame:
+    """Rows that no other row dominates: at least as large in all columns and larger in one. Rows with a null are in none.
 
-def own_evidence(evidence: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Each item once for every observation it names: keys, id, and the item."""
-    return evidence.withColumn("id", F.explode(F.array_distinct("observations")))
+    Equal rows do not dominate each other. Every task keeps the front of its own rows; fronts are merged a few tasks at a
+    time, so no task holds more than the fronts of ``fan_in`` others, and no two rows meet that a task's front has dropped.
+    """
+    cols = list(columns)
+    points = rows.select(*[F.col(c).cast("double").alias(f"_p{i}") for i, c in enumerate(cols)]).dropna().distinct()
+    schema = points.schema
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        front: pa.Table | None = None
+        for batch in batches:
+            both = pa.Table.from_batches([batch]) if front is None else pa.concat_tables([front, pa.Table.from_batches([batch])])
+            keep = _undominated(np.column_stack([c.to_numpy() for c in both.columns])) if both.num_rows else np.empty(0, bool)
+            front = both.filter(pa.array(keep))
+        if front is not None:
+            yield from front.combine_chunks().to_batches()
+
+    front = points.mapInArrow(local, schema)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while tasks > 1:
+        tasks = -(-tasks // fan_in)
+        front = front.repartition(tasks).mapInArrow(local, schema)
+    on = [F.col(c).cast("double") == F.col(f"_p{i}") for i, c in enumerate(cols)]
+    return rows.join(front, on, "left_semi")
+
+
+def own_evidence(evidence: DataFrame, keys: Sequence[str] = (), offenders: DataFrame | None = None) -> DataFrame:
+    """Each item once for every observation it names: keys, id, and the item.
+
+    offenders: rows (keys, subject, id) of items that name only some of theirs; they stand in for what the items name.
+    """
+    if offenders is None:
+        return evidence.withColumn("id", F.explode(F.array_distinct("observations")))
+    told = offenders.select(*keys, "subject").distinct()
+    rest = evidence.join(told, [*keys, "subject"], "left_anti").withColumn("id", F.explode(F.array_distinct("observations")))
+    return rest.unionByName(evidence.join(offenders, [*keys, "subject"]).select(*rest.columns))

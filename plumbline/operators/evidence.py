@@ -11,12 +11,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import ieee
 from plumbline.functions.median import medians
 
+#: An item names so many of its offenders, the least; the functions ..._offenders give all of them, row by row.
+NAMED = 1024
 CHANNELS = ("Behavioral", "Physical", "Numerical", "Differential", "Sensitivity")
 
 
@@ -46,6 +48,10 @@ def _item(channel: str, subject: Column, magnitude: Column, observations: Column
     ]
 
 
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
+
+
 def violation(rule: Rule) -> Column:
     """How far the rule is violated; null where it holds or cannot be read."""
     left = rule.left
@@ -135,59 +141,108 @@ def sensitivity(values: DataFrame, keys: Sequence[str] = (), reference: DataFram
     return met.select(*keys, *_item("Sensitivity", subject, F.col("ratio") - 1, F.array("base", "perturbed")))
 
 
-def monotony(values: DataFrame, keys: Sequence[str] = (), increasing: bool = True) -> DataFrame:
-    """For each axis and output: violated, total, worst, severity and offenders of "keeps rising" (or falling)."""
+def offenders(pairs: DataFrame, subject: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Every observation that pairs (base, perturbed) name, once: keys, subject, id. However many, none is in an array."""
+    return pairs.select(*keys, subject.alias("subject"), F.explode(F.array("base", "perturbed")).alias("id")).distinct()
+
+
+def _naming(items: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """items with the NAMED least ids of their offenders (keys, subject, id) as observations."""
+    k = list(keys)
+    by = [*k, "subject"]
+    # The limit by rank is taken on the map side first, so a task gets few rows of a group, whatever the group's size.
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("id"))
+    some = found.withColumn("_place", place).where(F.col("_place") <= NAMED).groupBy(*by).agg(F.array_sort(F.collect_list("id")).alias("_ids"))
+    met = items.join(some, by, "left")
+    return met.withColumn("observations", F.coalesce("_ids", "observations")).select(*items.columns)
+
+
+def broken_steps(values: DataFrame, increasing: bool = True) -> DataFrame:
+    """Pairs with both ends finite, the relative size of their step (rel), and whether it goes against "keeps rising" (wrong)."""
     rel = F.abs(F.col("y1") - F.col("y0")) / F.greatest(F.abs("y0"), F.abs("y1"), F.lit(1.0))
     wrong = F.col("y1") < F.col("y0") if increasing else F.col("y1") > F.col("y0")
-    steps = values.where(_both_finite()).withColumn("rel", rel).withColumn("wrong", wrong)
+    return values.where(_both_finite()).withColumn("rel", rel).withColumn("wrong", wrong)
+
+
+def _tallied(steps: DataFrame, by: Sequence[str]) -> DataFrame:
+    return steps.groupBy(*by).agg(F.count_if("wrong").alias("violated"), F.count("*").alias("total"), F.coalesce(F.max(F.when(F.col("wrong"), F.col("rel"))), F.lit(0.0)).alias("worst"))
+
+
+def monotony(values: DataFrame, keys: Sequence[str] = (), increasing: bool = True) -> DataFrame:
+    """For each axis and output: violated, total, worst and severity of "keeps rising" (or falling)."""
+    steps = broken_steps(values, increasing)
     by = [*keys, "axis", "output"]
-    out = steps.groupBy(*by).agg(
-        F.count_if("wrong").alias("violated"),
-        F.count("*").alias("total"),
-        F.coalesce(F.max(F.when(F.col("wrong"), F.col("rel"))), F.lit(0.0)).alias("worst"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("wrong"), F.array("base", "perturbed")))))).alias("offenders"),
-    )
     typical = medians(steps, by, "rel").select(*by, F.col("median").alias("typical"))
     typical_wrong = medians(steps.where("wrong"), by, "rel").select(*by, F.col("median").alias("typical_wrong"))
-    out = out.join(typical, by, "left").join(typical_wrong, by, "left")
+    out = _tallied(steps, by).join(typical, by, "left").join(typical_wrong, by, "left")
     ratio = F.greatest(F.try_divide(F.col("typical_wrong"), F.col("typical")), F.lit(2.2250738585072014e-308))
     severity = F.when((F.col("typical") > 0) & F.col("typical_wrong").isNotNull(), F.abs(F.ln(ratio))).otherwise(F.lit(0.0))
     return out.withColumn("severity", severity).drop("typical", "typical_wrong")
 
 
+def _declared(values: DataFrame, axis: int, output: int) -> DataFrame:
+    return values.where((F.col("axis") == axis) & (F.col("output") == output))
+
+
+def monotone_offenders(values: DataFrame, relation: int, axis: int, output: int, increasing: bool = True, keys: Sequence[str] = ()) -> DataFrame:
+    """Every observation in a pair that breaks a declared direction: keys, subject, id."""
+    return offenders(broken_steps(_declared(values, axis, output), increasing).where("wrong"), F.lit(f"check{relation}"), keys)
+
+
 def monotone_check(values: DataFrame, relation: int, axis: int, output: int, increasing: bool = True, keys: Sequence[str] = ()) -> DataFrame:
     """One item if a declared direction is broken: share of broken pairs times the worst relative excursion."""
-    m = monotony(values.where((F.col("axis") == axis) & (F.col("output") == output)), keys, increasing).where("violated > 0")
+    m = _tallied(broken_steps(_declared(values, axis, output), increasing), [*keys, "axis", "output"]).where("violated > 0")
     magnitude = F.col("violated") / F.col("total") * F.col("worst")
-    return m.select(*keys, *_item("Behavioral", F.lit(f"check{relation}"), magnitude, F.col("offenders"))).where("magnitude > 0")
+    items = m.select(*keys, *_item("Behavioral", F.lit(f"check{relation}"), magnitude, _none())).where("magnitude > 0")
+    return _naming(items, monotone_offenders(values, relation, axis, output, increasing, keys), keys)
 
 
 def inferred_patterns(values: DataFrame, keys: Sequence[str] = (), integer_axes: Sequence[int] = ()) -> DataFrame:
     """Rising outputs that turn back in less than a quarter of pairs, by steps out of family in size."""
     m = monotony(values, keys).where(~F.col("axis").isin(list(integer_axes)) if integer_axes else F.lit(True))
     odd = m.where((F.col("violated") > 0) & (F.col("violated") * 4 < F.col("total")) & (F.col("worst") > 1e-6) & (F.col("severity") >= F.ln(F.lit(2.0))))
-    return odd.select(*keys, *_item("Behavioral", F.concat(F.lit("o"), "output", F.lit("~p"), "axis", F.lit(":monotone_up")), F.col("severity"), F.col("offenders")))
+    items = odd.select(*keys, *_item("Behavioral", _pattern(), F.col("severity"), _none()))
+    return _naming(items, offenders(broken_steps(values).where("wrong"), _pattern(), keys), keys)
 
 
-def scales_as(values: DataFrame, relation: int, axis: int, output: int, power: float, keys: Sequence[str] = ()) -> DataFrame:
-    """One item on how far the mean local exponent is from the declared power, naming the pairs that show it."""
+def _pattern() -> Column:
+    return F.concat(F.lit("o"), "output", F.lit("~p"), "axis", F.lit(":monotone_up"))
+
+
+def _exponents(values: DataFrame, axis: int, output: int, power: float, keys: Sequence[str]) -> DataFrame:
+    """Pairs with their local exponent, and the distance of the mean exponent from the declared one."""
     k = list(keys)
-    mine = values.where((F.col("axis") == axis) & (F.col("output") == output) & (F.least("x0", "x1", "y0", "y1") > 0))
-    step = F.ln("x1") - F.ln("x0")
-    local = mine.withColumn("step", step).where(F.abs("step") >= 1e-12).withColumn("exponent", (F.ln("y1") - F.ln("y0")) / F.col("step"))
+    mine = _declared(values, axis, output).where(F.least("x0", "x1", "y0", "y1") > 0)
+    local = mine.withColumn("step", F.ln("x1") - F.ln("x0")).where(F.abs("step") >= 1e-12).withColumn("exponent", (F.ln("y1") - F.ln("y0")) / F.col("step"))
     mean = local.groupBy(*k).agg(F.abs(F.avg("exponent") - power).alias("deviation"))
-    met = local.join(mean, k) if k else local.crossJoin(F.broadcast(mean))  # one row
+    return local.join(mean, k) if k else local.crossJoin(F.broadcast(mean))  # one row
+
+
+def scales_as(values: DataFrame, relation: int, axis: int, output: int, power: float, keys: Sequence[str] = ()) -> DataFrame:
+    """One item on how far the mean local exponent is from the declared power, naming the pairs that show it."""
+    met = _exponents(values, axis, output, power, keys)
+    one = F.min(F.struct("base", "perturbed")).alias("one")
+    out = met.groupBy(*keys, "deviation").agg(one).where("deviation > 0")
+    items = out.select(*keys, *_item("Behavioral", F.lit(f"check{relation}"), F.col("deviation"), F.array("one.base", "one.perturbed")))
+    return _naming(items, scale_offenders(values, relation, axis, output, power, keys), keys)
+
+
+def scale_offenders(values: DataFrame, relation: int, axis: int, output: int, power: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Every observation in a pair whose exponent is at least half the mean's distance off: keys, subject, id."""
     far = F.abs(F.col("exponent") - power) >= F.col("deviation") * 0.5
-    out = met.groupBy(*k, "deviation").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(far, F.array("base", "perturbed")))))).alias("ids"), F.min(F.struct("base", "perturbed")).alias("one"))
-    ids = F.when(F.size("ids") > 0, F.col("ids")).otherwise(F.array("one.base", "one.perturbed"))
-    return out.where("deviation > 0").select(*k, *_item("Behavioral", F.lit(f"check{relation}"), F.col("deviation"), ids))
+    return offenders(_exponents(values, axis, output, power, keys).where(far), F.lit(f"check{relation}"), keys)
 
 
 def lipschitz(values: DataFrame, relation: int, axis: int, output: int, bound: float, keys: Sequence[str] = ()) -> DataFrame:
     """One item if some slope passes the bound: the steepest by the bound."""
-    s = slopes(values.where((F.col("axis") == axis) & (F.col("output") == output)))
-    out = s.groupBy(*keys).agg(F.max("slope").alias("steepest"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("slope") > bound, F.array("base", "perturbed")))))).alias("ids"))
-    return out.where(F.col("steepest") > bound).select(*keys, *_item("Behavioral", F.lit(f"check{relation}"), F.col("steepest") / bound, F.col("ids")))
+    steepest = slopes(_declared(values, axis, output)).groupBy(*keys).agg(F.max("slope").alias("steepest")).where(F.col("steepest") > bound)
+    items = steepest.select(*keys, *_item("Behavioral", F.lit(f"check{relation}"), F.col("steepest") / bound, _none()))
+    return _naming(items, steep_offenders(values, relation, axis, output, bound, keys), keys)
+
+
+def steep_offenders(values: DataFrame, relation: int, axis: int, output: int, bound: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Every observation in a pair whose slope passes the bound: keys, subject, id."""
+    return offenders(slopes(_declared(values, axis, output)).where(F.col("slope") > bound), F.lit(f"check{relation}"), keys)
 
 
 def symmetric(observations: DataFrame, swaps: DataFrame, relation: int, output: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -230,10 +285,10 @@ def _step(x: Column) -> Column:
     return F.pow(F.lit(2.0), exponent) * F.lit(2.220446049250313e-16)
 
 
-def path_gap(runs: DataFrame, others: DataFrame, channel: str = "Numerical", keys: Sequence[str] = (), other_id: int = 1_000_000) -> DataFrame:
+def path_gap(runs: DataFrame, others: DataFrame, channel: str = "Numerical", keys: Sequence[str] = ()) -> DataFrame:
     """Outputs of two execution paths (id, y each) that differ by more than a step, both finite.
 
-    The numerical channel names the other run by id + other_id. The differential channel names the run alone, and adds
+    The numerical channel names the other run by -1 - id, which is no observation's id. The differential channel names the run alone, and adds
     a fixed item where the reference leaves the real numbers and the run does not.
     """
     k = list(keys)
@@ -241,7 +296,7 @@ def path_gap(runs: DataFrame, others: DataFrame, channel: str = "Numerical", key
     rows = met.select(*k, "id", F.posexplode(F.arrays_zip("p", "q")).alias("output", "v")).select(*k, "id", "output", F.col("v.p").alias("a"), F.col("v.q").alias("b"))
     both = rows.where(ieee.is_finite(F.col("a")) & ieee.is_finite(F.col("b"))).withColumn("far", ieee.relative(F.col("a"), F.col("b"))).where((F.col("far") > 0) & ulps_over_one(F.col("a"), F.col("b")))
     if channel == "Numerical":
-        return both.select(*k, *_item(channel, F.concat(F.lit("o"), "output", F.lit("~p65535:continuous")), F.col("far"), F.array("id", F.col("id") + other_id)))
+        return both.select(*k, *_item(channel, F.concat(F.lit("o"), "output", F.lit("~p65535:continuous")), F.col("far"), F.array("id", -1 - F.col("id"))))
     subject = F.concat(F.lit("o"), "output", F.lit(":paths"))
     lost = rows.where(ieee.is_finite(F.col("a")) & ~ieee.is_finite(F.col("b")))
     return both.select(*k, *_item(channel, subject, F.col("far"), F.array("id"))).unionByName(lost.select(*k, *_item(channel, subject, F.lit(1.0), F.array("id"), F.lit(1.0))))

@@ -14,6 +14,8 @@ from plumbline.functions import ieee
 
 LOCALISED = 0.5
 MAX_ATOMS = 1 << 20
+#: Regions in a list that a point is held against.
+MAX_LIST = 4096
 
 
 def shared_volume(alo: str, ahi: str, blo: str, bhi: str) -> Column:
@@ -96,25 +98,46 @@ def _all(parts: list[Column]) -> Column:
     return out
 
 
-def contains(regions: DataFrame, points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Points with the regions (closed boxes) that hold them."""
-    r = regions.select(*[F.col(c).alias(f"_{c}") for c in keys], "region", "lo", "hi")
-    on = F.forall(F.arrays_zip(F.col("x").alias("x"), F.col("lo").alias("l"), F.col("hi").alias("h")), lambda v: ieee.ge(v["x"], v["l"]) & ieee.le(v["x"], v["h"]))
+def _listed(regions: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool]:
+    """Regions as lists of at most about MAX_LIST, by keys (renamed _key), and whether each key has one list only."""
+    lists = -(-regions.count() // MAX_LIST) or 1
+    part = F.pmod(F.xxhash64("region"), F.lit(lists)).alias("_part")
+    packed = regions.select(*[F.col(c).alias(f"_{c}") for c in keys], part, F.struct("region", "lo", "hi").alias("_r"))
+    return packed.groupBy(*[f"_{c}" for c in keys], "_part").agg(F.collect_list("_r").alias("_regions")), lists == 1
+
+
+def _meeting(points: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each point with the lists of its keys: a join on the keys, or without any one row a list."""
+    if not keys:
+        return points.crossJoin(F.broadcast(listed))  # rows of at most MAX_LIST boxes; one, for all but huge truths
+    on = F.lit(True)
     for c in keys:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return points.join(r, on).select(*points.columns, "region")
+    return points.join(listed, on)
+
+
+def contains(regions: DataFrame, points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Points with the regions (closed boxes) that hold them."""
+    listed, _ = _listed(regions, keys)
+    holds = lambda r: F.forall(F.arrays_zip(F.col("x").alias("x"), r["lo"].alias("l"), r["hi"].alias("h")), lambda v: ieee.ge(v["x"], v["l"]) & ieee.le(v["x"], v["h"]))
+    found = F.transform(F.filter("_regions", holds), lambda r: r["region"])
+    return _meeting(points, listed, keys).select(*points.columns, F.explode(found).alias("region"))
 
 
 def margin(points: DataFrame, regions: DataFrame, root: tuple[Sequence[float], Sequence[float]], keys: Sequence[str] = ()) -> DataFrame:
-    """The distance of each point from the nearest region: the sum over axes of what it lies outside, by the axis' width."""
-    r = regions.select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("lo").alias("rlo"), F.col("hi").alias("rhi"))
+    """The distance of each point from the nearest region: the sum over axes of what it lies outside, by the axis' width.
+
+    One row a point, without a shuffle of points; where regions are more than MAX_LIST, ids tell points apart.
+    """
+    listed, single = _listed(regions, keys)
     width = F.array(*[F.lit(h - lo) for lo, h in zip(*root, strict=True)])
-    sides = F.arrays_zip(F.col("x").alias("x"), F.col("rlo").alias("l"), F.col("rhi").alias("h"), width.alias("w"))
-    far = F.aggregate(F.transform(sides, lambda v: F.greatest(v["l"] - v["x"], v["x"] - v["h"], F.lit(0.0)) / v["w"]), F.lit(0.0), lambda acc, d: acc + d)
-    on = F.lit(True)
-    for c in keys:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return points.join(r, on).groupBy(*keys, "id").agg(F.min(far).alias("margin"))
+
+    def far(r: Column) -> Column:
+        sides = F.arrays_zip(F.col("x").alias("x"), r["lo"].alias("l"), r["hi"].alias("h"), width.alias("w"))
+        return F.aggregate(F.transform(sides, lambda v: F.greatest(v["l"] - v["x"], v["x"] - v["h"], F.lit(0.0)) / v["w"]), F.lit(0.0), lambda acc, d: acc + d)
+
+    met = _meeting(points, listed, keys).select(*keys, "id", F.array_min(F.transform("_regions", far)).alias("margin"))
+    return met if single else met.groupBy(*keys, "id").agg(F.min("margin").alias("margin"))
 
 
 def boundary_hits(bands: DataFrame, boundaries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

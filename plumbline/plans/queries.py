@@ -52,13 +52,14 @@ def rules() -> list[Rule]:
 
 
 OBS_SQL = """
-obs AS (SELECT o * 8 + n AS id, q, d, q * (1 - d) AS y, n, o FROM (SELECT l_orderkey AS o, l_linenumber AS n, max(l_quantity) AS q, max(l_discount) AS d FROM lineitem GROUP BY ALL))"""
+obs AS (SELECT o * 64 + n AS id, q, d, q * (1 - d) AS y, n, o FROM (SELECT l_orderkey AS o, l_quantity AS q, l_discount AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount) AS n FROM lineitem))"""
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An observation for each (order, line number); lines that share theirs are one, of the largest values."""
-    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).agg(F.max("l_quantity").alias("q"), F.max("l_discount").alias("d"))
-    return lines.select((F.col("o") * 8 + F.col("n")).alias("id"), F.array("q", "d").alias("x"), F.array(F.col("q") * (1 - F.col("d"))).alias("y"), "o", "n")
+    """An observation for each line, numbered n within its order o; the few lines of an order are a window's partition."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_discount"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), place.alias("n"))
+    return lines.select((F.col("o") * 64 + F.col("n")).alias("id"), F.array("q", "d").alias("x"), F.array(F.col("q") * (1 - F.col("d"))).alias("y"), "o", "n")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,8 +273,12 @@ sl AS (SELECT *, abs(y1 - y0) / abs(x1 - x0) AS slope FROM pairs WHERE x0 <> x1)
 
 def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probe pairs along quantity: each line with the next of its order."""
-    obs = observations(spark, sf_dir)
-    pairs = obs.select("o", (F.col("n") + 1).alias("n"), F.col("id").alias("base")).join(obs.select("o", "n", F.col("id").alias("perturbed")), ["o", "n"]).select("base", "perturbed", F.lit(0).alias("axis"))
+    return values_of(observations(spark, sf_dir))
+
+
+def values_of(obs: DataFrame) -> DataFrame:
+    following = F.lead("id").over(Window.partitionBy("o").orderBy("n"))
+    pairs = obs.select(F.col("id").alias("base"), following.alias("perturbed"), F.lit(0).alias("axis")).where("perturbed is not null")
     return evidence.probe_values(obs, pairs)
 
 
@@ -299,7 +304,9 @@ STEPS_SQL = PROBES_SQL + ", st AS (SELECT *, abs(y1 - y0) / greatest(abs(y0), ab
 @query("WITH " + STEPS_SQL + """ SELECT 'check0' AS subject, round(CAST(count(*) FILTER (wrong) AS DOUBLE) / count(*) * max(rel) FILTER (wrong), 9) AS magnitude,
   (SELECT count(DISTINCT i) FROM (SELECT unnest([base, perturbed]) AS i FROM st WHERE wrong)) AS offenders FROM st""")
 def monotone_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.monotone_check(values(spark, sf_dir), 0, 0, 0).select("subject", F.round("magnitude", 9).alias("magnitude"), F.size("observations").cast("long").alias("offenders"))
+    pairs = values(spark, sf_dir)
+    named = evidence.monotone_offenders(pairs, 0, 0, 0).groupBy("subject").agg(F.count("*").alias("offenders"))
+    return evidence.monotone_check(pairs, 0, 0, 0).join(named, "subject").select("subject", F.round("magnitude", 9).alias("magnitude"), "offenders")
 
 
 @query("WITH " + STEPS_SQL + """ SELECT count(*) FILTER (wrong) AS violated, count(*) AS total, round(max(rel) FILTER (wrong), 9) AS worst, round(abs(ln(median(rel) FILTER (wrong) / median(rel))), 9) AS severity FROM st""")
@@ -307,15 +314,19 @@ def monotony_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.monotony(values(spark, sf_dir)).select("violated", "total", F.round("worst", 9).alias("worst"), F.round("severity", 9).alias("severity"))
 
 
-@query("WITH " + PROBES_SQL + """, e AS (SELECT (ln(y1) - ln(y0)) / (ln(x1) - ln(x0)) AS e FROM pairs WHERE least(x0, x1, y0, y1) > 0 AND abs(ln(x1) - ln(x0)) >= 1e-12)
-  SELECT 'check1' AS subject, round(abs(avg(e) - 2.0), 6) AS magnitude FROM e""")
+@query("WITH " + PROBES_SQL + """, e AS (SELECT base, perturbed, (ln(y1) - ln(y0)) / (ln(x1) - ln(x0)) AS e FROM pairs WHERE least(x0, x1, y0, y1) > 0 AND abs(ln(x1) - ln(x0)) >= 1e-12)
+  SELECT 'check1' AS subject, round(abs(avg(e) - 2.0), 6) AS magnitude, (SELECT count(DISTINCT i) FROM (SELECT unnest([base, perturbed]) AS i FROM e WHERE abs(e - 2.0) >= abs((SELECT avg(e) FROM e) - 2.0) * 0.5)) AS offenders FROM e""")
 def scales_as(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.scales_as(values(spark, sf_dir), 1, 0, 0, 2.0).select("subject", F.round("magnitude", 6).alias("magnitude"))
+    pairs = values(spark, sf_dir)
+    named = evidence.scale_offenders(pairs, 1, 0, 0, 2.0).groupBy("subject").agg(F.count("*").alias("offenders"))
+    return evidence.scales_as(pairs, 1, 0, 0, 2.0).join(named, "subject").select("subject", F.round("magnitude", 6).alias("magnitude"), "offenders")
 
 
 @query("WITH " + PROBES_SQL + """ SELECT 'check2' AS subject, round(max(slope) / 0.9, 9) AS magnitude, (SELECT count(DISTINCT i) FROM (SELECT unnest([base, perturbed]) AS i FROM sl WHERE slope > 0.9)) AS offenders FROM sl HAVING max(slope) > 0.9""")
 def lipschitz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.lipschitz(values(spark, sf_dir), 2, 0, 0, 0.9).select("subject", F.round("magnitude", 9).alias("magnitude"), F.size("observations").cast("long").alias("offenders"))
+    pairs = values(spark, sf_dir)
+    named = evidence.steep_offenders(pairs, 2, 0, 0, 0.9).groupBy("subject").agg(F.count("*").alias("offenders"))
+    return evidence.lipschitz(pairs, 2, 0, 0, 0.9).join(named, "subject").select("subject", F.round("magnitude", 9).alias("magnitude"), "offenders")
 
 
 @query("""WITH p AS (SELECT a.p_partkey AS base, b.p_partkey AS swapped, a.p_retailprice AS u, b.p_retailprice AS v FROM part a JOIN part b ON a.p_partkey + 1 = b.p_partkey)
@@ -336,18 +347,21 @@ def conserved_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.conserved(obs, 4, 0).select(F.get("observations", F.lit(0)).alias("user_id"), F.round("magnitude", 6).alias("magnitude"))
 
 
+#: y and z (both positive) are more than one representable step apart.
+STEPS_APART = "abs(y - z) > pow(2, floor(log2(least(y, z)))) * 2.220446049250313e-16"
 F32_SQL = OBS_SQL + ", f AS (SELECT id, o, y, CAST(CAST(q AS FLOAT) * CAST(CAST(1 AS FLOAT) - CAST(d AS FLOAT) AS FLOAT) AS DOUBLE) AS z FROM obs)"
 
 
-def reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reduced(obs: DataFrame) -> DataFrame:
     q, d = F.get("x", F.lit(0)).cast("float"), F.get("x", F.lit(1)).cast("float")
-    return observations(spark, sf_dir).select("id", F.array((q * (F.lit(1).cast("float") - d).cast("float")).cast("float").cast("double")).alias("y"))
+    return obs.select("id", F.array((q * (F.lit(1).cast("float") - d).cast("float")).cast("float").cast("double")).alias("y"))
 
 
-@query("WITH " + F32_SQL + " SELECT id, round(abs(y - z) / greatest(abs(y), abs(z)) * 1e6, 6) AS millionths FROM f WHERE y <> z AND abs(y - z) > 1e-12")
+@query("WITH " + F32_SQL + " SELECT id, round(abs(y - z) / greatest(abs(y), abs(z)) * 1e6, 6) AS millionths FROM f WHERE " + STEPS_APART)
 def numerical_f32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evidence.path_gap(observations(spark, sf_dir), reduced(spark, sf_dir))
-    return found.select(F.get("observations", F.lit(0)).alias("id"), F.round(F.col("magnitude") * 1e6, 6).alias("millionths")).where("millionths > 0.00001")
+    obs = observations(spark, sf_dir)
+    found = evidence.path_gap(obs, reduced(obs))
+    return found.select(F.get("observations", F.lit(0)).alias("id"), F.round(F.col("magnitude") * 1e6, 6).alias("millionths"))
 
 
 # ---- calibration and fusion: evidence of three channels, sets by order -----------------------------------------------
@@ -358,7 +372,7 @@ f32 AS (SELECT id, o, y, CAST(CAST(q AS FLOAT) * CAST(CAST(1 AS FLOAT) - CAST(d
 ev AS (
   SELECT o, 'Physical' AS channel, subject, magnitude, 1.0::DOUBLE AS strength, [id] AS ids, true AS fixed FROM found
   UNION ALL SELECT o, 'Sensitivity', 'o0~p0:slope', slope / m - 1, 0.0, [base, perturbed], false FROM pairs, (SELECT median(slope) AS m FROM pairs) WHERE slope / m > 1.5
-  UNION ALL SELECT o, 'Numerical', 'o0~p65535:continuous', abs(y - z) / greatest(abs(y), abs(z)), 0.0, [id, id + 1000000], false FROM f32 WHERE abs(y - z) > 1e-12),
+  UNION ALL SELECT o, 'Numerical', 'o0~p65535:continuous', abs(y - z) / greatest(abs(y), abs(z)), 0.0, [id, -1 - id], false FROM f32 WHERE """ + STEPS_APART + """),
 chan AS (SELECT channel, greatest(median(magnitude), CASE channel WHEN 'Numerical' THEN 1e-6 ELSE 1e-12 END) AS scale FROM ev WHERE magnitude > 0 GROUP BY channel),
 claim AS (SELECT channel, subject, greatest(median(magnitude), CASE channel WHEN 'Numerical' THEN 1e-6 ELSE 1e-12 END) AS scale FROM ev WHERE magnitude > 0 GROUP BY channel, subject HAVING count(*) >= 8),
 cal AS (SELECT ev.* REPLACE (CASE WHEN fixed THEN strength WHEN magnitude > coalesce(claim.scale, chan.scale, 1.0) THEN 1 - exp(-(magnitude / coalesce(claim.scale, chan.scale, 1.0) - 1)) ELSE 0 END AS strength)
@@ -370,8 +384,9 @@ rho AS (
 
 def all_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Physical, sensitivity and numerical items with their order o as the set; written, as several steps read it."""
-    found = evidence.constraints(observations(spark, sf_dir), rules()).unionByName(evidence.sensitivity(values(spark, sf_dir))).unionByName(evidence.path_gap(observations(spark, sf_dir), reduced(spark, sf_dir)).where("magnitude > 1e-13"))
-    return stash(found.withColumn("o", F.floor(F.get("observations", F.lit(0)) / 8)), "evidence")
+    obs = stash(observations(spark, sf_dir), "observations")
+    found = evidence.constraints(obs, rules()).unionByName(evidence.sensitivity(values_of(obs))).unionByName(evidence.path_gap(obs, reduced(obs)))
+    return stash(found.withColumn("o", F.floor(F.get("observations", F.lit(0)) / 64)), "evidence")
 
 
 def strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,16 +404,17 @@ def claim_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.claim_scale(all_evidence(spark, sf_dir)).select("channel", "subject", F.round("scale", 9).alias("scale"))
 
 
-@query("WITH " + ALL_SQL + " SELECT ids[1] AS id, channel, subject, round(strength, 6) AS strength, CASE WHEN strength >= 0.75 THEN 'HIGH' WHEN strength >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM cal WHERE channel <> 'Numerical'")
+@query("WITH " + ALL_SQL + " SELECT ids[1] AS id, channel, subject, round(strength, 6) AS strength, CASE WHEN strength >= 0.75 THEN 'HIGH' WHEN strength >= 0.45 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM cal")
 def strength(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = strengths(spark, sf_dir).where("channel <> 'Numerical'")
+    s = strengths(spark, sf_dir)
     return s.select(F.get("observations", F.lit(0)).alias("id"), "channel", "subject", F.round("strength", 6).alias("strength"), calibrate.confidence(F.col("strength")).alias("confidence"))
 
 
-@query("WITH " + ALL_SQL + """ SELECT a, b, round(rho, 6) AS rho FROM (SELECT 'Physical' AS a, 'Numerical' AS b, pn AS rho FROM rho UNION ALL SELECT 'Physical', 'Sensitivity', ps FROM rho UNION ALL SELECT 'Numerical', 'Sensitivity', ns FROM rho)""")
+@query("WITH " + ALL_SQL + """ SELECT a, b, round(CASE a || b WHEN 'PhysicalNumerical' THEN pn WHEN 'PhysicalSensitivity' THEN ps WHEN 'NumericalSensitivity' THEN ns ELSE 0 END, 6) AS rho
+  FROM (VALUES ('Behavioral', 0), ('Physical', 1), ('Numerical', 2), ('Differential', 3), ('Sensitivity', 4)) x(a, i) JOIN (VALUES ('Behavioral', 0), ('Physical', 1), ('Numerical', 2), ('Differential', 3), ('Sensitivity', 4)) y(b, j) ON i < j, rho""")
 def channel_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = calibrate.strongest(strengths(spark, sf_dir), ["o"])
-    return calibrate.channel_correlation(sets).where("a in ('Physical', 'Numerical') and b in ('Numerical', 'Sensitivity')").select("a", "b", F.round("rho", 6).alias("rho"))
+    return calibrate.channel_correlation(sets).select("a", "b", F.round("rho", 6).alias("rho"))
 
 
 FUSE_SQL = ALL_SQL + """,
