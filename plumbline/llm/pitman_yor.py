@@ -1,27 +1,32 @@
-"""LM scoring with a hierarchical Pitman-Yor model.
-
-Words are drawn in Chinese restaurants, one for each context. Contexts are previous words, hashed into CONTEXTS
-restaurants (and one for the start of a text); all share one parent, the unigram restaurant, whose own parent is uniform
-over the distinct training words and one unknown word. A customer of a context who opens a table sends a customer to the
-parent. Seating is sampled by Gibbs moves, each of which takes a customer out and seats them again given all others. A
-sweep moves every customer of every context, then every customer of the parent. (The only customer of a word in a
-context opens a table whatever comes: their move is that of their customer at the parent.) Where a word has more than
-ROUNDS customers in a restaurant, one in ROUNDS of them is out at a time, and these do not see each other as they sit
-down. After burn-in, each sweep gives a sample; a token's probability is
-the mean over samples of its predictive probability, and a text's score the sum of their log10, the end included.
+"""LM scoring with a hierarchical Pitman-Yor model of three levels.
+
+Words are drawn in Chinese restaurants: one for each two words before (u, v), whose parent is that of the one word before
+(v), whose parent is the root, the unigram restaurant, whose base is uniform over the distinct training words and one
+unknown word. Contexts go by the 64-bit hashes of their words, however many there are; the start of a text counts as a
+word. A customer who opens a table is sent to the parent as a customer of the same word. Seating is sampled by Gibbs
+moves, which take a customer out and seat them again by the weights that are left. A sweep moves every customer of every
+(u, v), then of every v, class by class of crowds; customers of one class move at the same time, one of each word and
+restaurant, and their parents' counts follow after the class. (The only customer of a word in a restaurant opens a table
+whatever comes: their move is that of their customer at the parent.) Where a word has more than ROUNDS customers in a
+restaurant, one in ROUNDS of them is out at a time. Concentrations are sampled between burn-in and samples by auxiliary
+variables, discounts are fitted to counts of ones and twos at each level. Each sweep after burn-in is a sample; a token's
+probability is the mean of its predictive probabilities, and a text's score the sum of their log10, the end included.
 
 Words: the UTF-8 text with A-Z lower-cased, split at ASCII white space; 64-bit hashes stand for words (two of a billion
 words share one with odds of 1 in 40). Edge cases: null or empty texts are an end only; with no training text all
 probabilities are those of the uniform base; repeated rows and ids are scored one by one, each as its own text; a null
-id is hashed as an empty one; extra columns are ignored.
+id is hashed as an empty one; extra columns are ignored; a text of any length is cut into pieces that know the two words
+before them, and is one row again in the end.
 
 How it is spread: texts become chunks of CHUNK_TOKENS tokens, coded by a vocabulary of their own. A chunk sends each
-shard its distinct (word, context) pairs with counts; shards are by word, so a word's whole seating, its parent's
-included, is in one place. Words too frequent for a shard are split by context, and their parent's counts kept with the
-totals. Shards see each other only through totals for each context (CONTEXTS numbers, whatever the corpus), which are
-summed between rounds, as in distributed Gibbs sampling for topic models. Rounds are simulated again from their seeds
-instead of being stored, so a lost executor changes nothing. At last each shard answers the chunks' pairs, and chunks
-score their texts. What moves grows with the distinct pairs of the chunks; nothing that grows is broadcast.
+shard its distinct triples (u, v, w) with counts. Shards are by v, so a restaurant of v and all below it are in one
+place, and only the root is shared: the root's tables of a word are kept at the word's home, which is told of the
+customers that shards send and tells their number and tables back, between burn-in and samples. A word v that is more
+than a shard's share of all tokens is split by u; its restaurant's dishes are then kept at the words' homes like the
+root's, with its totals as one number; a pair (u, v) of that size is split by w in the same way. Homes and shards meet
+by joins on their numbers; the driver gets a few numbers for each level and each split context, of which there are at
+most as many as the inverse of SPLIT_SHARE. Shards and chunks are written once, dealt by their number, and read in place
+by all later steps. Everything follows from the rows and fixed seeds, so a lost task is done again alike.
 """
 
 from __future__ import annotations
@@ -37,24 +42,23 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import drop_path, pieces, stash, utf8
+from plumbline.llm.shared import Bucketed, drop_path, pieces, setting, stash, utf8
 
-#: Context restaurants; the last number is the start of a text. Fits in 16 bits.
-CONTEXTS = 65_535
-START = CONTEXTS
 CHUNK_TOKENS = 1_000_000
 #: Tokens for which there is a shard.
 SHARD_TOKENS = 2_000_000
 MIN_SHARDS = 32
-#: Words with at least this share of all tokens can be split over shards; so there are at most as many as its inverse.
+#: Contexts with at least this share of all tokens can be split over shards; so there are at most as many as its inverse.
 SPLIT_SHARE = 1 / 65_536
-BURN_IN, SAMPLES = 2, 3
+BURN_IN, SAMPLES, ROOT_SWEEPS = 2, 3, 4
 #: In so many steps at most a sweep moves the customers of a word in a restaurant.
 ROUNDS = 64
-THETA = 1.0
 
-#: The end of a text; no word has white space.
-END = b"\n"
+#: The end of a text, and what stands before its first word; no word has white space or is empty.
+END, BEFORE = b"\n", b""
+START = np.uint64(xxhash.xxh3_64_intdigest(BEFORE))
+#: Bits of a word's number in a chunk.
+BITS = 21
 
 
 class Coder(dict):
@@ -66,175 +70,238 @@ class Coder(dict):
 
 
 def packed(a: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True) + len(a).to_bytes(8, "little")
+    """Byte planes, which compress better than whole numbers."""
+    a = np.ascontiguousarray(a)
+    planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) + len(a).to_bytes(8, "little")
 
 
 def unpacked(b: bytes, kind: type) -> np.ndarray:
-    n = int.from_bytes(b[-8:], "little")
-    return np.frombuffer(pa.decompress(b[:-8], n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+    n, size = int.from_bytes(b[-8:], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(b[:-8], n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def arrow(schema: str) -> pa.Schema:
+    """An Arrow schema of "name type" pairs: int, long, boolean, double, binary, longs or booleans (lists)."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), SUMS: pa.list_(_SUMS_ROW)}
+    return pa.schema([(n, kinds[k]) for n, k in (part.split(" ", 1) for part in schema.split(", "))])
+
+
+SUMS = "array<struct<what:int,key:long,first:double,second:double>>"
+_SUMS_ROW = pa.struct([("what", pa.int32()), ("key", pa.int64()), ("first", pa.float64()), ("second", pa.float64())])
+#: What a row of sums is about: words and tokens, tables and customers, counts of one and two by level, the draws for the
+#: concentrations by level, and tables and customers of split contexts, of one word and of two.
+SIZES, ROOT, ONES, DRAWN, SPLIT, SPLIT_PAIR, OFTEN, OFTEN_PAIR = range(8)
+
+
+def batch_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema=schema)
+
+
+def table_of(rows: list[dict], schema: str) -> pa.Table:
+    return pa.Table.from_batches([batch_of(rows, arrow(schema))])
+
+
+def total(df: DataFrame) -> dict[tuple[int, int], tuple[float, float]]:
+    """All sums of a table's rows: a few numbers by level and split context."""
+    rows = df.where("sums is not null").select(F.explode("sums").alias("s")).groupBy("s.what", "s.key").agg(F.sum("s.first").alias("first"), F.sum("s.second").alias("second"))
+    return {(r["what"], r["key"]): (r["first"], r["second"]) for r in rows.collect()}
 
 
 # ---- chunks ----------------------------------------------------------------------------------------------------------
 
-CHUNK_SCHEMA = "chunk long, doc_ids array<long>, trained array<boolean>, sizes array<long>, vocab binary, tokens binary, n_tokens long, n_trained long, often array<struct<word:long,n:long>>"
+CHUNK = f"chunk long, rows array<long>, doc_ids array<long>, trained array<boolean>, sizes array<long>, before binary, vocab binary, tokens binary, n_tokens long, n_trained long, sums {SUMS}"
 
 
 def chunks(docs: DataFrame, trained: Column, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """Documents as chunks of coded tokens; trained: whether the model learns from a row."""
+    """Documents as chunks of coded tokens; trained: whether the model learns from a row. Contexts that may be split are counted."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, ids, learn, parts = Coder(), [], [], []
-        made = total = 0
+        schema = arrow(CHUNK)
+        task = TaskContext.get().partitionId() << 32
+        coder, parts = Coder(), []
+        made = held = row = 0
 
         def out() -> pa.RecordBatch:
-            tokens = np.concatenate(parts)
+            tokens = np.concatenate([p[3] for p in parts])
             vocab = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coder), np.uint64, len(coder))
-            sizes = [len(p) for p in parts]
-            mask = np.repeat(np.array(learn, bool), sizes)
-            counts = np.bincount(tokens[mask], minlength=len(vocab))
-            often = np.flatnonzero(counts >= max(2, len(tokens) * SPLIT_SHARE / 2))
-            row = {
-                "chunk": (TaskContext.get().partitionId() << 32) + made, "doc_ids": list(ids), "trained": list(learn), "sizes": sizes,
-                "vocab": vocab.tobytes(), "tokens": packed(tokens), "n_tokens": len(tokens), "n_trained": int(mask.sum()),
-                "often": [{"word": int(w), "n": int(n)} for w, n in zip(vocab[often].view(np.int64), counts[often], strict=True)],
+            made_row = {
+                "chunk": task + made, "rows": [p[0] for p in parts], "doc_ids": [p[1] for p in parts], "trained": [p[2] for p in parts], "sizes": [len(p[3]) for p in parts], "before": np.array([p[4] for p in parts], np.uint32).tobytes(),
+                "vocab": vocab.tobytes(), "tokens": packed(tokens), "n_tokens": len(tokens), "n_trained": sum(len(p[3]) for p in parts if p[2]),
             }
-            coder.clear(), ids.clear(), learn.clear(), parts.clear()
-            return pa.RecordBatch.from_pylist([row], schema=_CHUNK_ARROW)
+            t = Triples(made_row, None)
+            made_row["sums"] = t.often()
+            coder.clear(), parts.clear()
+            return batch_of([made_row], schema)
 
         for batch in pieces(batches):
             for doc, use, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
                 words = (text or b"").lower().split()
                 words.append(END)
-                parts.append(np.fromiter(map(coder.__getitem__, words), np.uint32, len(words)))
-                ids.append(doc)
-                learn.append(bool(use))
-                total += len(words)
-                if total >= chunk_tokens:
-                    yield out()
-                    made, total = made + 1, 0
+                at = 0
+                while at < len(words):
+                    piece = words[at : at + chunk_tokens - held]
+                    before = [coder[words[at - k] if at >= k else BEFORE] for k in (2, 1)]
+                    parts.append((task + row, doc, bool(use), np.fromiter(map(coder.__getitem__, piece), np.uint32, len(piece)), before))
+                    at, held = at + len(piece), held + len(piece)
+                    if held >= chunk_tokens:
+                        yield out()
+                        made, held = made + 1, 0
+                row += 1
         if parts:
             yield out()
 
     given = docs.select(F.col("doc_id").cast("long"), trained.alias("trained"), F.col("text").cast("binary"))
-    return given.mapInArrow(run, CHUNK_SCHEMA)
+    return given.mapInArrow(run, CHUNK)
+
+
+def spot(words: np.ndarray, n: int) -> np.ndarray:
+    """Which of n parts a word is dealt to, apart from its home."""
+    return ((words >> np.uint64(8)) % np.uint64(n)).astype(np.int64)
 
 
-_CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("trained", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("vocab", pa.binary()), ("tokens", pa.binary()), ("n_tokens", pa.int64()), ("n_trained", pa.int64()), ("often", pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])))])
+def pair_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A 64-bit number of two words."""
+    with np.errstate(over="ignore"):
+        x = (np.asarray(u, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(v, np.uint64)) * np.uint64(0xD1B54A32D192ED03)
+    return x ^ (x >> np.uint64(29))
 
 
 @dataclass
 class Layout:
-    """Shards, and how many slices split words have (word hash: slices)."""
+    """Shards, and into how many parts contexts of one word (by hash) and of two (by pair_key) are split."""
 
     shards: int
     split: dict[int, int] = field(default_factory=dict)
+    split_pairs: dict[int, int] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.words, self.pairs = (np.array(sorted(d), np.uint64) for d in (self.split, self.split_pairs))
 
     def home(self, words: np.ndarray) -> np.ndarray:
         return ((words >> np.uint64(40)) % np.uint64(self.shards)).astype(np.int64)
 
-    def of_pairs(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """Shards of (word, context) pairs, sorted by word."""
-        out = self.home(words)
-        for w, slices in self.split.items():
-            a, b = np.searchsorted(words, [np.uint64(w)], "left")[0], np.searchsorted(words, [np.uint64(w)], "right")[0]
-            out[a:b] = (out[a:b] + (contexts[a:b].astype(np.int64) * 40_503 % 65_521) % slices) % self.shards
-        return out
+    def shard(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        out = self.home(v)
+        if len(self.words):
+            at = np.flatnonzero(np.isin(v, self.words))
+            parts = np.array([self.split[int(x)] for x in self.words], np.uint64)[np.searchsorted(self.words, v[at])]
+            out[at] += ((u[at] >> np.uint64(8)) % parts).astype(np.int64)
+            if len(self.pairs):
+                key = pair_key(u[at], v[at])
+                both = np.flatnonzero(np.isin(key, self.pairs))
+                parts = np.array([self.split_pairs[int(x)] for x in self.pairs], np.uint64)[np.searchsorted(self.pairs, key[both])]
+                out[at[both]] += ((w[at[both]] >> np.uint64(8)) % parts).astype(np.int64)
+        return out % self.shards
 
 
-class Pairs:
-    """A chunk's distinct (word, context) pairs, sorted, and the pair of each token."""
+class Triples:
+    """A chunk's distinct (u, v, w), sorted by v, u and w, and the triple of each token."""
 
-    def __init__(self, row: dict, layout: Layout) -> None:
+    def __init__(self, row: dict, layout: Layout | None) -> None:
         vocab = np.frombuffer(row["vocab"], np.uint64)
-        self.order = np.argsort(vocab)
-        self.words = vocab[self.order]
+        order = np.argsort(vocab)
+        self.words = vocab[order]
         rank = np.empty(len(vocab), np.int64)
-        rank[self.order] = np.arange(len(vocab))
-        self.tokens = rank[unpacked(row["tokens"], np.uint32)]
+        rank[order] = np.arange(len(vocab))
+        tokens, before = rank[unpacked(row["tokens"], np.uint32)], rank[np.frombuffer(row["before"], np.uint32).reshape(-1, 2)]
         self.sizes = np.array(row["sizes"], np.int64)
-        self.mask = np.repeat(np.array(row["trained"], bool), self.sizes)
-        context = (self.words % np.uint64(CONTEXTS)).astype(np.int64)
-        before = np.empty(len(self.tokens), np.int64)
-        before[1:] = context[self.tokens[:-1]]
-        before[np.cumsum(self.sizes) - self.sizes] = START
-        keys, self.pair = np.unique(self.tokens << 16 | before, return_inverse=True)
-        self.word, self.context = keys >> 16, (keys & 0xFFFF).astype(np.uint16)
-        self.count = np.bincount(self.pair[self.mask], minlength=len(keys))
-        self.word_count = np.bincount(self.tokens[self.mask], minlength=len(vocab))
-        self.shard = layout.of_pairs(self.words[self.word], self.context)
-        self.home = layout.home(self.words)
-
-    def of_shard(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each shard that a pair is in: the pairs, and the words that they or their home bring there (sorted)."""
-        by = np.argsort(self.shard, kind="stable")
-        at = np.searchsorted(self.shard[by], np.arange(self.shard.max() + 2))
-        for s in range(len(at) - 1):
-            pairs = by[at[s] : at[s + 1]]
-            # A split word's home may have none of its pairs here; the word then comes by itself.
-            lone = self._lone.get(s)
-            words = np.unique(self.word[pairs] if lone is None else np.concatenate([self.word[pairs], lone]))
-            if len(words):
-                yield s, pairs, words
-        for s in sorted(k for k in self._lone if k >= len(at) - 1):
-            yield s, by[:0], np.unique(self._lone[s])
-
-    @property
-    def _lone(self) -> dict[int, np.ndarray]:
-        if not hasattr(self, "_alone"):
-            moved = np.unique(self.word[self.shard != self.home[self.word]])
-            self._alone = {int(s): moved[self.home[moved] == s] for s in np.unique(self.home[moved])}
-        return self._alone
-
-
-SENT_SCHEMA = "shard int, chunk long, words binary, word_count binary, per_word binary, context binary, count binary"
+        first = np.cumsum(self.sizes) - self.sizes
+        v, u = np.empty_like(tokens), np.empty_like(tokens)
+        v[1:], u[2:] = tokens[:-1], tokens[:-2]
+        v[first], u[first] = before[:, 1], before[:, 0]
+        long = first[self.sizes > 1]
+        u[long + 1] = before[self.sizes > 1, 1]
+        mask = np.repeat(np.array(row["trained"], bool), self.sizes)
+        if layout is None:
+            self.context = u[mask], v[mask]
+            return
+        low = (1 << BITS) - 1
+        keys, self.triple = np.unique((v << 2 * BITS) | (u << BITS) | tokens, return_inverse=True)
+        self.v, self.u, self.w = keys >> 2 * BITS, (keys >> BITS) & low, keys & low
+        self.count = np.bincount(self.triple[mask], minlength=len(keys))
+        shard = layout.shard(self.words[self.u], self.words[self.v], self.words[self.w])
+        self.by = np.argsort(shard, kind="stable")
+        self.ends = np.searchsorted(shard[self.by], np.arange(layout.shards + 1))
+
+    def often(self) -> list[dict]:
+        """Contexts of one word and of two that are a share of SPLIT_SHARE / 2 of the chunk, with their tokens."""
+        u, v = self.context
+        least = max(2.0, len(v) * SPLIT_SHARE / 2)
+        one = np.bincount(v, minlength=len(self.words)) if len(v) else np.zeros(len(self.words), int)
+        words = np.flatnonzero(one >= least)
+        held = one[v] >= least
+        pairs, n = np.unique((v[held] << BITS) | u[held], return_counts=True)
+        pairs, n = pairs[n >= least], n[n >= least]
+        keys = pair_key(self.words[pairs & ((1 << BITS) - 1)], self.words[pairs >> BITS]).view(np.int64) if len(pairs) else []
+        return [{"what": OFTEN, "key": int(k), "first": float(c), "second": 0.0} for k, c in zip(self.words[words].view(np.int64), one[words], strict=True)] + [{"what": OFTEN_PAIR, "key": int(k), "first": float(c), "second": 0.0} for k, c in zip(keys, n, strict=True)]
+
+    def of_shard(self) -> Iterator[tuple[int, np.ndarray]]:
+        for s in np.flatnonzero(np.diff(self.ends)):
+            yield int(s), self.by[self.ends[s] : self.ends[s + 1]]
+
+
+SENT = "shard int, chunk long, words binary, v binary, u binary, w binary, count binary"
+
+
+def letters(row: dict, layout: Layout) -> list[dict]:
+    """What a chunk sends to shards: triples by a vocabulary of their own, with training counts (0: to be scored only)."""
+    t, rows = Triples(row, layout), []
+    for s, at in t.of_shard():
+        used, number = np.unique(np.concatenate([t.v[at], t.u[at], t.w[at]]), return_inverse=True)
+        v, u, w = number.astype(np.uint32).reshape(3, -1)
+        rows.append({"shard": s, "chunk": row["chunk"], "words": t.words[used].tobytes(), "v": packed(v), "u": packed(u), "w": packed(w), "count": packed(t.count[at].astype(np.uint32))})
+    return rows
 
 
 def sent(chunked: DataFrame, layout: Layout) -> DataFrame:
-    """What chunks send to shards: words with their training counts (at home only), and pairs by word."""
+    """letters() of all chunks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow(SENT)
         for batch in batches:
             for row in batch.to_pylist():
-                p = Pairs(row, layout)
-                rows = []
-                for s, pairs, words in p.of_shard():
-                    per = np.bincount(np.searchsorted(words, p.word[pairs]), minlength=len(words))
-                    rows.append({
-                        "shard": s, "chunk": row["chunk"], "words": p.words[words].tobytes(), "word_count": packed(np.where(p.home[words] == s, p.word_count[words], 0).astype(np.int64)),
-                        "per_word": packed(per.astype(np.uint32)), "context": p.context[pairs].tobytes(), "count": packed(p.count[pairs].astype(np.uint32)),
-                    })
-                yield pa.RecordBatch.from_pylist(rows, schema=_SENT_ARROW)
-
-    return chunked.select("chunk", "trained", "sizes", "vocab", "tokens").mapInArrow(run, SENT_SCHEMA)
+                yield batch_of(letters(row, layout), schema)
 
+    return chunked.select("chunk", "trained", "sizes", "before", "vocab", "tokens").mapInArrow(run, SENT)
 
-_SENT_ARROW = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), *[(n, pa.binary()) for n in ("words", "word_count", "per_word", "context", "count")]])
 
 # ---- shards ----------------------------------------------------------------------------------------------------------
 
-SHARD_SCHEMA = "shard int, words binary, word_count binary, pair_word binary, pair_context binary, pair_count binary, chunks array<long>, n_words array<int>, n_pairs array<int>, word_at binary, pair_at binary"
-_SHARD_ARROW = pa.schema([("shard", pa.int32()), *[(n, pa.binary()) for n in ("words", "word_count", "pair_word", "pair_context", "pair_count")], ("chunks", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("n_pairs", pa.list_(pa.int32())), ("word_at", pa.binary()), ("pair_at", pa.binary())])
+#: A shard's triples, what it asks homes, and where it stands; a row has one of the three.
+SHARD = f"shard int, targets binary, w binary, count binary, per_pair binary, per_word binary, contexts binary, pairs binary, chunks array<long>, sizes array<long>, places binary, home int, asked binary, told binary, customers binary, split_at binary, split_of binary, split_customers binary, sums {SUMS}"
+BODY = ("shard", "targets", "w", "count", "per_pair", "per_word", "contexts", "pairs", "chunks", "sizes", "places")
+ASK = ("home", "shard", "asked", "told", "customers", "split_at", "split_of", "split_customers")
 
 
-def merge(table: pa.Table) -> pa.Table:
-    """One shard out of what all chunks sent to it: summed counts, and where each chunk's words and pairs are."""
-    rows = table.to_pylist()
-    rows.sort(key=lambda r: r["chunk"])
+def merged_rows(rows: list[dict], layout: Layout) -> list[dict]:
+    """One shard out of what all chunks sent to it, with where each chunk's triples are, and its first questions."""
+    rows = sorted(rows, key=lambda r: r["chunk"])
     each = [np.frombuffer(r["words"], np.uint64) for r in rows]
-    words, word_at = np.unique(np.concatenate(each), return_inverse=True)
-    word_count = np.bincount(word_at, np.concatenate([unpacked(r["word_count"], np.int64) for r in rows]), len(words)).astype(np.int64)
+    words, at = np.unique(np.concatenate(each), return_inverse=True)
     ends = np.cumsum([len(w) for w in each])
-    keys = np.concatenate([np.repeat(word_at[b - len(w) : b], unpacked(r["per_word"], np.uint32)) << 16 | np.frombuffer(r["context"], np.uint16) for r, w, b in zip(rows, each, ends, strict=True)])
-    pairs, pair_at = np.unique(keys, return_inverse=True)
-    counts = np.concatenate([unpacked(r["count"], np.uint32) for r in rows])
-    count = np.bincount(pair_at, counts, len(pairs)).astype(np.int64)
-    n_pairs = [len(r["context"]) // 2 for r in rows]
-    row = {
-        "shard": rows[0]["shard"], "words": words.tobytes(), "word_count": packed(word_count), "pair_word": packed(np.diff(pairs >> 16, prepend=0).astype(np.uint32)), "pair_context": (pairs & 0xFFFF).astype(np.uint16).tobytes(),
-        "pair_count": packed(count), "chunks": [r["chunk"] for r in rows], "n_words": [len(w) for w in each], "n_pairs": n_pairs,
-        "word_at": packed(np.diff(word_at, prepend=0).astype(np.int32)), "pair_at": packed(np.diff(pair_at, prepend=0).astype(np.int32)),
+    v, u, w = (np.concatenate([at[b - len(x) : b][unpacked(r[name], np.uint32)] for r, x, b in zip(rows, each, ends, strict=True)]) for name in ("v", "u", "w"))
+    pairs, pair = np.unique((v << 32) | u, return_inverse=True)
+    keys, place = np.unique((pair << 32) | w, return_inverse=True)
+    count = np.bincount(place, np.concatenate([unpacked(r["count"], np.uint32) for r in rows]), len(keys)).astype(np.int64)
+    sizes = [len(unpacked(r["count"], np.uint32)) for r in rows]
+    targets, target = np.unique(keys & 0xFFFFFFFF, return_inverse=True)
+    of_word = pairs >> 32
+    contexts = np.unique(of_word)
+    body = {
+        "shard": rows[0]["shard"], "targets": words[targets].tobytes(), "w": packed(target.astype(np.uint32)), "count": packed(count.astype(np.uint32)), "per_pair": packed(np.bincount(keys >> 32, minlength=len(pairs)).astype(np.uint32)),
+        "per_word": packed(np.bincount(np.searchsorted(contexts, of_word), minlength=len(contexts)).astype(np.uint32)), "contexts": words[contexts].tobytes(),
+        "pairs": pair_key(words[pairs & 0xFFFFFFFF], words[of_word])[np.isin(words[of_word], layout.words)].tobytes(),
+        "chunks": [r["chunk"] for r in rows], "sizes": sizes, "places": packed(np.diff(place, prepend=0).astype(np.int32)),
     }
-    return pa.Table.from_pylist([row], schema=_SHARD_ARROW)
+    s = Shard(body, layout)
+    start = np.minimum(count, 1)
+    sums = [(SIZES, 0, 0.0, count.sum()), (ONES, 3, (count == 1).sum(), (count == 2).sum())]
+    came = s.customers(start)
+    local = came[~s.apart]
+    sums += [(ONES, 2, (local == 1).sum(), (local == 2).sum()), *s.pair_totals(start)]
+    return [body, *s.questions(came, np.minimum(came, 1), sums)]
 
 
 class Tables:
@@ -300,10 +367,11 @@ class Tables:
     def stir(self, new: np.ndarray, discount: float, rng: np.random.Generator) -> None:
         """Move as many customers of each dish as it has."""
         have = self.customers.copy()
-        steps = np.minimum(have, ROUNDS)
+        # Of two customers one move draws the seating anew: that of the other would do so again.
+        steps = np.where(have == 2, 1, np.minimum(have, ROUNDS))
         for r in range(steps.max(initial=0)):
             dishes = np.flatnonzero(steps > r)
-            many = have[dishes] * (r + 1) // steps[dishes] - have[dishes] * r // steps[dishes]
+            many = np.where(have[dishes] == 2, 1, have[dishes] * (r + 1) // steps[dishes] - have[dishes] * r // steps[dishes])
             many = None if (many == 1).all() else many
             self.take(dishes, rng, many)
             self.seat(dishes, new[dishes], discount, rng, many)
@@ -354,352 +422,473 @@ def first_tables(count: np.ndarray, new: np.ndarray, discount: float, rng: np.ra
     return tables
 
 
+def classes(count: np.ndarray) -> np.ndarray:
+    """Doubling classes of counts (0: nothing to move), so that what is stirred together takes about as many steps."""
+    return np.ceil(np.log2(np.clip(count, 1, ROUNDS + 1))).astype(np.int64)
+
+
+def first_tables(count: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """How many tables count customers open who come one after another, drawn for doubling crowds at a time."""
+    tables, seated = np.minimum(count, 1), np.minimum(count, 1)
+    while (some := np.flatnonzero(seated < count)).size:
+        crowd = np.minimum(seated[some], count[some] - seated[some])
+        odds = new[some] / np.maximum(new[some] + seated[some] - discount * tables[some], 1e-12)
+        tables[some] += rng.binomial(crowd, np.clip(odds, 0, 1))
+        seated[some] += crowd
+    return tables
+
+
+def begun(count: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> Tables:
+    """A seating of count customers of each dish to start from."""
+    out = Tables(np.flatnonzero(count), count[count > 0].astype(np.int64), len(count))
+    dishes = np.flatnonzero(count)
+    out.reseat(dishes, first_tables(count[dishes], new[dishes], discount, rng), count[dishes])
+    return out
+
+
+def stir_all(seats: Tables, new, discount: float, rng: np.random.Generator) -> None:
+    """Move all customers, class by class; new() gives the weights of opening a table as they are by then."""
+    kind = classes(seats.customers)
+    for c in range(1, kind.max(initial=0) + 1):
+        if (dishes := np.flatnonzero(kind == c)).size:
+            part = seats.part(dishes)
+            part.stir(new()[dishes], discount, rng)
+            seats.put(dishes, part)
+
+
+def follow(seats: Tables, want: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> None:
+    """Customers come to a parent and leave it as tables of its children open and go."""
+    less = np.flatnonzero(want < seats.customers)
+    seats.take(less, rng, seats.customers[less] - want[less])
+    while (more := np.flatnonzero(want > seats.customers)).size:  # few at a time for those who are there
+        crowd = np.minimum(want[more] - seats.customers[more], np.maximum(seats.customers[more] // 4, 1))
+        seats.seat(more, new[more], discount, rng, crowd)
+
+
 @dataclass
-class Totals:
-    """What shards know of each other: of contexts, of the parent, and of split words (by hash)."""
-
-    customers: np.ndarray
-    tables: list[np.ndarray]
-    parent_customers: list[float] = field(default_factory=list)
-    parent_tables: list[float] = field(default_factory=list)
-    split_customers: list[dict[int, int]] = field(default_factory=list)
-    split_tables: list[dict[int, int]] = field(default_factory=list)
-    discount: float = 0.5
-    parent_discount: float = 0.5
+class Model:
+    """What is known of the whole: discounts and concentrations by level (1: the root), and totals."""
+
+    discount: dict[int, float]
+    theta: dict[int, float]
     vocabulary: int = 0
+    trained: int = 0
+    root_tables: float = 0.0
+    root_customers: float = 0.0
+    #: Tables and customers of split contexts, in the order of the layout's.
+    split: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
+    split_pairs: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
 
     @property
     def base(self) -> float:
         return 1 / (self.vocabulary + 1)
 
-    def parent(self, customers: np.ndarray, tables: np.ndarray, k: int, more_customers: float = 0.0, more_tables: float = 0.0) -> np.ndarray:
-        """The parent's predictive probability for words with these customers and tables there."""
-        n, t = self.parent_customers[k] + more_customers, self.parent_tables[k] + more_tables
-        return (customers - self.parent_discount * tables + (THETA + self.parent_discount * t) * self.base) / (THETA + n)
+    def opening(self, level: int, tables):
+        """The weight of a new table in a restaurant with these tables, before the parent's probability."""
+        return self.theta[level] + self.discount[level] * tables
 
-    def put_split(self, p: np.ndarray, words: np.ndarray, split: np.ndarray, k: int) -> None:
-        """Set the probabilities of split words, whose seating no shard has as a whole."""
-        if split.any():
-            at = [int(w) for w in words[split]]
-            p[split] = self.parent(np.array([self.split_customers[k][w] for w in at]), np.array([self.split_tables[k][w] for w in at]), k)
+    def root(self, customers: np.ndarray, tables: np.ndarray, more: float = 0.0) -> np.ndarray:
+        """The root's predictive probability of words with these customers and tables there."""
+        seated = np.maximum(customers - self.discount[1] * np.minimum(tables, customers), 0.0)
+        return (seated + self.opening(1, self.root_tables) * self.base) / (self.theta[1] + self.root_customers + more)
 
-    def is_split(self, words: np.ndarray) -> np.ndarray:
-        return np.isin(words, np.array(list(self.split_customers[0]), np.uint64)) if self.split_customers and self.split_customers[0] else np.zeros(len(words), bool)
+
+def drawn(customers: np.ndarray, tables: np.ndarray, theta: float, discount: float, rng: np.random.Generator) -> tuple[float, float]:
+    """The auxiliary draws of restaurants for their level's concentration: successes, and minus the sum of logs."""
+    some = customers > 1
+    logs = -np.log(np.maximum(rng.beta(theta + 1, customers[some] - 1.0), 1e-300)).sum()
+    more = np.maximum(tables - 1, 0).astype(np.int64)
+    nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    return float((rng.random(len(nth)) * (theta + discount * nth) < theta).sum()), float(logs)
 
 
 class Shard:
-    """The seating of a shard's words. Everything follows from the shard's row, the totals so far and the seed."""
-
-    def __init__(self, row: dict, totals: Totals | None) -> None:
-        self.words, self.word_count = np.frombuffer(row["words"], np.uint64), unpacked(row["word_count"], np.int64)
-        self.word = np.cumsum(unpacked(row["pair_word"], np.uint32), dtype=np.int64)
-        self.context = np.frombuffer(row["pair_context"], np.uint16).astype(np.int64)
-        self.count = unpacked(row["pair_count"], np.int64)
-        self.row, self.totals = row, totals
-        self.rng = np.random.default_rng([7, row["shard"]])
-        self.split = totals.is_split(self.words) if totals else np.zeros(len(self.words), bool)
-        #: A pair with one customer has one table whatever comes, and moves at the parent only; the others by class.
+    """A shard's triples and their seating in two levels. Everything follows from the shard's rows, the model and a seed."""
+
+    def __init__(self, row: dict, layout: Layout) -> None:
+        self.row, self.layout = row, layout
+        self.targets, self.w, self.count = np.frombuffer(row["targets"], np.uint64), unpacked(row["w"], np.uint32).astype(np.int64), unpacked(row["count"], np.uint32).astype(np.int64)
+        per_pair, per_word = unpacked(row["per_pair"], np.uint32), unpacked(row["per_word"], np.uint32)
+        contexts = np.frombuffer(row["contexts"], np.uint64)
+        self.pair = np.repeat(np.arange(len(per_pair)), per_pair)
+        self.n_pairs, self.n_words = len(per_pair), len(per_word)
+        word_of = np.repeat(np.arange(len(per_word)), per_word)
+        #: The parent's dish of each triple; a dish's context and word.
+        dishes, self.dish = np.unique((word_of[self.pair] << 32) | self.w, return_inverse=True)
+        self.of, self.word = dishes >> 32, dishes & 0xFFFFFFFF
+        #: Split contexts: their number in the layout, -1 for those that are here as a whole; and dishes of the former.
+        self.split = np.full(len(contexts), -1)
+        self.pair_split = np.full(self.n_pairs, -1)
+        if len(layout.words):
+            at = np.flatnonzero(np.isin(contexts, layout.words))
+            self.split[at] = np.searchsorted(layout.words, contexts[at])
+            if len(layout.pairs):
+                held, keys = np.flatnonzero(self.split[word_of] >= 0), np.frombuffer(row["pairs"], np.uint64)
+                known = np.isin(keys, layout.pairs)
+                self.pair_split[held[known]] = np.searchsorted(layout.pairs, keys[known])
+        self.apart = self.split[self.of] >= 0
+        self.home = layout.home(self.targets)
+
+    def customers(self, tables: np.ndarray) -> np.ndarray:
+        """Customers of each of the parents' dishes, from the tables of the triples."""
+        return np.bincount(self.dish, tables, len(self.of)).astype(np.int64)
+
+    def sent_to_root(self, tables: np.ndarray) -> np.ndarray:
+        """The root's customers of each target, from the tables of dishes whose context is here."""
+        return np.bincount(self.word[~self.apart], tables[~self.apart], len(self.targets)).astype(np.int64)
+
+    def pair_totals(self, tables: np.ndarray) -> list[tuple]:
+        """Tables and customers here of split contexts of two words."""
+        held = np.flatnonzero(self.pair_split >= 0)
+        t, c = (np.bincount(self.pair, x, self.n_pairs) for x in (tables, self.count))
+        return [(SPLIT_PAIR, int(self.pair_split[i]), t[i], c[i]) for i in held]
+
+    def by_home(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each home: its targets, its dishes of split contexts, and where among the targets their words are."""
+        by = np.argsort(self.home, kind="stable")
+        far = np.flatnonzero(self.apart)
+        far = far[np.argsort(self.home[self.word[far]], kind="stable")]
+        ends, far_ends = (np.searchsorted(x, np.arange(self.layout.shards + 1)) for x in (self.home[by], self.home[self.word[far]]))
+        for h in np.flatnonzero(np.diff(ends)):
+            mine, split = by[ends[h] : ends[h + 1]], far[far_ends[h] : far_ends[h + 1]]
+            yield int(h), mine, split, np.searchsorted(mine, self.word[split])
+
+    def questions(self, came: np.ndarray, tables: np.ndarray, sums: list[tuple]) -> list[dict]:
+        """A row for each home, and one of sums."""
+        counts, to_root = np.bincount(self.w, self.count, len(self.targets)).astype(np.int64), self.sent_to_root(tables)
+        rows = [
+            {
+                "shard": self.row["shard"], "home": h, "asked": self.targets[mine].tobytes(), "told": packed(counts[mine]), "customers": packed(to_root[mine]),
+                "split_at": packed(at.astype(np.uint32)), "split_of": packed(self.split[self.of[far]].astype(np.uint32)), "split_customers": packed(came[far]),
+            }
+            for h, mine, far, at in self.by_home()
+        ]
+        named = ("what", "key", "first", "second")
+        return [*rows, {"shard": self.row["shard"], "sums": [dict(zip(named, (int(a), int(b), float(c), float(d)), strict=True)) for a, b, c, d in sums]}]
+
+    def hear(self, answers: list[dict], model: Model) -> None:
+        """Take in what homes told of the root and of split contexts."""
+        said = {r["home"]: r for r in answers}
+        n = len(self.targets)
+        self.word_count, self.root_customers, self.root_tables = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+        self.far_customers, self.far_tables = np.zeros(len(self.of), np.int64), np.zeros(len(self.of))
+        for h, mine, far, _ in self.by_home():
+            r = said[h]
+            self.word_count[mine], self.root_customers[mine], self.root_tables[mine] = unpacked(r["told"], np.int64), unpacked(r["customers"], np.int64), unpacked(r["tables"], np.float64)
+            self.far_customers[far], self.far_tables[far] = unpacked(r["split_customers"], np.int64), unpacked(r["split_tables"], np.float64)
+        self.model = model
+
+    # ---- seating ----
+
+    def begin(self, rng: np.random.Generator) -> None:
+        """Seat all customers one after another, from the homes' first answers."""
+        m = self.model
+        one = np.minimum(self.count, 1)
+        self.tables = one
+        came = self.customers(one)
+        self._told(came, np.minimum(came, 1))
+        self.parent = begun(np.where(self.apart, 0, came), self._new_parent(np.minimum(came, 1)), m.discount[2], rng)
+        many = np.flatnonzero(self.count >= 2)
+        kind = classes(self.count[many])
+        self.groups = [many[kind == c] for c in range(1, kind.max(initial=0) + 1)]
+        self.groups = [g for g in self.groups if len(g)]
+        new = self._new(many)
+        at = np.zeros(len(self.count))
+        at[many] = new
+        self.tables = one.copy()
+        self.seats = []
+        for g in self.groups:
+            self.seats.append(begun(self.count[g], at[g], m.discount[3], rng))
+            self.tables[g] = self.seats[-1].tables
+        self._follow(rng)
+
+    def resume(self, state: dict) -> None:
+        """Go on from a state that was kept."""
         many = np.flatnonzero(self.count >= 2)
         kind = classes(self.count[many])
-        self.many = many[np.argsort(kind, kind="stable")]
-        self.ends = np.cumsum(np.bincount(kind)).tolist() if len(many) else []
-        lone = np.flatnonzero(self.count == 1)
-        self.lone_contexts = np.bincount(self.context[lone], minlength=CONTEXTS + 1)
-        self.lone_words = np.bincount(self.word[lone], minlength=len(self.words))
-
-    def customers_by_context(self) -> np.ndarray:
-        return self.lone_contexts + np.bincount(self.context[self.many], self.count[self.many], CONTEXTS + 1)
-
-    def by_context(self, tables: np.ndarray) -> np.ndarray:
-        """Tables of each context, from those of the pairs with several customers."""
-        return self.lone_contexts + np.bincount(self.context[self.many], tables, CONTEXTS + 1)
-
-    def by_word(self, tables: np.ndarray) -> np.ndarray:
-        """Tables of each word in all contexts: its customers at the parent."""
-        return self.lone_words + np.bincount(self.word[self.many], tables, len(self.words)).astype(np.int64)
-
-    def one_each(self) -> np.ndarray:
-        return np.ones(len(self.many), np.int64)
-
-    def simulate(self, rounds: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Sweep by sweep: tables of the pairs with several customers, then the parent's customers and tables of each word.
-
-        rounds: how many sweeps go by each of the totals' rounds.
-        """
-        t, rng, many = self.totals, self.rng, self.many
-        context, word = self.context[many], self.word[many]
-        begun = self.by_word(self.one_each())
-        parent = Tables(np.flatnonzero(begun), begun[begun > 0], len(self.words))
-        tables, seats = self.one_each(), []
-        for k, sweeps in enumerate(rounds):
-            told = [x[~self.split].sum() for x in (parent.customers, parent.tables)]  # this shard's part of the totals
-            theirs = t.tables[k] - self.by_context(tables)
-            if k == 0:
-                every = np.flatnonzero(begun)
-                parent.reseat(every, first_tables(begun[every], self.opening(parent, k, told)[every], t.parent_discount, rng), begun[every])
-                new = (THETA + t.discount * t.tables[k][context]) * self.parent_now(parent, k, told)[word]
-                tables = first_tables(self.count[many], new, t.discount, rng)
-                for a, b in zip([0, *self.ends], self.ends, strict=False):
-                    dishes = np.arange(b - a)
-                    seats.append(Tables(dishes, np.ones(b - a, np.int64), b - a))
-                    seats[-1].reseat(dishes, tables[a:b], self.count[many[a:b]])
-                self.follow(parent, self.by_word(tables), rng, k, told)
-            for _ in range(sweeps):
-                for part, a, b in zip(seats, [0, *self.ends], self.ends, strict=False):
-                    if a < b:
-                        weight = THETA + t.discount * (theirs + self.by_context(tables))
-                        part.stir(weight[context[a:b]] * self.parent_now(parent, k, told)[word[a:b]], t.discount, rng)
-                        tables[a:b] = part.tables
-                        self.follow(parent, self.by_word(tables), rng, k, told)
-                self.stir_parent(parent, rng, k, told)
-                yield tables.copy(), parent.customers.copy(), parent.tables.copy()
-
-    def parent_now(self, parent: Tables, k: int, told: list[int]) -> np.ndarray:
-        """The parent's probability of each word: totals as told, with what this shard has changed since."""
-        mine = ~self.split
-        more = [x[mine].sum() - y for x, y in zip((parent.customers, parent.tables), told, strict=True)]
-        p = self.totals.parent(parent.customers, parent.tables, k, *more)
-        self.totals.put_split(p, self.words, self.split, k)
-        return p
-
-    def opening(self, parent: Tables, k: int, told: list[int]) -> np.ndarray:
-        """The weight of opening a table at the parent, for each word."""
-        t = self.totals
-        tables = t.parent_tables[k] + parent.tables[~self.split].sum() - told[1]
-        return np.full(len(self.words), (THETA + t.parent_discount * tables) * t.base)
-
-    def follow(self, parent: Tables, want: np.ndarray, rng: np.random.Generator, k: int, told: list[int]) -> None:
-        """Customers come to the parent and leave it as tables of contexts open and go."""
-        discount, opening = self.totals.parent_discount, self.opening(parent, k, told)
-        less = np.flatnonzero(want < parent.customers)
-        parent.take(less, rng, parent.customers[less] - want[less])
-        while (more := np.flatnonzero(want > parent.customers)).size:  # few at a time for those who are there
-            crowd = np.minimum(want[more] - parent.customers[more], np.maximum(parent.customers[more] // 4, 1))
-            parent.seat(more, opening[more], discount, rng, crowd)
-
-    def stir_parent(self, parent: Tables, rng: np.random.Generator, k: int, told: list[int]) -> None:
-        """Move all customers of the parent, but for split words, whose seating is drawn with the totals."""
-        kind = np.where(self.split, 0, classes(parent.customers))
-        for c in range(1, kind.max(initial=0) + 1):
-            if (dishes := np.flatnonzero(kind == c)).size:
-                part = parent.part(dishes)
-                part.stir(self.opening(parent, k, told)[dishes], self.totals.parent_discount, rng)
-                parent.put(dishes, part)
-
-
-#: Rows of the sums that are not of a context: the parent's sums, and figures for the discounts and the vocabulary.
-PARENT, ONES_TWOS, PARENT_ONES_TWOS, SIZES = -1, -2, -3, -4
-
-
-class Sums:
-    """What a task's shards add up to, sweep by sweep of the last round: rows (k, context, tables, customers)."""
-
-    def __init__(self, sweeps: int, split: np.ndarray) -> None:
-        self.dense = np.zeros((sweeps, 2, CONTEXTS + 1))
-        self.split = split
-        self.single: dict[tuple[int, int], list[float]] = {}
-        self.split_customers: dict[tuple[int, int], int] = {}
-
-    def _add(self, k: int, what: int, first: float, second: float) -> None:
-        held = self.single.setdefault((k, what), [0.0, 0.0])
-        held[0] += first
-        held[1] += second
-
-    def add(self, s: Shard, k: int, tables: np.ndarray, customers: np.ndarray, at: np.ndarray) -> None:
-        self.dense[k, 0] += s.by_context(tables)
-        self.dense[k, 1] += s.customers_by_context()
-        here = np.isin(s.words, self.split)
-        for w, n in zip(s.words[here], customers[here], strict=True):
-            self.split_customers[k, int(w)] = self.split_customers.get((k, int(w)), 0) + int(n)
-        self._add(k, PARENT, at[~here].sum(), customers[~here].sum())
-        self._add(k, ONES_TWOS, (s.count == 1).sum(), (s.count == 2).sum())
-        self._add(k, PARENT_ONES_TWOS, (customers[~here] == 1).sum(), (customers[~here] == 2).sum())
-        self._add(k, SIZES, (s.word_count > 0).sum(), s.word_count.sum())
-
-    def rows(self) -> pa.StructArray:
-        """Of split words, k counts from -10 down, and the word's hash stands where contexts do."""
-        parts = []
-        for k in range(len(self.dense)):
-            at = np.flatnonzero(self.dense[k].any(0))
-            parts.append((np.full(len(at), k), at, self.dense[k, 0, at], self.dense[k, 1, at]))
-        if self.single:
-            parts.append(tuple(np.array(x) for x in zip(*((k, c, *v) for (k, c), v in self.single.items()), strict=True)))
-        if self.split_customers:
-            words = np.array([w for _, w in self.split_customers], np.uint64).view(np.int64)
-            parts.append((np.array([-10 - k for k, _ in self.split_customers]), words, np.array(list(self.split_customers.values())), np.zeros(len(words))))
-        columns = [np.concatenate([p[i] for p in parts]) for i in range(4)]
-        return pa.StructArray.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, _SUMS.types, strict=True)], fields=list(_SUMS))
-
-    def row(self, schema: pa.Schema) -> pa.RecordBatch:
-        """One row that holds them as a list, null in the other columns."""
-        rows = self.rows()
-        held = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-        return pa.RecordBatch.from_arrays([held if f.name == "sums" else pa.nulls(1, f.type) for f in schema], schema=schema)
-
-
-def swept(shards: DataFrame, totals: Totals | None, rounds: list[int], split: list[int], answer: bool = False) -> DataFrame:
-    """A pass over the shards: rows of the sums, and with answer what each chunk's words and pairs come to in the last round.
-
-    An answer has counts of the words, their customers and tables at the parent (of the first sweep, then the changes),
-    counts of the pairs and their tables over all sweeps. Without totals the pass is of the start: one table each.
+        self.groups = [g for c in range(1, kind.max(initial=0) + 1) if len(g := many[kind == c])]
+        read = lambda name, n: Tables(np.cumsum(unpacked(state[name + "_dish"], np.uint32), dtype=np.int64), unpacked(state[name + "_size"], np.uint32).astype(np.int64), n)
+        together = read("seat", len(many))
+        self.seats, self.tables = [], np.minimum(self.count, 1)
+        at = 0
+        for g in self.groups:
+            self.seats.append(together.part(np.arange(at, at + len(g))))
+            self.tables[g] = self.seats[-1].tables
+            at += len(g)
+        self.parent = read("parent", len(self.of))
+        self._told(self.customers(self.tables), self.parent.tables)
+
+    def state(self) -> dict:
+        firsts = np.cumsum([0, *(len(g) for g in self.groups)])
+        dish = np.concatenate([s.dish + a for s, a in zip(self.seats, firsts, strict=False)]) if self.seats else np.empty(0, np.int64)
+        size = np.concatenate([s.size for s in self.seats]) if self.seats else np.empty(0, np.int64)
+        small = lambda x: packed(x.astype(np.uint32))
+        return {"shard": self.row["shard"], "seat_dish": small(np.diff(dish, prepend=0)), "seat_size": small(size), "parent_dish": small(np.diff(self.parent.dish, prepend=0)), "parent_size": small(self.parent.size)}
+
+    def _told(self, came: np.ndarray, tables: np.ndarray) -> None:
+        """Note what of the homes' numbers is this shard's own."""
+        self.mine_came, self.mine_root = came, self.sent_to_root(tables)
+        held = self.pair_split >= 0
+        mine = np.bincount(self.pair, self.tables, self.n_pairs)
+        self.other_tables, self.pair_customers = np.zeros(self.n_pairs), np.bincount(self.pair, self.count, self.n_pairs)
+        if held.any():
+            known = self.model.split_pairs[self.pair_split[held]]
+            self.other_tables[held], self.pair_customers[held] = known[:, 0] - mine[held], known[:, 1]
+
+    def _root(self, tables: np.ndarray) -> np.ndarray:
+        """The root's probability of each target, with what this shard has changed since it was told."""
+        change = self.sent_to_root(tables) - self.mine_root
+        return self.model.root(self.root_customers + change, self.root_tables, float(change.sum()))
+
+    def _word_totals(self, came: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tables and customers of each context of one word."""
+        t, c = np.bincount(self.of, np.where(self.apart, 0, tables), self.n_words), np.bincount(self.of, np.where(self.apart, came - self.mine_came, came), self.n_words)
+        held = self.split >= 0
+        if held.any():
+            known = self.model.split[self.split[held]]
+            t[held] += known[:, 0]
+            c[held] += known[:, 1]
+        return t, c
+
+    def _new_parent(self, tables: np.ndarray) -> np.ndarray:
+        """The weight of a new table for each of the parents' dishes."""
+        t = np.bincount(self.of, tables, self.n_words)
+        return self.model.opening(2, t)[self.of] * self._root(tables)[self.word]
+
+    def parents(self) -> np.ndarray:
+        """The parents' predictive probability of each dish."""
+        m, came, tables = self.model, self.customers(self.tables), self.parent.tables
+        t, c = self._word_totals(came, tables)
+        customers = np.where(self.apart, self.far_customers + came - self.mine_came, came)
+        seated = np.maximum(customers - m.discount[2] * np.minimum(np.where(self.apart, self.far_tables, tables), customers), 0.0)
+        return (seated + m.opening(2, t)[self.of] * self._root(tables)[self.word]) / (m.theta[2] + np.maximum(c, 0))[self.of]
+
+    def _pair_tables(self) -> np.ndarray:
+        return np.bincount(self.pair, self.tables, self.n_pairs) + self.other_tables
+
+    def _new(self, triples: np.ndarray) -> np.ndarray:
+        """The weight of a new table for some triples."""
+        return self.model.opening(3, self._pair_tables())[self.pair[triples]] * self.parents()[self.dish[triples]]
+
+    def _follow(self, rng: np.random.Generator) -> None:
+        want = np.where(self.apart, 0, self.customers(self.tables))
+        follow(self.parent, want, self._new_parent(self.parent.tables), self.model.discount[2], rng)
+
+    def sweep(self, rng: np.random.Generator) -> None:
+        """Move every customer of every triple, then every customer of the parents."""
+        m = self.model
+        for g, seats in zip(self.groups, self.seats, strict=True):
+            seats.stir(self._new(g), m.discount[3], rng)
+            self.tables[g] = seats.tables
+            self._follow(rng)
+        stir_all(self.parent, lambda: self._new_parent(self.parent.tables), m.discount[2], rng)
+
+    def predictive(self) -> np.ndarray:
+        """The probability of each triple's word in its context."""
+        m = self.model
+        seated = self.count - m.discount[3] * self.tables
+        return (seated + m.opening(3, self._pair_tables())[self.pair] * self.parents()[self.dish]) / (m.theta[3] + self.pair_customers)[self.pair]
+
+    def draws(self, rng: np.random.Generator) -> list[tuple]:
+        """Draws for the concentrations, of contexts that are here as a whole."""
+        m, whole = self.model, self.pair_split < 0
+        came = self.customers(self.tables)
+        t, c = (np.bincount(self.of, np.where(self.apart, 0, x), self.n_words) for x in (self.parent.tables, came))
+        three = drawn(self.pair_customers[whole], self._pair_tables()[whole], m.theta[3], m.discount[3], rng)
+        return [(DRAWN, 3, *three), (DRAWN, 2, *drawn(c, t, m.theta[2], m.discount[2], rng))]
+
+
+# ---- homes -----------------------------------------------------------------------------------------------------------
+
+TOLD = f"shard int, home int, told binary, customers binary, tables binary, split_customers binary, split_tables binary, sums {SUMS}"
+
+
+def home_answers(rows: list[dict], model: Model | None) -> list[dict]:
+    """What a home answers each shard: counts, the root's customers and tables of its words, and split contexts' of theirs.
+
+    Without a model each word has one table, to start from; else tables are drawn for the customers there are.
     """
-    last = rounds[-1] if rounds else 1
-    wanted = np.array(split, np.uint64)
-
-    def answers(s: Shard, states: list) -> pa.RecordBatch:
-        row = s.row
-        tables = np.minimum(s.count, 1) * len(states)
-        tables[s.many] = sum(x[0] for x in states)
-        changes = [np.diff(np.array([x[i] for x in states]), axis=0, prepend=0).T for i in (1, 2)]
-        word_at, pair_at = (np.cumsum(unpacked(row[n], np.int32), dtype=np.int64) for n in ("word_at", "pair_at"))
-        a = b = 0
-        out = []
-        for chunk, n, m in zip(row["chunks"], row["n_words"], row["n_pairs"], strict=True):
-            w, p = word_at[a : a + n], pair_at[b : b + m]
-            a, b = a + n, b + m
-            out.append({
-                "chunk": chunk, "shard": row["shard"], "word_count": packed(s.word_count[w]), "customers": packed(changes[0][w].T.ravel()), "parent_tables": packed(changes[1][w].T.ravel()),
-                "count": packed(s.count[p]), "tables": packed(tables[p].astype(np.int64)), "sums": None,
-            })
-        return pa.RecordBatch.from_pylist(out, schema=_ANSWER_ARROW)
+    rows = sorted(rows, key=lambda r: r["shard"])
+    rng = np.random.default_rng([11, rows[0]["home"]])
+    each = [np.frombuffer(r["asked"], np.uint64) for r in rows]
+    words, at = np.unique(np.concatenate(each), return_inverse=True)
+    ends = np.cumsum([len(w) for w in each])
+    at = [at[b - len(w) : b] for w, b in zip(each, ends, strict=True)]
+    whole = lambda name: np.bincount(np.concatenate(at), np.concatenate([unpacked(r[name], np.int64) for r in rows]), len(words)).astype(np.int64)
+    count, root = whole("told"), whole("customers")
+    key = [(unpacked(r["split_of"], np.uint32).astype(np.int64) << 32) | a[unpacked(r["split_at"], np.uint32)] for r, a in zip(rows, at, strict=True)]
+    dishes, dish = np.unique(np.concatenate(key), return_inverse=True)
+    came = np.bincount(dish, np.concatenate([unpacked(r["split_customers"], np.int64) for r in rows]), len(dishes)).astype(np.int64)
+    of, word = dishes >> 32, dishes & 0xFFFFFFFF
+    if model is None:
+        far = np.minimum(came, 1).astype(float)
+        root = root + np.bincount(word, far, len(words)).astype(np.int64)
+        tables = np.minimum(root, 1).astype(float)
+    else:
+        # Split contexts first, whose tables are customers of the root.
+        p = model.root(root + np.bincount(word, np.minimum(came, 1), len(words)), np.minimum(root, 1))
+        far = seated(came, model.opening(2, model.split[of, 0] if len(of) else np.zeros(0)) * p[word], model.discount[2], rng)
+        root = root + np.bincount(word, far, len(words)).astype(np.int64)
+        tables = np.zeros(len(words))
+        seats = begun(root, np.full(len(words), model.opening(1, model.root_tables) * model.base), model.discount[1], rng)
+        weight = np.full(len(words), model.opening(1, model.root_tables) * model.base)
+        for k in range(ROOT_SWEEPS + SAMPLES):
+            stir_all(seats, lambda: weight, model.discount[1], rng)
+            if k >= ROOT_SWEEPS:
+                tables += seats.tables / SAMPLES
+    sums = [(SIZES, 0, (count > 0).sum(), count.sum()), (ROOT, 0, tables.sum(), root.sum()), (ONES, 1, (root == 1).sum(), (root == 2).sum())]
+    sums += [(SPLIT, int(k), t, c) for k, t, c in zip(np.unique(of), np.bincount(of, far)[np.unique(of)], np.bincount(of, came)[np.unique(of)], strict=True)] if len(of) else []
+    out, b = [], 0
+    for r, a, k in zip(rows, at, key, strict=True):
+        d = dish[b : b + len(k)]
+        b += len(k)
+        out.append({"shard": r["shard"], "home": r["home"], "told": packed(count[a]), "customers": packed(root[a]), "tables": packed(tables[a].astype(np.float64)), "split_customers": packed(came[d]), "split_tables": packed(np.asarray(far, np.float64)[d])})
+    named = ("what", "key", "first", "second")
+    out.append({"shard": -1, "home": rows[0]["home"], "sums": [dict(zip(named, (int(w), int(k), float(x), float(y)), strict=True)) for w, k, x, y in sums]})
+    return out
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums(last, wanted)
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = Shard(row, totals)
-                begun = s.by_word(s.one_each())
-                states = list(s.simulate(rounds))[-last:] if totals else [(s.one_each(), begun, np.minimum(begun, 1))]
-                for k, state in enumerate(states):
-                    sums.add(s, k, *state)
-                if answer:
-                    yield answers(s, states)
-        yield sums.row(_ANSWER_ARROW)
 
-    return shards.mapInArrow(run, ANSWER_SCHEMA)
+def homes(asked: DataFrame, model: Model | None) -> DataFrame:
+    """home_answers() of all homes."""
+    return asked.groupBy("home").applyInArrow(lambda t: table_of(home_answers(t.to_pylist(), model), TOLD), TOLD)
 
 
-def summed(passed: DataFrame) -> DataFrame:
-    return passed.where("sums is not null").select(F.explode("sums").alias("s")).groupBy("s.k", "s.context").agg(F.sum("s.tables").alias("tables"), F.sum("s.customers").alias("customers"))
+def seated(count: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator, sweeps: int = ROOT_SWEEPS) -> np.ndarray:
+    """Tables of count customers of each dish, after so many sweeps."""
+    seats = begun(count, new, discount, rng)
+    for _ in range(sweeps):
+        stir_all(seats, lambda: new, discount, rng)
+    return seats.tables.astype(float)
 
 
-_SUMS = pa.schema([("k", pa.int32()), ("context", pa.int64()), ("tables", pa.float64()), ("customers", pa.float64())])
+# ---- sweeps, answers and scores ---------------------------------------------------------------------------------------
 
+STATE = f"shard int, seat_dish binary, seat_size binary, parent_dish binary, parent_size binary, home int, asked binary, told binary, customers binary, split_at binary, split_of binary, split_customers binary, sums {SUMS}"
+KEPT = ("shard", "seat_dish", "seat_size", "parent_dish", "parent_size")
 
-def collected(sums: DataFrame, n: int, totals: Totals | None) -> Totals:
-    """Sums as totals: CONTEXTS rows and those of the split words for each of n sweeps; totals: what they follow."""
-    rows = sums.toArrow()
-    k, c, t, u = (rows.column(i).to_numpy() for i in range(4))
-    tables, customers = np.zeros((n, CONTEXTS + 1)), np.zeros(CONTEXTS + 1)
-    mine = (k >= 0) & (c >= 0)
-    tables[k[mine], c[mine]] = t[mine]
-    customers[c[mine & (k == 0)]] = u[mine & (k == 0)]
-    special = {(int(a), int(b)): (x, y) for a, b, x, y in zip(k[~mine], c[~mine], t[~mine], u[~mine], strict=True) if a >= 0}
 
-    def discount(ones: float, twos: float) -> float:
-        return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+def burnt(bodies: DataFrame, told: DataFrame, layout: Layout, model: Model) -> DataFrame:
+    """Shards after burn-in: where they stand, and what they ask homes now."""
 
-    out = Totals(customers, list(tables))
-    if totals is None:
-        out.discount = discount(*special.get((0, ONES_TWOS), (0, 0)))
-        out.parent_discount = discount(*special.get((0, PARENT_ONES_TWOS), (0, 0)))
-        out.vocabulary = int(special.get((0, SIZES), (0, 0))[0])
-    else:
-        out.discount, out.parent_discount, out.vocabulary = totals.discount, totals.parent_discount, totals.vocabulary
-    for i in range(n):
-        at = k == -10 - i
-        words = c[at].view(np.uint64)
-        many = t[at].astype(np.int64)
-        seats = first_tables(many, np.full(len(many), (THETA + out.parent_discount * out.vocabulary) * out.base), out.parent_discount, np.random.default_rng([11, i]))
-        more = special.get((i, PARENT), (0, 0))
-        out.split_customers.append({int(w): int(n_) for w, n_ in zip(words, many, strict=True)})
-        out.split_tables.append({int(w): int(n_) for w, n_ in zip(words, seats, strict=True)})
-        out.parent_tables.append(more[0] + seats.sum())
-        out.parent_customers.append(more[1] + many.sum())
-    return out
+    def run(body: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for row in body.to_pylist():
+            s, rng = Shard(row, layout), np.random.default_rng([7, row["shard"]])
+            s.hear(answers.to_pylist(), model)
+            s.begin(rng)
+            for _ in range(BURN_IN):
+                s.sweep(rng)
+            out += [s.state(), *s.questions(s.customers(s.tables), s.parent.tables, [*s.draws(rng), *s.pair_totals(s.tables)])]
+        return table_of(out, STATE)
+
+    return bodies.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(run, STATE)
 
 
-def joined(a: Totals, b: Totals) -> Totals:
-    """Rounds of a, then of b."""
-    return Totals(a.customers, a.tables + b.tables, a.parent_customers + b.parent_customers, a.parent_tables + b.parent_tables, a.split_customers + b.split_customers, a.split_tables + b.split_tables, a.discount, a.parent_discount, a.vocabulary)
+ANSWER = "chunk long, shard int, logs binary, counts binary"
 
 
-# ---- answers and scores ----------------------------------------------------------------------------------------------
+def answered(bodies: DataFrame, told: DataFrame, layout: Layout, model: Model) -> DataFrame:
+    """For each chunk's triples in a shard the log10 of the mean probability over the samples, and their words' counts."""
 
-ANSWER_SCHEMA = "chunk long, shard int, word_count binary, customers binary, parent_tables binary, count binary, tables binary, sums array<struct<k:int,context:long,tables:double,customers:double>>"
-_ANSWER_ARROW = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), *[(n, pa.binary()) for n in ("word_count", "customers", "parent_tables", "count", "tables")], ("sums", pa.list_(pa.struct(list(_SUMS))))])
+    def run(body: pa.Table, answers: pa.Table) -> pa.Table:
+        schema, out = arrow(ANSWER), []
+        rows = answers.to_pylist()
+        for row in body.to_pylist():
+            s, rng = Shard(row, layout), np.random.default_rng([8, row["shard"]])
+            s.hear([r for r in rows if r["told"] is not None], model)
+            s.resume(next(r for r in rows if r["seat_dish"] is not None))
+            p = np.zeros(len(s.count))
+            for _ in range(SAMPLES):
+                s.sweep(rng)
+                p += s.predictive() / SAMPLES
+            logs = np.log10(p).astype(np.float32)
+            place = np.cumsum(unpacked(row["places"], np.int32), dtype=np.int64)
+            made, at = [], 0
+            for chunk, n in zip(row["chunks"], row["sizes"], strict=True):
+                here = place[at : at + n]
+                at += n
+                # Counts once a word: the chunk knows which triples have which word, and words are in the same order there.
+                made.append({"chunk": chunk, "shard": row["shard"], "logs": packed(logs[here]), "counts": packed(s.word_count[np.unique(s.w[here])])})
+            out.append(batch_of(made, schema))
+        return pa.Table.from_batches(out, schema=schema)
 
+    return bodies.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(run, ANSWER)
 
-SCORE_SCHEMA = "doc_id long, trained boolean, n_tokens long, n_known long, base_score double, score double"
-_SCORE_ARROW = pa.schema([("doc_id", pa.int64()), ("trained", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
+SCORE = "row long, doc_id long, trained boolean, n_tokens long, n_known long, base_score double, score double"
 
-def scored(chunked: DataFrame, answered: DataFrame, told, layout: Layout, n_trained: int, rounds: int, samples: int) -> DataFrame:
-    """Scores of all documents of the chunks."""
 
-    def score(chunk: pa.Table, answer: pa.Table) -> pa.Table:
-        totals: Totals = told.value
+def scored(chunked: DataFrame, answers: DataFrame, layout: Layout, model: Model) -> DataFrame:
+    """Scores of all pieces of texts."""
+
+    def run(chunk: pa.Table, answer: pa.Table) -> pa.Table:
         back = {r["shard"]: r for r in answer.to_pylist()}
         out = []
-        contexts = (THETA + totals.discount * np.array(totals.tables[rounds : rounds + samples])) / (THETA + totals.customers)
         for row in chunk.to_pylist():
-            p = Pairs(row, layout)
-            word_count = np.zeros(len(p.words), np.int64)
-            seated = np.zeros((2, samples, len(p.words)), np.int64)
-            count, tables = np.zeros(len(p.word)), np.zeros(len(p.word))
-            for s, pairs, words in p.of_shard():
-                r = back[s]
-                word_count[words] += unpacked(r["word_count"], np.int64)
-                for i, name in enumerate(("customers", "parent_tables")):
-                    seated[i][:, words] = np.cumsum(unpacked(r[name], np.int64).reshape(samples, -1), axis=0)
-                count[pairs], tables[pairs] = unpacked(r["count"], np.int64), unpacked(r["tables"], np.int64)
-            split = totals.is_split(p.words)
-            parent = [totals.parent(seated[0, i], seated[1, i], rounds + i) for i in range(samples)]
-            for i in range(samples):
-                totals.put_split(parent[i], p.words, split, rounds + i)
-            at = p.context.astype(np.int64)
-            prob = (count - totals.discount * tables / samples) / (THETA + totals.customers[at])
-            for i in range(samples):
-                prob += contexts[i][at] * parent[i][p.word] / samples
-            logs = np.log10(prob)[p.pair]
-            base = np.log10((word_count + 1) / (n_trained + totals.vocabulary + 1))[p.tokens]
-            first = np.cumsum(p.sizes) - p.sizes
-            known = (word_count > 0)[p.tokens].astype(np.int64)
-            out += zip(row["doc_ids"], row["trained"], p.sizes.tolist(), np.add.reduceat(known, first).tolist(), np.add.reduceat(base, first).tolist(), np.add.reduceat(logs, first).tolist(), strict=True)
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_SCORE_ARROW.types)], schema=_SCORE_ARROW)
-
-    texts = chunked.select("chunk", "doc_ids", "trained", "sizes", "vocab", "tokens")
-    return texts.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(score, SCORE_SCHEMA)
+            t = Triples(row, layout)
+            logs, word_count = np.zeros(len(t.w)), np.zeros(len(t.words), np.int64)
+            for s, at in t.of_shard():
+                logs[at] = unpacked(back[s]["logs"], np.float32)
+                word_count[np.unique(t.w[at])] = unpacked(back[s]["counts"], np.int64)
+            count = word_count[t.w]
+            base = np.log10((count + 1) / (model.trained + model.vocabulary + 1))
+            first = np.cumsum(t.sizes) - t.sizes
+            sums = [np.add.reduceat(x[t.triple], first) for x in ((count > 0).astype(np.int64), base, logs)]
+            out += zip(row["rows"], row["doc_ids"], row["trained"], t.sizes.tolist(), *(x.tolist() for x in sums), strict=True)
+        schema = arrow(SCORE)
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(schema.types)], schema=schema)
+
+    texts = chunked.select("chunk", "rows", "doc_ids", "trained", "sizes", "before", "vocab", "tokens")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, SCORE)
+
+
+def discount(ones: float, twos: float) -> float:
+    """The discount that counts of ones and twos speak for."""
+    return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
 def score_texts(docs: DataFrame, trained: Column, chunk_tokens: int = CHUNK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """SCORE_SCHEMA and train_tokens for every document; the model learns from rows where trained holds."""
+    """doc_id, trained, n_tokens, n_known, train_tokens, base_score and score for every document; the model learns where trained holds."""
     spark = docs.sparkSession
-    chunked, _ = stash(chunks(docs, trained, chunk_tokens), "lm-chunks")
-    n, n_trained = chunked.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_trained"), F.lit(0))).first()
-    layout = Layout(max(MIN_SHARDS, math.ceil(n / shard_tokens)))
-    least = max(SPLIT_SHARE, 1 / layout.shards) * n
-    often = chunked.select(F.explode("often").alias("o")).groupBy("o.word").agg(F.sum("o.n").alias("n")).where(F.col("n") > least)
-    layout.split = {int(np.int64(r["word"]).astype(np.uint64)): math.ceil(r["n"] * layout.shards / n) for r in often.collect()}
-    split = sorted(layout.split)
-    shards, shards_path = stash(sent(chunked, layout).groupBy("shard").applyInArrow(merge, SHARD_SCHEMA), "lm-shards")
-    start = collected(summed(swept(shards, None, [], split)), 1, None)
-    burnt = collected(summed(swept(shards, start, [BURN_IN], split)).where(last_of(BURN_IN)), BURN_IN, start)
-    for x in (burnt.tables, burnt.parent_customers, burnt.parent_tables, burnt.split_customers, burnt.split_tables):
-        del x[:-1]  # the last sweep of the burn-in is what the next round goes by
-    rounds = [BURN_IN, SAMPLES]
-    told = joined(start, burnt)
-    passed, _ = stash(swept(shards, told, rounds, split, answer=True), "lm-answers")
-    drop_path(spark, shards_path)
-    told = joined(told, collected(summed(passed), SAMPLES, start))
-    shared = spark.sparkContext.broadcast(told)
-    out = scored(chunked, passed.where("chunk is not null").drop("sums"), shared, layout, n_trained, len(rounds), SAMPLES)
-    return out.withColumn("train_tokens", F.lit(n_trained).cast("long"))
-
-
-def last_of(sweeps: int) -> Column:
-    """Only what the last sweep gives."""
-    return F.col("k").isin(sweeps - 1, -10 - (sweeps - 1))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunked = Bucketed(chunks(docs, trained, chunk_tokens), "lm_chunks", ["chunk"], buckets)
+    n, n_trained = (int(x) for x in chunked.rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_trained"), F.lit(0))).first())
+    shards = max(MIN_SHARDS, math.ceil(n / shard_tokens))
+    often = {k: v[0] for k, v in total(chunked.rows.select("sums")).items() if v[0] > max(SPLIT_SHARE, 1 / shards) * n}
+    parts = lambda what: {k & 0xFFFFFFFFFFFFFFFF: math.ceil(c * shards / n) for (w, k), c in often.items() if w == what}
+    layout = Layout(shards, parts(OFTEN), parts(OFTEN_PAIR))
+
+    with setting(spark, "spark.sql.shuffle.partitions", str(buckets)):
+        merged = Bucketed(sent(chunked.rows, layout).repartition(buckets, "shard").groupBy("shard").applyInArrow(lambda t: table_of(merged_rows(t.to_pylist(), layout), SHARD), SHARD), "lm_shards", ["shard"], buckets)
+    bodies, asked = merged.rows.where("targets is not null").select(*BODY), merged.rows.where("home is not null").select(*ASK)
+    first = total(merged.rows.select("sums"))
+    table = lambda sums, what, names: np.array([sums.get((what, k), (0.0, 0.0)) for k in range(len(names))]).reshape(-1, 2)
+
+    told, told_path = stash(homes(asked, None), "lm-told")
+    known = total(told.select("sums"))
+    model = Model(
+        {k: discount(*(known if k == 1 else first).get((ONES, k), (0, 0))) for k in (1, 2, 3)}, dict.fromkeys((1, 2, 3), 1.0), int(known.get((SIZES, 0), (0, 0))[0]), n_trained,
+        *known.get((ROOT, 0), (0.0, 0.0)), table(known, SPLIT, layout.words), table(first, SPLIT_PAIR, layout.pairs),
+    )
+    stood, stood_path = stash(burnt(bodies, told.where("shard >= 0").drop("sums"), layout, model), "lm-burnt")
+    second = total(stood.select("sums"))
+    rng = np.random.default_rng(13)
+    for level in (2, 3):
+        heads, logs = second.get((DRAWN, level), (0.0, 0.0))
+        model.theta[level] = max(float(rng.gamma(1 + heads, 1 / (1 + logs))), 1e-6)
+    model.split_pairs = table(second, SPLIT_PAIR, layout.pairs)
+    again, again_path = stash(homes(stood.where("home is not null").select(*ASK), model), "lm-told")
+    known = total(again.select("sums"))
+    model.root_tables, model.root_customers = known.get((ROOT, 0), (0.0, 0.0))
+    model.split = table(known, SPLIT, layout.words)
+    back = again.where("shard >= 0").drop("sums").unionByName(stood.where("seat_dish is not null").select(*KEPT), allowMissingColumns=True)
+    with setting(spark, "spark.sql.shuffle.partitions", str(buckets)):
+        out, _ = stash(scored(chunked.rows, answered(bodies, back, layout, model), layout, model), "lm-scores")
+    for path in (told_path, stood_path, again_path):
+        drop_path(spark, path)
+    merged.drop(), chunked.drop()
+    whole = out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("trained").alias("trained"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    return whole.drop("row").withColumn("train_tokens", F.lit(n_trained).cast("long"))
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

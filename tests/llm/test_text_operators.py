@@ -407,20 +407,6 @@ def test_lm_scores(spark, chunk, shard):
     assert model > 0.8 * base  # the order of words tells much here
 
 
-def test_lm_is_a_distribution():
-    """The parent's probabilities of all words and of an unknown one sum to 1, and so do a context's over them."""
-    rng = np.random.default_rng(3)
-    tables = rng.integers(1, 4, 30)
-    customers = tables + rng.integers(0, 9, 30)
-    totals = pitman_yor.Totals(np.zeros(1), [], [float(customers.sum())], [float(tables.sum())], [{}], [{}], 0.6, 0.7, 30)
-    parent = totals.parent(np.append(customers, 0), np.append(tables, 0), 0)
-    assert parent.sum() == pytest.approx(1) and (parent > 0).all()
-    t = rng.integers(0, 3, 31)
-    c = t * rng.integers(1, 5, 31)
-    context = (c - totals.discount * t + (pitman_yor.THETA + totals.discount * t.sum()) * parent) / (pitman_yor.THETA + c.sum())
-    assert context.sum() == pytest.approx(1)
-
-
 def test_lm_is_reproducible(spark):
     from pyspark.sql import functions as F
 
@@ -458,18 +444,183 @@ def test_gibbs_moves_sample_the_posterior():
     assert abs((t.tables == 1).mean() - (1 - d) / (1 - d + new)) < 0.02
 
 
-def test_lone_customers_move_at_the_parent():
-    """Words with three contexts of one customer each: tables at the parent are as likely as the model has them."""
+def chunk_of(texts, trained):
+    """A chunk as the operator makes it, without Spark."""
+    coder, parts = pitman_yor.Coder(), []
+    first = coder[pitman_yor.BEFORE]
+    for text in texts:
+        parts.append(np.array([coder[w] for w in [*text.encode().split(), pitman_yor.END]], np.uint32))
+    vocab = np.array([pitman_yor.xxhash.xxh3_64_intdigest(w) for w in coder], np.uint64)
+    return {"chunk": 0, "rows": list(range(len(texts))), "doc_ids": list(range(len(texts))), "trained": trained, "sizes": [len(p) for p in parts], "before": np.full((len(texts), 2), first, np.uint32).tobytes(), "vocab": vocab.tobytes(), "tokens": pitman_yor.packed(np.concatenate(parts))}
+
+
+def lm_state(texts, trained, layout, model=None, sweeps=3, seed=0):
+    """All shards after some sweeps, seated against homes that were asked twice."""
+    chunk = chunk_of(texts, trained)
+    sent, rows, asked = collections.defaultdict(list), [], collections.defaultdict(list)
+    for r in pitman_yor.letters(chunk, layout):
+        sent[r["shard"]].append(r)
+    for letters in sent.values():
+        rows += pitman_yor.merged_rows(letters, layout)
+    bodies = [r for r in rows if "targets" in r]
+    for r in rows:
+        if "home" in r:
+            asked[r["home"]].append(r)
+    told, sums = collections.defaultdict(list), collections.Counter()
+    for questions in asked.values():
+        for r in pitman_yor.home_answers(questions, None):
+            told[r["shard"]].append(r)
+    for r in [*rows, *told.pop(-1)]:
+        for s in r.get("sums") or ():
+            sums[s["what"], s["key"], 0] += s["first"]
+            sums[s["what"], s["key"], 1] += s["second"]
+    pair = lambda what, k=0: (sums[what, k, 0], sums[what, k, 1])
+    if model is None:
+        model = pitman_yor.Model({1: 0.5, 2: 0.5, 3: 0.5}, {1: 1.0, 2: 1.0, 3: 1.0})
+    model.vocabulary, model.trained = int(pair(pitman_yor.SIZES)[0]), int(sum(s.sum() for s in [np.array([len(t.split()) + 1 for t, u in zip(texts, trained, strict=True) if u])]))
+    model.root_tables, model.root_customers = pair(pitman_yor.ROOT)
+    model.split = np.array([pair(pitman_yor.SPLIT, k) for k in range(len(layout.words))]).reshape(-1, 2)
+    model.split_pairs = np.array([pair(pitman_yor.SPLIT_PAIR, k) for k in range(len(layout.pairs))]).reshape(-1, 2)
+    shards = []
+    for body in bodies:
+        s, rng = pitman_yor.Shard(body, layout), np.random.default_rng([seed, body["shard"]])
+        s.hear(told[body["shard"]], model)
+        s.begin(rng)
+        for _ in range(sweeps):
+            s.sweep(rng)
+        shards.append((s, rng))
+    return chunk, shards, model
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_lm_is_a_distribution(split):
+    """After any context the probabilities of all words and of an unknown one sum to 1, with contexts split or whole."""
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    train = [" ".join(rnd.choice(words) for _ in range(rnd.randint(3, 15))) for _ in range(60)]
+    hash_of = lambda w: pitman_yor.xxhash.xxh3_64_intdigest(w.encode())
+    some = {hash_of("w1"): 2, hash_of("w2"): 3} if split else {}
+    pairs = {int(pitman_yor.pair_key(np.array([hash_of("w0")], np.uint64), np.array([hash_of("w1")], np.uint64))[0]): 2} if split else {}
+    layout = pitman_yor.Layout(4, some, pairs)
+    asked = [f"{a} {b} {w}" for a, b in (("w0", "w1"), ("w5", "w2"), ("w7", "w7"), ("zz", "w1")) for w in [*words, "unknown"]] + [f"{a} {b}" for a, b in (("w0", "w1"), ("w5", "w2"), ("w7", "w7"), ("zz", "w1"))]
+    chunk, shards, model = lm_state(train + asked, [True] * 60 + [False] * len(asked), layout)
+    t = pitman_yor.Triples(chunk, layout)
+    p = np.zeros(len(t.w))
+    by_shard = {s.row["shard"]: s for s, _ in shards}
+    for number, at in t.of_shard():
+        s = by_shard[number]
+        place = np.cumsum(pitman_yor.unpacked(s.row["places"], np.int32), dtype=np.int64)
+        p[at] = s.predictive()[place]
+    first = np.cumsum(t.sizes) - t.sizes
+    for k in range(4):
+        texts = [60 + 13 * k + i for i in range(13)]
+        at = [t.triple[first[i] + 2] for i in texts] + [t.triple[first[60 + 52 + k] + 2]]
+        # Split contexts go by totals as they were told; the rest is exact.
+        assert p[at].sum() == pytest.approx(1, abs=0.1 if split else 1e-9)
+
+
+def brute_sampler(texts, words, d, theta, sweeps, rng):
+    """One customer at a time through three levels of restaurants, with tables as lists; mean probability of each (u, v, w)."""
+    base = 1 / (words + 1)
+    rooms = collections.defaultdict(lambda: collections.defaultdict(list))
+    level = lambda c: len(c) + 1
+
+    def prob(c, w):
+        parent = prob(c[1:], w) if c else base
+        room, k = rooms[c], level(c)
+        n, t = sum(map(sum, room.values())), sum(map(len, room.values()))
+        mine = room.get(w, [])
+        return (sum(mine) - d[k] * len(mine) + (theta[k] + d[k] * t) * parent) / (theta[k] + n)
+
+    def add(c, w):
+        room, k = rooms[c], level(c)
+        tables = room[w]
+        t = sum(map(len, room.values()))
+        parent = prob(c[1:], w) if c else base
+        weights = [n - d[k] for n in tables] + [(theta[k] + d[k] * t) * parent]
+        at = rng.choices(range(len(weights)), weights)[0]
+        if at == len(tables):
+            tables.append(1)
+            if c:
+                add(c[1:], w)
+        else:
+            tables[at] += 1
+
+    def remove(c, w):
+        tables = rooms[c][w]
+        at = rng.choices(range(len(tables)), tables)[0]
+        tables[at] -= 1
+        if not tables[at]:
+            tables.pop(at)
+            if c:
+                remove(c[1:], w)
+
+    customers = []
+    for text in texts:
+        before = ("", "")
+        for w in [*text.split(), "\n"]:
+            customers.append((before, w))
+            before = (before[1], w)
+    for c, w in customers:
+        add(c, w)
+    sums = collections.Counter()
+    for k in range(sweeps):
+        for c, w in customers:
+            remove(c, w)
+            add(c, w)
+        if k >= sweeps // 4:
+            for c, w in set(customers):
+                sums[c, w] += prob(c, w) / (sweeps - sweeps // 4)
+    return sums
+
+
+def test_lm_against_a_brute_force_sampler():
+    """Mean probabilities are those of a sampler that moves one customer at a time."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(8)]
+    texts = [" ".join(rnd.choice(words[: rnd.choice([2, 4, 8])]) for _ in range(rnd.randint(2, 8))) for _ in range(40)]
+    layout = pitman_yor.Layout(1)
+    d, theta = {1: 0.4, 2: 0.5, 3: 0.6}, {1: 1.0, 2: 0.8, 3: 0.6}
+    want = brute_sampler(texts, 9, d, theta, 160, random.Random(1))
+    chunk, shards, model = lm_state(texts, [True] * len(texts), layout, pitman_yor.Model(d, theta), sweeps=10)
+    s, rng = shards[0]
+    p = np.zeros(len(s.count))
+    for _ in range(120):
+        s.sweep(rng)
+        p += s.predictive() / 120
+    t = pitman_yor.Triples(chunk, layout)
+    place = np.cumsum(pitman_yor.unpacked(s.row["places"], np.int32), dtype=np.int64)
+    names = {pitman_yor.xxhash.xxh3_64_intdigest(w.encode()): w for w in [*words, "", "\n"]}
+    got = {((names[int(t.words[u])], names[int(t.words[v])]), names[int(t.words[w])]): p[place[k]] for k, (u, v, w) in enumerate(zip(t.u, t.v, t.w, strict=True))}
+    assert got.keys() == want.keys()
+    logs = [(math.log(got[k]), math.log(want[k])) for k in want]
+    assert abs(sum(a - b for a, b in logs) / len(logs)) < 0.03
+    assert sum(abs(a - b) for a, b in logs) / len(logs) < 0.08
+
+
+def test_homes_draw_tables_of_the_posterior():
+    """Words with three customers at the root: odds of one, two and three tables are as the model has them."""
     n, d = 4000, 0.6
-    row = {"shard": 0, "words": np.arange(n, dtype=np.uint64).tobytes(), "word_count": pitman_yor.packed(np.full(n, 3)), "pair_word": pitman_yor.packed(np.diff(np.repeat(np.arange(n), 3), prepend=0).astype(np.uint32)), "pair_context": np.tile(np.arange(3, dtype=np.uint16), n).tobytes(), "pair_count": pitman_yor.packed(np.ones(3 * n, np.int64))}
-    context = np.bincount([0, 1, 2], minlength=pitman_yor.CONTEXTS + 1) * n
-    told = [3.0 * n] * 2, [1.0 * n] * 2
-    totals = pitman_yor.Totals(context, [context] * 2, *map(list, told), [{}] * 2, [{}] * 2, 0.5, d, n)
-    _, customers, tables = list(pitman_yor.Shard(row, totals).simulate([12, 1]))[-2]  # the state that the first round ends with
-    w = (pitman_yor.THETA + d * tables.sum()) * totals.base
+    model = pitman_yor.Model({1: d, 2: 0.5, 3: 0.5}, {1: 1.0, 2: 1.0, 3: 1.0}, n, 3 * n, 1.4 * n, 3.0 * n)
+    none = pitman_yor.packed(np.empty(0, np.int64))
+    row = {"shard": 0, "home": 0, "asked": np.arange(n, dtype=np.uint64).tobytes(), "told": pitman_yor.packed(np.full(n, 3)), "customers": pitman_yor.packed(np.full(n, 3)), "split_at": pitman_yor.packed(np.empty(0, np.uint32)), "split_of": pitman_yor.packed(np.empty(0, np.uint32)), "split_customers": none}
+    answer = pitman_yor.home_answers([row], model)[0]
+    w = model.opening(1, model.root_tables) * model.base
     odds = np.array([w * (1 - d) * (2 - d), 3 * w**2 * (1 - d), w**3])
-    assert (customers == 3).all()
-    assert np.allclose(np.bincount(tables, minlength=4)[1:] / n, odds / odds.sum(), atol=0.03)
+    want = (odds * [1, 2, 3]).sum() / odds.sum()
+    assert pitman_yor.unpacked(answer["tables"], np.float64).mean() == pytest.approx(want, rel=0.03)
+
+
+def test_long_texts_are_pieces(spark):
+    """A text over many chunks scores as one row, and as it does in one piece but for the order of draws."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(6)
+    texts = [(1, " ".join(f"w{rnd.randrange(30)}" for _ in range(3000))), (2, "w1 w2"), (3, "")]
+    one, many = ({r.doc_id: r for r in pitman_yor.score_texts(docs_of(spark, texts), F.lit(True), size).collect()} for size in (pitman_yor.CHUNK_TOKENS, 170))
+    for i in (1, 2, 3):
+        assert (many[i].n_tokens, many[i].n_known, many[i].train_tokens) == (one[i].n_tokens, one[i].n_known, one[i].train_tokens)
+        assert many[i].base_score == pytest.approx(one[i].base_score) and many[i].score == pytest.approx(one[i].score, rel=0.02)
 
 
 def test_a_sweep_moves_a_share_of_all_customers():
@@ -500,7 +651,7 @@ def test_batches_are_merged_against_the_runs(spark):
     """Each key is marked as new in one run, that of the batch that brought it; what later batches add is counted."""
     batches = [[(1, "a"), (2, "b")], [(3, "a"), (4, "c")], [(5, "a"), (6, "c"), (7, "d")]]
     for fanout, n_runs in ((4, 3), (2, 2)):
-        runs = line_dedup.Runs(fanout)
+        runs = line_dedup.Runs(spark, fanout)
         for rows in batches:
             runs.add(spark.createDataFrame([(ord(k), 0, i) for i, k in rows], "h1 long, h2 long, doc_id long"))
         firsts = collections.Counter(chr(r.h1) for run in runs.all() for r in run.where("is_first").collect())
