@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.shared import Bucketed, drop_path, pieces, setting, stash, utf8
 
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 2_000_000
 #: Tokens for which there is a shard.
 SHARD_TOKENS = 2_000_000
 MIN_SHARDS = 32
@@ -270,8 +270,8 @@ def sent(chunked: DataFrame, layout: Layout) -> DataFrame:
 # ---- shards ----------------------------------------------------------------------------------------------------------
 
 #: A shard's triples, what it asks homes, and where it stands; a row has one of the three.
-SHARD = f"shard int, targets binary, w binary, count binary, per_pair binary, per_word binary, contexts binary, pairs binary, chunks array<long>, sizes array<long>, places binary, home int, asked binary, told binary, customers binary, split_at binary, split_of binary, split_customers binary, sums {SUMS}"
-BODY = ("shard", "targets", "w", "count", "per_pair", "per_word", "contexts", "pairs", "chunks", "sizes", "places")
+SHARD = f"shard int, w binary, count binary, per_pair binary, per_word binary, contexts binary, pair_at binary, pair_of binary, chunks array<long>, sizes array<long>, places binary, home int, asked binary, told binary, customers binary, split_at binary, split_of binary, split_customers binary, sums {SUMS}"
+BODY = ("shard", "w", "count", "per_pair", "per_word", "contexts", "pair_at", "pair_of", "chunks", "sizes", "places", "asked")
 ASK = ("home", "shard", "asked", "told", "customers", "split_at", "split_of", "split_customers")
 
 
@@ -289,13 +289,17 @@ def merged_rows(rows: list[dict], layout: Layout) -> list[dict]:
     targets, target = np.unique(keys & 0xFFFFFFFF, return_inverse=True)
     of_word = pairs >> 32
     contexts = np.unique(of_word)
+    # Contexts of two words that are split: which they are, and their numbers in the layout.
+    split = np.flatnonzero(np.isin(words[of_word], layout.words)) if len(layout.pairs) else np.empty(0, np.int64)
+    known = pair_key(words[pairs[split] & 0xFFFFFFFF], words[of_word[split]])
+    split, known = split[np.isin(known, layout.pairs)], known[np.isin(known, layout.pairs)]
     body = {
-        "shard": rows[0]["shard"], "targets": words[targets].tobytes(), "w": packed(target.astype(np.uint32)), "count": packed(count.astype(np.uint32)), "per_pair": packed(np.bincount(keys >> 32, minlength=len(pairs)).astype(np.uint32)),
+        "shard": rows[0]["shard"], "w": packed(target.astype(np.uint32)), "count": packed(count.astype(np.uint32)), "per_pair": packed(np.bincount(keys >> 32, minlength=len(pairs)).astype(np.uint32)),
         "per_word": packed(np.bincount(np.searchsorted(contexts, of_word), minlength=len(contexts)).astype(np.uint32)), "contexts": words[contexts].tobytes(),
-        "pairs": pair_key(words[pairs & 0xFFFFFFFF], words[of_word])[np.isin(words[of_word], layout.words)].tobytes(),
+        "pair_at": packed(split.astype(np.uint32)), "pair_of": packed(np.searchsorted(layout.pairs, known).astype(np.uint32)),
         "chunks": [r["chunk"] for r in rows], "sizes": sizes, "places": packed(np.diff(place, prepend=0).astype(np.int32)),
     }
-    s = Shard(body, layout)
+    s = Shard(body, words[targets], layout)
     start = np.minimum(count, 1)
     sums = [(SIZES, 0, 0.0, count.sum()), (ONES, 3, (count == 1).sum(), (count == 2).sum())]
     came = s.customers(start)
@@ -505,9 +509,15 @@ def drawn(customers: np.ndarray, tables: np.ndarray, theta: float, discount: flo
 class Shard:
     """A shard's triples and their seating in two levels. Everything follows from the shard's rows, the model and a seed."""
 
-    def __init__(self, row: dict, layout: Layout) -> None:
-        self.row, self.layout = row, layout
-        self.targets, self.w, self.count = np.frombuffer(row["targets"], np.uint64), unpacked(row["w"], np.uint32).astype(np.int64), unpacked(row["count"], np.uint32).astype(np.int64)
+    @staticmethod
+    def of_rows(rows: list[dict], layout: Layout) -> Shard:
+        """Out of its row and its first questions, which hold its targets."""
+        asked = [np.frombuffer(r["asked"], np.uint64) for r in rows if r.get("asked") is not None]
+        return Shard(next(r for r in rows if r.get("w") is not None), np.sort(np.concatenate(asked)), layout)
+
+    def __init__(self, row: dict, targets: np.ndarray, layout: Layout) -> None:
+        self.row, self.layout, self.targets = row, layout, targets
+        self.w, self.count = unpacked(row["w"], np.uint32).astype(np.int64), unpacked(row["count"], np.uint32).astype(np.int64)
         per_pair, per_word = unpacked(row["per_pair"], np.uint32), unpacked(row["per_word"], np.uint32)
         contexts = np.frombuffer(row["contexts"], np.uint64)
         self.pair = np.repeat(np.arange(len(per_pair)), per_pair)
@@ -522,10 +532,7 @@ class Shard:
         if len(layout.words):
             at = np.flatnonzero(np.isin(contexts, layout.words))
             self.split[at] = np.searchsorted(layout.words, contexts[at])
-            if len(layout.pairs):
-                held, keys = np.flatnonzero(self.split[word_of] >= 0), np.frombuffer(row["pairs"], np.uint64)
-                known = np.isin(keys, layout.pairs)
-                self.pair_split[held[known]] = np.searchsorted(layout.pairs, keys[known])
+            self.pair_split[unpacked(row["pair_at"], np.uint32)] = unpacked(row["pair_of"], np.uint32)
         self.apart = self.split[self.of] >= 0
         self.home = layout.home(self.targets)
 
@@ -615,7 +622,12 @@ class Shard:
             self.seats.append(together.part(np.arange(at, at + len(g))))
             self.tables[g] = self.seats[-1].tables
             at += len(g)
-        self.parent = read("parent", len(self.of))
+        # A dish with one customer has one table; the others' are kept.
+        came = np.where(self.apart, 0, self.customers(self.tables))
+        kept, lone = read("parent", len(self.of)), np.flatnonzero(came == 1)
+        dish = np.concatenate([kept.dish, lone])
+        by = np.argsort(dish, kind="stable")
+        self.parent = Tables(dish[by], np.concatenate([kept.size, np.ones(len(lone), np.int64)])[by], len(self.of))
         self._told(self.customers(self.tables), self.parent.tables)
 
     def state(self) -> dict:
@@ -623,7 +635,9 @@ class Shard:
         dish = np.concatenate([s.dish + a for s, a in zip(self.seats, firsts, strict=False)]) if self.seats else np.empty(0, np.int64)
         size = np.concatenate([s.size for s in self.seats]) if self.seats else np.empty(0, np.int64)
         small = lambda x: packed(x.astype(np.uint32))
-        return {"shard": self.row["shard"], "seat_dish": small(np.diff(dish, prepend=0)), "seat_size": small(size), "parent_dish": small(np.diff(self.parent.dish, prepend=0)), "parent_size": small(self.parent.size)}
+        several = self.parent.customers[self.parent.dish] > 1
+        parent_dish, parent_size = self.parent.dish[several], self.parent.size[several]
+        return {"shard": self.row["shard"], "seat_dish": small(np.diff(dish, prepend=0)), "seat_size": small(size), "parent_dish": small(np.diff(parent_dish, prepend=0)), "parent_size": small(parent_size)}
 
     def _told(self, came: np.ndarray, tables: np.ndarray) -> None:
         """Note what of the homes' numbers is this shard's own."""
@@ -771,15 +785,13 @@ def burnt(bodies: DataFrame, told: DataFrame, layout: Layout, model: Model) -> D
     """Shards after burn-in: where they stand, and what they ask homes now."""
 
     def run(body: pa.Table, answers: pa.Table) -> pa.Table:
-        out = []
-        for row in body.to_pylist():
-            s, rng = Shard(row, layout), np.random.default_rng([7, row["shard"]])
-            s.hear(answers.to_pylist(), model)
-            s.begin(rng)
-            for _ in range(BURN_IN):
-                s.sweep(rng)
-            out += [s.state(), *s.questions(s.customers(s.tables), s.parent.tables, [*s.draws(rng), *s.pair_totals(s.tables)])]
-        return table_of(out, STATE)
+        s = Shard.of_rows(body.to_pylist(), layout)
+        rng = np.random.default_rng([7, s.row["shard"]])
+        s.hear(answers.to_pylist(), model)
+        s.begin(rng)
+        for _ in range(BURN_IN):
+            s.sweep(rng)
+        return table_of([s.state(), *s.questions(s.customers(s.tables), s.parent.tables, [*s.draws(rng), *s.pair_totals(s.tables)])], STATE)
 
     return bodies.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(run, STATE)
 
@@ -791,26 +803,23 @@ def answered(bodies: DataFrame, told: DataFrame, layout: Layout, model: Model) -
     """For each chunk's triples in a shard the log10 of the mean probability over the samples, and their words' counts."""
 
     def run(body: pa.Table, answers: pa.Table) -> pa.Table:
-        schema, out = arrow(ANSWER), []
-        rows = answers.to_pylist()
-        for row in body.to_pylist():
-            s, rng = Shard(row, layout), np.random.default_rng([8, row["shard"]])
-            s.hear([r for r in rows if r["told"] is not None], model)
-            s.resume(next(r for r in rows if r["seat_dish"] is not None))
-            p = np.zeros(len(s.count))
-            for _ in range(SAMPLES):
-                s.sweep(rng)
-                p += s.predictive() / SAMPLES
-            logs = np.log10(p).astype(np.float32)
-            place = np.cumsum(unpacked(row["places"], np.int32), dtype=np.int64)
-            made, at = [], 0
-            for chunk, n in zip(row["chunks"], row["sizes"], strict=True):
-                here = place[at : at + n]
-                at += n
-                # Counts once a word: the chunk knows which triples have which word, and words are in the same order there.
-                made.append({"chunk": chunk, "shard": row["shard"], "logs": packed(logs[here]), "counts": packed(s.word_count[np.unique(s.w[here])])})
-            out.append(batch_of(made, schema))
-        return pa.Table.from_batches(out, schema=schema)
+        rows, s = answers.to_pylist(), Shard.of_rows(body.to_pylist(), layout)
+        row, rng = s.row, np.random.default_rng([8, s.row["shard"]])
+        s.hear([r for r in rows if r["told"] is not None], model)
+        s.resume(next(r for r in rows if r["seat_dish"] is not None))
+        p = np.zeros(len(s.count))
+        for _ in range(SAMPLES):
+            s.sweep(rng)
+            p += s.predictive() / SAMPLES
+        logs = np.log10(p).astype(np.float32)
+        place = np.cumsum(unpacked(row["places"], np.int32), dtype=np.int64)
+        made, at = [], 0
+        for chunk, n in zip(row["chunks"], row["sizes"], strict=True):
+            here = place[at : at + n]
+            at += n
+            # Counts once a word: the chunk knows which triples have which word, and words are in the same order there.
+            made.append({"chunk": chunk, "shard": row["shard"], "logs": packed(logs[here]), "counts": packed(s.word_count[np.unique(s.w[here])])})
+        return table_of(made, ANSWER)
 
     return bodies.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(run, ANSWER)
 
@@ -860,7 +869,7 @@ def score_texts(docs: DataFrame, trained: Column, chunk_tokens: int = CHUNK_TOKE
 
     with setting(spark, "spark.sql.shuffle.partitions", str(buckets)):
         merged = Bucketed(sent(chunked.rows, layout).repartition(buckets, "shard").groupBy("shard").applyInArrow(lambda t: table_of(merged_rows(t.to_pylist(), layout), SHARD), SHARD), "lm_shards", ["shard"], buckets)
-    bodies, asked = merged.rows.where("targets is not null").select(*BODY), merged.rows.where("home is not null").select(*ASK)
+    bodies, asked = merged.rows.where("sums is null").select(*BODY), merged.rows.where("home is not null").select(*ASK)
     first = total(merged.rows.select("sums"))
     table = lambda sums, what, names: np.array([sums.get((what, k), (0.0, 0.0)) for k in range(len(names))]).reshape(-1, 2)
 
@@ -871,6 +880,7 @@ def score_texts(docs: DataFrame, trained: Column, chunk_tokens: int = CHUNK_TOKE
         *known.get((ROOT, 0), (0.0, 0.0)), table(known, SPLIT, layout.words), table(first, SPLIT_PAIR, layout.pairs),
     )
     stood, stood_path = stash(burnt(bodies, told.where("shard >= 0").drop("sums"), layout, model), "lm-burnt")
+    drop_path(spark, told_path)
     second = total(stood.select("sums"))
     rng = np.random.default_rng(13)
     for level in (2, 3):
@@ -884,7 +894,7 @@ def score_texts(docs: DataFrame, trained: Column, chunk_tokens: int = CHUNK_TOKE
     back = again.where("shard >= 0").drop("sums").unionByName(stood.where("seat_dish is not null").select(*KEPT), allowMissingColumns=True)
     with setting(spark, "spark.sql.shuffle.partitions", str(buckets)):
         out, _ = stash(scored(chunked.rows, answered(bodies, back, layout, model), layout, model), "lm-scores")
-    for path in (told_path, stood_path, again_path):
+    for path in (stood_path, again_path):
         drop_path(spark, path)
     merged.drop(), chunked.drop()
     whole = out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("trained").alias("trained"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])

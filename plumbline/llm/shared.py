@@ -68,14 +68,8 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
         return
 
 
-def stash(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), drop_at_exit: bool = True) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and any executor can read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
-    if drop_at_exit:
-        atexit.register(_drop_at_exit, spark, path)
-    return spark.read.schema(df.schema).parquet(path), path
+#: Shuffle files go when the write that made them is done, not when the driver happens to collect garbage.
+NO_LEFTOVERS = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 @contextmanager
@@ -89,6 +83,17 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def stash(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), drop_at_exit: bool = True) -> tuple[DataFrame, str]:
+    """Write df as Parquet in the shared folder and read it back: lineage ends here, and any executor can read it again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
+    with setting(spark, *NO_LEFTOVERS):
+        df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
+    if drop_at_exit:
+        atexit.register(_drop_at_exit, spark, path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 class Bucketed:
     """A table in the shared folder, dealt by keys into one file a bucket: what joins or groups by them needs no shuffle.
 
@@ -99,7 +104,8 @@ class Bucketed:
         self.spark, self.name = df.sparkSession, f"{name}_{uuid.uuid4().hex}".replace("-", "_")
         self.path = f"{shared_dir(self.spark)}/stash/{self.name}"
         writer = df.write.option("compression", "zstd").option("path", self.path).bucketBy(buckets, *keys)
-        (writer.sortBy(*keys) if sort else writer).saveAsTable(self.name)
+        with setting(self.spark, *NO_LEFTOVERS):
+            (writer.sortBy(*keys) if sort else writer).saveAsTable(self.name)
         atexit.register(self.drop)
 
     @property

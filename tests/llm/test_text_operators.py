@@ -462,7 +462,9 @@ def lm_state(texts, trained, layout, model=None, sweeps=3, seed=0):
         sent[r["shard"]].append(r)
     for letters in sent.values():
         rows += pitman_yor.merged_rows(letters, layout)
-    bodies = [r for r in rows if "targets" in r]
+    bodies = collections.defaultdict(list)
+    for r in rows:
+        bodies[r["shard"]].append(r)
     for r in rows:
         if "home" in r:
             asked[r["home"]].append(r)
@@ -482,12 +484,17 @@ def lm_state(texts, trained, layout, model=None, sweeps=3, seed=0):
     model.split = np.array([pair(pitman_yor.SPLIT, k) for k in range(len(layout.words))]).reshape(-1, 2)
     model.split_pairs = np.array([pair(pitman_yor.SPLIT_PAIR, k) for k in range(len(layout.pairs))]).reshape(-1, 2)
     shards = []
-    for body in bodies:
-        s, rng = pitman_yor.Shard(body, layout), np.random.default_rng([seed, body["shard"]])
-        s.hear(told[body["shard"]], model)
+    for number, body in bodies.items():
+        s, rng = pitman_yor.Shard.of_rows(body, layout), np.random.default_rng([seed, number])
+        s.hear(told[number], model)
         s.begin(rng)
         for _ in range(sweeps):
             s.sweep(rng)
+        kept = s.state()
+        again = pitman_yor.Shard.of_rows(body, layout)
+        again.hear(told[number], model)
+        again.resume(kept)
+        assert (again.tables == s.tables).all() and (again.parent.tables == s.parent.tables).all() and (again.parent.size == s.parent.size).all()
         shards.append((s, rng))
     return chunk, shards, model
 
