@@ -20,12 +20,20 @@ def fields(a: DataFrame, b: DataFrame, on: Sequence[str], value: str = "value")
 
 def tally(compared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return compared.groupBy(*by).agg(n("same"), n("changed"), n("only_a"), n("only_b"))
+    return compared.groupBy(*by).agg(n("same"), n("changed"), n("only_a"), n("only_b"), n("skipped"))
 
 
 def verdict(compared: DataFrame) -> DataFrame:
-    """One row: identical, or differing."""
-    return compared.agg(F.when(F.count_if(F.col("status") != "same") == 0, "identical").otherwise("differing").alias("verdict"))
+    """One row: differing, else not fully comparable where something was skipped, else identical."""
+    odd = F.count_if(~F.col("status").isin("same", "skipped"))
+    return compared.agg(F.when(odd > 0, "differing").when(F.count_if(F.col("status") == "skipped") > 0, "not fully comparable").otherwise("identical").alias("verdict"))
+
+
+def skipping(compared: DataFrame, arity_a: int, arity_b: int, sections: Sequence[str] = ("cells", "bands", "findings")) -> DataFrame:
+    """Between spaces of different arity geometry cannot be compared: its fields are skipped, not different."""
+    if arity_a == arity_b:
+        return compared
+    return compared.withColumn("status", F.when(F.col("section").isin(list(sections)), "skipped").otherwise(F.col("status")))
 
 
 def paired(a: DataFrame, b: DataFrame, region: str, order: str) -> DataFrame:

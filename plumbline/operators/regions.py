@@ -81,6 +81,51 @@ def union_overlap(cells: DataFrame, regions: DataFrame, keys: Sequence[str] = ()
     return out.select(*k, "cell", F.when(F.col("refused").isNull(), share).alias("overlap"))
 
 
+def sampled_overlap(cells: DataFrame, regions: DataFrame, keys: Sequence[str] = (), axes: int = 1, per_axis: int = 32) -> DataFrame:
+    """The share of the midpoints of per_axis slices of each cell that a region holds: keys, cell, overlap.
+
+    For cells whose exact share is refused; a cell's lattice is a row for each midpoint.
+    """
+    k = list(keys)
+    listed, single = _listed(regions, keys)
+    digit = lambda i: F.pmod(F.floor(F.col("_m") / F.lit(per_axis**i)), F.lit(per_axis))
+    at = F.array(*[F.get("lo", F.lit(i)) + (F.get("hi", F.lit(i)) - F.get("lo", F.lit(i))) * (digit(i) + 0.5) / per_axis for i in range(axes)])
+    rows = cells.select(*k, "cell", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(per_axis**axes - 1))).alias("_m")).select(*k, "cell", "_m", at.alias("x"))
+    holds = lambda r: F.forall(F.arrays_zip(F.col("x").alias("x"), r["lo"].alias("l"), r["hi"].alias("h")), lambda v: (v["x"] >= v["l"]) & (v["x"] <= v["h"]))
+    met = _meeting(rows, listed, keys).select(*k, "cell", "_m", F.exists("_regions", holds).cast("int").alias("_in"))
+    if not single:
+        met = met.groupBy(*k, "cell", "_m").agg(F.max("_in").alias("_in"))
+    sums = met.groupBy(*k, "cell").agg(F.sum("_in").alias("_in"))
+    return cells.select(*k, "cell").join(sums, [*k, "cell"], "left").select(*k, "cell", (F.coalesce("_in", F.lit(0)) / F.lit(per_axis**axes)).alias("overlap"))
+
+
+def volumes(cells: DataFrame, shares: DataFrame, root: tuple[Sequence[float], Sequence[float]], policy, declared: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Of each atlas: the share of the space by label, certified too coarsely or too thinly, and by label inside the regions.
+
+    shares: each cell's overlap with the union of the regions, null where that was refused; then all that is over the
+    union is null. declared: the union's share of the space (keys, declared_union), by which the certified part is read.
+    """
+    k = list(keys)
+    width = F.array(*[F.lit(h - lo) for lo, h in zip(*root, strict=True)])
+    part = F.aggregate(F.transform(F.arrays_zip(F.col("lo").alias("l"), F.col("hi").alias("h"), width.alias("w")), lambda v: (v["h"] - v["l"]) / v["w"]), F.lit(1.0), lambda acc, w: acc * w)
+    depth = F.pow(F.lit(0.5), F.col("depth").cast("double"))
+    met = cells.join(shares, [*k, "cell"]).withColumn("_v", part)
+    total = lambda cond, v=None: F.coalesce(F.sum(F.when(cond, F.col("_v") if v is None else v)), F.lit(0.0))
+    labels = {n: F.col("label") == n.upper() for n in ("trusted", "suspicious", "unknown", "provisional")}
+    sums = met.groupBy(*k).agg(
+        *[total(c).alias(f"{n}_volume") for n, c in labels.items()],
+        total(labels["trusted"] & (depth > policy.certify_share)).alias("coarse_certified_volume"),
+        total(labels["trusted"] & (F.col("samples") / depth < policy.certify_density)).alias("thin_certified_volume"),
+        *[total(c, F.col("_v") * F.col("overlap")).alias(f"_{n}") for n, c in labels.items()],
+        F.count_if(F.col("overlap").isNull()).alias("refusals"),
+    )
+    over = [F.when(F.col("refusals") == 0, F.col(f"_{n}")).alias(f"{n}_over_true_union") for n in labels]
+    out = sums.select(*k, *[f"{n}_volume" for n in labels], "coarse_certified_volume", "thin_certified_volume", "refusals", *over)
+    if declared is None:
+        return out
+    return out.join(declared, k) if k else out.crossJoin(F.broadcast(declared))  # one row
+
+
 def _cuts(i: int, lo: Column, hi: Column) -> Column:
     """The bounds of the cell and those of the boxes inside it, on one axis, in order."""
     ends = F.flatten(F.transform("boxes", lambda b: F.array(F.get(b["rlo"], F.lit(i)), F.get(b["rhi"], F.lit(i)))))

@@ -118,7 +118,8 @@ def compared(spark: SparkSession, a: Archive, b: Archive) -> DataFrame:
     box = lambda x: x.tables["findings"].select(F.concat_ws(":", F.concat_ws(",", F.col("lo").cast("array<string>")), F.concat_ws(",", F.col("hi").cast("array<string>"))).alias("region"), "observation")
     found = compare.paired(box(a), box(b), "region", "observation")
     status = F.when(F.col("status") == "paired", F.when(F.col("a") == F.col("b"), "same").otherwise("changed")).otherwise(F.col("status"))
-    return rest.union(found.select(F.lit("findings"), "region", F.col("a").cast("string"), F.col("b").cast("string"), status))
+    both = rest.union(found.select(F.lit("findings"), "region", F.col("a").cast("string"), F.col("b").cast("string"), status))
+    return compare.skipping(both, len(a.model.params), len(b.model.params))
 
 
 def to_csv(cells: DataFrame, path: str, axes: Sequence[str]) -> None:
