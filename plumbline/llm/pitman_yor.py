@@ -18,15 +18,16 @@ probabilities are those of the uniform base; repeated rows and ids are scored on
 id is hashed as an empty one; extra columns are ignored; a text of any length is cut into pieces that know the two words
 before them, and is one row again in the end.
 
-How it is spread: texts become chunks of CHUNK_TOKENS tokens, coded by a vocabulary of their own. A chunk sends each
-shard its distinct triples (u, v, w) with counts. Shards are by v, so a restaurant of v and all below it are in one
-place, and only the root is shared: the root's tables of a word are kept at the word's home, which is told of the
-customers that shards send and tells their number and tables back, between burn-in and samples. A word v that is more
-than a shard's share of all tokens is split by u; its restaurant's dishes are then kept at the words' homes like the
+How it is spread: texts become chunks of CHUNK_TOKENS tokens, coded by a vocabulary of their own. Homes, to which words
+are dealt by hash, number all words, the frequent ones first, and tell chunks the numbers and training counts of theirs.
+A chunk sends each shard its distinct triples (u, v, w) with counts. Shards are by v, so a restaurant of v and all below
+it are in one place, and only the root is shared: the root's tables of a word are kept at the word's home, which is told
+of the customers that shards send and tells their number and tables back, between burn-in and samples. A word v that is
+more than a shard's share of all tokens is split by u; its restaurant's dishes are then kept at the words' homes like the
 root's, with its totals as one number; a pair (u, v) of that size is split by w in the same way. Homes and shards meet
 by joins on their numbers; the driver gets a few numbers for each level and each split context, of which there are at
-most as many as the inverse of SPLIT_SHARE. Shards and chunks are written once, dealt by their number, and read in place
-by all later steps. Everything follows from the rows and fixed seeds, so a lost task is done again alike.
+most twice as many as shards. Shards and chunks are written once, dealt by their number, and read in place by all later
+steps. Everything follows from the rows and fixed seeds, so a lost task is done again alike.
 """
 
 from __future__ import annotations
@@ -48,16 +49,15 @@ CHUNK_TOKENS = 2_000_000
 #: Tokens for which there is a shard.
 SHARD_TOKENS = 2_000_000
 MIN_SHARDS = 32
-#: Contexts with at least this share of all tokens can be split over shards; so there are at most as many as its inverse.
-SPLIT_SHARE = 1 / 65_536
-BURN_IN, SAMPLES, ROOT_SWEEPS = 2, 3, 4
+BURN_IN, SAMPLES, ROOT_SWEEPS = 2, 3, 2
+#: Shards for which there is a home of words.
+HOME_SHARDS = 4
 #: In so many steps at most a sweep moves the customers of a word in a restaurant.
 ROUNDS = 64
 
 #: The end of a text, and what stands before its first word; no word has white space or is empty.
 END, BEFORE = b"\n", b""
-START = np.uint64(xxhash.xxh3_64_intdigest(BEFORE))
-#: Bits of a word's number in a chunk.
+#: Bits of a word's place in a chunk; words of all chunks have 32-bit numbers.
 BITS = 21
 
 
@@ -91,7 +91,7 @@ def arrow(schema: str) -> pa.Schema:
 SUMS = "array<struct<what:int,key:long,first:double,second:double>>"
 _SUMS_ROW = pa.struct([("what", pa.int32()), ("key", pa.int64()), ("first", pa.float64()), ("second", pa.float64())])
 #: What a row of sums is about: words and tokens, tables and customers, counts of one and two by level, the draws for the
-#: concentrations by level, and tables and customers of split contexts, of one word and of two.
+#: concentrations by level, tables and customers of split contexts of one word and of two, and tokens of frequent contexts.
 SIZES, ROOT, ONES, DRAWN, SPLIT, SPLIT_PAIR, OFTEN, OFTEN_PAIR = range(8)
 
 
@@ -111,11 +111,11 @@ def total(df: DataFrame) -> dict[tuple[int, int], tuple[float, float]]:
 
 # ---- chunks ----------------------------------------------------------------------------------------------------------
 
-CHUNK = f"chunk long, rows array<long>, doc_ids array<long>, trained array<boolean>, sizes array<long>, before binary, vocab binary, tokens binary, n_tokens long, n_trained long, sums {SUMS}"
+CHUNK = "chunk long, rows array<long>, doc_ids array<long>, trained array<boolean>, sizes array<long>, before binary, vocab binary, tokens binary, n_tokens long, n_trained long"
 
 
 def chunks(docs: DataFrame, trained: Column, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """Documents as chunks of coded tokens; trained: whether the model learns from a row. Contexts that may be split are counted."""
+    """Documents as chunks of coded tokens; trained: whether the model learns from a row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow(CHUNK)
@@ -126,14 +126,12 @@ def chunks(docs: DataFrame, trained: Column, chunk_tokens: int = CHUNK_TOKENS) -
         def out() -> pa.RecordBatch:
             tokens = np.concatenate([p[3] for p in parts])
             vocab = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coder), np.uint64, len(coder))
-            made_row = {
+            row_of = {
                 "chunk": task + made, "rows": [p[0] for p in parts], "doc_ids": [p[1] for p in parts], "trained": [p[2] for p in parts], "sizes": [len(p[3]) for p in parts], "before": np.array([p[4] for p in parts], np.uint32).tobytes(),
                 "vocab": vocab.tobytes(), "tokens": packed(tokens), "n_tokens": len(tokens), "n_trained": sum(len(p[3]) for p in parts if p[2]),
             }
-            t = Triples(made_row, None)
-            made_row["sums"] = t.often()
             coder.clear(), parts.clear()
-            return batch_of([made_row], schema)
+            return batch_of([row_of], schema)
 
         for batch in pieces(batches):
             for doc, use, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
@@ -156,152 +154,195 @@ def chunks(docs: DataFrame, trained: Column, chunk_tokens: int = CHUNK_TOKENS) -
     return given.mapInArrow(run, CHUNK)
 
 
-def spot(words: np.ndarray, n: int) -> np.ndarray:
-    """Which of n parts a word is dealt to, apart from its home."""
-    return ((words >> np.uint64(8)) % np.uint64(n)).astype(np.int64)
+def spot(words: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which of so many parts a word is dealt to."""
+    with np.errstate(over="ignore"):
+        return ((words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % parts.astype(np.uint64)).astype(np.int64)
+
+
+def codes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's u, v and w of each token as codes, the mask of training tokens and the sizes of its pieces."""
+    tokens, before = unpacked(row["tokens"], np.uint32).astype(np.int64), np.frombuffer(row["before"], np.uint32).reshape(-1, 2).astype(np.int64)
+    sizes = np.array(row["sizes"], np.int64)
+    first = np.cumsum(sizes) - sizes
+    v, u = np.empty_like(tokens), np.empty_like(tokens)
+    v[1:], u[2:] = tokens[:-1], tokens[:-2]
+    v[first], u[first] = before[:, 1], before[:, 0]
+    long = first[sizes > 1]
+    u[long + 1] = before[sizes > 1, 1]
+    return u, v, tokens, np.repeat(np.array(row["trained"], bool), sizes), sizes
+
+
+# ---- numbers of words ----------------------------------------------------------------------------------------------------
+
+SPELLED = "home int, chunk long, words binary, counts binary, contexts binary"
+NUMBERED = f"chunk long, home int, ids binary, counts binary, sums {SUMS}"
+
+
+def home_of_hash(words: np.ndarray, homes: int) -> np.ndarray:
+    return ((words >> np.uint64(40)) % np.uint64(homes)).astype(np.int64)
+
+
+def spelling(row: dict, homes: int) -> list[dict]:
+    """A chunk's words by home, with their training counts and how often they are the word before."""
+    u, v, w, mask, _ = codes(row)
+    vocab = np.frombuffer(row["vocab"], np.uint64)
+    counts, contexts = np.bincount(w[mask], minlength=len(vocab)), np.bincount(v, minlength=len(vocab))
+    home = home_of_hash(vocab, homes)
+    by = np.argsort(home, kind="stable")
+    ends = np.searchsorted(home[by], np.arange(homes + 1))
+    return [{"home": int(h), "chunk": row["chunk"], "words": vocab[at].tobytes(), "counts": packed(counts[at]), "contexts": packed(contexts[at])} for h in np.flatnonzero(np.diff(ends)) for at in (by[ends[h] : ends[h + 1]],)]
+
+
+def numbers(rows: list[dict], homes: int, least: float) -> list[dict]:
+    """A home's answer to chunks: numbers of their words and training counts; and sums, with contexts of least tokens or more."""
+    rows = sorted(rows, key=lambda r: r["chunk"])
+    each = [np.frombuffer(r["words"], np.uint64) for r in rows]
+    words, at = np.unique(np.concatenate(each), return_inverse=True)
+    count, context = (np.bincount(at, np.concatenate([unpacked(r[n], np.int64) for r in rows]), len(words)).astype(np.int64) for n in ("counts", "contexts"))
+    home, rank = rows[0]["home"], np.empty(len(words), np.int64)
+    rank[np.argsort(-(count + context), kind="stable")] = np.arange(len(words))
+    ids = rank * homes + home
+    if ids.max() >= 1 << 32:
+        raise OverflowError("more distinct words than 32 bits number")
+    ends = np.cumsum([len(w) for w in each])
+    out = [{"chunk": r["chunk"], "home": home, "ids": packed(ids[a].astype(np.uint32)), "counts": packed(count[a])} for r, a in zip(rows, (at[b - len(w) : b] for w, b in zip(each, ends, strict=True)), strict=True)]
+    sums = [(SIZES, 0, (count > 0).sum(), count.sum()), *((OFTEN, int(ids[i]), context[i], 0.0) for i in np.flatnonzero(context > least))]
+    return [*out, {"chunk": -1, "home": home, "sums": sums_of(sums)}]
+
+
+def known(row: dict, told: list[dict], homes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and training counts of a chunk's words, in the order of its codes."""
+    vocab = np.frombuffer(row["vocab"], np.uint64)
+    by = np.argsort(home_of_hash(vocab, homes), kind="stable")
+    told = sorted((r for r in told if r["ids"] is not None), key=lambda r: r["home"])
+    ids, counts = np.empty(len(vocab), np.int64), np.empty(len(vocab), np.int64)
+    ids[by] = np.concatenate([unpacked(r["ids"], np.uint32) for r in told])
+    counts[by] = np.concatenate([unpacked(r["counts"], np.int64) for r in told])
+    return ids, counts
+
+
+def frequent_pairs(row: dict, ids: np.ndarray, layout: Layout) -> list[dict]:
+    """Pairs (u, v) of a split v with half a shard's share of the chunk's tokens at least."""
+    u, v, _, _, _ = codes(row)
+    at = np.flatnonzero(np.isin(ids, layout.words)[v])
+    keys, n = np.unique(pair_key(ids[u[at]], ids[v[at]]), return_counts=True)
+    some = n >= max(2, len(v) / layout.shards / 2)
+    return sums_of([(OFTEN_PAIR, int(k), c, 0.0) for k, c in zip(keys[some].view(np.int64), n[some], strict=True)])
+
+
+def sums_of(rows: list[tuple]) -> list[dict]:
+    return [dict(zip(("what", "key", "first", "second"), (int(a), int(b), float(c), float(d)), strict=True)) for a, b, c, d in rows]
 
 
 def pair_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """A 64-bit number of two words."""
-    with np.errstate(over="ignore"):
-        x = (np.asarray(u, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(v, np.uint64)) * np.uint64(0xD1B54A32D192ED03)
-    return x ^ (x >> np.uint64(29))
+    return np.asarray(u, np.uint64) << np.uint64(32) | np.asarray(v, np.uint64)
 
 
 @dataclass
 class Layout:
-    """Shards, and into how many parts contexts of one word (by hash) and of two (by pair_key) are split."""
+    """Shards and homes, and into how many parts contexts of one word (by number) and of two (by pair_key) are split."""
 
     shards: int
+    homes: int = 1
     split: dict[int, int] = field(default_factory=dict)
     split_pairs: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.words, self.pairs = (np.array(sorted(d), np.uint64) for d in (self.split, self.split_pairs))
+        self.words, self.pairs = np.array(sorted(self.split), np.int64), np.array(sorted(self.split_pairs), np.uint64)
 
     def home(self, words: np.ndarray) -> np.ndarray:
-        return ((words >> np.uint64(40)) % np.uint64(self.shards)).astype(np.int64)
+        return words % self.homes
 
     def shard(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        out = self.home(v)
+        out = v % self.shards
         if len(self.words):
             at = np.flatnonzero(np.isin(v, self.words))
-            parts = np.array([self.split[int(x)] for x in self.words], np.uint64)[np.searchsorted(self.words, v[at])]
-            out[at] += ((u[at] >> np.uint64(8)) % parts).astype(np.int64)
+            parts = np.array([self.split[int(x)] for x in self.words])[np.searchsorted(self.words, v[at])]
+            out[at] += spot(u[at], parts)
             if len(self.pairs):
                 key = pair_key(u[at], v[at])
                 both = np.flatnonzero(np.isin(key, self.pairs))
-                parts = np.array([self.split_pairs[int(x)] for x in self.pairs], np.uint64)[np.searchsorted(self.pairs, key[both])]
-                out[at[both]] += ((w[at[both]] >> np.uint64(8)) % parts).astype(np.int64)
+                parts = np.array([self.split_pairs[int(x)] for x in self.pairs])[np.searchsorted(self.pairs, key[both])]
+                out[at[both]] += spot(w[at[both]], parts)
         return out % self.shards
 
 
 class Triples:
-    """A chunk's distinct (u, v, w), sorted by v, u and w, and the triple of each token."""
-
-    def __init__(self, row: dict, layout: Layout | None) -> None:
-        vocab = np.frombuffer(row["vocab"], np.uint64)
-        order = np.argsort(vocab)
-        self.words = vocab[order]
-        rank = np.empty(len(vocab), np.int64)
-        rank[order] = np.arange(len(vocab))
-        tokens, before = rank[unpacked(row["tokens"], np.uint32)], rank[np.frombuffer(row["before"], np.uint32).reshape(-1, 2)]
-        self.sizes = np.array(row["sizes"], np.int64)
-        first = np.cumsum(self.sizes) - self.sizes
-        v, u = np.empty_like(tokens), np.empty_like(tokens)
-        v[1:], u[2:] = tokens[:-1], tokens[:-2]
-        v[first], u[first] = before[:, 1], before[:, 0]
-        long = first[self.sizes > 1]
-        u[long + 1] = before[self.sizes > 1, 1]
-        mask = np.repeat(np.array(row["trained"], bool), self.sizes)
-        if layout is None:
-            self.context = u[mask], v[mask]
-            return
+    """A chunk's distinct (u, v, w), sorted by v, u and w, and the triple of each token; ids: numbers of its words."""
+
+    def __init__(self, row: dict, ids: np.ndarray, layout: Layout) -> None:
+        order = np.argsort(ids)
+        self.words = ids[order]
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        u, v, self.codes, mask, self.sizes = codes(row)
         low = (1 << BITS) - 1
-        keys, self.triple = np.unique((v << 2 * BITS) | (u << BITS) | tokens, return_inverse=True)
-        self.v, self.u, self.w = keys >> 2 * BITS, (keys >> BITS) & low, keys & low
+        keys, self.triple = np.unique((rank[v] << 2 * BITS) | (rank[u] << BITS) | rank[self.codes], return_inverse=True)
+        self.v, self.u, self.w = (self.words[x] for x in (keys >> 2 * BITS, (keys >> BITS) & low, keys & low))
         self.count = np.bincount(self.triple[mask], minlength=len(keys))
-        shard = layout.shard(self.words[self.u], self.words[self.v], self.words[self.w])
-        self.by = np.argsort(shard, kind="stable")
+        shard = layout.shard(self.u, self.v, self.w)
+        self.by = np.argsort(shard.astype(np.int32), kind="stable")
         self.ends = np.searchsorted(shard[self.by], np.arange(layout.shards + 1))
 
-    def often(self) -> list[dict]:
-        """Contexts of one word and of two that are a share of SPLIT_SHARE / 2 of the chunk, with their tokens."""
-        u, v = self.context
-        least = max(2.0, len(v) * SPLIT_SHARE / 2)
-        one = np.bincount(v, minlength=len(self.words)) if len(v) else np.zeros(len(self.words), int)
-        words = np.flatnonzero(one >= least)
-        held = one[v] >= least
-        pairs, n = np.unique((v[held] << BITS) | u[held], return_counts=True)
-        pairs, n = pairs[n >= least], n[n >= least]
-        keys = pair_key(self.words[pairs & ((1 << BITS) - 1)], self.words[pairs >> BITS]).view(np.int64) if len(pairs) else []
-        return [{"what": OFTEN, "key": int(k), "first": float(c), "second": 0.0} for k, c in zip(self.words[words].view(np.int64), one[words], strict=True)] + [{"what": OFTEN_PAIR, "key": int(k), "first": float(c), "second": 0.0} for k, c in zip(keys, n, strict=True)]
-
     def of_shard(self) -> Iterator[tuple[int, np.ndarray]]:
         for s in np.flatnonzero(np.diff(self.ends)):
             yield int(s), self.by[self.ends[s] : self.ends[s + 1]]
 
 
-SENT = "shard int, chunk long, words binary, v binary, u binary, w binary, count binary"
+SENT = "shard int, chunk long, v binary, u binary, w binary, count binary"
 
 
-def letters(row: dict, layout: Layout) -> list[dict]:
-    """What a chunk sends to shards: triples by a vocabulary of their own, with training counts (0: to be scored only)."""
-    t, rows = Triples(row, layout), []
-    for s, at in t.of_shard():
-        used, number = np.unique(np.concatenate([t.v[at], t.u[at], t.w[at]]), return_inverse=True)
-        v, u, w = number.astype(np.uint32).reshape(3, -1)
-        rows.append({"shard": s, "chunk": row["chunk"], "words": t.words[used].tobytes(), "v": packed(v), "u": packed(u), "w": packed(w), "count": packed(t.count[at].astype(np.uint32))})
-    return rows
+def letters(row: dict, ids: np.ndarray, layout: Layout) -> list[dict]:
+    """What a chunk sends to shards: triples with training counts (0: to be scored only)."""
+    t, small = Triples(row, ids, layout), lambda x: packed(x.astype(np.uint32))
+    return [{"shard": s, "chunk": row["chunk"], "v": small(np.diff(t.v[at], prepend=0)), "u": small(t.u[at]), "w": small(t.w[at]), "count": small(t.count[at])} for s, at in t.of_shard()]
 
 
-def sent(chunked: DataFrame, layout: Layout) -> DataFrame:
-    """letters() of all chunks."""
+def by_chunk(chunked: DataFrame, told: DataFrame, schema: str, work) -> DataFrame:
+    """work(chunk, numbers of its words, their counts), which gives rows, for all chunks."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow(SENT)
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield batch_of(letters(row, layout), schema)
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row, answers = chunk.to_pylist()[0], answers.to_pylist()
+        return table_of(work(row, answers), schema)
 
-    return chunked.select("chunk", "trained", "sizes", "before", "vocab", "tokens").mapInArrow(run, SENT)
+    return chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)
 
 
 # ---- shards ----------------------------------------------------------------------------------------------------------
 
 #: A shard's triples, what it asks homes, and where it stands; a row has one of the three.
-SHARD = f"shard int, w binary, count binary, per_pair binary, per_word binary, contexts binary, pair_at binary, pair_of binary, chunks array<long>, sizes array<long>, places binary, home int, asked binary, told binary, customers binary, split_at binary, split_of binary, split_customers binary, sums {SUMS}"
+SHARD = f"shard int, w binary, count binary, per_pair binary, per_word binary, contexts binary, pair_at binary, pair_of binary, chunks array<long>, sizes array<long>, places binary, home int, asked binary, customers binary, split_at binary, split_of binary, split_customers binary, sums {SUMS}"
 BODY = ("shard", "w", "count", "per_pair", "per_word", "contexts", "pair_at", "pair_of", "chunks", "sizes", "places", "asked")
-ASK = ("home", "shard", "asked", "told", "customers", "split_at", "split_of", "split_customers")
+ASK = ("home", "shard", "asked", "customers", "split_at", "split_of", "split_customers")
 
 
 def merged_rows(rows: list[dict], layout: Layout) -> list[dict]:
     """One shard out of what all chunks sent to it, with where each chunk's triples are, and its first questions."""
     rows = sorted(rows, key=lambda r: r["chunk"])
-    each = [np.frombuffer(r["words"], np.uint64) for r in rows]
-    words, at = np.unique(np.concatenate(each), return_inverse=True)
-    ends = np.cumsum([len(w) for w in each])
-    v, u, w = (np.concatenate([at[b - len(x) : b][unpacked(r[name], np.uint32)] for r, x, b in zip(rows, each, ends, strict=True)]) for name in ("v", "u", "w"))
+    read = lambda name: (unpacked(r[name], np.uint32) for r in rows)
+    v, u, w = np.concatenate([np.cumsum(x, dtype=np.int64) for x in read("v")]), *(np.concatenate(list(read(n))).astype(np.int64) for n in ("u", "w"))
     pairs, pair = np.unique((v << 32) | u, return_inverse=True)
     keys, place = np.unique((pair << 32) | w, return_inverse=True)
-    count = np.bincount(place, np.concatenate([unpacked(r["count"], np.uint32) for r in rows]), len(keys)).astype(np.int64)
-    sizes = [len(unpacked(r["count"], np.uint32)) for r in rows]
+    counts = list(read("count"))
+    count, sizes = np.bincount(place, np.concatenate(counts), len(keys)).astype(np.int64), [len(c) for c in counts]
     targets, target = np.unique(keys & 0xFFFFFFFF, return_inverse=True)
     of_word = pairs >> 32
     contexts = np.unique(of_word)
     # Contexts of two words that are split: which they are, and their numbers in the layout.
-    split = np.flatnonzero(np.isin(words[of_word], layout.words)) if len(layout.pairs) else np.empty(0, np.int64)
-    known = pair_key(words[pairs[split] & 0xFFFFFFFF], words[of_word[split]])
-    split, known = split[np.isin(known, layout.pairs)], known[np.isin(known, layout.pairs)]
+    split = np.flatnonzero(np.isin(of_word, layout.words)) if len(layout.pairs) else np.empty(0, np.int64)
+    found = pair_key(pairs[split] & 0xFFFFFFFF, of_word[split])
+    split, found = split[np.isin(found, layout.pairs)], found[np.isin(found, layout.pairs)]
     body = {
         "shard": rows[0]["shard"], "w": packed(target.astype(np.uint32)), "count": packed(count.astype(np.uint32)), "per_pair": packed(np.bincount(keys >> 32, minlength=len(pairs)).astype(np.uint32)),
-        "per_word": packed(np.bincount(np.searchsorted(contexts, of_word), minlength=len(contexts)).astype(np.uint32)), "contexts": words[contexts].tobytes(),
-        "pair_at": packed(split.astype(np.uint32)), "pair_of": packed(np.searchsorted(layout.pairs, known).astype(np.uint32)),
+        "per_word": packed(np.bincount(np.searchsorted(contexts, of_word), minlength=len(contexts)).astype(np.uint32)), "contexts": packed(np.diff(contexts, prepend=0).astype(np.uint32)),
+        "pair_at": packed(split.astype(np.uint32)), "pair_of": packed(np.searchsorted(layout.pairs, found).astype(np.uint32)),
         "chunks": [r["chunk"] for r in rows], "sizes": sizes, "places": packed(np.diff(place, prepend=0).astype(np.int32)),
     }
-    s = Shard(body, words[targets], layout)
+    s = Shard(body, targets, layout)
     start = np.minimum(count, 1)
-    sums = [(SIZES, 0, 0.0, count.sum()), (ONES, 3, (count == 1).sum(), (count == 2).sum())]
+    sums = [(ONES, 3, (count == 1).sum(), (count == 2).sum())]
     came = s.customers(start)
     local = came[~s.apart]
     sums += [(ONES, 2, (local == 1).sum(), (local == 2).sum()), *s.pair_totals(start)]
@@ -512,14 +553,14 @@ class Shard:
     @staticmethod
     def of_rows(rows: list[dict], layout: Layout) -> Shard:
         """Out of its row and its first questions, which hold its targets."""
-        asked = [np.frombuffer(r["asked"], np.uint64) for r in rows if r.get("asked") is not None]
+        asked = [np.cumsum(unpacked(r["asked"], np.uint32), dtype=np.int64) for r in rows if r.get("asked") is not None]
         return Shard(next(r for r in rows if r.get("w") is not None), np.sort(np.concatenate(asked)), layout)
 
     def __init__(self, row: dict, targets: np.ndarray, layout: Layout) -> None:
         self.row, self.layout, self.targets = row, layout, targets
         self.w, self.count = unpacked(row["w"], np.uint32).astype(np.int64), unpacked(row["count"], np.uint32).astype(np.int64)
         per_pair, per_word = unpacked(row["per_pair"], np.uint32), unpacked(row["per_word"], np.uint32)
-        contexts = np.frombuffer(row["contexts"], np.uint64)
+        contexts = np.cumsum(unpacked(row["contexts"], np.uint32), dtype=np.int64)
         self.pair = np.repeat(np.arange(len(per_pair)), per_pair)
         self.n_pairs, self.n_words = len(per_pair), len(per_word)
         word_of = np.repeat(np.arange(len(per_word)), per_word)
@@ -535,6 +576,33 @@ class Shard:
             self.pair_split[unpacked(row["pair_at"], np.uint32)] = unpacked(row["pair_of"], np.uint32)
         self.apart = self.split[self.of] >= 0
         self.home = layout.home(self.targets)
+        self._sort_out()
+
+    def _sort_out(self) -> None:
+        """What can change at all: triples with several customers (many), and dishes with several in all (act).
+
+        All others have one table for each customer whatever comes; of them there are only totals.
+        """
+        whole = np.bincount(self.dish, self.count, len(self.of)).astype(np.int64)
+        self.act = np.flatnonzero(whole >= 2)
+        self.idle = ((whole == 1) & ~self.apart).astype(np.int64)
+        number = np.full(len(self.of), -1)
+        number[self.act] = np.arange(len(self.act))
+        many = np.flatnonzero(self.count >= 2)
+        kind = classes(self.count[many])
+        by = np.argsort(kind, kind="stable")
+        self.many = many[by]
+        ends = np.searchsorted(kind[by], np.arange(1, kind.max(initial=0) + 2))
+        self.slices = [slice(a, b) for a, b in zip(ends, ends[1:], strict=False) if a < b]
+        self.many_dish = number[self.dish[self.many]]
+        self.m_pairs, self.m_pair = np.unique(self.pair[self.many], return_inverse=True)
+        lone = np.flatnonzero(self.count == 1)
+        self.lone_pair = np.bincount(self.pair[lone], minlength=self.n_pairs)[self.m_pairs]
+        at = number[self.dish[lone]]
+        self.lone_dish = np.bincount(at[at >= 0], minlength=len(self.act))
+        self.a_of, self.a_apart = self.of[self.act], self.apart[self.act]
+        self.a_words, self.a_word = np.unique(self.word[self.act], return_inverse=True)
+        self.idle_of = np.bincount(self.of, self.idle, self.n_words)
 
     def customers(self, tables: np.ndarray) -> np.ndarray:
         """Customers of each of the parents' dishes, from the tables of the triples."""
@@ -555,34 +623,33 @@ class Shard:
         by = np.argsort(self.home, kind="stable")
         far = np.flatnonzero(self.apart)
         far = far[np.argsort(self.home[self.word[far]], kind="stable")]
-        ends, far_ends = (np.searchsorted(x, np.arange(self.layout.shards + 1)) for x in (self.home[by], self.home[self.word[far]]))
+        ends, far_ends = (np.searchsorted(x, np.arange(self.layout.homes + 1)) for x in (self.home[by], self.home[self.word[far]]))
         for h in np.flatnonzero(np.diff(ends)):
             mine, split = by[ends[h] : ends[h + 1]], far[far_ends[h] : far_ends[h + 1]]
             yield int(h), mine, split, np.searchsorted(mine, self.word[split])
 
     def questions(self, came: np.ndarray, tables: np.ndarray, sums: list[tuple]) -> list[dict]:
         """A row for each home, and one of sums."""
-        counts, to_root = np.bincount(self.w, self.count, len(self.targets)).astype(np.int64), self.sent_to_root(tables)
+        to_root = self.sent_to_root(tables)
         rows = [
             {
-                "shard": self.row["shard"], "home": h, "asked": self.targets[mine].tobytes(), "told": packed(counts[mine]), "customers": packed(to_root[mine]),
+                "shard": self.row["shard"], "home": h, "asked": packed(np.diff(self.targets[mine], prepend=0).astype(np.uint32)), "customers": packed(to_root[mine]),
                 "split_at": packed(at.astype(np.uint32)), "split_of": packed(self.split[self.of[far]].astype(np.uint32)), "split_customers": packed(came[far]),
             }
             for h, mine, far, at in self.by_home()
         ]
-        named = ("what", "key", "first", "second")
-        return [*rows, {"shard": self.row["shard"], "sums": [dict(zip(named, (int(a), int(b), float(c), float(d)), strict=True)) for a, b, c, d in sums]}]
+        return [*rows, {"shard": self.row["shard"], "sums": sums_of(sums)}]
 
     def hear(self, answers: list[dict], model: Model) -> None:
         """Take in what homes told of the root and of split contexts."""
         said = {r["home"]: r for r in answers}
         n = len(self.targets)
-        self.word_count, self.root_customers, self.root_tables = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+        self.root_customers, self.root_tables = np.zeros(n, np.int64), np.zeros(n)
         self.far_customers, self.far_tables = np.zeros(len(self.of), np.int64), np.zeros(len(self.of))
         for h, mine, far, _ in self.by_home():
             r = said[h]
-            self.word_count[mine], self.root_customers[mine], self.root_tables[mine] = unpacked(r["told"], np.int64), unpacked(r["customers"], np.int64), unpacked(r["tables"], np.float64)
-            self.far_customers[far], self.far_tables[far] = unpacked(r["split_customers"], np.int64), unpacked(r["split_tables"], np.float64)
+            self.root_customers[mine], self.root_tables[mine] = unpacked(r["customers"], np.int64), unpacked(r["tables"], np.uint32) / SAMPLES
+            self.far_customers[far], self.far_tables[far] = unpacked(r["split_customers"], np.int64), unpacked(r["split_tables"], np.uint32)
         self.model = model
 
     # ---- seating ----
@@ -590,175 +657,200 @@ class Shard:
     def begin(self, rng: np.random.Generator) -> None:
         """Seat all customers one after another, from the homes' first answers."""
         m = self.model
-        one = np.minimum(self.count, 1)
-        self.tables = one
-        came = self.customers(one)
-        self._told(came, np.minimum(came, 1))
-        self.parent = begun(np.where(self.apart, 0, came), self._new_parent(np.minimum(came, 1)), m.discount[2], rng)
-        many = np.flatnonzero(self.count >= 2)
-        kind = classes(self.count[many])
-        self.groups = [many[kind == c] for c in range(1, kind.max(initial=0) + 1)]
-        self.groups = [g for g in self.groups if len(g)]
-        new = self._new(many)
-        at = np.zeros(len(self.count))
-        at[many] = new
-        self.tables = one.copy()
+        self.seated = np.ones(len(self.many), np.int64)
+        came = self._came()
+        self._told(self.customers(self.tables()), np.minimum(self.customers(self.tables()), 1))
+        self.parent = begun(np.where(self.a_apart, 0, came), self._new_parent(np.minimum(came, 1)), m.discount[2], rng)
+        new = self._new(slice(None))
         self.seats = []
-        for g in self.groups:
-            self.seats.append(begun(self.count[g], at[g], m.discount[3], rng))
-            self.tables[g] = self.seats[-1].tables
+        for g in self.slices:
+            self.seats.append(begun(self.count[self.many[g]], new[g], m.discount[3], rng))
+            self.seated[g] = self.seats[-1].tables
         self._follow(rng)
 
     def resume(self, state: dict) -> None:
         """Go on from a state that was kept."""
-        many = np.flatnonzero(self.count >= 2)
-        kind = classes(self.count[many])
-        self.groups = [g for c in range(1, kind.max(initial=0) + 1) if len(g := many[kind == c])]
         read = lambda name, n: Tables(np.cumsum(unpacked(state[name + "_dish"], np.uint32), dtype=np.int64), unpacked(state[name + "_size"], np.uint32).astype(np.int64), n)
-        together = read("seat", len(many))
-        self.seats, self.tables = [], np.minimum(self.count, 1)
-        at = 0
-        for g in self.groups:
-            self.seats.append(together.part(np.arange(at, at + len(g))))
-            self.tables[g] = self.seats[-1].tables
-            at += len(g)
+        together = read("seat", len(self.many))
+        self.seats = [together.part(np.arange(g.start, g.stop)) for g in self.slices]
+        self.seated = together.tables
         # A dish with one customer has one table; the others' are kept.
-        came = np.where(self.apart, 0, self.customers(self.tables))
-        kept, lone = read("parent", len(self.of)), np.flatnonzero(came == 1)
+        came = np.where(self.a_apart, 0, self._came())
+        kept, lone = read("parent", len(self.act)), np.flatnonzero(came == 1)
         dish = np.concatenate([kept.dish, lone])
         by = np.argsort(dish, kind="stable")
-        self.parent = Tables(dish[by], np.concatenate([kept.size, np.ones(len(lone), np.int64)])[by], len(self.of))
-        self._told(self.customers(self.tables), self.parent.tables)
+        self.parent = Tables(dish[by], np.concatenate([kept.size, np.ones(len(lone), np.int64)])[by], len(self.act))
+        self._told(self.customers(self.tables()), self.parent_tables())
 
     def state(self) -> dict:
-        firsts = np.cumsum([0, *(len(g) for g in self.groups)])
-        dish = np.concatenate([s.dish + a for s, a in zip(self.seats, firsts, strict=False)]) if self.seats else np.empty(0, np.int64)
+        dish = np.concatenate([s.dish + g.start for s, g in zip(self.seats, self.slices, strict=True)]) if self.seats else np.empty(0, np.int64)
         size = np.concatenate([s.size for s in self.seats]) if self.seats else np.empty(0, np.int64)
         small = lambda x: packed(x.astype(np.uint32))
         several = self.parent.customers[self.parent.dish] > 1
         parent_dish, parent_size = self.parent.dish[several], self.parent.size[several]
         return {"shard": self.row["shard"], "seat_dish": small(np.diff(dish, prepend=0)), "seat_size": small(size), "parent_dish": small(np.diff(parent_dish, prepend=0)), "parent_size": small(parent_size)}
 
+    def tables(self) -> np.ndarray:
+        """Tables of each triple."""
+        out = np.minimum(self.count, 1)
+        out[self.many] = self.seated
+        return out
+
+    def parent_tables(self) -> np.ndarray:
+        """Tables of each of the parents' dishes, as far as they are here."""
+        out = self.idle.copy()
+        out[self.act] = self.parent.tables
+        return out
+
     def _told(self, came: np.ndarray, tables: np.ndarray) -> None:
         """Note what of the homes' numbers is this shard's own."""
-        self.mine_came, self.mine_root = came, self.sent_to_root(tables)
+        self.mine_came, self.mine_root = came[self.act], self.sent_to_root(tables)
         held = self.pair_split >= 0
-        mine = np.bincount(self.pair, self.tables, self.n_pairs)
         self.other_tables, self.pair_customers = np.zeros(self.n_pairs), np.bincount(self.pair, self.count, self.n_pairs)
         if held.any():
-            known = self.model.split_pairs[self.pair_split[held]]
-            self.other_tables[held], self.pair_customers[held] = known[:, 0] - mine[held], known[:, 1]
-
-    def _root(self, tables: np.ndarray) -> np.ndarray:
-        """The root's probability of each target, with what this shard has changed since it was told."""
-        change = self.sent_to_root(tables) - self.mine_root
-        return self.model.root(self.root_customers + change, self.root_tables, float(change.sum()))
+            told = self.model.split_pairs[self.pair_split[held]]
+            self.other_tables[held], self.pair_customers[held] = told[:, 0] - np.bincount(self.pair, self.tables(), self.n_pairs)[held], told[:, 1]
+        # Of the root: the words of dishes that can change.
+        self.a_root = self.root_customers[self.a_words], self.root_tables[self.a_words], self.mine_root[self.a_words] - self._to_root(np.zeros(len(self.act)), idle=True)
+
+    def _to_root(self, tables: np.ndarray, idle: bool = False) -> np.ndarray:
+        """Customers that dishes send the root, by word of those that can change; idle: from all others."""
+        if idle:
+            return np.bincount(self.word, self.idle, len(self.targets))[self.a_words]
+        return np.bincount(self.a_word, np.where(self.a_apart, 0, tables), len(self.a_words))
+
+    def _came(self) -> np.ndarray:
+        """Customers of each dish that can change."""
+        return self.lone_dish + np.bincount(self.many_dish, self.seated, len(self.act)).astype(np.int64)
+
+    def _root(self, tables: np.ndarray) -> tuple[np.ndarray, float]:
+        """The root's probability of each word whose dishes can change, and by how many customers the root has changed."""
+        customers, held, mine = self.a_root
+        change = self._to_root(tables) - mine
+        more = float(change.sum())
+        return self.model.root(customers + change, held, more), more
 
     def _word_totals(self, came: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tables and customers of each context of one word."""
-        t, c = np.bincount(self.of, np.where(self.apart, 0, tables), self.n_words), np.bincount(self.of, np.where(self.apart, came - self.mine_came, came), self.n_words)
+        t = self.idle_of + np.bincount(self.a_of, np.where(self.a_apart, 0, tables), self.n_words)
+        c = self.idle_of + np.bincount(self.a_of, np.where(self.a_apart, came - self.mine_came, came), self.n_words)
         held = self.split >= 0
         if held.any():
-            known = self.model.split[self.split[held]]
-            t[held] += known[:, 0]
-            c[held] += known[:, 1]
-        return t, c
-
-    def _new_parent(self, tables: np.ndarray) -> np.ndarray:
-        """The weight of a new table for each of the parents' dishes."""
-        t = np.bincount(self.of, tables, self.n_words)
-        return self.model.opening(2, t)[self.of] * self._root(tables)[self.word]
-
-    def parents(self) -> np.ndarray:
-        """The parents' predictive probability of each dish."""
-        m, came, tables = self.model, self.customers(self.tables), self.parent.tables
+            told = self.model.split[self.split[held]]
+            t[held] += told[:, 0]
+            c[held] += told[:, 1]
+        return t, np.maximum(c, 0)
+
+    def _new_parent(self, tables: np.ndarray, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The weight of a new table for some of the parents' dishes that can change."""
+        t = self.idle_of + np.bincount(self.a_of, np.where(self.a_apart, 0, tables), self.n_words)
+        return self.model.opening(2, t)[self.a_of[some]] * self._root(tables)[0][self.a_word[some]]
+
+    def _parents(self, some: np.ndarray) -> np.ndarray:
+        """The parents' predictive probability of some dishes that can change."""
+        m, came, tables = self.model, self._came(), self.parent.tables
         t, c = self._word_totals(came, tables)
-        customers = np.where(self.apart, self.far_customers + came - self.mine_came, came)
-        seated = np.maximum(customers - m.discount[2] * np.minimum(np.where(self.apart, self.far_tables, tables), customers), 0.0)
-        return (seated + m.opening(2, t)[self.of] * self._root(tables)[self.word]) / (m.theta[2] + np.maximum(c, 0))[self.of]
-
-    def _pair_tables(self) -> np.ndarray:
-        return np.bincount(self.pair, self.tables, self.n_pairs) + self.other_tables
+        far, of = self.a_apart[some], self.a_of[some]
+        customers = np.where(far, self.far_customers[self.act[some]] + came[some] - self.mine_came[some], came[some])
+        stays = np.maximum(customers - m.discount[2] * np.minimum(np.where(far, self.far_tables[self.act[some]], tables[some]), customers), 0.0)
+        return (stays + m.opening(2, t)[of] * self._root(tables)[0][self.a_word[some]]) / (m.theta[2] + c[of])
 
-    def _new(self, triples: np.ndarray) -> np.ndarray:
-        """The weight of a new table for some triples."""
-        return self.model.opening(3, self._pair_tables())[self.pair[triples]] * self.parents()[self.dish[triples]]
+    def _new(self, group: slice) -> np.ndarray:
+        """The weight of a new table for a class of triples with several customers."""
+        t = self.lone_pair + self.other_tables[self.m_pairs] + np.bincount(self.m_pair, self.seated, len(self.m_pairs))
+        return self.model.opening(3, t)[self.m_pair[group]] * self._parents(self.many_dish[group])
 
     def _follow(self, rng: np.random.Generator) -> None:
-        want = np.where(self.apart, 0, self.customers(self.tables))
-        follow(self.parent, want, self._new_parent(self.parent.tables), self.model.discount[2], rng)
+        """Customers come to the parents and leave them as tables of triples open and go."""
+        want, seats, d = np.where(self.a_apart, 0, self._came()), self.parent, self.model.discount[2]
+        changed = np.flatnonzero(want != seats.customers)
+        if not len(changed):
+            return
+        new = self._new_parent(seats.tables, changed)
+        part = seats.part(changed)
+        follow(part, want[changed], new, d, rng)
+        seats.put(changed, part)
 
     def sweep(self, rng: np.random.Generator) -> None:
         """Move every customer of every triple, then every customer of the parents."""
         m = self.model
-        for g, seats in zip(self.groups, self.seats, strict=True):
+        for g, seats in zip(self.slices, self.seats, strict=True):
             seats.stir(self._new(g), m.discount[3], rng)
-            self.tables[g] = seats.tables
+            self.seated[g] = seats.tables
             self._follow(rng)
         stir_all(self.parent, lambda: self._new_parent(self.parent.tables), m.discount[2], rng)
 
     def predictive(self) -> np.ndarray:
         """The probability of each triple's word in its context."""
-        m = self.model
-        seated = self.count - m.discount[3] * self.tables
-        return (seated + m.opening(3, self._pair_tables())[self.pair] * self.parents()[self.dish]) / (m.theta[3] + self.pair_customers)[self.pair]
+        m, tables = self.model, self.tables()
+        came, t_dish = self.customers(tables), self.parent_tables()
+        more = self._root(self.parent.tables)[1]
+        customers = self.root_customers.astype(float)
+        customers[self.a_words] += self._to_root(self.parent.tables) - self.a_root[2]
+        root = m.root(customers, self.root_tables, more)
+        t, c = self._word_totals(self._came(), self.parent.tables)
+        if self.apart.any():
+            came, t_dish = np.where(self.apart, self.far_customers, came).astype(float), np.where(self.apart, self.far_tables, t_dish)
+            came[self.act] += np.where(self.a_apart, self._came() - self.mine_came, 0)
+        stays = np.maximum(came - m.discount[2] * np.minimum(t_dish, came), 0.0)
+        parents = (stays + m.opening(2, t)[self.of] * root[self.word]) / (m.theta[2] + c)[self.of]
+        t_pair = np.bincount(self.pair, tables, self.n_pairs) + self.other_tables
+        return (self.count - m.discount[3] * tables + m.opening(3, t_pair)[self.pair] * parents[self.dish]) / (m.theta[3] + self.pair_customers)[self.pair]
 
     def draws(self, rng: np.random.Generator) -> list[tuple]:
         """Draws for the concentrations, of contexts that are here as a whole."""
-        m, whole = self.model, self.pair_split < 0
-        came = self.customers(self.tables)
-        t, c = (np.bincount(self.of, np.where(self.apart, 0, x), self.n_words) for x in (self.parent.tables, came))
-        three = drawn(self.pair_customers[whole], self._pair_tables()[whole], m.theta[3], m.discount[3], rng)
+        m, whole, tables = self.model, self.pair_split < 0, self.tables()
+        three = drawn(self.pair_customers[whole], np.bincount(self.pair, tables, self.n_pairs)[whole], m.theta[3], m.discount[3], rng)
+        t, c = (np.bincount(self.of, np.where(self.apart, 0, x), self.n_words) for x in (self.parent_tables(), self.customers(tables)))
         return [(DRAWN, 3, *three), (DRAWN, 2, *drawn(c, t, m.theta[2], m.discount[2], rng))]
 
 
 # ---- homes -----------------------------------------------------------------------------------------------------------
 
-TOLD = f"shard int, home int, told binary, customers binary, tables binary, split_customers binary, split_tables binary, sums {SUMS}"
+TOLD = f"shard int, home int, customers binary, tables binary, split_customers binary, split_tables binary, sums {SUMS}"
 
 
 def home_answers(rows: list[dict], model: Model | None) -> list[dict]:
-    """What a home answers each shard: counts, the root's customers and tables of its words, and split contexts' of theirs.
+    """What a home answers each shard: the root's customers and tables of its words, and split contexts' of theirs.
 
-    Without a model each word has one table, to start from; else tables are drawn for the customers there are.
+    Without a model each word has one table, to start from; else tables are drawn for the customers there are, SAMPLES
+    times; told is their sum.
     """
     rows = sorted(rows, key=lambda r: r["shard"])
     rng = np.random.default_rng([11, rows[0]["home"]])
-    each = [np.frombuffer(r["asked"], np.uint64) for r in rows]
+    each = [np.cumsum(unpacked(r["asked"], np.uint32), dtype=np.int64) for r in rows]
     words, at = np.unique(np.concatenate(each), return_inverse=True)
     ends = np.cumsum([len(w) for w in each])
     at = [at[b - len(w) : b] for w, b in zip(each, ends, strict=True)]
-    whole = lambda name: np.bincount(np.concatenate(at), np.concatenate([unpacked(r[name], np.int64) for r in rows]), len(words)).astype(np.int64)
-    count, root = whole("told"), whole("customers")
+    root = np.bincount(np.concatenate(at), np.concatenate([unpacked(r["customers"], np.int64) for r in rows]), len(words)).astype(np.int64)
     key = [(unpacked(r["split_of"], np.uint32).astype(np.int64) << 32) | a[unpacked(r["split_at"], np.uint32)] for r, a in zip(rows, at, strict=True)]
     dishes, dish = np.unique(np.concatenate(key), return_inverse=True)
     came = np.bincount(dish, np.concatenate([unpacked(r["split_customers"], np.int64) for r in rows]), len(dishes)).astype(np.int64)
     of, word = dishes >> 32, dishes & 0xFFFFFFFF
     if model is None:
-        far = np.minimum(came, 1).astype(float)
+        far = np.minimum(came, 1)
         root = root + np.bincount(word, far, len(words)).astype(np.int64)
-        tables = np.minimum(root, 1).astype(float)
+        tables = np.minimum(root, 1) * SAMPLES
     else:
         # Split contexts first, whose tables are customers of the root.
         p = model.root(root + np.bincount(word, np.minimum(came, 1), len(words)), np.minimum(root, 1))
         far = seated(came, model.opening(2, model.split[of, 0] if len(of) else np.zeros(0)) * p[word], model.discount[2], rng)
         root = root + np.bincount(word, far, len(words)).astype(np.int64)
-        tables = np.zeros(len(words))
+        tables = np.zeros(len(words), np.int64)
         seats = begun(root, np.full(len(words), model.opening(1, model.root_tables) * model.base), model.discount[1], rng)
         weight = np.full(len(words), model.opening(1, model.root_tables) * model.base)
         for k in range(ROOT_SWEEPS + SAMPLES):
             stir_all(seats, lambda: weight, model.discount[1], rng)
             if k >= ROOT_SWEEPS:
-                tables += seats.tables / SAMPLES
-    sums = [(SIZES, 0, (count > 0).sum(), count.sum()), (ROOT, 0, tables.sum(), root.sum()), (ONES, 1, (root == 1).sum(), (root == 2).sum())]
+                tables += seats.tables
+    sums = [(ROOT, 0, tables.sum() / SAMPLES, root.sum()), (ONES, 1, (root == 1).sum(), (root == 2).sum())]
     sums += [(SPLIT, int(k), t, c) for k, t, c in zip(np.unique(of), np.bincount(of, far)[np.unique(of)], np.bincount(of, came)[np.unique(of)], strict=True)] if len(of) else []
     out, b = [], 0
     for r, a, k in zip(rows, at, key, strict=True):
         d = dish[b : b + len(k)]
         b += len(k)
-        out.append({"shard": r["shard"], "home": r["home"], "told": packed(count[a]), "customers": packed(root[a]), "tables": packed(tables[a].astype(np.float64)), "split_customers": packed(came[d]), "split_tables": packed(np.asarray(far, np.float64)[d])})
-    named = ("what", "key", "first", "second")
-    out.append({"shard": -1, "home": rows[0]["home"], "sums": [dict(zip(named, (int(w), int(k), float(x), float(y)), strict=True)) for w, k, x, y in sums]})
+        out.append({"shard": r["shard"], "home": r["home"], "customers": packed(root[a]), "tables": packed(tables[a].astype(np.uint32)), "split_customers": packed(came[d]), "split_tables": packed(far[d].astype(np.uint32))})
+    out.append({"shard": -1, "home": rows[0]["home"], "sums": sums_of(sums)})
     return out
 
 
@@ -772,12 +864,12 @@ def seated(count: np.ndarray, new: np.ndarray, discount: float, rng: np.random.G
     seats = begun(count, new, discount, rng)
     for _ in range(sweeps):
         stir_all(seats, lambda: new, discount, rng)
-    return seats.tables.astype(float)
+    return seats.tables
 
 
 # ---- sweeps, answers and scores ---------------------------------------------------------------------------------------
 
-STATE = f"shard int, seat_dish binary, seat_size binary, parent_dish binary, parent_size binary, home int, asked binary, told binary, customers binary, split_at binary, split_of binary, split_customers binary, sums {SUMS}"
+STATE = f"shard int, seat_dish binary, seat_size binary, parent_dish binary, parent_size binary, home int, asked binary, customers binary, split_at binary, split_of binary, split_customers binary, sums {SUMS}"
 KEPT = ("shard", "seat_dish", "seat_size", "parent_dish", "parent_size")
 
 
@@ -791,21 +883,21 @@ def burnt(bodies: DataFrame, told: DataFrame, layout: Layout, model: Model) -> D
         s.begin(rng)
         for _ in range(BURN_IN):
             s.sweep(rng)
-        return table_of([s.state(), *s.questions(s.customers(s.tables), s.parent.tables, [*s.draws(rng), *s.pair_totals(s.tables)])], STATE)
+        return table_of([s.state(), *s.questions(s.customers(s.tables()), s.parent_tables(), [*s.draws(rng), *s.pair_totals(s.tables())])], STATE)
 
     return bodies.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(run, STATE)
 
 
-ANSWER = "chunk long, shard int, logs binary, counts binary"
+ANSWER = "chunk long, shard int, logs binary"
 
 
 def answered(bodies: DataFrame, told: DataFrame, layout: Layout, model: Model) -> DataFrame:
-    """For each chunk's triples in a shard the log10 of the mean probability over the samples, and their words' counts."""
+    """For each chunk's triples in a shard the log10 of the mean probability over the samples."""
 
     def run(body: pa.Table, answers: pa.Table) -> pa.Table:
         rows, s = answers.to_pylist(), Shard.of_rows(body.to_pylist(), layout)
         row, rng = s.row, np.random.default_rng([8, s.row["shard"]])
-        s.hear([r for r in rows if r["told"] is not None], model)
+        s.hear([r for r in rows if r["tables"] is not None], model)
         s.resume(next(r for r in rows if r["seat_dish"] is not None))
         p = np.zeros(len(s.count))
         for _ in range(SAMPLES):
@@ -817,8 +909,7 @@ def answered(bodies: DataFrame, told: DataFrame, layout: Layout, model: Model) -
         for chunk, n in zip(row["chunks"], row["sizes"], strict=True):
             here = place[at : at + n]
             at += n
-            # Counts once a word: the chunk knows which triples have which word, and words are in the same order there.
-            made.append({"chunk": chunk, "shard": row["shard"], "logs": packed(logs[here]), "counts": packed(s.word_count[np.unique(s.w[here])])})
+            made.append({"chunk": chunk, "shard": row["shard"], "logs": packed(logs[here])})
         return table_of(made, ANSWER)
 
     return bodies.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(run, ANSWER)
@@ -828,27 +919,20 @@ SCORE = "row long, doc_id long, trained boolean, n_tokens long, n_known long, ba
 
 
 def scored(chunked: DataFrame, answers: DataFrame, layout: Layout, model: Model) -> DataFrame:
-    """Scores of all pieces of texts."""
-
-    def run(chunk: pa.Table, answer: pa.Table) -> pa.Table:
-        back = {r["shard"]: r for r in answer.to_pylist()}
-        out = []
-        for row in chunk.to_pylist():
-            t = Triples(row, layout)
-            logs, word_count = np.zeros(len(t.w)), np.zeros(len(t.words), np.int64)
-            for s, at in t.of_shard():
-                logs[at] = unpacked(back[s]["logs"], np.float32)
-                word_count[np.unique(t.w[at])] = unpacked(back[s]["counts"], np.int64)
-            count = word_count[t.w]
-            base = np.log10((count + 1) / (model.trained + model.vocabulary + 1))
-            first = np.cumsum(t.sizes) - t.sizes
-            sums = [np.add.reduceat(x[t.triple], first) for x in ((count > 0).astype(np.int64), base, logs)]
-            out += zip(row["rows"], row["doc_ids"], row["trained"], t.sizes.tolist(), *(x.tolist() for x in sums), strict=True)
-        schema = arrow(SCORE)
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(schema.types)], schema=schema)
-
-    texts = chunked.select("chunk", "rows", "doc_ids", "trained", "sizes", "before", "vocab", "tokens")
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, SCORE)
+    """Scores of all pieces of texts; answers: of homes (numbers) and of shards (logs)."""
+
+    def work(row: dict, told: list[dict]) -> list[dict]:
+        ids, counts = known(row, told, layout.homes)
+        t, back = Triples(row, ids, layout), {r["shard"]: r["logs"] for r in told if r["logs"] is not None}
+        logs = np.zeros(len(t.w))
+        for s, at in t.of_shard():
+            logs[at] = unpacked(back[s], np.float32)
+        base = np.log10((counts + 1) / (model.trained + model.vocabulary + 1))
+        first = np.cumsum(t.sizes) - t.sizes
+        sums = [np.add.reduceat(x, first).tolist() for x in ((counts > 0).astype(np.int64)[t.codes], base[t.codes], logs[t.triple])]
+        return [dict(zip(arrow(SCORE).names, r, strict=True)) for r in zip(row["rows"], row["doc_ids"], row["trained"], t.sizes.tolist(), *sums, strict=True)]
+
+    return by_chunk(chunked, answers, SCORE, work)
 
 
 def discount(ones: float, twos: float) -> float:
@@ -863,21 +947,31 @@ def score_texts(docs: DataFrame, trained: Column, chunk_tokens: int = CHUNK_TOKE
     chunked = Bucketed(chunks(docs, trained, chunk_tokens), "lm_chunks", ["chunk"], buckets)
     n, n_trained = (int(x) for x in chunked.rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_trained"), F.lit(0))).first())
     shards = max(MIN_SHARDS, math.ceil(n / shard_tokens))
-    often = {k: v[0] for k, v in total(chunked.rows.select("sums")).items() if v[0] > max(SPLIT_SHARE, 1 / shards) * n}
-    parts = lambda what: {k & 0xFFFFFFFFFFFFFFFF: math.ceil(c * shards / n) for (w, k), c in often.items() if w == what}
-    layout = Layout(shards, parts(OFTEN), parts(OFTEN_PAIR))
-
+    layout = Layout(shards, math.ceil(shards / HOME_SHARDS))
+    with setting(spark, "spark.sql.shuffle.partitions", str(buckets)):
+        asked = chunked.rows.select("chunk", "trained", "sizes", "before", "vocab", "tokens").mapInArrow(lambda batches: (batch_of(spelling(row, layout.homes), arrow(SPELLED)) for b in batches for row in b.to_pylist()), SPELLED)
+        said = asked.groupBy("home").applyInArrow(lambda t: table_of(numbers(t.to_pylist(), layout.homes, n / shards), NUMBERED), NUMBERED)
+        numbered = Bucketed(said.repartition(buckets, "chunk"), "lm_numbers", ["chunk"], buckets)
+    sizes = total(numbered.rows.select("sums"))
+    parts = lambda sums, what, least: {k & 0xFFFFFFFFFFFFFFFF: math.ceil(v[0] * shards / n) + 1 for (w, k), v in sums.items() if w == what and v[0] > least}
+    bare = chunked.rows.select("chunk", "trained", "sizes", "before", "vocab", "tokens")
+    ids = numbered.rows.where("ids is not null").select("chunk", "home", "ids", "counts")
+    layout = Layout(shards, layout.homes, parts(sizes, OFTEN, 0))
+    if layout.split:
+        pairs = by_chunk(bare, ids, f"chunk long, sums {SUMS}", lambda row, told: [{"chunk": row["chunk"], "sums": frequent_pairs(row, known(row, told, layout.homes)[0], layout)}])
+        layout = Layout(shards, layout.homes, layout.split, parts(total(pairs), OFTEN_PAIR, n / shards / 2))
     with setting(spark, "spark.sql.shuffle.partitions", str(buckets)):
-        merged = Bucketed(sent(chunked.rows, layout).repartition(buckets, "shard").groupBy("shard").applyInArrow(lambda t: table_of(merged_rows(t.to_pylist(), layout), SHARD), SHARD), "lm_shards", ["shard"], buckets)
+        sent = by_chunk(bare, ids, SENT, lambda row, told: letters(row, known(row, told, layout.homes)[0], layout))
+        merged = Bucketed(sent.repartition(buckets, "shard").groupBy("shard").applyInArrow(lambda t: table_of(merged_rows(t.to_pylist(), layout), SHARD), SHARD), "lm_shards", ["shard"], buckets)
     bodies, asked = merged.rows.where("sums is null").select(*BODY), merged.rows.where("home is not null").select(*ASK)
     first = total(merged.rows.select("sums"))
     table = lambda sums, what, names: np.array([sums.get((what, k), (0.0, 0.0)) for k in range(len(names))]).reshape(-1, 2)
 
     told, told_path = stash(homes(asked, None), "lm-told")
-    known = total(told.select("sums"))
+    root = total(told.select("sums"))
     model = Model(
-        {k: discount(*(known if k == 1 else first).get((ONES, k), (0, 0))) for k in (1, 2, 3)}, dict.fromkeys((1, 2, 3), 1.0), int(known.get((SIZES, 0), (0, 0))[0]), n_trained,
-        *known.get((ROOT, 0), (0.0, 0.0)), table(known, SPLIT, layout.words), table(first, SPLIT_PAIR, layout.pairs),
+        {k: discount(*(root if k == 1 else first).get((ONES, k), (0, 0))) for k in (1, 2, 3)}, dict.fromkeys((1, 2, 3), 1.0), int(sizes.get((SIZES, 0), (0, 0))[0]), n_trained,
+        *root.get((ROOT, 0), (0.0, 0.0)), table(root, SPLIT, layout.words), table(first, SPLIT_PAIR, layout.pairs),
     )
     stood, stood_path = stash(burnt(bodies, told.where("shard >= 0").drop("sums"), layout, model), "lm-burnt")
     drop_path(spark, told_path)
@@ -888,15 +982,16 @@ def score_texts(docs: DataFrame, trained: Column, chunk_tokens: int = CHUNK_TOKE
         model.theta[level] = max(float(rng.gamma(1 + heads, 1 / (1 + logs))), 1e-6)
     model.split_pairs = table(second, SPLIT_PAIR, layout.pairs)
     again, again_path = stash(homes(stood.where("home is not null").select(*ASK), model), "lm-told")
-    known = total(again.select("sums"))
-    model.root_tables, model.root_customers = known.get((ROOT, 0), (0.0, 0.0))
-    model.split = table(known, SPLIT, layout.words)
+    root = total(again.select("sums"))
+    model.root_tables, model.root_customers = root.get((ROOT, 0), (0.0, 0.0))
+    model.split = table(root, SPLIT, layout.words)
     back = again.where("shard >= 0").drop("sums").unionByName(stood.where("seat_dish is not null").select(*KEPT), allowMissingColumns=True)
     with setting(spark, "spark.sql.shuffle.partitions", str(buckets)):
-        out, _ = stash(scored(chunked.rows, answered(bodies, back, layout, model), layout, model), "lm-scores")
+        logs = answered(bodies, back, layout, model).unionByName(ids, allowMissingColumns=True)
+        out, _ = stash(scored(chunked.rows.drop("n_tokens", "n_trained"), logs, layout, model), "lm-scores")
     for path in (stood_path, again_path):
         drop_path(spark, path)
-    merged.drop(), chunked.drop()
+    merged.drop(), numbered.drop(), chunked.drop()
     whole = out.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("trained").alias("trained"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return whole.drop("row").withColumn("train_tokens", F.lit(n_trained).cast("long"))
 

@@ -454,35 +454,53 @@ def chunk_of(texts, trained):
     return {"chunk": 0, "rows": list(range(len(texts))), "doc_ids": list(range(len(texts))), "trained": trained, "sizes": [len(p) for p in parts], "before": np.full((len(texts), 2), first, np.uint32).tobytes(), "vocab": vocab.tobytes(), "tokens": pitman_yor.packed(np.concatenate(parts))}
 
 
-def lm_state(texts, trained, layout, model=None, sweeps=3, seed=0):
-    """All shards after some sweeps, seated against homes that were asked twice."""
+def lm_numbers(chunk, homes=1):
+    """Numbers and counts of the chunk's words, and the sums that homes give with them."""
+    asked = collections.defaultdict(list)
+    for r in pitman_yor.spelling(chunk, homes):
+        asked[r["home"]].append(r)
+    told = [r for rows in asked.values() for r in pitman_yor.numbers(rows, homes, 1e9)]
+    sums = [s for r in told for s in r.get("sums") or ()]
+    return *pitman_yor.known(chunk, [{"ids": None} | r for r in told], homes), sums
+
+
+def lm_state(texts, trained, layout, model=None, sweeps=3, seed=0, split=(), split_pairs=()):
+    """All shards after some sweeps, seated against homes that were asked once; split: contexts, as texts."""
     chunk = chunk_of(texts, trained)
+    ids, _, counted = lm_numbers(chunk, layout.homes)
+    words = {}
+    for text in texts:
+        for w in ["", *text.split(), "\n"]:
+            words[w] = None
+    vocab = np.frombuffer(chunk["vocab"], np.uint64)
+    at = {int(h): int(i) for h, i in zip(vocab, ids, strict=True)}
+    words = {w: at[pitman_yor.xxhash.xxh3_64_intdigest(w.encode())] for w in words}
+    pair = {int(pitman_yor.pair_key(words[u], words[v])): n for (u, v), n in dict(split_pairs).items()}
+    layout = pitman_yor.Layout(layout.shards, layout.homes, {words[w]: n for w, n in dict(split).items()}, pair)
     sent, rows, asked = collections.defaultdict(list), [], collections.defaultdict(list)
-    for r in pitman_yor.letters(chunk, layout):
+    for r in pitman_yor.letters(chunk, ids, layout):
         sent[r["shard"]].append(r)
     for letters in sent.values():
         rows += pitman_yor.merged_rows(letters, layout)
     bodies = collections.defaultdict(list)
     for r in rows:
         bodies[r["shard"]].append(r)
-    for r in rows:
         if "home" in r:
             asked[r["home"]].append(r)
     told, sums = collections.defaultdict(list), collections.Counter()
     for questions in asked.values():
         for r in pitman_yor.home_answers(questions, None):
             told[r["shard"]].append(r)
-    for r in [*rows, *told.pop(-1)]:
-        for s in r.get("sums") or ():
-            sums[s["what"], s["key"], 0] += s["first"]
-            sums[s["what"], s["key"], 1] += s["second"]
-    pair = lambda what, k=0: (sums[what, k, 0], sums[what, k, 1])
+    for s in [*counted, *(s for r in [*rows, *told.pop(-1)] for s in r.get("sums") or ())]:
+        sums[s["what"], s["key"], 0] += s["first"]
+        sums[s["what"], s["key"], 1] += s["second"]
+    both = lambda what, k=0: (sums[what, k, 0], sums[what, k, 1])
     if model is None:
         model = pitman_yor.Model({1: 0.5, 2: 0.5, 3: 0.5}, {1: 1.0, 2: 1.0, 3: 1.0})
-    model.vocabulary, model.trained = int(pair(pitman_yor.SIZES)[0]), int(sum(s.sum() for s in [np.array([len(t.split()) + 1 for t, u in zip(texts, trained, strict=True) if u])]))
-    model.root_tables, model.root_customers = pair(pitman_yor.ROOT)
-    model.split = np.array([pair(pitman_yor.SPLIT, k) for k in range(len(layout.words))]).reshape(-1, 2)
-    model.split_pairs = np.array([pair(pitman_yor.SPLIT_PAIR, k) for k in range(len(layout.pairs))]).reshape(-1, 2)
+    model.vocabulary, model.trained = (int(x) for x in both(pitman_yor.SIZES))
+    model.root_tables, model.root_customers = both(pitman_yor.ROOT)
+    model.split = np.array([both(pitman_yor.SPLIT, k) for k in range(len(layout.words))]).reshape(-1, 2)
+    model.split_pairs = np.array([both(pitman_yor.SPLIT_PAIR, k) for k in range(len(layout.pairs))]).reshape(-1, 2)
     shards = []
     for number, body in bodies.items():
         s, rng = pitman_yor.Shard.of_rows(body, layout), np.random.default_rng([seed, number])
@@ -494,9 +512,10 @@ def lm_state(texts, trained, layout, model=None, sweeps=3, seed=0):
         again = pitman_yor.Shard.of_rows(body, layout)
         again.hear(told[number], model)
         again.resume(kept)
-        assert (again.tables == s.tables).all() and (again.parent.tables == s.parent.tables).all() and (again.parent.size == s.parent.size).all()
+        assert (again.tables() == s.tables()).all() and (again.parent_tables() == s.parent_tables()).all() and (again.parent.size == s.parent.size).all()
+        assert (np.where(s.a_apart, 0, s._came()) == s.parent.customers).all()
         shards.append((s, rng))
-    return chunk, shards, model
+    return pitman_yor.Triples(chunk, ids, layout), shards, {v: k for k, v in words.items()}
 
 
 @pytest.mark.parametrize("split", [False, True])
@@ -505,13 +524,9 @@ def test_lm_is_a_distribution(split):
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(12)]
     train = [" ".join(rnd.choice(words) for _ in range(rnd.randint(3, 15))) for _ in range(60)]
-    hash_of = lambda w: pitman_yor.xxhash.xxh3_64_intdigest(w.encode())
-    some = {hash_of("w1"): 2, hash_of("w2"): 3} if split else {}
-    pairs = {int(pitman_yor.pair_key(np.array([hash_of("w0")], np.uint64), np.array([hash_of("w1")], np.uint64))[0]): 2} if split else {}
-    layout = pitman_yor.Layout(4, some, pairs)
     asked = [f"{a} {b} {w}" for a, b in (("w0", "w1"), ("w5", "w2"), ("w7", "w7"), ("zz", "w1")) for w in [*words, "unknown"]] + [f"{a} {b}" for a, b in (("w0", "w1"), ("w5", "w2"), ("w7", "w7"), ("zz", "w1"))]
-    chunk, shards, model = lm_state(train + asked, [True] * 60 + [False] * len(asked), layout)
-    t = pitman_yor.Triples(chunk, layout)
+    some, pairs = ({"w1": 2, "w2": 3}, {("w0", "w1"): 2}) if split else ({}, {})
+    t, shards, _ = lm_state(train + asked, [True] * 60 + [False] * len(asked), pitman_yor.Layout(4, 2), split=some, split_pairs=pairs)
     p = np.zeros(len(t.w))
     by_shard = {s.row["shard"]: s for s, _ in shards}
     for number, at in t.of_shard():
@@ -589,16 +604,14 @@ def test_lm_against_a_brute_force_sampler():
     layout = pitman_yor.Layout(1)
     d, theta = {1: 0.4, 2: 0.5, 3: 0.6}, {1: 1.0, 2: 0.8, 3: 0.6}
     want = brute_sampler(texts, 9, d, theta, 160, random.Random(1))
-    chunk, shards, model = lm_state(texts, [True] * len(texts), layout, pitman_yor.Model(d, theta), sweeps=10)
+    t, shards, names = lm_state(texts, [True] * len(texts), layout, pitman_yor.Model(d, theta), sweeps=10)
     s, rng = shards[0]
     p = np.zeros(len(s.count))
     for _ in range(120):
         s.sweep(rng)
         p += s.predictive() / 120
-    t = pitman_yor.Triples(chunk, layout)
     place = np.cumsum(pitman_yor.unpacked(s.row["places"], np.int32), dtype=np.int64)
-    names = {pitman_yor.xxhash.xxh3_64_intdigest(w.encode()): w for w in [*words, "", "\n"]}
-    got = {((names[int(t.words[u])], names[int(t.words[v])]), names[int(t.words[w])]): p[place[k]] for k, (u, v, w) in enumerate(zip(t.u, t.v, t.w, strict=True))}
+    got = {((names[u], names[v]), names[w]): p[place[k]] for k, (u, v, w) in enumerate(zip(t.u.tolist(), t.v.tolist(), t.w.tolist(), strict=True))}
     assert got.keys() == want.keys()
     logs = [(math.log(got[k]), math.log(want[k])) for k in want]
     assert abs(sum(a - b for a, b in logs) / len(logs)) < 0.03
@@ -610,12 +623,12 @@ def test_homes_draw_tables_of_the_posterior():
     n, d = 4000, 0.6
     model = pitman_yor.Model({1: d, 2: 0.5, 3: 0.5}, {1: 1.0, 2: 1.0, 3: 1.0}, n, 3 * n, 1.4 * n, 3.0 * n)
     none = pitman_yor.packed(np.empty(0, np.int64))
-    row = {"shard": 0, "home": 0, "asked": np.arange(n, dtype=np.uint64).tobytes(), "told": pitman_yor.packed(np.full(n, 3)), "customers": pitman_yor.packed(np.full(n, 3)), "split_at": pitman_yor.packed(np.empty(0, np.uint32)), "split_of": pitman_yor.packed(np.empty(0, np.uint32)), "split_customers": none}
+    row = {"shard": 0, "home": 0, "asked": pitman_yor.packed(np.diff(np.arange(n), prepend=0).astype(np.uint32)), "customers": pitman_yor.packed(np.full(n, 3)), "split_at": pitman_yor.packed(np.empty(0, np.uint32)), "split_of": pitman_yor.packed(np.empty(0, np.uint32)), "split_customers": none}
     answer = pitman_yor.home_answers([row], model)[0]
     w = model.opening(1, model.root_tables) * model.base
     odds = np.array([w * (1 - d) * (2 - d), 3 * w**2 * (1 - d), w**3])
     want = (odds * [1, 2, 3]).sum() / odds.sum()
-    assert pitman_yor.unpacked(answer["tables"], np.float64).mean() == pytest.approx(want, rel=0.03)
+    assert pitman_yor.unpacked(answer["tables"], np.uint32).mean() / pitman_yor.SAMPLES == pytest.approx(want, rel=0.03)
 
 
 def test_long_texts_are_pieces(spark):
