@@ -18,7 +18,7 @@ from plumbline.functions import ieee
 from plumbline.functions.median import medians
 
 #: An item names so many of its offenders, the least; the functions ..._offenders give all of them, row by row.
-NAMED = 1024
+NAMED = 512
 CHANNELS = ("Behavioral", "Physical", "Numerical", "Differential", "Sensitivity")
 
 

@@ -96,11 +96,14 @@ class Stream:
     """The same draws one after the other."""
 
     def __init__(self, seed: int) -> None:
-        self.seed, self.n = seed, 0
+        self.seed, self.n, self.ahead = seed, 0, []
 
     def __call__(self) -> float:
+        at = self.n % 256
+        if at == 0:
+            self.ahead = draws(self.seed, np.arange(self.n + 1, self.n + 257)).tolist()
         self.n += 1
-        return float(draws(self.seed, np.array([self.n]))[0])
+        return self.ahead[at]
 
 
 def uniform(spark: SparkSession, n: int, axes: Sequence[Axis], seed: int) -> DataFrame:
