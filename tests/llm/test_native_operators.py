@@ -366,3 +366,40 @@ def test_pipeline(spark):
     for r in mixed:
         got[r.doc_id] += len(re.findall(WS, r.text))
     assert +want == +got
+
+
+def test_pipeline_edges(spark):
+    """All stages over nulls, repeated and empty rows, a long text and clashing columns; and over no rows."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    d = "/root/testdata/sf0.001"
+    word = ["river", "garden", "house", "window", "mountain", "letter", "morning", "teacher"]
+    rnd = random.Random(5)
+    said = lambda n: " ".join(rnd.choice(word) for _ in range(n))
+    rows = [(i, said(30), "en", "s", 1, "x", 2) for i in range(40)]
+    rows += [(50, None, None, None, None, None, None), (51, "", "en", None, 0, "x", 1), (None, said(20), "en", "s", 1, "x", 2), (3, rows[3][1], "en", "s", 1, "x", 2), (60, said(30_000), "en", "t", 1, "y", 3), (61, "!!! ???", "en", "t", 1, "y", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, Words string, `group` int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns
+        docs, _ = shared.stash(out, "test")
+    kept = docs.collect()
+    ids = [r.doc_id for r in kept]
+    assert 50 not in ids and 51 not in ids and 61 not in ids and 60 in ids and ids.count(3) == 1 and len(set(ids)) == len(ids)
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, d)
+    assert mixed.count() > 0 and {r.doc_id for r in mixed.collect()} <= set(ids)
+    docs = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, d)
+        assert docs.count() == 0
+
+
+@pytest.mark.parametrize(("n", "odd_one_stays"), [(quality.MIN_GROUP - 1, True), (quality.MIN_GROUP, False)])
+def test_quality_small_groups_lean_on_their_language(spark, n, odd_one_stays):
+    """With fewer texts than MIN_GROUP a source is judged by its language, from there on by itself."""
+    rnd = random.Random(11)
+    text = lambda k, words: " ".join("".join(rnd.choice("abcdefgh") for _ in range(k)) for _ in range(words))
+    rows = [(i, text(5, 40 + i % 9), "en", "small") for i in range(n - 1)] + [(9000, text(14, 44), "en", "small")]
+    rows += [(1000 + i, text(14, 40 + i % 9), "en", "large") for i in range(120)]
+    got = {r.doc_id: r for r in quality.report(docs_of(spark, rows)).collect()}
+    assert got[9000].kept == odd_one_stays
+    assert all(r.kept for i, r in got.items() if 1000 <= i < 9000)
