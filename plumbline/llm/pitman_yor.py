@@ -467,22 +467,6 @@ def first_tables(count: np.ndarray, new: np.ndarray, discount: float, rng: np.ra
     return tables
 
 
-def classes(count: np.ndarray) -> np.ndarray:
-    """Doubling classes of counts (0: nothing to move), so that what is stirred together takes about as many steps."""
-    return np.ceil(np.log2(np.clip(count, 1, ROUNDS + 1))).astype(np.int64)
-
-
-def first_tables(count: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """How many tables count customers open who come one after another, drawn for doubling crowds at a time."""
-    tables, seated = np.minimum(count, 1), np.minimum(count, 1)
-    while (some := np.flatnonzero(seated < count)).size:
-        crowd = np.minimum(seated[some], count[some] - seated[some])
-        odds = new[some] / np.maximum(new[some] + seated[some] - discount * tables[some], 1e-12)
-        tables[some] += rng.binomial(crowd, np.clip(odds, 0, 1))
-        seated[some] += crowd
-    return tables
-
-
 def begun(count: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> Tables:
     """A seating of count customers of each dish to start from."""
     out = Tables(np.flatnonzero(count), count[count > 0].astype(np.int64), len(count))
