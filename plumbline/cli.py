@@ -1,6 +1,7 @@
 """python -m plumbline.cli run|replay|report|compare|bench ...: a thin shell over the library.
 
-Exit codes: 0 done, 1 suspicious regions found (run) or a difference (replay, compare), 2 a model or archive that cannot be read.
+Exit codes: 0 done, 1 suspicious regions found (run), a difference (replay, compare), a fault in a corpus (bench verify,
+audit) or a refused comparison (bench e2), 2 a model, entry or archive that cannot be read.
 """
 
 from __future__ import annotations
@@ -8,14 +9,19 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Iterator
+from dataclasses import asdict, replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.lang.model import compile_model
+from plumbline.lang.model import Model, compile_model
 from plumbline.lang.syntax import ModelError
 from plumbline.operators import compare, metrics
 from plumbline.plans.campaign import Campaign, Config, plan
+from plumbline.plans.reach import crossings, duplicate_models, problems, reach
 from plumbline.sources import archive, corpus
+from plumbline.sources.protocol import AXES, Protocol
 
 
 def session() -> SparkSession:
@@ -65,25 +71,143 @@ def compare_two(a: argparse.Namespace) -> int:
     return 0 if said == "identical" else 1
 
 
-def bench(a: argparse.Namespace) -> int:
-    spark = session()
-    rows = []
-    for r in corpus.registry(spark, a.corpus).orderBy("entry").toLocalIterator():
-        truth = corpus.Truth.read(r["truth"])
+def entries(spark: SparkSession, root: str) -> Iterator[tuple[str, str, str, Model | None, corpus.Truth]]:
+    """(entry, model text, truth text, model, truth) of a corpus; no model where it is refused."""
+    for r in corpus.registry(spark, root).orderBy("entry").toLocalIterator():
         try:
             model = compile_model(r["model"])
-        except ModelError as e:
-            print(f"{r['entry']}: refused: {e}")
+        except ModelError:
+            model = None
+        yield r["entry"], r["model"], r["truth"], model, corpus.Truth.read(r["truth"])
+
+
+def outcomes_at(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/outcomes")
+
+
+def show_verdict(outcomes: DataFrame) -> None:
+    said = metrics.verdict(metrics.ladder(outcomes)).persist()
+    said.orderBy("entry", "seed").show(1000, truncate=False)
+    said.groupBy("verdict").count().orderBy("verdict").show()
+    said.unpersist()
+
+
+def bench_run(a: argparse.Namespace) -> int:
+    """Campaigns over a corpus, or one arm of a protocol; --out keeps outcomes and plan for verdict and e2."""
+    spark = session()
+    strategies, seeds, budgets, config, wanted = a.strategies, a.seeds, a.budgets, Config(), None
+    if a.protocol:
+        p = Protocol.read(text_of(spark, a.protocol))
+        arm = p.arm(a.arm)
+        strategies, seeds, budgets, wanted = p.strategies, p.seeds, p.budgets, set(p.entries)
+        config = replace(p.config, silenced=arm.silenced, policy=arm.policy)
+    rows = []
+    for entry, _, truth, model, told in entries(spark, a.corpus):
+        if wanted is not None and entry not in wanted:
             continue
-        if a.what == "verify":
-            print(r["entry"], json.dumps(corpus.verify(model, truth)))
-        elif not truth.static:
-            rows += [(r["entry"], text, r["truth"], config) for _, text, config in plan({r["entry"]: model}, a.strategies, a.seeds, a.budgets)]
-    if a.what == "run":
-        jobs = spark.createDataFrame(rows, "entry string, model string, truth string, config string").repartition(max(1, len(rows) // 4))
-        outcomes = corpus.sweep(jobs).persist()
-        outcomes.orderBy("entry", "strategy", "seed", "budget").show(1000, truncate=False)
-        metrics.verdict(metrics.ladder(outcomes)).groupBy("verdict").count().show()
+        if model is None:
+            print(f"{entry}: refused")
+        elif not told.static:
+            rows += [(entry, text, truth, c) for _, text, c in plan({entry: model}, strategies, seeds, budgets, config)]
+    if wanted is not None and (missing := wanted - {r[0] for r in rows}):
+        print(f"no model for {', '.join(sorted(missing))}", file=sys.stderr)
+        return 2
+    if not rows:
+        print("nothing to run", file=sys.stderr)
+        return 2
+    jobs = spark.createDataFrame(rows, "entry string, model string, truth string, config string").repartition(max(1, len(rows) // 4))
+    outcomes = corpus.sweep(jobs)
+    if a.out:
+        outcomes.write.parquet(f"{a.out}/outcomes")
+        outcomes = outcomes_at(spark, a.out)
+        # What an arm may not change: all but the channels it silences and its policy's axes.
+        same = {k: v for k, v in asdict(config).items() if k not in ("strategy", "seed", "budget", "silenced", "policy")}
+        same |= {k: v for k, v in asdict(config.policy).items() if k not in AXES} | {"strategies": list(strategies), "seeds": list(seeds), "budgets": list(budgets)}
+        spark.createDataFrame([(k, json.dumps(v)) for k, v in same.items()], "field string, value string").write.parquet(f"{a.out}/plan")
+    else:
+        outcomes = outcomes.persist()
+    outcomes.orderBy("entry", "strategy", "seed", "budget").show(1000, truncate=False)
+    show_verdict(outcomes)
+    return 0
+
+
+def bench_verdict(a: argparse.Namespace) -> int:
+    show_verdict(outcomes_at(session(), a.outcomes))
+    return 0
+
+
+def bench_e2(a: argparse.Namespace) -> int:
+    """The full arm against another, both as bench run left them; 1 where the comparison is refused."""
+    spark = session()
+    plans = spark.read.parquet(f"{a.full}/plan").withColumnRenamed("value", "full").join(spark.read.parquet(f"{a.arm}/plan").withColumnRenamed("value", "arm"), "field", "full")
+    control = F.col("declared_regions") == 0
+    localised = ~control & (F.col("localised_regions") == F.col("declared_regions"))
+    sides = [outcomes_at(spark, folder).withColumns({"control": control, "localised": localised}) for folder in (a.full, a.arm)]
+    rows = metrics.ablation_pairs(*sides, plans).persist()
+    rows.groupBy("status").agg(F.count("*").alias("rows"), F.avg("control_delta").alias("control_delta")).orderBy("status").show()
+    refused = rows.where("status = 'refused'").first()
+    if refused:
+        print(refused.reason)
+    return 1 if refused else 0
+
+
+def bench_list(a: argparse.Namespace) -> int:
+    for entry, _, _, model, t in entries(session(), a.corpus):
+        kind = "control" if t.control else "static" if t.static else "faulty"
+        print(entry, kind, f"{len(model.params)} inputs" if model else "refused", f"{len(t.regions)} regions", f"{len(t.boundaries)} boundaries", sep="\t")
+    return 0
+
+
+def bench_verify(a: argparse.Namespace) -> int:
+    bad = 0
+    for entry, _, _, model, t in entries(session(), a.corpus):
+        if model is not None and not t.static:
+            said = corpus.verify(model, t)
+            bad += not said["good"]
+            print(entry, json.dumps(said), sep="\t")
+    return 1 if bad else 0
+
+
+def bench_audit(a: argparse.Namespace) -> int:
+    spark = session()
+    found = [w for entry, _, _, model, t in entries(spark, a.corpus) for w in problems(entry, model, t)]
+    found += [(r["entry"], f"the same model as {r['of']}") for r in duplicate_models(corpus.registry(spark, a.corpus)).orderBy("entry").toLocalIterator()]
+    for entry, what in found:
+        print(entry, what, sep="\t")
+    return 1 if found else 0
+
+
+def bench_reach(a: argparse.Namespace) -> int:
+    for entry, _, _, model, t in entries(session(), a.corpus):
+        kind, each = reach(model, t)
+        print(entry, kind, json.dumps([asdict(e) for e in each]), sep="\t")
+    return 0
+
+
+def one_entry(spark: SparkSession, a: argparse.Namespace) -> tuple[Model, corpus.Truth] | None:
+    for entry, _, _, model, t in entries(spark, a.corpus):
+        if entry == a.entry and model is not None:
+            return model, t
+    print(f"no model for {a.entry}", file=sys.stderr)
+    return None
+
+
+def bench_scan(a: argparse.Namespace) -> int:
+    """Where rules change sides along each input, the others in the middle."""
+    if (got := one_entry(session(), a)) is None:
+        return 2
+    for k, axis in enumerate(got[0].params):
+        print(axis.name, json.dumps([] if axis.discrete else crossings(got[0], k)), sep="\t")
+    return 0
+
+
+def bench_explain(a: argparse.Namespace) -> int:
+    """One campaign on an entry: what was declared, and what was found of it."""
+    if (got := one_entry(session(), a)) is None:
+        return 2
+    c = Campaign(got[0], Config(a.strategy, a.seed, a.budget)).run()
+    declared = [{"axes": r.axes, "where": r.where, "reason": r.reason} for r in got[1].regions]
+    print(json.dumps({"declared": declared, "boundaries": got[1].boundaries, "outcome": corpus.outcome(a.entry, c, got[1]), "bands": c.space.edges(), "findings": c.findings}, indent=1))
     return 0
 
 
@@ -98,10 +222,20 @@ def main(argv: list[str] | None = None) -> int:
         for x in args:
             s.add_argument(x)
         s.set_defaults(do=do)
-    s = sub.add_parser("bench")
-    s.add_argument("what", choices=["run", "verify"]), s.add_argument("corpus")
-    s.add_argument("--strategies", nargs="+", default=["adaptive", "random", "stratified"]), s.add_argument("--seeds", nargs="+", type=int, default=[1, 2, 3]), s.add_argument("--budgets", nargs="+", type=int, default=[60, 120, 250, 500, 1000])
-    s.set_defaults(do=bench)
+    of = sub.add_parser("bench").add_subparsers(required=True)
+    for name, do, args in (
+        ("list", bench_list, ["corpus"]), ("verify", bench_verify, ["corpus"]), ("audit", bench_audit, ["corpus"]), ("reach", bench_reach, ["corpus"]), ("run", bench_run, ["corpus"]),
+        ("verdict", bench_verdict, ["outcomes"]), ("scan", bench_scan, ["corpus", "entry"]), ("explain", bench_explain, ["corpus", "entry"]), ("e2", bench_e2, ["full", "arm"]),
+    ):
+        s = of.add_parser(name)
+        for x in args:
+            s.add_argument(x)
+        s.set_defaults(do=do)
+        if name == "run":
+            s.add_argument("--strategies", nargs="+", default=["adaptive", "random", "stratified"]), s.add_argument("--seeds", nargs="+", type=int, default=[1, 2, 3]), s.add_argument("--budgets", nargs="+", type=int, default=[60, 120, 250, 500, 1000])
+            s.add_argument("--protocol"), s.add_argument("--arm"), s.add_argument("--out")
+        if name == "explain":
+            s.add_argument("--strategy", default="adaptive"), s.add_argument("--seed", type=int, default=0), s.add_argument("--budget", type=int, default=640)
     a = p.parse_args(argv)
     return a.do(a)
 
