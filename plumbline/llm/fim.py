@@ -14,10 +14,10 @@ cut by the digest of ``seed:`` alone; rows with the same id are cut alike where
 ``fill_in_middle`` passes further columns through, whatever their names, and where docs has a column with the name of one
 that it adds, the new one gets underscores in front. A text that is all one token has no inner boundary.
 
-Scale: distinct texts are shuffled once, combined on the map side, so copies of a text cost one row a task. They are
-written dealt by digest with their lists; documents come as ids and digests without texts and join there in place. Texts
-that more documents share than a fair share of a task (``FAIR`` shares a shuffle partition, so at most that many such
-texts) are handed out in as many copies as their documents need, each to a slot of documents: no task gets a hot text's
+Scale: distinct texts are shuffled once, combined on the map side, so copies of a text cost one row a task; documents come
+as ids and digests without texts and join them where they are. Digests with more documents than a fair share of a task
+(all documents by ``FAIR`` times the shuffle partitions, so there are at most that many) are counted first; their texts are
+handed out in as many copies as their documents need, each to a slot of documents: no task gets a hot text's
 documents whole, and what is broadcast is the list of these digests alone.
 """
 
@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from plumbline.llm.shared import Bucketed, buckets_of, by_batch, clear_of, pieces, stash, utf8
+from plumbline.llm.shared import buckets_of, clear_of, pieces, stash, utf8
 
 SEED = 1
 #: A text is hot when it has more documents than all documents / (FAIR * shuffle partitions).
@@ -131,40 +132,40 @@ def digest(text: Column) -> Column:
     return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
 
 
-def _coded(batch: pa.RecordBatch) -> pa.RecordBatch:
-    ends = [encode(boundaries(t.decode())) for t in utf8(batch.column(1))]
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.binary())], names=["sha", "text", "n_docs", "ends"])
+def _ends(texts: pa.Array) -> pa.Array:
+    return pa.array([encode(boundaries(t.decode())) for t in utf8(texts)], pa.binary())
 
 
-def text_index(docs: DataFrame, buckets: int | None = None) -> Bucketed:
-    """(sha, text, n_docs, ends) of every distinct text, dealt by digest.
+def text_index(docs: DataFrame) -> DataFrame:
+    """(sha, text, ends) of every distinct text, dealt by digest.
 
     A digest's group holds its distinct texts as a set, so equality is that of whole texts; two texts of one digest, which
     nobody has seen for SHA-256, would end the job rather than mix documents up.
     """
     keyed = docs.select(digest(F.col("text")).alias("sha"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = keyed.groupBy("sha").agg(F.collect_set("text").alias("texts"), F.count(F.lit(1)).alias("n_docs"))
+    grouped = keyed.groupBy("sha").agg(F.collect_set("text").alias("texts"))
     one = F.when(F.size("texts") == 1, F.get("texts", F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("different texts have the digest "), F.col("sha"))))
-    entries = grouped.select("sha", one.alias("text"), "n_docs").mapInArrow(by_batch(_coded), "sha string, text string, n_docs long, ends binary")
-    return Bucketed(entries, "fim_texts", ["sha"], buckets or buckets_of(docs.sparkSession))
-
-
-def with_entries(docs: DataFrame, index: Bucketed, sha: str, text: str, ends: str) -> DataFrame:
-    """docs, whose column sha is a text's digest, with that text and its list."""
-    spark, entries = docs.sparkSession, index.rows
-    total = entries.agg(F.sum("n_docs")).first()[0] or 0
-    fair = max(1, total // (FAIR * buckets_of(spark)))
-    copies = F.ceil(F.col("n_docs") / F.lit(fair)).cast("int")
-    taken = [*docs.columns, sha, text, ends]
-    key, n, slot = (clear_of(name, taken) for name in ("key", "n", "slot"))
-    hot = entries.where(F.col("n_docs") > fair)
-    held = entries.select(F.col("sha").alias(key), F.col("text").alias(text), F.col("ends").alias(ends))
-    marked = docs.join(F.broadcast(hot.select(F.col("sha").alias(key), copies.alias(n))), F.col(sha) == F.col(key), "left").drop(key)
-    cold = marked.where(F.col(n).isNull()).join(held.hint("merge"), F.col(sha) == F.col(key)).drop(key, n)
-    dealt = marked.where(F.col(n).isNotNull()).withColumn(slot, F.pmod(F.monotonically_increasing_id(), F.col(n)).cast("int")).drop(n)
-    slots = hot.select(F.col("sha").alias(key), F.explode(F.sequence(F.lit(0), copies - 1)).alias(f"{slot}_"), F.col("text").alias(text), F.col("ends").alias(ends))
-    warm = dealt.join(slots.hint("merge"), (F.col(sha) == F.col(key)) & (F.col(slot) == F.col(f"{slot}_"))).drop(key, slot, f"{slot}_")
-    return cold.unionByName(warm)
+    return grouped.select("sha", one.alias("text")).withColumn("ends", F.arrow_udf(_ends, BinaryType())("text"))
+
+
+def with_entries(docs: DataFrame, sha: str, text: str, ends: str) -> DataFrame:
+    """docs without its texts, but with their digests (sha), and their entries of the index: text and ends."""
+    spark, names = docs.sparkSession, docs.columns
+    key, n, slot = (clear_of(name, [*names, sha, text, ends]) for name in ("key", "n", "slot"))
+    fair = max(1, docs.count() // (FAIR * buckets_of(spark)))
+    counted = docs.groupBy(digest(F.col("text")).alias(key)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > fair)
+    hot, _ = stash(counted.select(key, F.ceil(F.col(n) / fair).cast("int").alias(n)), "fim-hot")
+    hot, held = F.broadcast(hot), digest(F.col("text")) == F.col(key)
+    entry = lambda rows: text_index(rows).select(F.col("sha").alias(key), F.col("text").alias(text), F.col("ends").alias(ends))
+    rest = [F.col(f"`{c}`") for c in names if c.lower() != "text"]
+    bare = lambda rows, *more: rows.select(*rest, digest(F.col("text")).alias(sha), *more)
+    cold = docs.join(hot, held, "left_anti")
+    cool = bare(cold).join(entry(cold).hint("merge"), F.col(sha) == F.col(key)).drop(key)
+    warm = docs.join(hot, held)
+    slots = entry(docs.join(hot, held, "left_semi")).join(hot.withColumnRenamed(key, f"{key}_"), F.col(key) == F.col(f"{key}_"))
+    slots = slots.select(key, text, ends, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(slot))
+    dealt = bare(warm, F.pmod(F.monotonically_increasing_id(), F.col(n)).cast("int").alias(n))
+    return cool.unionByName(dealt.join(slots.hint("merge"), (F.col(sha) == F.col(key)) & (F.col(n) == F.col(slot))).drop(key, n, slot))
 
 
 class _Reader:
@@ -186,8 +187,7 @@ def fill_in_middle(docs: DataFrame, seed: int = SEED) -> DataFrame:
     sha, text, ends = (clear_of(n, names) for n in ("sha", "whole", "ends"))
     made = [clear_of(n, names) for n in ("fim_n", "fim_form", "fim_prefix_chars", "fim_middle_chars")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    index = text_index(docs)
-    met = with_entries(docs.withColumn(sha, digest(F.col("text"))).withColumn("text", F.lit(None).cast("string")), index, sha, text, ends)
+    met = with_entries(docs, sha, text, ends).select(*[F.col(f"`{c}`") if k != at else F.lit(None).cast("string").alias(c) for k, c in enumerate(names)], text, ends)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader()
@@ -203,9 +203,7 @@ def fill_in_middle(docs: DataFrame, seed: int = SEED) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in told], kind) for k, kind in enumerate(kinds))], names=[*names, *made])
 
     schema = met.select(*[F.col(f"`{c}`") for c in names], *[F.lit(None).cast("string" if k == pa.string() else "long").alias(m) for m, k in zip(made, kinds, strict=True)]).schema
-    done, _ = stash(met.select(*[F.col(f"`{c}`") for c in names], text, ends).mapInArrow(run, schema), "fim-docs")
-    index.drop()
-    return done
+    return met.mapInArrow(run, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -222,12 +220,9 @@ def report(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"])
 
-    index = text_index(docs)
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("sha"))
-    met = with_entries(given, index, "sha", "text", "ends").select("doc_id", "text", "ends")
-    done, _ = stash(met.mapInArrow(run, "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string"), "fim-report")
-    index.drop()
-    return done
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    met = with_entries(given, "sha", "whole", "ends").select("doc_id", "whole", "ends")
+    return met.mapInArrow(run, "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string")
 
 
 REPORT_SQL = r"""
