@@ -1,12 +1,13 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z lower-cased; keys of at least
-``min_chars`` code points take part. A run is a table sorted by the key's 128-bit hash with the number of documents that
-hold it, the largest id among them, and whether no earlier run has the key. Each batch of documents is merged against the
-runs there are by hash: keys that no run has yet (the anti-join), marked as such, and what the batch adds to the others
-become a new run at level 0, so that of all runs exactly one has a key's mark. Whenever a level has
-``fanout`` runs they are compacted into one sorted run of the next level. At the end, documents merge-join the
-compacted run's heavy keys, and lose the lines whose key ``min_docs`` documents hold, except in the largest id.
+``min_chars`` code points take part. Documents come in batches of falling id ranges. A run is a table sorted by the key's
+128-bit hash with the number of documents that hold it and, where no earlier run has the key, the document that keeps it.
+Each batch is merged against the runs there are by hash: keys that no run has yet (the anti-join) are kept by the largest
+id of this batch, which as ranges fall is the largest of all; of keys that a run has, the batch keeps none and adds its
+count. Both become a new run at level 0. Whenever a level has ``fanout`` runs they are compacted into one sorted run of the
+next level. At the end, documents meet the compacted run's heavy keys, and lose the lines whose key ``min_docs`` documents
+hold unless they are the key's keeper.
 
 Edge cases: a null or empty text is one empty line; a document without id counts for no key and keeps all its lines;
 rows with the same id count as one document, and each of them loses or keeps its lines alike; a key that a document
@@ -15,8 +16,10 @@ give no rows; extra columns pass through ``dedup_lines``. A text that loses all
 
 Scale: runs are dealt by hash into sorted files, and batches alike: a merge reads the runs in place and shuffles the
 batch alone. Only (hash, id) pairs and the heavy keys are shuffled, plus the texts once to meet their dropped keys. Nothing
-is broadcast or collected by this code. Counts are combined on the map side, so a line that a third of all documents
-share is one row a task. Joins are sort-merge joins at every size, which AQE can split and which need no table in memory.
+is collected by this code but the bounds of id ranges. Counts are combined on the map side, so a line that a third of all
+documents share is one row a task. Keys that hold more than a fair share of a task (one in ``FAIR`` of all pairs a shuffle
+partition, so at most ``FAIR`` keys a partition can) meet their documents by broadcast, in place; all other joins are
+sort-merge joins at every size, which need no table in memory.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ import hashlib
 import struct
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import Bucketed, buckets_of, by_batch, clear_of, drop_path, pieces, setting, stash, utf8
@@ -36,6 +40,8 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 4
 FANOUT = 2
+#: A key is hot when it has more than all pairs / (FAIR * shuffle partitions).
+FAIR = 4
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _PAIR = "<qq"
@@ -67,7 +73,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class Runs:
-    """Levelled sorted runs of (h1, h2, n_docs, last_doc, is_first) in the shared folder.
+    """Levelled sorted runs of (h1, h2, n_docs, keeper) in the shared folder.
 
     A run is dealt by hash into ``buckets`` files, each sorted by hash. Batches are dealt alike, so merging them against
     runs, and runs with each other, reads every run in place: no run is shuffled or sorted again.
@@ -109,24 +115,28 @@ class Runs:
                 run.drop()
 
     def merged(self, runs: list[DataFrame]) -> DataFrame:
-        """Runs as one; inside ``in_place`` a union of tables that are dealt alike is grouped without a shuffle."""
+        """Runs as one; inside ``in_place`` a union of tables that are dealt alike is grouped without a shuffle.
+
+        Of a key's rows exactly one, of the first run that had it, names its keeper.
+        """
         rows = runs[0]
         for run in runs[1:]:
             rows = rows.unionByName(run)
-        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("is_first").alias("is_first"))
+        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.min("keeper").alias("keeper"))
 
     def add(self, keys: DataFrame) -> None:
         """Merge a batch of distinct (h1, h2, doc_id) against the runs and add what it brings as a new run.
 
-        Keys that the anti-join with the runs leaves are new and get the mark; of the others the new run holds what the
-        batch adds. Documents come whole and in one batch, so counts of different runs add up.
+        Keys that the anti-join with the runs leaves are kept by this batch's largest id; the others have their keeper in
+        an earlier run. Documents come whole and in one batch, so counts of different runs add up, and batches come by
+        falling ids, so that the first one to have a key has its largest id.
         """
-        grouped = keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        grouped = keys.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
         if not self.all():
-            self._put(0, self._made(grouped.withColumn("is_first", F.lit(True)), "lines_run_0"))
+            self._put(0, self._made(grouped, "lines_run_0"))
             return
-        marked = self.unseen(grouped).withColumn("is_first", F.lit(True)).unionByName(self.seen(grouped).withColumn("is_first", F.lit(False)))
-        self._put(0, self._made(marked, "lines_run_0"))
+        others = self.seen(grouped).withColumn("keeper", F.lit(None).cast("long"))
+        self._put(0, self._made(self.unseen(grouped).unionByName(others), "lines_run_0"))
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows of a batch whose key no run has: what exact dedup at first sight keeps."""
@@ -135,8 +145,8 @@ class Runs:
         return keys
 
     def seen(self, keys: DataFrame) -> DataFrame:
-        """The rows of a batch whose key a run has; exactly one run has the key's mark."""
-        firsts = [run.where("is_first").select("h1", "h2").hint("merge") for run in self.all()]
+        """The rows of a batch whose key a run has; exactly one run names the key's keeper."""
+        firsts = [run.where("keeper is not null").select("h1", "h2").hint("merge") for run in self.all()]
         parts = [keys.join(run, ["h1", "h2"], "left_semi") for run in firsts]
         rows = parts[0]
         for part in parts[1:]:
@@ -158,16 +168,31 @@ class Runs:
         self.levels = []
 
 
+def falling_ranges(docs: DataFrame, batches: int) -> Column:
+    """The batch of a document, by ranges of ids of about as many rows each: 0 has the largest ids.
+
+    Where ranges begin says only what comes first, not what is kept, so approximate quantiles do.
+    """
+    at = [k / batches for k in range(1, batches)]
+    cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(q) for q in at]), 1000)).first()[0] if at else None
+    return reduce(lambda n, cut: n + (F.col("doc_id") < F.lit(cut)).cast("int"), sorted(set(cuts or [])), F.lit(0))
+
+
 def drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """(doc_id, keys): the 16-byte hashes whose lines a document loses; only documents that lose some."""
-    raw = line_keys(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    raw = line_keys(docs, min_chars).withColumn("batch", falling_ranges(docs, batches))
     keys, path = stash(raw, "lines-keys", ("batch",))
     runs = Runs(docs.sparkSession, fanout)
     for k in range(batches):
         # Rows with the same id are in the same batch: distinct makes them one document.
         runs.add(keys.where(F.col("batch") == k).select("h1", "h2", "doc_id").distinct())
-    heavy = runs.compacted().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
-    lost = keys.join(heavy.hint("merge"), ["h1", "h2"]).where("doc_id < last_doc")
+    held = runs.compacted()
+    fair = max(min_docs, (held.agg(F.sum("n_docs")).first()[0] or 0) // (FAIR * buckets_of(docs.sparkSession)))
+    heavy, pairs = held.where(F.col("n_docs") >= min_docs), keys.select("h1", "h2", "doc_id")
+    hot = F.broadcast(heavy.where(F.col("n_docs") > fair).select("h1", "h2", "keeper"))
+    cold = heavy.where(F.col("n_docs") <= fair).select("h1", "h2", "keeper").hint("merge")
+    met = pairs.join(hot, ["h1", "h2"]).unionByName(pairs.join(hot, ["h1", "h2"], "left_anti").join(cold, ["h1", "h2"]))
+    lost = met.where("doc_id <> keeper")
     out, _ = stash(lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("keys")), "lines-drops")
     drop_path(docs.sparkSession, path)
     runs.drop()

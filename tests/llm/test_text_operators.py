@@ -152,7 +152,7 @@ def test_line_runs_batch_by_batch(spark):
     pool = [f"line number {i} of the pool, which is long enough to count" for i in range(60)]
     runs, had, held = line_dedup.Runs(spark, fanout=3), set(), collections.defaultdict(set)
     for batch in range(7):
-        texts = [(batch * 10 + i, "\n".join(rnd.sample(pool, 4))) for i in range(3)]
+        texts = [(100 - batch * 10 + i, "\n".join(rnd.sample(pool, 4))) for i in range(3)]
         for i, t in texts:
             for line in t.split("\n"):
                 held[line].add(i)
@@ -168,11 +168,29 @@ def test_line_runs_batch_by_batch(spark):
     with runs.in_place():
         plan = runs.merged(runs.all())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Bucketed: true" in plan
-    got = sorted((r.n_docs, r.last_doc, r.is_first) for r in runs.compacted().collect())
-    assert got == sorted((len(v), max(v), True) for v in held.values())
+    got = sorted((r.n_docs, r.keeper) for r in runs.compacted().collect())
+    assert got == sorted((len(v), max(v)) for v in held.values())
     runs.drop()
 
 
+def test_line_keepers_come_from_the_anti_join(spark, monkeypatch):
+    """Batches fall by id, so the first batch to have a key keeps it; without the anti-join a later batch would."""
+    texts = [(i, f"{LONG}\nown line of document {i}, which is long as well") for i in range(40)]
+    kept = lambda: sorted(i for i in range(40) if i not in {r.doc_id for r in line_dedup.drops(docs_of(spark, texts)).collect()})
+    assert kept() == [39]
+    monkeypatch.setattr(line_dedup.Runs, "unseen", lambda self, keys: keys)
+    assert kept() != [39]
+
+
+def test_line_batches_by_falling_ids(spark):
+    docs = docs_of(spark, [(i, "x") for i in range(100)])
+    got = {r.doc_id: r.batch for r in docs.withColumn("batch", line_dedup.falling_ranges(docs, 4)).collect()}
+    assert got[99] == 0 and got[0] == 3 and all(got[i] >= got[i + 1] for i in range(99))
+    same = docs_of(spark, [(7, "x")] * 10 + [(None, "y")])
+    assert {r.batch for r in same.where("doc_id = 7").withColumn("batch", line_dedup.falling_ranges(same, 4)).collect()} == {0}
+    assert empty(spark).withColumn("batch", line_dedup.falling_ranges(empty(spark), 4)).count() == 0
+
+
 # ---- near-dedup
 
 
