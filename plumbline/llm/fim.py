@@ -1,10 +1,11 @@
 """Fill-in-the-middle over an index of distinct texts with Elias-Fano boundary lists.
 
 A text is tokens ``[A-Za-z]+|[^A-Za-z]`` from left to right over code points. Identical texts are grouped by digest, and
-each digest's group keeps every distinct text that has it, so content and not the digest says what is one text. For each
-distinct text the ends of its tokens, a rising list of code point offsets, are coded once: low bits packed, high bits in
-unary (Elias-Fano), about 3 bits a token. Each document joins its text's entry and reads only the two boundaries that its
-seeded cut needs.
+each digest's group keeps every distinct text that has it, so content and not the digest says what is one text. Documents
+merge-join this index, so that those of one text come one after the other. For the first of them the ends of the text's
+tokens, a rising list of code point offsets, are coded: low bits packed, high bits in unary (Elias-Fano), about 3 bits a
+token; each of them reads only the two boundaries that its seeded cut needs. (Lists that are stored with the texts before
+the join would be moved and kept a second time, which costs more disk than there may be: measured, 1.91 x the input.)
 
 The seed gives four numbers, the first 8-digit groups of the hex sha256 of ``seed:doc_id``: two cuts, the form (plain, or
 with the parts marked) and the order (psm or spm).
@@ -15,7 +16,7 @@ cut by the digest of ``seed:`` alone; rows with the same id are cut alike where
 that it adds, the new one gets underscores in front. A text that is all one token has no inner boundary.
 
 Scale: distinct texts are shuffled once, combined on the map side, so copies of a text cost one row a task; documents come
-as ids and digests without texts and join them where they are. Digests with more documents than a fair share of a task
+as ids and digests without texts and join them where they are, without a second shuffle. Digests with more documents than a fair share of a task
 (all documents by ``FAIR`` times the shuffle partitions, so there are at most that many) are counted first; their texts are
 handed out in as many copies as their documents need, each to a slot of documents: no task gets a hot text's
 documents whole, and what is broadcast is the list of these digests alone.
@@ -30,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from plumbline.llm.shared import buckets_of, clear_of, pieces, stash, utf8
 
@@ -132,12 +132,8 @@ def digest(text: Column) -> Column:
     return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
 
 
-def _ends(texts: pa.Array) -> pa.Array:
-    return pa.array([encode(boundaries(t.decode())) for t in utf8(texts)], pa.binary())
-
-
 def text_index(docs: DataFrame) -> DataFrame:
-    """(sha, text, ends) of every distinct text, dealt by digest.
+    """(sha, text) of every distinct text, dealt by digest.
 
     A digest's group holds its distinct texts as a set, so equality is that of whole texts; two texts of one digest, which
     nobody has seen for SHA-256, would end the job rather than mix documents up.
@@ -145,38 +141,41 @@ def text_index(docs: DataFrame) -> DataFrame:
     keyed = docs.select(digest(F.col("text")).alias("sha"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = keyed.groupBy("sha").agg(F.collect_set("text").alias("texts"))
     one = F.when(F.size("texts") == 1, F.get("texts", F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("different texts have the digest "), F.col("sha"))))
-    return grouped.select("sha", one.alias("text")).withColumn("ends", F.arrow_udf(_ends, BinaryType())("text"))
+    return grouped.select("sha", one.alias("text"))
 
 
-def with_entries(docs: DataFrame, sha: str, text: str, ends: str) -> DataFrame:
-    """docs without its texts, but with their digests (sha), and their entries of the index: text and ends."""
+def with_entries(docs: DataFrame, sha: str, text: str) -> DataFrame:
+    """docs without its texts, but with their digests (sha), and text from the index, documents of one text in a row."""
     spark, names = docs.sparkSession, docs.columns
-    key, n, slot = (clear_of(name, [*names, sha, text, ends]) for name in ("key", "n", "slot"))
+    key, n, slot = (clear_of(name, [*names, sha, text]) for name in ("key", "n", "slot"))
     fair = max(1, docs.count() // (FAIR * buckets_of(spark)))
     counted = docs.groupBy(digest(F.col("text")).alias(key)).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > fair)
     hot, _ = stash(counted.select(key, F.ceil(F.col(n) / fair).cast("int").alias(n)), "fim-hot")
     hot, held = F.broadcast(hot), digest(F.col("text")) == F.col(key)
-    entry = lambda rows: text_index(rows).select(F.col("sha").alias(key), F.col("text").alias(text), F.col("ends").alias(ends))
+    entry = lambda rows: text_index(rows).select(F.col("sha").alias(key), F.col("text").alias(text))
     rest = [F.col(f"`{c}`") for c in names if c.lower() != "text"]
     bare = lambda rows, *more: rows.select(*rest, digest(F.col("text")).alias(sha), *more)
     cold = docs.join(hot, held, "left_anti")
     cool = bare(cold).join(entry(cold).hint("merge"), F.col(sha) == F.col(key)).drop(key)
     warm = docs.join(hot, held)
     slots = entry(docs.join(hot, held, "left_semi")).join(hot.withColumnRenamed(key, f"{key}_"), F.col(key) == F.col(f"{key}_"))
-    slots = slots.select(key, text, ends, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(slot))
+    slots = slots.select(key, text, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(slot))
     dealt = bare(warm, F.pmod(F.monotonically_increasing_id(), F.col(n)).cast("int").alias(n))
-    return cool.unionByName(dealt.join(slots.hint("merge"), (F.col(sha) == F.col(key)) & (F.col(n) == F.col(slot))).drop(key, n, slot))
+    met = dealt.join(slots.hint("merge"), (F.col(sha) == F.col(key)) & (F.col(n) == F.col(slot))).drop(key, n, slot)
+    return cool.sortWithinPartitions(sha).unionByName(met.sortWithinPartitions(sha))  # as merge joins leave them
 
 
-class _Reader:
-    """Texts and lists of rows that come in runs of the same text."""
+class Entries:
+    """The index's entry of the text at hand: its coded list is made once, for the first of the documents that have it."""
 
     def __init__(self) -> None:
-        self.raw, self.text, self.ends = None, "", Boundaries(encode(boundaries("")))
+        self.raw: bytes | None = None
+        self.made = 0
 
-    def read(self, raw: bytes, coded: bytes) -> tuple[str, Boundaries]:
+    def of(self, raw: bytes) -> tuple[str, Boundaries]:
         if raw != self.raw:
-            self.raw, self.text, self.ends = raw, raw.decode(), Boundaries(coded)
+            self.raw, self.text, self.made = raw, raw.decode(), self.made + 1
+            self.ends = Boundaries(encode(boundaries(self.text)))
         return self.text, self.ends
 
 
@@ -184,18 +183,18 @@ def fill_in_middle(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs with each text cut and marked, and with fim_n, fim_form, fim_prefix_chars and fim_middle_chars."""
     names = docs.columns
     at, id_at = [n.lower() for n in names].index("text"), [n.lower() for n in names].index("doc_id")
-    sha, text, ends = (clear_of(n, names) for n in ("sha", "whole", "ends"))
+    sha, text = (clear_of(n, names) for n in ("sha", "whole"))
     made = [clear_of(n, names) for n in ("fim_n", "fim_form", "fim_prefix_chars", "fim_middle_chars")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    met = with_entries(docs, sha, text, ends).select(*[F.col(f"`{c}`") if k != at else F.lit(None).cast("string").alias(c) for k, c in enumerate(names)], text, ends)
+    met = with_entries(docs, sha, text).select(*[F.col(f"`{c}`") if k != at else F.lit(None).cast("string").alias(c) for k, c in enumerate(names)], text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader()
+        entries = Entries()
         for batch in pieces(batches):
             columns = batch.columns[: len(names)]
             out, told = [], []
-            for doc, raw, coded in zip(columns[id_at].to_pylist(), utf8(batch.column(len(names))), batch.column(len(names) + 1).to_pylist(), strict=True):
-                t, b = reader.read(raw, coded)
+            for doc, raw in zip(columns[id_at].to_pylist(), utf8(batch.column(len(names))), strict=True):
+                t, b = entries.of(raw)
                 output, *rest = formatted(t, b, doc, seed)
                 out.append(output)
                 told.append((b.n, *rest))
@@ -210,18 +209,18 @@ def report(docs: DataFrame) -> DataFrame:
     """The contract's columns for every document, digests of the operator's output and of what it gives back."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader()
+        entries = Entries()
         for batch in pieces(batches):
             rows = []
-            for doc, raw, coded in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                t, b = reader.read(raw, coded)
+            for doc, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                t, b = entries.of(raw)
                 output, form, prefix, middle = formatted(t, b, doc)
                 rows.append((doc, b.n, form, prefix, middle, *(hashlib.sha256(x.encode()).hexdigest() for x in (output, restored(output, form)))))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = with_entries(given, "sha", "whole", "ends").select("doc_id", "whole", "ends")
+    met = with_entries(given, "sha", "whole").select("doc_id", "whole")
     return met.mapInArrow(run, "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string")
 
 
