@@ -1,14 +1,14 @@
 """Language identification, word first with backoff to ever shorter character n-grams.
 
-A word is a maximal run of letters, lower-cased. A known word scores each language by its smoothed log frequency there.
+A word is a maximal run of letters (Unicode's categories L), lower-cased. A known word scores each language by its smoothed log frequency there.
 An unseen word is scored by character n-grams of itself between word ends (``^word$``): by its longest known ones,
 n = ``max_gram`` first, and by shorter ones only where none of n is known. A text's score is the softmax of its
 languages' mean scores per word with the sharpness of ``SHARP`` words, times the prior; the best language wins.
 
 The prior is each language's share of all labelled rows. Words and n-grams are counted, every occurrence (a text of more
 than TEXT_WORDS words weighs as one of so many, or one repeated line could be most of a language), in a bounded sample of whole labelled rows: of each language those whose id hash falls under a share that leaves ``max_train_rows``
-rows on average in all, dealt evenly, so that a rare language has all its rows where it has few. All that the sample
-holds is kept; the sample bounds the model that is broadcast.
+rows and ``MAX_TRAIN_CHARS`` characters on average in all, dealt evenly, so that a rare language has all its rows where it
+has few. All that the sample holds is kept; the sample's rows and characters bound the model that is broadcast.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; without labelled rows every text is; a text
 with letters of which not even one is known (another script) gets the most frequent language, with score 0, as nothing
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.shared import clear_of, drop_path, pieces, stash
 
 MAX_TRAIN_ROWS = 8192
+MAX_TRAIN_CHARS = 1 << 26
 MAX_GRAM = 5
 SHARP = 8.0
 MIN_SCORE = 0.5
@@ -47,7 +48,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """The words of a text. The pattern also takes numbers that are no digits (fractions, Roman numerals); they part words."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in ("".join(c if c.isalpha() else " " for c in x).split() if not x.isalpha() else (x,))]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -162,12 +167,14 @@ def shares(rows: dict[str, int], most: int) -> dict[str, float]:
     return out
 
 
-def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, max_gram: int = MAX_GRAM) -> Model:
+def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, max_gram: int = MAX_GRAM, max_train_chars: int = MAX_TRAIN_CHARS) -> Model:
     """A model of labelled rows (doc_id, text, lang); those with a null text or language are no use."""
     labelled = rows.where("lang is not null and text is not null")
-    docs = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if sum(docs.values()) > max_train_rows:
-        given = [(lang, int(share * (1 << 30))) for lang, share in shares(docs, max_train_rows).items()]
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.length("text") + 1).alias("chars")).collect()
+    docs, chars = {r.lang: r.rows for r in sizes}, {r.lang: r.chars for r in sizes}
+    if sum(docs.values()) > max_train_rows or sum(chars.values()) > max_train_chars:
+        by_rows, by_chars = shares(docs, max_train_rows), shares(chars, max_train_chars)
+        given = [(lang, int(min(by_rows[lang], by_chars[lang]) * (1 << 30))) for lang in docs]
         quota = rows.sparkSession.createDataFrame(given, "lang string, quota long")
         spot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30))
         labelled = labelled.join(quota, "lang").where(spot < F.col("quota"))

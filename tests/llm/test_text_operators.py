@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -324,6 +325,33 @@ def test_language_id_backs_off_to_shorter_grams():
     assert m.texts(["привет мир", None, "..."], langid.Known(m)) == [("a", 0.0), ("und", 0.0), ("und", 0.0)]
 
 
+def test_language_words_are_letters():
+    """A word's characters are those of the categories L, each code point tried alone and between letters."""
+    for c in map(chr, [*range(0x3000), *range(0x1F100, 0x1F200)]):
+        letter = unicodedata.category(c).startswith("L")
+        if c == c.lower():
+            assert langid.words(c) == ([c] if letter else [])
+            if not unicodedata.category(c).startswith("M"):
+                assert langid.words(f"a{c}b") == ([f"a{c}b"] if letter else ["a", "b"])
+    assert langid.words("½ ² Ⅷ 5 ٣") == [] and langid.words("x² über_das") == ["x", "über", "das"]
+
+
+def test_language_of_a_text_of_numbers_is_und(spark):
+    docs = docs_of(spark, [*((i, f"words of text {i}") for i in range(20)), (900, "½ ² Ⅷ"), (901, "words²")])
+    got = {r.doc_id: r.lang_pred for r in langid.report(docs).collect()}
+    assert got[900] == "und" and got[901] == "en"
+
+
+def test_language_sample_is_bounded_by_characters(spark):
+    """Where texts are long, fewer of them are sampled; every language stays."""
+    texts = [(i, ("common words " if i % 2 else "andere wörter ") * (50 if i % 10 else 2000)) for i in range(400)]
+    docs = docs_of(spark, texts, {i: "en" if i % 2 else "de" for i, _ in texts})
+    whole = langid.train(docs)
+    some = langid.train(docs, max_train_chars=100_000)
+    assert whole.langs == some.langs == ["de", "en"] and all(set(some.rows[n]) <= set(whole.rows[n]) for n in range(langid.MAX_GRAM + 1))
+    assert [lang for lang, _ in some.texts(["common words", "andere wörter"], langid.Known(some))] == ["en", "de"]
+
+
 def plain_language(text, counts, docs, max_gram=langid.MAX_GRAM):
     """Language and score by the definition, word by word."""
     langs = sorted(docs)
@@ -364,15 +392,19 @@ def test_language_id_against_plain_scorer(spark):
         langs[i] = lang if rnd.random() < 0.9 else None
     odd = [(300, "река"), (301, "qqq zzz"), (302, None), (303, "7 8")]
     texts, langs = texts + odd, langs | {i: None for i, _ in odd}
+    texts.append((309, " ".join(rnd.choice(SAID["en"].split()) for _ in range(1500))))
+    langs[309] = "en"
     counts, docs = collections.Counter(), collections.Counter()
     for i, t in texts:
         if langs.get(i) and zlib.crc32(str(i).encode()) % 3 != 1:
             docs[langs[i]] += 1
-            for w in re.findall(r"[^\W\d_]+", t.lower()):
-                counts[langs[i], 0, w] += 1
+            found = re.findall(r"[^\W\d_]+", t.lower())
+            for w, often in collections.Counter(found).items():  # a text of more than 1,000 words weighs as one of 1,000
+                weight = max(1, round(1024 * often * min(1, 1000 / len(found)))) / 1024
+                counts[langs[i], 0, w] += weight
                 for n in range(1, langid.MAX_GRAM + 1):
                     for g in list(w) if n == 1 else [f"^{w}$"[k : k + n] for k in range(len(w) + 3 - n)]:
-                        counts[langs[i], n, g] += 1
+                        counts[langs[i], n, g] += weight
     for r in langid.report(docs_of(spark, texts, langs)).collect():
         lang, score = plain_language(dict(texts)[r.doc_id], counts, docs)
         assert r.score == pytest.approx(score, abs=2e-4)
