@@ -33,7 +33,7 @@ steps. Everything follows from the rows and fixed seeds, so a lost task is done
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -349,6 +349,10 @@ def merged_rows(rows: list[dict], layout: Layout) -> list[dict]:
     return [body, *s.questions(came, np.minimum(came, 1), sums)]
 
 
+#: The weights of opening a table for some dishes, of which so many tables are gone with the customers who are out.
+Weights = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
 class Tables:
     """Tables with their customers, sorted by the dish (a number) they serve; and of each dish, customers and tables."""
 
@@ -370,10 +374,13 @@ class Tables:
             first[several] = np.clip(at, low, past - 1)
         return first
 
-    def take(self, dishes: np.ndarray, rng: np.random.Generator, many: np.ndarray | None = None) -> None:
-        """Take one customer (or so many) of each of some distinct dishes out, all customers alike; empty tables go."""
+    def take(self, dishes: np.ndarray, rng: np.random.Generator, many: np.ndarray | None = None) -> np.ndarray:
+        """Take one customer (or so many) of each of some distinct dishes out, all customers alike; empty tables go.
+
+        Returns how many tables of each of these dishes went.
+        """
         if not len(dishes):
-            return
+            return np.zeros(0, np.int64)
         if many is None:
             at = self._pick(dishes, 0.0, rng)
             self.size[at] -= 1
@@ -386,9 +393,12 @@ class Tables:
             at = np.unique(at)  # a table can lose several
         self.customers[dishes] -= 1 if many is None else many
         gone = at[self.size[at] == 0]
-        if len(gone):
-            self.tables -= np.bincount(self.dish[gone], minlength=len(self.tables))
-            self.dish, self.size = np.delete(self.dish, gone), np.delete(self.size, gone)
+        if not len(gone):
+            return np.zeros(len(dishes), np.int64)
+        less = np.bincount(self.dish[gone], minlength=len(self.tables))
+        self.tables -= less
+        self.dish, self.size = np.delete(self.dish, gone), np.delete(self.size, gone)
+        return less[dishes]
 
     def seat(self, dishes: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator, many: np.ndarray | None = None) -> None:
         """Seat one customer (or so many, at once) for each of some distinct dishes; new: the weight of opening a table."""
@@ -409,8 +419,12 @@ class Tables:
             self.dish, self.size = np.insert(self.dish, at, opened), np.insert(self.size, at, 1)
             self.tables += np.bincount(opened, minlength=len(self.tables))
 
-    def stir(self, new: np.ndarray, discount: float, rng: np.random.Generator) -> None:
-        """Move as many customers of each dish as it has."""
+    def stir(self, weights: Weights, discount: float, rng: np.random.Generator) -> None:
+        """Move as many customers of each dish as it has.
+
+        weights gives the weight of opening a table for some dishes, told how many of their tables went with those who are
+        out: what they leave behind, here and at the parents, does not count for them.
+        """
         have = self.customers.copy()
         # Of two customers one move draws the seating anew: that of the other would do so again.
         steps = np.where(have == 2, 1, np.minimum(have, ROUNDS))
@@ -418,8 +432,8 @@ class Tables:
             dishes = np.flatnonzero(steps > r)
             many = np.where(have[dishes] == 2, 1, have[dishes] * (r + 1) // steps[dishes] - have[dishes] * r // steps[dishes])
             many = None if (many == 1).all() else many
-            self.take(dishes, rng, many)
-            self.seat(dishes, new[dishes], discount, rng, many)
+            gone = self.take(dishes, rng, many)
+            self.seat(dishes, weights(dishes, gone), discount, rng, many)
 
     def part(self, dishes: np.ndarray) -> Tables:
         """The tables of some sorted dishes, numbered anew."""
@@ -475,16 +489,31 @@ def begun(count: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Ge
     return out
 
 
-def stir_all(seats: Tables, new, discount: float, rng: np.random.Generator) -> None:
-    """Move all customers, class by class; new() gives the weights of opening a table as they are by then."""
+def stir_all(seats: Tables, weights: Callable[[np.ndarray, Tables], Weights], discount: float, rng: np.random.Generator) -> None:
+    """Move all customers, class by class; weights makes the weights for a class, its dishes and their tables, as things are."""
     kind = classes(seats.customers)
     for c in range(1, kind.max(initial=0) + 1):
         if (dishes := np.flatnonzero(kind == c)).size:
             part = seats.part(dishes)
-            part.stir(new()[dishes], discount, rng)
+            part.stir(weights(dishes, part), discount, rng)
             seats.put(dishes, part)
 
 
+class Rooms:
+    """Tables of the restaurants that a class of dishes is in, as the class is stirred."""
+
+    def __init__(self, room: np.ndarray, tables: np.ndarray, seats: Tables) -> None:
+        """room: each dish's restaurant; tables: of all restaurants, the class included."""
+        rooms, self.at = np.unique(room, return_inverse=True)
+        self.seats, self.others = seats, tables[rooms] - np.bincount(self.at, seats.tables, len(rooms))
+
+    def without(self, dishes: np.ndarray, gone: np.ndarray) -> np.ndarray:
+        """The tables there are for the customers who are out, each dish's own aside: those that went with others stay."""
+        at = self.at[dishes]
+        now = self.others + np.bincount(self.at, self.seats.tables, len(self.others)) + np.bincount(at, gone, len(self.others))
+        return now[at] - gone
+
+
 def follow(seats: Tables, want: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> None:
     """Customers come to a parent and leave it as tables of its children open and go."""
     less = np.flatnonzero(want < seats.customers)
@@ -730,19 +759,59 @@ class Shard:
         t = self.idle_of + np.bincount(self.a_of, np.where(self.a_apart, 0, tables), self.n_words)
         return self.model.opening(2, t)[self.a_of[some]] * self._root(tables)[0][self.a_word[some]]
 
-    def _parents(self, some: np.ndarray) -> np.ndarray:
-        """The parents' predictive probability of some dishes that can change."""
+    def _parents(self, some: np.ndarray, rng: np.random.Generator) -> Weights:
+        """The parents' predictive probability of some dishes that can change, without customers whose tables are gone.
+
+        Such a customer may have been alone at a table there, which then is gone too, with its customer at the root.
+        """
         m, came, tables = self.model, self._came(), self.parent.tables
         t, c = self._word_totals(came, tables)
-        far, of = self.a_apart[some], self.a_of[some]
+        far, of, word = self.a_apart[some], self.a_of[some], self.a_word[some]
         customers = np.where(far, self.far_customers[self.act[some]] + came[some] - self.mine_came[some], came[some])
-        stays = np.maximum(customers - m.discount[2] * np.minimum(np.where(far, self.far_tables[self.act[some]], tables[some]), customers), 0.0)
-        return (stays + m.opening(2, t)[of] * self._root(tables)[0][self.a_word[some]]) / (m.theta[2] + c[of])
+        held = np.where(far, self.far_tables[self.act[some]], tables[some])
+        alone = np.bincount(self.parent.dish[self.parent.size == 1], minlength=len(self.act))[some]
+        alone = np.where(far, np.where(customers <= held, customers, 0), alone)
+        t, c = t[of], c[of]
+        at_root, root_tables, mine = self.a_root
+        change = self._to_root(tables) - mine
+        at_root, root_tables, more = (at_root + change)[word], root_tables[word], float(change.sum())
+
+        def without(at: np.ndarray, gone: np.ndarray) -> np.ndarray:
+            there, known = customers[at], held[at]
+            left = np.maximum(there - gone, 0)
+            lost = np.zeros(len(at), np.int64)
+            if (some := np.flatnonzero(gone)).size:
+                lost[some] = rng.binomial(gone[some], np.clip(alone[at[some]] / np.maximum(there[some], 1), 0, 1))
+            lost = np.where(left == 0, known, np.minimum(lost, np.maximum(known - 1, 0)))
+            root = m.root(np.maximum(at_root[at] - lost, 0), root_tables[at], more - lost)
+            stays = np.maximum(left - m.discount[2] * np.minimum(known - lost, left), 0.0)
+            return (stays + m.opening(2, np.maximum(t[at] - lost, 0)) * root) / (m.theta[2] + np.maximum(c[at] - gone, 0))
+
+        return without
+
+    def _totals(self) -> np.ndarray:
+        """Tables of each context of two words in which something can change."""
+        return self.lone_pair + self.other_tables[self.m_pairs] + np.bincount(self.m_pair, self.seated, len(self.m_pairs))
 
     def _new(self, group: slice) -> np.ndarray:
-        """The weight of a new table for a class of triples with several customers."""
-        t = self.lone_pair + self.other_tables[self.m_pairs] + np.bincount(self.m_pair, self.seated, len(self.m_pairs))
-        return self.model.opening(3, t)[self.m_pair[group]] * self._parents(self.many_dish[group])
+        """The weight of a new table for a class of triples with several customers, all in their places."""
+        all_of, none = self.many_dish[group], np.zeros(len(self.many[group]), np.int64)
+        return self.model.opening(3, self._totals())[self.m_pair[group]] * self._parents(all_of, np.random.default_rng(0))(np.arange(len(none)), none)
+
+    def _moving(self, group: slice, seats: Tables, rng: np.random.Generator) -> Weights:
+        """The weights of new tables for customers of a class of triples who are out."""
+        rooms, parents = Rooms(self.m_pair[group], self._totals(), seats), self._parents(self.many_dish[group], rng)
+        return lambda dishes, gone: self.model.opening(3, rooms.without(dishes, gone)) * parents(dishes, gone)
+
+    def _moving_parents(self, dishes: np.ndarray, part: Tables) -> Weights:
+        """The same for customers of a class of the parents' dishes."""
+        m, tables = self.model, self.parent.tables
+        t = self.idle_of + np.bincount(self.a_of, np.where(self.a_apart, 0, tables), self.n_words)
+        rooms = Rooms(self.a_of[dishes], t, part)
+        at_root, held, mine = self.a_root
+        change, word = self._to_root(tables) - mine, self.a_word[dishes]
+        at_root, held, more = (at_root + change)[word], held[word], float(change.sum())
+        return lambda some, gone: m.opening(2, rooms.without(some, gone)) * m.root(np.maximum(at_root[some] - gone, 0), held[some], more - gone)
 
     def _follow(self, rng: np.random.Generator) -> None:
         """Customers come to the parents and leave them as tables of triples open and go."""
@@ -759,10 +828,10 @@ class Shard:
         """Move every customer of every triple, then every customer of the parents."""
         m = self.model
         for g, seats in zip(self.slices, self.seats, strict=True):
-            seats.stir(self._new(g), m.discount[3], rng)
+            seats.stir(self._moving(g, seats, rng), m.discount[3], rng)
             self.seated[g] = seats.tables
             self._follow(rng)
-        stir_all(self.parent, lambda: self._new_parent(self.parent.tables), m.discount[2], rng)
+        stir_all(self.parent, self._moving_parents, m.discount[2], rng)
 
     def predictive(self) -> np.ndarray:
         """The probability of each triple's word in its context."""
@@ -817,14 +886,15 @@ def home_answers(rows: list[dict], model: Model | None) -> list[dict]:
         tables = np.minimum(root, 1) * SAMPLES
     else:
         # Split contexts first, whose tables are customers of the root.
-        p = model.root(root + np.bincount(word, np.minimum(came, 1), len(words)), np.minimum(root, 1))
-        far = seated(came, model.opening(2, model.split[of, 0] if len(of) else np.zeros(0)) * p[word], model.discount[2], rng)
+        there = root + np.bincount(word, np.minimum(came, 1), len(words))
+        held = model.split[of, 0] if len(of) else np.zeros(0)
+        moved = lambda some, gone: model.opening(2, np.maximum(held[some] - gone, 0)) * model.root(np.maximum(there[word[some]] - gone, 0), np.minimum(root, 1)[word[some]])
+        far = seated(came, moved, model.discount[2], rng)
         root = root + np.bincount(word, far, len(words)).astype(np.int64)
         tables = np.zeros(len(words), np.int64)
         seats = begun(root, np.full(len(words), model.opening(1, model.root_tables) * model.base), model.discount[1], rng)
-        weight = np.full(len(words), model.opening(1, model.root_tables) * model.base)
         for k in range(ROOT_SWEEPS + SAMPLES):
-            stir_all(seats, lambda: weight, model.discount[1], rng)
+            stir_all(seats, lambda dishes, part: lambda some, gone: model.opening(1, np.maximum(model.root_tables - gone, 0)) * model.base, model.discount[1], rng)
             if k >= ROOT_SWEEPS:
                 tables += seats.tables
     sums = [(ROOT, 0, tables.sum() / SAMPLES, root.sum()), (ONES, 1, (root == 1).sum(), (root == 2).sum())]
@@ -843,11 +913,11 @@ def homes(asked: DataFrame, model: Model | None) -> DataFrame:
     return asked.groupBy("home").applyInArrow(lambda t: table_of(home_answers(t.to_pylist(), model), TOLD), TOLD)
 
 
-def seated(count: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator, sweeps: int = ROOT_SWEEPS) -> np.ndarray:
+def seated(count: np.ndarray, weights: Weights, discount: float, rng: np.random.Generator, sweeps: int = ROOT_SWEEPS) -> np.ndarray:
     """Tables of count customers of each dish, after so many sweeps."""
-    seats = begun(count, new, discount, rng)
+    seats = begun(count, weights(np.arange(len(count)), np.zeros(len(count), np.int64)), discount, rng)
     for _ in range(sweeps):
-        stir_all(seats, lambda: new, discount, rng)
+        stir_all(seats, lambda dishes, part: lambda some, gone: weights(dishes[some], gone), discount, rng)
     return seats.tables
 
 

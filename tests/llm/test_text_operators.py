@@ -635,15 +635,32 @@ def brute_sampler(texts, words, d, theta, sweeps, rng):
             before = (before[1], w)
     for c, w in customers:
         add(c, w)
-    sums = collections.Counter()
+    sums, kept = collections.Counter(), sweeps - sweeps // 4
+    tables = {2: 0.0, 3: 0.0}
     for k in range(sweeps):
         for c, w in customers:
             remove(c, w)
             add(c, w)
         if k >= sweeps // 4:
             for c, w in set(customers):
-                sums[c, w] += prob(c, w) / (sweeps - sweeps // 4)
-    return sums
+                sums[c, w] += prob(c, w) / kept
+            for n in tables:
+                tables[n] += sum(len(t) for c, room in rooms.items() if level(c) == n for t in room.values()) / kept
+    return sums, tables
+
+
+def lm_means(texts, layout, model, burn, sweeps):
+    """Mean probability of each (u, v, w) and mean tables of the second and third level over sweeps of the one shard."""
+    t, shards, names = lm_state(texts, [True] * len(texts), layout, model, sweeps=burn)
+    s, rng = shards[0]
+    p, tables = np.zeros(len(s.count)), {2: 0.0, 3: 0.0}
+    for _ in range(sweeps):
+        s.sweep(rng)
+        p += s.predictive() / sweeps
+        tables[2] += s.parent_tables().sum() / sweeps
+        tables[3] += s.tables().sum() / sweeps
+    place = np.cumsum(pitman_yor.unpacked(s.row["places"], np.int32), dtype=np.int64)
+    return {((names[u], names[v]), names[w]): p[place[k]] for k, (u, v, w) in enumerate(zip(t.u.tolist(), t.v.tolist(), t.w.tolist(), strict=True))}, tables
 
 
 def test_lm_against_a_brute_force_sampler():
@@ -653,21 +670,28 @@ def test_lm_against_a_brute_force_sampler():
     texts = [" ".join(rnd.choice(words[: rnd.choice([2, 4, 8])]) for _ in range(rnd.randint(2, 8))) for _ in range(40)]
     layout = pitman_yor.Layout(1)
     d, theta = {1: 0.4, 2: 0.5, 3: 0.6}, {1: 1.0, 2: 0.8, 3: 0.6}
-    want = brute_sampler(texts, 9, d, theta, 160, random.Random(1))
-    t, shards, names = lm_state(texts, [True] * len(texts), layout, pitman_yor.Model(d, theta), sweeps=10)
-    s, rng = shards[0]
-    p = np.zeros(len(s.count))
-    for _ in range(120):
-        s.sweep(rng)
-        p += s.predictive() / 120
-    place = np.cumsum(pitman_yor.unpacked(s.row["places"], np.int32), dtype=np.int64)
-    got = {((names[u], names[v]), names[w]): p[place[k]] for k, (u, v, w) in enumerate(zip(t.u.tolist(), t.v.tolist(), t.w.tolist(), strict=True))}
+    want, _ = brute_sampler(texts, 9, d, theta, 160, random.Random(1))
+    got, _ = lm_means(texts, layout, pitman_yor.Model(d, theta), 10, 120)
     assert got.keys() == want.keys()
     logs = [(math.log(got[k]), math.log(want[k])) for k in want]
     assert abs(sum(a - b for a, b in logs) / len(logs)) < 0.03
     assert sum(abs(a - b) for a, b in logs) / len(logs) < 0.08
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_lm_has_as_many_tables_as_a_brute_force_sampler(seed):
+    """Weights that vary with what is taken out: sixty contexts of two words, whose words come 2, 2, 3 or 5 times."""
+    rnd = random.Random(seed)
+    texts = [f"u{c} v{c % 20} {w}" for c in range(60) for w, n in zip(rnd.sample([f"w{k}" for k in range(30)], 4), (2, 2, 3, 5), strict=True) for _ in range(n)]
+    words = len({w for t in texts for w in t.split()}) + 1
+    d, theta = {1: 0.5, 2: 0.5, 3: 0.7}, {1: 1.0, 2: 0.5, 3: 0.2}
+    want, tables = brute_sampler(texts, words, d, theta, 80, random.Random(1))
+    got, mine = lm_means(texts, pitman_yor.Layout(1), pitman_yor.Model(d, theta), 20, 200)
+    assert mine[3] == pytest.approx(tables[3], rel=0.02) and mine[2] == pytest.approx(tables[2], rel=0.03)
+    logs = [math.log(got[k]) - math.log(want[k]) for k in want]
+    assert abs(sum(logs) / len(logs)) < 0.02
+
+
 def test_homes_draw_tables_of_the_posterior():
     """Words with three customers at the root: odds of one, two and three tables are as the model has them."""
     n, d = 4000, 0.6
@@ -696,7 +720,7 @@ def test_long_texts_are_pieces(spark):
 def test_a_sweep_moves_a_share_of_all_customers():
     rng, n = np.random.default_rng(2), 5000
     t = pitman_yor.Tables(np.zeros(1, np.int64), np.array([n]), 1)
-    t.stir(np.array([1e15]), 0.3, rng)  # who moves, opens a table
+    t.stir(lambda dishes, gone: np.full(len(dishes), 1e15), 0.3, rng)  # who moves, opens a table
     assert t.customers[0] == t.size.sum() == n and n / 2 < t.tables[0] == len(t.size)
 
 
@@ -713,17 +737,18 @@ def test_crowds_sample_the_posterior():
     t = pitman_yor.Tables(dishes, np.ones(1000, np.int64), 1000)
     t.reseat(dishes, pitman_yor.first_tables(np.full(1000, n), np.full(1000, new), d, rng), np.full(1000, n))
     for _ in range(15):
-        t.stir(np.full(1000, new), d, rng)
+        t.stir(lambda some, gone: np.full(len(some), new), d, rng)
     assert (t.customers == n).all() and t.tables.mean() == pytest.approx(want, rel=0.04)
 
 
 def test_batches_are_merged_against_the_runs(spark):
-    """Each key is marked as new in one run, that of the batch that brought it; what later batches add is counted."""
-    batches = [[(1, "a"), (2, "b")], [(3, "a"), (4, "c")], [(5, "a"), (6, "c"), (7, "d")]]
+    """Each key has its keeper in one run, that of the batch that brought it; what later batches add is counted."""
+    batches = [[(7, "a"), (6, "b")], [(5, "a"), (4, "c")], [(3, "a"), (2, "c"), (1, "d")]]
     for fanout, n_runs in ((4, 3), (2, 2)):
         runs = line_dedup.Runs(spark, fanout)
         for rows in batches:
             runs.add(spark.createDataFrame([(ord(k), 0, i) for i, k in rows], "h1 long, h2 long, doc_id long"))
-        firsts = collections.Counter(chr(r.h1) for run in runs.all() for r in run.where("is_first").collect())
-        assert len(runs.all()) == n_runs and firsts == {"a": 1, "b": 1, "c": 1, "d": 1}
-        assert {(chr(r.h1), r.n_docs, r.last_doc, r.is_first) for r in runs.compacted().collect()} == {("a", 3, 5, True), ("b", 1, 2, True), ("c", 2, 6, True), ("d", 1, 7, True)}
+        keepers = collections.Counter(chr(r.h1) for run in runs.all() for r in run.where("keeper is not null").collect())
+        assert len(runs.all()) == n_runs and keepers == {"a": 1, "b": 1, "c": 1, "d": 1}
+        assert {(chr(r.h1), r.n_docs, r.keeper) for r in runs.compacted().collect()} == {("a", 3, 7), ("b", 1, 6), ("c", 2, 4), ("d", 1, 1)}
+        runs.drop()
