@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.plans.scratch import stash
+
 
 def fields(a: DataFrame, b: DataFrame, on: Sequence[str], value: str = "value") -> DataFrame:
     """A full outer join on the key: status same, changed, only_a or only_b."""
@@ -23,10 +25,10 @@ def tally(compared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return compared.groupBy(*by).agg(n("same"), n("changed"), n("only_a"), n("only_b"), n("skipped"))
 
 
-def verdict(compared: DataFrame) -> DataFrame:
-    """One row: differing, else not fully comparable where something was skipped, else identical."""
+def verdict(compared: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (or one of each by): differing, else not fully comparable where something was skipped, else identical."""
     odd = F.count_if(~F.col("status").isin("same", "skipped"))
-    return compared.agg(F.when(odd > 0, "differing").when(F.count_if(F.col("status") == "skipped") > 0, "not fully comparable").otherwise("identical").alias("verdict"))
+    return compared.groupBy(*by).agg(F.when(odd > 0, "differing").when(F.count_if(F.col("status") == "skipped") > 0, "not fully comparable").otherwise("identical").alias("verdict"))
 
 
 def skipping(compared: DataFrame, arity_a: int, arity_b: int, sections: Sequence[str] = ("cells", "bands", "findings")) -> DataFrame:
@@ -58,22 +60,26 @@ def flattened(document: object, path: str = "") -> Iterator[tuple[str, str]]:
 
 
 def json_paths(documents: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
-    """keys, path, value: every leaf of JSON texts; a text that is no JSON has none."""
-    k = list(keys)
+    """keys, path, value: every leaf of JSON texts, value being its JSON; a text that is no JSON, or names a key of an object
+    twice, has none. Empty objects and lists are leaves.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for row in f.itertuples(index=False):
-                try:
-                    leaves = list(flattened(json.loads(row[-1])))
-                except (TypeError, ValueError):
-                    continue
-                rows += [(*row[:-1], p, v) for p, v in leaves]
-            yield pd.DataFrame(rows, columns=[*k, "path", "value"])
-
-    schema = documents.select(*k).withColumn("path", F.lit("")).withColumn("value", F.lit("")).schema
-    return documents.select(*k, text).mapInPandas(run, schema)
+    Texts are parsed once, into variants; each step explodes what still has something inside, level by level.
+    """
+    k = list(keys)
+    spark = documents.sparkSession
+    rows = documents.select(*k, F.lit("").alias("_path"), F.try_parse_json(F.col(text)).alias("_v")).where("_v is not null")
+    leaves: list[DataFrame] = []
+    while True:
+        whole, kind = F.to_json("_v"), F.schema_of_variant("_v")
+        inner = (kind.startswith("OBJECT") & (whole != "{}")) | (kind.startswith("ARRAY") & (whole != "[]"))
+        level = stash(rows.select(*k, "_path", F.when(~inner, whole).alias("_leaf"), F.when(inner, F.col("_v")).alias("_v")), "json-level")
+        leaves.append(level.where("_v is null").select(*k, F.col("_path").alias("path"), F.col("_leaf").alias("value")))
+        deeper = level.where("_v is not null").select(*k, "_path", "_v")
+        if deeper.isEmpty():
+            return reduce(DataFrame.unionByName, leaves)
+        exploded = spark.sql("SELECT d.*, e.pos AS _pos, e.key AS _key, e.value AS _value FROM {d} AS d, LATERAL variant_explode(_v) AS e", d=deeper)
+        step = F.when(F.col("_key").isNull(), F.concat("_path", F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).when(F.col("_path") == "", F.col("_key")).otherwise(F.concat("_path", F.lit("."), "_key"))
+        rows = exploded.select(*k, step.alias("_path"), F.col("_value").alias("_v"))
 
 
 def tampered(files: DataFrame, manifest: DataFrame) -> DataFrame:

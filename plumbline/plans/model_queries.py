@@ -1,25 +1,23 @@
-"""Driver queries of the language, its executors, campaigns, minimisation, records and comparisons, with their SQL.
-
-Where SQL has no way to say it, the SQL gives the values that were worked out by hand or by a second implementation.
-"""
+"""Driver queries of the language, its executors, generators, minimal cases, records and comparisons, with their SQL."""
 
 from __future__ import annotations
 
-import json
+import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.lang import executors, units
 from plumbline.lang.model import compile_model, from_text, to_text
 from plumbline.lang.syntax import ModelError
-from plumbline.operators import compare, evidence, metrics, regions
+from plumbline.operators import compare, evidence, metrics, minimal, regions
 from plumbline.operators.atlas import Policy
-from plumbline.plans import campaign, minimize, reach
 from plumbline.plans.queries import (
     BOUNDS, CELLS_SQL, OBS_SQL, OUTCOMES_SQL, REGIONS_SQL, ROOT, SPLITS, STEPS_SQL, TOUCH_SQL, cells, observations, outcomes, points, query, read, shown, shown_sql, truth, values,
 )
-from plumbline.sources import corpus, protocol, records, sample
+from plumbline.sources import corpus, records, sample
 from plumbline.sources.sample import Axis
 
 # ---- the language: one model by three executors, over lineitem ----------------------------------------------------------
@@ -119,66 +117,114 @@ def region_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return obs.select("id", corpus.predicate_column("not (q > 40) and d * 2 >= 0.05 or q / 10 == 1", ["q", "d"]).alias("told"))
 
 
-TEXTS = {"price": PRICE, "single": SINGLE, "spring": SPRING, "far": FAR}
+#: The fault of a part's model text, by its number modulo nine: what is put in and what the refusal says.
+FAULTS = (
+    ("", "", ""), ("bounds", "input x in [2, 1]", "empty"), ("unbounded", "input x in [0, inf]", "no bound"), ("choices", "input x in {1}", "two choices"), ("unknown name", "let z = w", "not known"),
+    ("units", "input t : kg in [0, 1] let z = l + t", "different quantities"), ("arity", "let z = sqrt(a, a)", "takes 1"), ("or", "require a > 0 or a < 1", "or cannot"), ("trace", "check conserved(a)", "not watched"),
+)
+#: A part's own unit, by its number modulo five, with its dimension.
+UNITS = (("V", "m^2*kg/s^3/A"), ("N", "m*kg/s^2"), ("J", "m^2*kg/s^2"), ("km", "m"), ("s", "s"))
 
 
-@query("SELECT * FROM (VALUES ('far', 1, 1, 0, true), ('price', 2, 4, 3, true), ('single', 2, 1, 0, true), ('spring', 1, 3, 0, true)) v(model, inputs, outputs, rules, same)")
-def model_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = []
-    for name, text in sorted(TEXTS.items()):
-        m = compile_model(text)
-        rows.append((name, len(m.params), len(m.outputs), len(m.rules), to_text(from_text(to_text(m))) == to_text(m)))
-    return spark.createDataFrame(rows, "model string, inputs int, outputs int, rules int, same boolean")
+def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, text): a model of every part, its size and price as bounds; one of odd size has a loop."""
+    pick = lambda values, by: F.get(F.array(*map(F.lit, values)), F.col("p_partkey") % by)
+    loop = F.when(F.col("p_size") % 2 == 1, " state s = 0.0 loop 3 { advance s = s + a }").otherwise("")
+    text = F.concat(F.lit("model part { input a in [0, "), F.col("p_size").cast("string"), F.lit("] input l : "), pick([u for u, _ in UNITS], 5), F.lit(" in [1, "), (F.floor("p_retailprice") + 1).cast("string"), F.lit("] let y = a * 2 + 1 require y <= "), F.col("p_size").cast("string"), F.lit(" "), pick([f for _, f, _ in FAULTS], 9), loop, F.lit(" }"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
 
 
-REFUSED = (
-    ("bounds", "model m { input x in [2, 1] }", "empty"), ("unbounded", "model m { input x in [0, inf] }", "no bound"), ("choices", "model m { input x in {1} }", "two choices"), ("unknown name", "model m { input x in [0, 1] let y = z }", "not known"),
-    ("units", "model m { input x : m in [0, 1] input t : s in [0, 1] let y = x + t }", "different quantities"), ("pure number", "model m { input x : m in [0, 1] let y = exp(x) }", "pure number"), ("arity", "model m { input x in [0, 1] let y = sqrt(x, x) }", "takes 1"),
-    ("or", "model m { input x in [0, 1] require x > 0 or x < 1 }", "or cannot"), ("trace", "model m { input x in [0, 1] check conserved(x) }", "not watched"), ("nothing", "model m { }", "no input"), ("sound", "model m { input x in [0, 1] }", ""),
-)
+def told_of_texts(texts: DataFrame) -> DataFrame:
+    """What compiling each text says: why it was refused, its sizes, whether its text comes back, who can run it, and l's dimension."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for key, text in f.itertuples(index=False):
+                try:
+                    m = compile_model(text)
+                except ModelError as e:
+                    rows.append((key, str(e), None, None, None, None, None, None))
+                    continue
+                runs = ",".join(e for e in ("columns", "lanes", "scalar") if executors.EXECUTORS[e].refuses(m) is None)
+                rows.append((key, None, len(m.params), len(m.outputs), len(m.rules), to_text(from_text(to_text(m))) == to_text(m), runs, units.dim_text(m.param_units[1].dim)))
+            yield pd.DataFrame(rows, columns=["p_partkey", "refusal", "inputs", "outputs", "rules", "same", "runs", "dimension"]).astype({"inputs": "Int64", "outputs": "Int64", "rules": "Int64"})
+
+    return texts.mapInPandas(run, "p_partkey long, refusal string, inputs long, outputs long, rules long, same boolean, runs string, dimension string")
+
+
+@query("SELECT p_partkey, 2 AS inputs, CASE WHEN p_size % 2 = 1 THEN 2 ELSE 1 END AS outputs, 1 AS rules, true AS same FROM part WHERE p_partkey % 9 = 0")
+def model_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return told_of_texts(part_texts(spark, sf_dir)).where("refusal is null").select("p_partkey", *[F.col(c).cast("int").alias(c) for c in ("inputs", "outputs", "rules")], "same")
 
 
-@query("SELECT * FROM (VALUES ('bounds', true), ('unbounded', true), ('choices', true), ('unknown name', true), ('units', true), ('pure number', true), ('arity', true), ('or', true), ('trace', true), ('nothing', true), ('sound', false)) v(fault, refused)")
+@query("SELECT p_partkey, ['', 'bounds', 'unbounded', 'choices', 'unknown name', 'units', 'arity', 'or', 'trace'][p_partkey % 9 + 1] AS fault, p_partkey % 9 > 0 AS refused FROM part")
 def model_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = []
-    for name, text, said in REFUSED:
-        try:
-            compile_model(text)
-            rows.append((name, False))
-        except ModelError as e:
-            rows.append((name, said in str(e)))
-    return spark.createDataFrame(rows, "fault string, refused boolean")
+    """Which parts' texts are refused, and that the refusal names the fault."""
+    by = lambda k: F.get(F.array(*[F.lit(x[k]) for x in FAULTS]), F.col("p_partkey") % len(FAULTS))
+    told = told_of_texts(part_texts(spark, sf_dir))
+    return told.select("p_partkey", by(0).alias("fault"), F.coalesce(F.col("refusal").contains(by(2)), F.lit(False)).alias("refused"))
 
 
-@query("SELECT * FROM (VALUES ('V', 'm^2*kg/s^3/A'), ('N', 'm*kg/s^2'), ('J', 'm^2*kg/s^2'), ('km', 'm'), ('s', 's')) v(unit, dimension)")
+@query("SELECT p_partkey, ['m^2*kg/s^3/A', 'm*kg/s^2', 'm^2*kg/s^2', 'm', 's'][p_partkey % 5 + 1] AS dimension FROM part WHERE p_partkey % 9 = 0")
 def unit_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(u, units.dim_text(units.UNITS[u].dim)) for u in ("V", "N", "J", "km", "s")], "unit string, dimension string")
+    return told_of_texts(part_texts(spark, sf_dir)).where("refusal is null").select("p_partkey", "dimension")
 
 
-@query("SELECT * FROM (VALUES ('columns', 'price', true), ('lanes', 'price', true), ('scalar', 'price', true), ('columns', 'spring', false), ('lanes', 'spring', true), ('scalar', 'spring', true), ('columns', 'program', false), ('lanes', 'program', false), ('scalar', 'program', false)) v(executor, model, runs)")
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 1 THEN 'lanes,scalar' ELSE 'columns,lanes,scalar' END AS runs FROM part WHERE p_partkey % 9 = 0")
 def executor_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = {"price": compile_model(PRICE), "spring": compile_model(SPRING), "program": compile_model("model p { input x in [0, 1] output y }")}
-    return spark.createDataFrame([(e, name, executors.EXECUTORS[e].refuses(m) is None) for name, m in models.items() for e in ("columns", "lanes", "scalar")], "executor string, model string, runs boolean")
+    """Who can run a part's model: Columns have no loops."""
+    return told_of_texts(part_texts(spark, sf_dir)).where("refusal is null").select("p_partkey", "runs")
 
 
 # ---- generators ---------------------------------------------------------------------------------------------------------
 
 DRAW_SQL = """
-st AS (SELECT k, CAST(((xor(12345::UBIGINT, 11400714819323198485::UBIGINT))::UHUGEINT + k::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS z FROM range(1, 2001) t(k)),
+st AS (SELECT k, CAST(((xor(12345::UBIGINT, 11400714819323198485::UBIGINT))::UHUGEINT + k::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS z FROM (SELECT unnest(range(1, 2 * (SELECT count(*) FROM part) + 1)) AS k)),
 a AS (SELECT k, CAST((xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS z FROM st),
 b AS (SELECT k, CAST((xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS z FROM a),
 u AS (SELECT k, (xor(z, z >> 31) >> 11)::DOUBLE / 9007199254740992.0 AS u FROM b)"""
+BOX_SQL = "box AS (SELECT min(l_extendedprice) AS a0, max(l_extendedprice) AS a1, min(l_tax) AS b0, max(l_tax) AS b1 FROM lineitem)"
+
+
+def box(spark: SparkSession, sf_dir: str) -> tuple[int, list[Axis]]:
+    """As many points as there are parts, and the axes of the box that lineitem's prices and taxes fill."""
+    a0, a1, b0, b1 = read(spark, sf_dir, "lineitem").agg(*[f(c) for c in ("l_extendedprice", "l_tax") for f in (F.min, F.max)]).first()
+    return read(spark, sf_dir, "part").count(), [Axis("a", a0, a1), Axis("b", b0, b1)]
+
 
+def pair(points: DataFrame) -> DataFrame:
+    return points.select("id", F.round(F.get("x", F.lit(0)), 6).alias("a"), F.round(F.get("x", F.lit(1)), 9).alias("b"))
 
-@query("WITH " + DRAW_SQL + " SELECT (k - 1) // 2 AS id, round(max(u) FILTER (k % 2 = 1), 12) AS a, round(max(-1.0 + 3.0 * u) FILTER (k % 2 = 0), 12) AS b FROM u GROUP BY 1")
+
+@query("WITH " + DRAW_SQL + "," + BOX_SQL + " SELECT id, round(a0 + (a1 - a0) * ua, 6) AS a, round(b0 + (b1 - b0) * ub, 9) AS b FROM (SELECT (k - 1) // 2 AS id, max(u) FILTER (k % 2 = 1) AS ua, max(u) FILTER (k % 2 = 0) AS ub FROM u GROUP BY 1), box")
 def uniform_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample.uniform(spark, 1000, [Axis("a"), Axis("b", -1.0, 2.0)], 12345).select("id", F.round(F.get("x", F.lit(0)), 12).alias("a"), F.round(F.get("x", F.lit(1)), 12).alias("b"))
+    n, axes = box(spark, sf_dir)
+    return pair(sample.uniform(spark, n, axes, 12345))
+
+
+@query("""WITH RECURSIVE """ + BOX_SQL + """, d(i, base, rest, place, sum) AS (
+    SELECT i, base, i, 1.0::DOUBLE / base, 0.0::DOUBLE FROM (SELECT unnest(range(1, (SELECT count(*) FROM part) + 1)) AS i), (VALUES (2), (3)) b(base)
+    UNION ALL SELECT i, base, rest // base, place / base, sum + (rest % base) * place FROM d WHERE rest > 0)
+  SELECT id, round(a0 + (a1 - a0) * u, 6) AS a, round(b0 + (b1 - b0) * v, 9) AS b FROM (SELECT i - 1 AS id, max(sum) FILTER (base = 2) AS u, max(sum) FILTER (base = 3) AS v FROM d GROUP BY i), box""")
+def halton_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, axes = box(spark, sf_dir)
+    return pair(sample.halton(spark, n, axes))
+
 
+SIDE_SQL = "side AS (SELECT CAST(floor(sqrt((SELECT count(*) FROM part))) AS BIGINT) AS s)"
 
-@query("SELECT i AS id, round(-2.0 + 5.0 * ((i % 6 + 0.5) / 6), 9) AS a, round(10.0 * (((i // 6) % 6 + 0.5) / 6), 9) AS b FROM range(36) t(i)")
+
+@query("WITH " + BOX_SQL + "," + SIDE_SQL + " SELECT i AS id, round(a0 + (a1 - a0) * ((i % s + 0.5) / s), 6) AS a, round(b0 + (b1 - b0) * (((i // s) % s + 0.5) / s), 9) AS b FROM box, side, (SELECT unnest(range(0, (SELECT s * s FROM side))) AS i)")
 def midpoint_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = sample.grid(spark, 6, [Axis("a", -2.0, 3.0), Axis("b", 0.0, 10.0)], midpoints=True)
-    return made.select("id", F.round(F.get("x", F.lit(0)), 9).alias("a"), F.round(F.get("x", F.lit(1)), 9).alias("b"))
+    n, axes = box(spark, sf_dir)
+    return pair(sample.grid(spark, math.isqrt(n), axes, midpoints=True))
+
+
+@query("WITH " + BOX_SQL + "," + SIDE_SQL + " SELECT i AS id, round(a0 + (i % s) / (s - 1.0) * (a1 - a0), 6) AS a, [1.0::DOUBLE, 4.0, 9.0][CAST(least(floor(((i // s) % s) / (s - 1.0) * 3), 2) AS INT) + 1] AS b FROM box, side, (SELECT unnest(range(0, (SELECT s * s FROM side))) AS i)")
+def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, axes = box(spark, sf_dir)
+    return pair(sample.grid(spark, math.isqrt(n), [axes[0], Axis("b", choices=(1.0, 4.0, 9.0))]))
 
 
 @query("WITH " + OBS_SQL + " SELECT id AS base, d AS first, q AS second FROM obs")
@@ -329,106 +375,56 @@ def channel_census_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.census(items, applied=applied, findings=found, silenced=["click"])
 
 
-# ---- campaigns, minimisation, reach: values that an earlier, cell-by-cell implementation gave --------------------------------
-
-ROOT_MODEL = "model root { input x in [-10, 10] let y = sqrt(x) require finite(y) }"
-BAND = "model band { input a in [0, 10] input b in [0, 10] input c in {1, 2, 3} let y = a * c require y <= 12 }"
-
-
-def campaigns(spark: SparkSession) -> DataFrame:
-    jobs = campaign.plan({"root": compile_model(ROOT_MODEL), "band": compile_model(BAND)}, ["random", "stratified", "adaptive", "levelset"], [1, 2], [160])
-    return campaign.run_all(spark.createDataFrame(jobs, "campaign string, model string, config string").repartition(8))
-
-
-@query("""SELECT campaign, evaluations, steps, leaf_cells, first_flagged, round(suspicious::DOUBLE, 9) AS suspicious, round(trusted::DOUBLE, 9) AS trusted, findings FROM (VALUES ('root/random/1/160', 160, 160, 46, 2, 0.46875, 0.4375, 6), ('root/random/2/160', 160, 160, 48, 4, 0.45703125, 0.46875, 5), ('root/stratified/1/160', 160, 160, 36, 0, 0.5, 0.4375, 2), ('root/stratified/2/160', 160, 160, 36, 0, 0.5, 0.4375, 2), ('root/adaptive/1/160', 160, 160, 40, 0, 0.48828125, 0.46875, 3), ('root/adaptive/2/160', 160, 160, 49, 0, 0.4345703125, 0.46875, 4), ('root/levelset/1/160', 160, 160, 36, 2, 0.47705078125, 0.4375, 3), ('root/levelset/2/160', 160, 160, 36, 2, 0.47705078125, 0.4375, 3), ('band/random/1/160', 160, 160, 94, 0, 0.18310546875, 0.0849609375, 13), ('band/random/2/160', 160, 160, 91, 0, 0.2197265625, 0.10546875, 15), ('band/stratified/1/160', 160, 160, 80, 5, 0.2197265625, 0.07421875, 14), ('band/stratified/2/160', 160, 160, 80, 5, 0.2197265625, 0.07421875, 14), ('band/adaptive/1/160', 160, 160, 111, 5, 0.17041015625, 0.00927734375, 20), ('band/adaptive/2/160', 160, 160, 111, 5, 0.1513671875, 0.03466796875, 20), ('band/levelset/1/160', 160, 160, 17, 5, 0.03125, 0.0703125, 1), ('band/levelset/2/160', 160, 160, 17, 5, 0.03125, 0.0703125, 1)) v(campaign, evaluations, steps, leaf_cells, first_flagged, suspicious, trusted, findings)""")
-def campaign_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = campaigns(spark)
-    findings = F.size(F.from_json("findings", "array<struct<cell:int>>"))
-    return c.select("campaign", "evaluations", "steps", "leaf_cells", "first_flagged", F.round("suspicious", 9).alias("suspicious"), F.round("trusted", 9).alias("trusted"), findings.alias("findings"))
+# ---- minimal cases ----------------------------------------------------------------------------------------------------------
 
+LINES = "model lines { input q in [1, 50] input p in [900, 105000] input d in [0, 0.1] let net = p * (1 - d) let unit = p / q require net <= 100000 require unit <= 40000 }"
 
-@query("SELECT * FROM (VALUES ('random', 'Random', 1, true), ('stratified', 'Coverage', 1, true), ('adaptive', 'Coverage', 2, true), ('levelset', 'LevelSet', 1, true)) v(strategy, first_family, families, credited)")
-def campaign_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each strategy deals its rounds to, and that rounds were credited."""
-    rounds = campaigns(spark).where("campaign like 'band/%/1/%'").select("strategy", F.explode(F.from_json("decisions", "array<struct<evaluation:long,family:string,gain:double>>")).alias("d"))
-    by = rounds.groupBy("strategy").agg(F.min_by("d.family", "d.evaluation").alias("first_family"), F.collect_set("d.family").alias("all"), F.max("d.gain").alias("gain"))
-    known = F.filter("all", lambda f: f != "Random")
-    return by.select("strategy", "first_family", F.when(F.col("strategy") == "random", F.size("all")).otherwise(F.size(known)).alias("families"), (F.col("gain") > 0).alias("credited"))
 
-
-@query("SELECT * FROM (VALUES (0, true, 'b', 'band', 10.0::DOUBLE, true), (1, true, 'b', 'band', 10.0, true), (2, false, '', 'fixed', null, false)) v(finding, verified, dropped, kind, hi, shrunk)")
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice AS p, l_discount AS d, l_extendedprice * (1 - l_discount) > 100000 AS dear FROM lineitem
+    WHERE l_extendedprice * (1 - l_discount) > 100000 OR l_extendedprice / l_quantity > 40000),
+  k AS (SELECT *, NOT dear AND 50000 / q > 40000 AS one FROM c)
+  SELECT l_orderkey, l_linenumber, CASE WHEN dear THEN 'q' WHEN one THEN 'p,d' ELSE 'd' END AS free, 1.0 AS q_lo, round(CASE WHEN dear THEN 50.0 WHEN one THEN 1.25 ELSE p / 40000 END, 6) AS q_hi,
+    round(CASE WHEN dear THEN 100000 / (1 - d) WHEN one THEN 900.0 ELSE 40000 * q END, 4) AS p_lo, 105000.0 AS p_hi, 0.0 AS d_lo, round(CASE WHEN dear THEN 1 - 100000 / p ELSE 0.1 END, 6) AS d_hi FROM k""")
 def minimal_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failing points reduced to what makes them fail; the last does not fail."""
-    m = compile_model(BAND)
-    rows = []
-    for k, x in enumerate(([7.123456, 3.3, 3.0], [9.9, 0.1, 2.0], [1.0, 1.0, 1.0])):
-        r = minimize.minimize(m, x, minimize.rule_oracle(m))
-        s = r.case.states[0]
-        rows.append((k, r.verified, ",".join(r.dropped), s.kind if r.verified else "fixed", s.hi if r.verified else None, bool(r.verified and s.lo < x[0])))
-    return spark.createDataFrame(rows, "finding int, verified boolean, dropped string, kind string, hi double, shrunk boolean")
-
-
-@query("SELECT * FROM (VALUES ('enclosed'), ('sub-granular'), ('unreachable'), ('carved-away')) v(kind)")
-def reach_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = compile_model("model m { input a in [0, 1] input b in [0, 1] let y = a require y <= 0.3 }")
-    declared = [corpus.Region({"a": (0.3, 1.0)}), corpus.Region({"a": (0.5, 0.5001)}), corpus.Region({"a": (2.0, 3.0)}), corpus.Region({"a": (0.0, 1.0)}, "a > 2")]
-    return spark.createDataFrame([(reach.reach(m, corpus.Truth([r], []), Policy(max_depth=8))[0],) for r in declared], "kind string")
-
-
-@query("SELECT * FROM (VALUES ('root', 0, 0.0::DOUBLE), ('sine', 0, 3.1416::DOUBLE), ('sine', 0, 6.2832::DOUBLE)) v(model, axis, crossing)")
-def axis_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sine = compile_model("model sine { input x in [1, 7] let y = sin(x) require y >= 0 }")
-    return spark.createDataFrame([(name, 0, abs(round(v, 4))) for name, m in (("root", compile_model(ROOT_MODEL)), ("sine", sine)) for v in reach.crossings(m, 0)], "model string, axis int, crossing double")
+    """Every line that breaks a rule: the inputs that have nothing to do with it, and how far the others can go."""
+    m = compile_model(LINES)
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", "l_extendedprice", "l_discount").alias("x"))
+    found = minimal.broken_at(lines, m, F.col("x"), "fails").where("fails").drop("fails")
+    made = minimal.edges(minimal.reduced(found, m, (25.0, 50000.0, 0.05)), m)
+    names = F.array_join(F.transform("free", lambda i: F.get(F.array(*map(F.lit, "qpd")), i)), ",")
+    ends = [F.round(F.get(side, F.lit(i)), n).alias(f"{name}_{side}") for i, (name, n) in enumerate((("q", 6), ("p", 4), ("d", 6))) for side in ("lo", "hi")]
+    return made.select("l_orderkey", "l_linenumber", names.alias("free"), *ends)
 
 
 # ---- records -----------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('bad', 3::BIGINT)) v(journal, nr)")
+@query("""WITH l AS (SELECT CAST(event_id // 16 AS VARCHAR) AS journal, event_id % 16 AS nr, event_id FROM events) SELECT l.journal, l.nr FROM l JOIN l before ON before.journal = l.journal AND before.nr = l.nr - 1 WHERE before.event_id % 50 = 7""")
 def journal_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines: list[str] = []
-    for k in range(5):
-        records.append(lines, "note", {"k": k}, "2024-01-01T00:00:00Z")
-    rows = [("good", k, x) for k, x in enumerate(lines)] + [("bad", k, x.replace('"k":2', '"k":7')) for k, x in enumerate(lines)]
-    return records.broken_links(spark.createDataFrame(rows, "journal string, nr long, line string")).select("journal", "nr")
-
-
-@query("""SELECT event_id, path, value FROM (SELECT event_id, unnest(['a.b[0]', 'a.b[1]', 'a.t', 'n']) AS path, unnest([CAST(event_id % 5 AS VARCHAR), CAST(event_id % 7 AS VARCHAR), '"' || event_type || '"', 'null']) AS value FROM events WHERE event_id % 10 = 0)""")
+    """Journals of sixteen events each, every fiftieth line of which was changed afterwards: the lines behind do not fit."""
+    events = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 16).cast("string").alias("journal"), (F.col("event_id") % 16).alias("nr"), "event_id")
+    ids = events.groupBy("journal").agg(F.transform(F.sort_array(F.collect_list(F.struct("nr", "event_id"))), lambda v: v["event_id"]).alias("ids"))  # sixteen
+    line = lambda acc, i: F.concat(F.lit('{"seq":'), F.size(acc["lines"]).cast("string"), F.lit(',"at":"2024-01-01T00:00:00Z","prev":"'), acc["prev"], F.lit('","kind":"note","payload":{"k":'), i.cast("string"), F.lit("}}"))
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(records.ZERO).alias("prev"))
+    made = ids.select("journal", "ids", F.aggregate("ids", start, lambda acc, i: F.struct(F.concat(acc["lines"], F.array(line(acc, i))).alias("lines"), F.sha2(line(acc, i).cast("binary"), 256).alias("prev")))["lines"].alias("lines"))
+    rows = made.select("journal", F.posexplode(F.arrays_zip("ids", "lines")).alias("nr", "v"))
+    changed = F.when(F.col("v.ids") % 50 == 7, F.replace(F.col("v.lines"), F.lit('"k":'), F.lit('"k":-'))).otherwise(F.col("v.lines"))
+    return records.broken_links(rows.select("journal", F.col("nr").cast("long").alias("nr"), changed.alias("line")))
+
+
+@query("""SELECT event_id, path, value FROM (SELECT event_id, unnest(['a.b[0]', 'a.b[1]', 'a.c[0][0].d', 'a.t', 'e', 'n', 'o']) AS path,
+  unnest([CAST(event_id % 5 AS VARCHAR), CAST(event_id % 7 AS VARCHAR), CAST(CAST(props::JSON ->> 'k' AS INT) AS VARCHAR), '"' || event_type || '"', '[]', 'null', '{}']) AS value FROM events)""")
 def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested documents as paths."""
-    rows = read(spark, sf_dir, "events").where("event_id % 10 = 0")
-    doc = F.concat(F.lit('{"a": {"b": ['), (F.col("event_id") % 5).cast("string"), F.lit(", "), (F.col("event_id") % 7).cast("string"), F.lit('], "t": "'), F.col("event_type"), F.lit('"}, "n": null}'))
+    """Nested documents, one made of every event, as paths."""
+    rows, text = read(spark, sf_dir, "events"), lambda c: F.col(c).cast("string")
+    doc = F.concat(F.lit('{"a": {"b": ['), (F.col("event_id") % 5).cast("string"), F.lit(", "), (F.col("event_id") % 7).cast("string"), F.lit('], "c": [[{"d": '), F.get_json_object("props", "$.k"), F.lit('}]], "t": "'), text("event_type"), F.lit('"}, "e": [], "n": null, "o": {}}'))
     return compare.json_paths(rows.select("event_id", doc.alias("doc")), "doc", ["event_id"])
 
 
-@query("SELECT * FROM (VALUES ('same', 'identical'), ('other', 'differing'), ('arity', 'not fully comparable')) v(pair, verdict)")
+@query("""SELECT p_brand, CASE WHEN count(*) FILTER (p_partkey % 97 = 0 AND p_size % 2 = 1) > 0 THEN 'differing' WHEN count(*) FILTER (p_size % 2 = 0) > 0 THEN 'not fully comparable' ELSE 'identical' END AS verdict FROM part GROUP BY p_brand""")
 def comparison_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal records, different ones, and equal ones of spaces that have not as many axes."""
-    made = lambda v: spark.createDataFrame([("model", "name", "m"), ("cells", "0:1", v)], "section string, path string, value string")
-    same = compare.fields(made("TRUSTED"), made("TRUSTED"), ["section", "path"])
-    other = compare.fields(made("TRUSTED"), made("UNKNOWN"), ["section", "path"])
-    each = {"same": same, "other": other, "arity": compare.skipping(other, 1, 2)}
-    out = None
-    for name, rows in each.items():
-        one = compare.verdict(rows).select(F.lit(name).alias("pair"), "verdict")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-PROTOCOL = {
-    "schema": "x.protocol/3", "id": "demo", "plan": {"strategies": ["adaptive"], "seeds": [1, 2], "budgets": [40, 80], "refine_every": 20, "certify_share": 0.125},
-    "arms": [{"name": "A", "ablate": []}, {"name": "B", "ablate": ["physical"], "resolution": "demand"}], "entries": {"run": ["root", "band"]},
-}
-
-
-@query("SELECT arm, 'root/adaptive/' || seed || '/' || budget AS campaign, silenced, resolution FROM (VALUES ('A', '', 'current'), ('B', 'Physical', 'demand')) a(arm, silenced, resolution), (VALUES (1), (2)) s(seed), (VALUES (40), (80)) b(budget) UNION ALL SELECT arm, 'band/adaptive/' || seed || '/' || budget, silenced, resolution FROM (VALUES ('A', '', 'current'), ('B', 'Physical', 'demand')) a(arm, silenced, resolution), (VALUES (1), (2)) s(seed), (VALUES (40), (80)) b(budget)")
-def protocol_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The campaigns of a frozen plan's arms."""
-    p = protocol.Protocol.read(json.dumps(PROTOCOL))
-    models = {"root": compile_model(ROOT_MODEL), "band": compile_model(BAND)}
-    rows = []
-    for a in p.arms:
-        for name, _, config in p.campaigns(a.name, models):
-            c = campaign.config_of(config)
-            rows.append((a.name, name, ",".join(c.silenced), c.policy.resolution))
-    return spark.createDataFrame(rows, "arm string, campaign string, silenced string, resolution string")
+    """Each brand's parts as records against a copy in which some differ; those of even size are of spaces that cannot be compared."""
+    part = read(spark, sf_dir, "part").select("p_brand", "p_partkey", F.when(F.col("p_size") % 2 == 0, "cells").otherwise("model").alias("section"), F.col("p_retailprice").alias("value"))
+    other = part.withColumn("value", F.when(F.col("p_partkey") % 97 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    compared = compare.skipping(compare.fields(part, other, ["p_brand", "section", "p_partkey"]), 1, 2)
+    return compare.verdict(compared, ["p_brand"])

@@ -510,20 +510,6 @@ def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", *[F.round(v, 9).alias(k) for k, v in each.items()], *[F.round(v, 6).alias(k) for k, v in coarse.items()])
 
 
-@query("""WITH RECURSIVE d(i, base, rest, place, sum) AS (
-    SELECT i, base, i, 1.0::DOUBLE / base, 0.0::DOUBLE FROM range(1, 257) t(i), (VALUES (2), (3)) b(base)
-    UNION ALL SELECT i, base, rest // base, place / base, sum + (rest % base) * place FROM d WHERE rest > 0)
-  SELECT i - 1 AS id, round(max(sum) FILTER (base = 2), 12) AS u, round(-1.0 + 3.0 * max(sum) FILTER (base = 3), 12) AS v FROM d GROUP BY i""")
-def halton_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample.halton(spark, 256, [Axis("u"), Axis("v", -1.0, 2.0)]).select("id", F.round(F.get("x", F.lit(0)), 12).alias("u"), F.round(F.get("x", F.lit(1)), 12).alias("v"))
-
-
-@query("""SELECT i AS id, round(-2.0 + (i % 7) / 6.0 * 5.0, 9) AS a, [1.0::DOUBLE, 4.0, 9.0][CAST(floor(((i // 7) % 7) / 6.0 * 3) AS INT) + 1 - CAST((i // 7) % 7 = 6 AS INT)] AS b FROM range(49) t(i)""")
-def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = sample.grid(spark, 7, [Axis("a", -2.0, 3.0), Axis("b", choices=(1.0, 4.0, 9.0))])
-    return made.select("id", F.round(F.get("x", F.lit(0)), 9).alias("a"), F.get("x", F.lit(1)).alias("b"))
-
-
 @query("""SELECT p_partkey, round(1.0 + 49.0 * u, 9) AS value, round((1.0 + 49.0 * u - 1.0) / 49.0, 9) AS back, [2.0::DOUBLE, 3.0, 5.0, 7.0][CAST(least(floor(u * 4), 3) AS INT) + 1] AS choice, (least(floor(u * 4), 3) + 0.5) / 4 AS choice_back FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS u FROM part)""")
 def unit_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     interval, choice = Axis("v", 1.0, 50.0), Axis("c", choices=(2.0, 3.0, 5.0, 7.0))

@@ -14,8 +14,8 @@ from plumbline.functions import ieee
 from plumbline.lang import columns, lanes, scalar, units
 from plumbline.lang.model import compile_model, from_text, to_text
 from plumbline.lang.syntax import ModelError
-from plumbline.operators import atlas, calibrate, compare, evidence, metrics, regions
-from plumbline.plans import campaign, minimize, partition, readings, search
+from plumbline.operators import atlas, calibrate, compare, evidence, metrics, minimal, regions
+from plumbline.plans import campaign, partition, readings, search
 from plumbline.plans.campaign import Campaign, Config
 from plumbline.sources import archive, corpus, program, sample
 from plumbline.sources.sample import Axis
@@ -249,13 +249,20 @@ def test_predicate_columns(spark):
     assert got == {i: corpus.predicate(text)({"x": x[0], "y": x[1]}) for i, x in rows}
 
 
-def test_minimise(spark):
+def test_minimal_cases(spark):
+    """Inputs that have nothing to do with a failure are free; the others go as far as the failure does."""
     m = compile_model("model m { input a in [0, 10] input b in [0, 10] input c in {1, 2, 3} let y = a * c require y <= 12 }")
-    r = minimize.minimize(m, [7.123456, 3.3, 3.0], minimize.rule_oracle(m))
-    assert r.verified and r.dropped == ["b"] and r.case.states[0].kind == "band" and r.case.states[0].hi == 10 and 4 < r.case.states[0].lo < 4.01
-    assert not minimize.minimize(m, [1.0, 1.0, 1.0], minimize.rule_oracle(m)).verified and minimize.rounded(123456.0, 2) == 120000.0
-    df = spark.createDataFrame([("f", to_text(m), [7.1, 3.3, 3.0])], "finding string, model string, x array<double>")
-    assert minimize.minimize_all(df).first().dropped == ["b"]
+    df = spark.createDataFrame([(0, [7.123456, 3.3, 3.0]), (1, [9.9, 0.1, 2.0]), (2, [1.0, 1.0, 1.0])], "id int, x array<double>")
+    got = {r.id: r for r in minimal.edges(minimal.reduced(df, m, (5.0, 5.0, 1.0)), m).collect()}
+    assert [got[i].verified for i in range(3)] == [True, True, False]
+    assert got[0].free == [0, 1] and got[0].core == [5.0, 5.0, 3.0]  # five times three is too much as well
+    assert got[1].free == [1] and got[1].lo[0] == pytest.approx(6.0) and got[1].hi == [10.0, 10.0, 2.0] and got[1].lo[1:] == [0.0, 2.0]
+    assert got[2].core == [1.0, 1.0, 1.0] and got[2].free == []
+    # What breaks a rule by itself stays, whatever the others do.
+    late = compile_model("model l { input a in [0, 1] input b in [0, 1] let y = max(a - b, 0 - a - b) let z = b require y <= 0.4 and z <= 0.9 }")
+    again = minimal.reduced(spark.createDataFrame([(0, [0.9, 0.95])], "id int, x array<double>"), late, (0.0, 0.0)).first()
+    assert again.verified and 0 in again.free and again.core[1] == 0.95
+    assert minimal.reduced(df.limit(0), m, (5.0, 5.0, 1.0)).count() == 0
 
 
 def test_archive(spark, tmp_path):
