@@ -25,6 +25,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 ZERO = "0" * 64
 OUT = "journal string, nr long, digest string, status string"
@@ -58,7 +59,7 @@ class LineChain(StatefulProcessor):
         self.head = handle.getValueState("head", "nr long, digest string, seen long")
         self.waiting = handle.getMapState("waiting", "nr long", "line string, at long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         nr, digest, seen = self.head.get() if self.head.exists() else (0, ZERO, 0)
         for r in rows:
             at = int(r["at_ms"]) if r["at_ms"] is not None else None
@@ -90,7 +91,7 @@ class LineChain(StatefulProcessor):
         elif not times:
             self.handle.registerTimer(seen + self.forget)
 
-    def handleExpiredTimer(self, key: tuple, timers: object, expired: object) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         nr, digest, seen = self.head.get()
         waiting = [k[0] for k in self.waiting.keys()]
         if not waiting:
