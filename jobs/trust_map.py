@@ -12,7 +12,8 @@ labels' policy. The job evaluates the model on every row and writes, as Parquet:
 
 It writes whole tables in place of those that are there, from the input alone: running it again gives the same, and mends
 what a run that was broken off has left. Rows of outside break no rule: a model says nothing beyond its domain.
-A table without rows gives tables without rows.
+A table without rows gives tables without rows. Columns of the key may have any name but rule, magnitude, x and reason, which
+are the job's own.
 """
 
 from __future__ import annotations
@@ -46,9 +47,9 @@ def place(model: Model, x: Column) -> Column:
 
 
 def observed(table: DataFrame, model: Model, config: dict) -> DataFrame:
-    """The table's keys and inputs: key columns, x, reason."""
+    """The table's keys and inputs: key (a struct, so that no name of the table meets one of ours), x, reason."""
     x = F.array(*[F.expr(config["inputs"][p.name]).cast("double") for p in model.params])
-    return table.select(*config["key"], x.alias("x")).withColumn("reason", place(model, F.col("x")))
+    return table.select(F.struct(*config["key"]).alias("key"), x.alias("x")).withColumn("reason", place(model, F.col("x")))
 
 
 def judged(rows: DataFrame, model: Model, near: float) -> DataFrame:
@@ -77,13 +78,12 @@ def run(spark: SparkSession, table: str, out: str, config: dict) -> dict[str, in
     given = spark.read.parquet(table)
     rows = observed(given, model, config)
     known = judged(rows.where("reason is null"), model, config["near"])
-    key = config["key"]
     cells = atlas.grid_cells(known, bounds, config["splits"], policy=atlas.Policy(**config["policy"]))
-    broken = evidence.constraints(known.withColumn("id", F.lit(0)), columns.rules_of(model), key)
+    broken = evidence.constraints(known.withColumn("id", F.lit(0)), columns.rules_of(model), ["key"])
     made = {
         "cells": written(cells.select("k", "lo", "hi", "samples", "facts", "channels", "risk_sum", "risk_max", "label"), f"{out}/cells", "label"),
-        "findings": written(broken.select(*key, F.col("subject").alias("rule"), "magnitude"), f"{out}/findings", "rule"),
-        "outside": written(rows.where("reason is not null").select(*key, "x", "reason"), f"{out}/outside", "reason"),
+        "findings": written(broken.select("key.*", F.col("subject").alias("rule"), "magnitude"), f"{out}/findings", "rule"),
+        "outside": written(rows.where("reason is not null").select("key.*", "x", "reason"), f"{out}/outside", "reason"),
     }
     log.info("read %s: model %s, %d cells, %d findings, %d rows in no cell", table, model.name, made["cells"], made["findings"], made["outside"])
     return made

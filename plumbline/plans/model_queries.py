@@ -383,8 +383,8 @@ LINES = "model lines { input q in [1, 50] input p in [900, 105000] input d in [0
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice AS p, l_discount AS d, l_extendedprice * (1 - l_discount) > 100000 AS dear FROM lineitem
     WHERE l_extendedprice * (1 - l_discount) > 100000 OR l_extendedprice / l_quantity > 40000),
   k AS (SELECT *, NOT dear AND 50000 / q > 40000 AS one FROM c)
-  SELECT l_orderkey, l_linenumber, CASE WHEN dear THEN 'q' WHEN one THEN 'p,d' ELSE 'd' END AS free, 1.0 AS q_lo, round(CASE WHEN dear THEN 50.0 WHEN one THEN 1.25 ELSE p / 40000 END, 6) AS q_hi,
-    round(CASE WHEN dear THEN 100000 / (1 - d) WHEN one THEN 900.0 ELSE 40000 * q END, 4) AS p_lo, 105000.0 AS p_hi, 0.0 AS d_lo, round(CASE WHEN dear THEN 1 - 100000 / p ELSE 0.1 END, 6) AS d_hi FROM k""")
+  SELECT l_orderkey, l_linenumber, CASE WHEN dear THEN 'q' WHEN one THEN 'p,d' ELSE 'd' END AS free, 1.0::DOUBLE AS q_lo, round(CASE WHEN dear THEN 50.0 WHEN one THEN 1.25 ELSE p / 40000 END, 9) AS q_hi,
+    round(CASE WHEN dear THEN 100000 / (1 - d) WHEN one THEN 900.0 ELSE 40000 * q END, 4) AS p_lo, 105000.0::DOUBLE AS p_hi, 0.0::DOUBLE AS d_lo, round(CASE WHEN dear THEN 1 - 100000 / p ELSE 0.1 END, 6) AS d_hi FROM k""")
 def minimal_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that breaks a rule: the inputs that have nothing to do with it, and how far the others can go."""
     m = compile_model(LINES)
@@ -392,7 +392,7 @@ def minimal_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minimal.broken_at(lines, m, F.col("x"), "fails").where("fails").drop("fails")
     made = minimal.edges(minimal.reduced(found, m, (25.0, 50000.0, 0.05)), m)
     names = F.array_join(F.transform("free", lambda i: F.get(F.array(*map(F.lit, "qpd")), i)), ",")
-    ends = [F.round(F.get(side, F.lit(i)), n).alias(f"{name}_{side}") for i, (name, n) in enumerate((("q", 6), ("p", 4), ("d", 6))) for side in ("lo", "hi")]
+    ends = [F.round(F.get(side, F.lit(i)), n).alias(f"{name}_{side}") for i, (name, n) in enumerate((("q", 9), ("p", 4), ("d", 6))) for side in ("lo", "hi")]
     return made.select("l_orderkey", "l_linenumber", names.alias("free"), *ends)
 
 

@@ -29,7 +29,7 @@ def files_below(path):
 
 def lines():
     rows = [(i, 1, 1.0 + i % 50, 900.0 + 1000 * (i % 100), (i % 11) / 100, "n") for i in range(600)]
-    return [*rows, rows[0], (None, None, 1.0, 90_000.0, 0.0, None), (700, 1, None, 1000.0, 0.0, "n"), (701, 1, 5.0, float("nan"), 0.0, "n"), (702, 1, 51.0, 1000.0, 0.0, "n"), (703, 1, 1.0, 900.0, 0.1, "n"), (704, 1, 1.0, float("inf"), 0.1, "n")]
+    return [*rows, rows[0], (None, None, 1.0, 90_000.0, 0.0, None), (699, 2, 50.0, 104_000.0, 0.0, "n"), (700, 1, None, 1000.0, 0.0, "n"), (701, 1, 5.0, float("nan"), 0.0, "n"), (702, 1, 51.0, 1000.0, 0.0, "n"), (703, 1, 1.0, 900.0, 0.1, "n"), (704, 1, 1.0, float("inf"), 0.1, "n")]
 
 
 @pytest.fixture
