@@ -18,8 +18,9 @@ own; repeated rows count and are judged alike; without rows there are none; when
 estimate is needed; extra columns pass through ``keep_typical``, whose own columns avoid their names.
 
 Scale: each text is read once and its counts are written; concentration steps aggregate those rows, with map-side
-combine, to counts of bins, whose number does not grow with the texts, and a few numbers a group. A hot source is nowhere
-gathered. Only groups that judge a text are estimated.
+combine, to counts of bins, whose number does not grow with the texts, and a few numbers a group. Only groups that judge a
+text are estimated. Texts meet the few models of their group by a join on the group: where Spark does not broadcast the
+models, a hot group's rows of numbers (not texts) are in one task unless AQE splits it.
 """
 
 from __future__ import annotations
