@@ -5,6 +5,7 @@ import math
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +234,16 @@ def test_widest_brackets(spark, monkeypatch, axes, few):
     assert got == want and 4 not in got and 5 not in got
 
 
+@pytest.mark.parametrize("place", [lambda t: (t, 0.3), lambda t: (0.3, t), lambda t: (t, t), lambda t: (t, 1.0 - 3 * t), lambda t: (t, t * t)])
+def test_points_on_an_edge_are_no_corners(place):
+    t = np.arange(2001) / 4096  # whole sums and products, so all lie on the line exactly
+    x, y = np.array([place(v) for v in t]).T
+    order = np.lexsort([y, x])
+    got = brackets.corners(x[order], y[order])
+    assert len(got) == (2001 if place(0.5)[1] == 0.25 else 2)
+    assert {0, 2000} <= set(got.tolist())
+
+
 # ---- running values
 
 
