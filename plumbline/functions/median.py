@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.lookup import looked_up
+from plumbline.plans.scratch import stash
+
 #: Half the bracket's width in ranks, as a share of the group; five times the sketch's error.
 HALF = 5e-4
 ACCURACY = 10_000
@@ -22,21 +25,12 @@ def medians(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     sketch = known.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_v", [0.5 - HALF, 0.5 + HALF], ACCURACY).alias("_b"))
     sketch = sketch.where("n > 0").select(*keys, "n", F.get("_b", F.lit(0)).alias("_lo"), F.get("_b", F.lit(1)).alias("_hi"))
-    renamed = sketch.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "n", "_lo", "_hi")
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    met = known.join(renamed, on) if keys else known.crossJoin(F.broadcast(renamed))  # one row
-    below = met.groupBy(*keys).agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below")).select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)], "_below")
-    inside = met.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).select(*keys, "_v", "n")
-    # Equal values are one row with a count, so a value that fills a group is not sorted row by row.
-    inside = inside.groupBy(*keys, "n", "_v").agg(F.count("*").alias("_c"))
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_j{i}"))
-    placed = inside.join(below, same) if keys else inside.crossJoin(F.broadcast(below))  # one row
-    order = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("_v")
-    upto = placed.withColumn("_past", F.col("_below") + F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    met = looked_up(known, stash(sketch, "sketch"), keys, null_safe=True).where(F.col("_v") <= F.col("_hi"))
+    # One row for all values below the bracket, and one for equal values in it: the rows of a group are counted where they are.
+    under = F.col("_v") < F.col("_lo")
+    counted = met.groupBy(*keys, "n", under.alias("_under"), F.when(~under, F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(F.desc("_under"), "_v")
+    upto = counted.withColumn("_past", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     first = F.col("_past") - F.col("_c")
     holds = lambda rank: F.max(F.when((first <= rank) & (rank < F.col("_past")), F.col("_v")))
     low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)

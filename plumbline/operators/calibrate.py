@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from plumbline.functions import ieee
 from plumbline.functions.median import medians
 from plumbline.operators.evidence import CHANNELS
+from plumbline.operators.lookup import looked_up
+from plumbline.plans.scratch import stash
 
 #: Least scales by channel: noise that is no evidence.
 NOISE_FLOORS = {"Numerical": 1e-6, "Differential": 1e-9}
@@ -52,7 +54,8 @@ def strength(magnitude: Column, scale: Column) -> Column:
 def calibrated(evidence: DataFrame, by_channel: DataFrame, by_claim: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """evidence with strengths from the claim's scale, else the channel's, else 1; fixed items keep theirs."""
     k = list(keys)
-    met = evidence.join(by_channel.withColumnRenamed("scale", "of_channel"), [*k, "channel"], "left").join(by_claim.withColumnRenamed("scale", "of_claim"), [*k, "channel", "subject"], "left")
+    channels, claims = stash(by_channel.withColumnRenamed("scale", "of_channel"), "scales"), stash(by_claim.withColumnRenamed("scale", "of_claim"), "scales")
+    met = looked_up(looked_up(evidence, channels, [*k, "channel"], "left"), claims, [*k, "channel", "subject"], "left")
     own = strength(F.col("magnitude"), F.coalesce("of_claim", "of_channel", F.lit(1.0)))
     return met.withColumn("strength", F.when(F.col("fixed"), F.col("strength")).otherwise(own)).select(*evidence.columns)
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import ieee
 from plumbline.functions.median import medians
+from plumbline.operators.lookup import looked_up
+from plumbline.plans.scratch import stash
 
 #: An item names so many of its offenders, the least; the functions ..._offenders give all of them, row by row.
 NAMED = 512
@@ -130,13 +132,18 @@ def slopes(values: DataFrame) -> DataFrame:
 
 def slope_reference(values: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The median slope of each axis and output."""
-    return medians(slopes(values), [*keys, "axis", "output"], "slope").withColumnRenamed("median", "typical").drop("n")
+    return _typical(stash(slopes(values), "slopes"), keys)
+
+
+def _typical(steep: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return medians(steep, [*keys, "axis", "output"], "slope").withColumnRenamed("median", "typical").drop("n")
 
 
 def sensitivity(values: DataFrame, keys: Sequence[str] = (), reference: DataFrame | None = None, factor: float = 1.5) -> DataFrame:
     """Pairs whose slope is more than factor times the typical one; reference: frozen medians instead of these pairs' own."""
-    typical = slope_reference(values, keys) if reference is None else reference
-    met = slopes(values).join(typical, [*keys, "axis", "output"]).where("typical > 0").withColumn("ratio", F.col("slope") / F.col("typical")).where(F.col("ratio") > factor)
+    steep = stash(slopes(values), "slopes")
+    typical = stash(_typical(steep, keys) if reference is None else reference, "typical")
+    met = looked_up(steep, typical, [*keys, "axis", "output"]).where("typical > 0").withColumn("ratio", F.col("slope") / F.col("typical")).where(F.col("ratio") > factor)
     subject = F.concat(F.lit("o"), "output", F.lit("~p"), "axis", F.lit(":slope"))
     return met.select(*keys, *_item("Sensitivity", subject, F.col("ratio") - 1, F.array("base", "perturbed")))
 
@@ -170,7 +177,7 @@ def _tallied(steps: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def monotony(values: DataFrame, keys: Sequence[str] = (), increasing: bool = True) -> DataFrame:
     """For each axis and output: violated, total, worst and severity of "keeps rising" (or falling)."""
-    steps = broken_steps(values, increasing)
+    steps = stash(broken_steps(values, increasing), "steps")  # read by three steps
     by = [*keys, "axis", "output"]
     typical = medians(steps, by, "rel").select(*by, F.col("median").alias("typical"))
     typical_wrong = medians(steps.where("wrong"), by, "rel").select(*by, F.col("median").alias("typical_wrong"))
