@@ -13,9 +13,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.scans import dealt
+from plumbline.plans.scratch import stash
+
 #: Deepest tree: ends are whole numbers of 64 bits.
 DEEPEST = 62
 
@@ -87,6 +90,33 @@ def shared_length(a: Column, b: Column, lo: str = "lo", hi: str = "hi") -> Colum
     return F.least(a[hi], b[hi]) - F.greatest(a[lo], b[lo])
 
 
+def overlap_totals(rows: DataFrame, keys: Sequence[str], lo: str = "lo", hi: str = "hi", ranges: int | None = None) -> DataFrame:
+    """For each closed interval how many overlap it, itself too, and how long in all: keys, met, shared; no pair is made.
+
+    keys tell intervals apart; ends are whole numbers. Those that start by the end of an interval and do not end before its
+    start overlap it. Up to a time t all have run for as long as starts and ends up to t tell, so what they run within an
+    interval is the difference of two running sums. rows are read once.
+    """
+    end = lambda c, sign: F.struct(F.col(c).cast("long").alias("_t"), F.lit(sign).alias("_s"))
+    ends = rows.where(F.col(lo) <= F.col(hi)).select(*keys, F.inline(F.array(end(lo, 1), end(hi, -1))))
+    parts = stash(dealt(stash(ends, "ends"), ["_t"], ranges), "ends")
+    # Sums of times pass 64 bits.
+    t = F.col("_t").cast("decimal(20,0)")
+    starts, stops, times = F.when(F.col("_s") > 0, 1).otherwise(0), F.when(F.col("_s") < 0, 1).otherwise(0), F.when(F.col("_s") > 0, t).otherwise(-t)
+    along = Window.partitionBy("_part").orderBy("_t")
+    upto, under = along.rangeBetween(Window.unboundedPreceding, 0), along.rangeBetween(Window.unboundedPreceding, -1)
+    own = parts.withColumns({"_starts": F.sum(starts).over(upto), "_stops": F.sum(stops).over(upto), "_gone": F.coalesce(F.sum(stops).over(under), F.lit(0)), "_times": F.sum(times).over(upto)})
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sums = parts.groupBy("_part").agg(F.sum(starts).alias("a"), F.sum(stops).alias("b"), F.sum(times).alias("c"))
+    bases = sums.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in ("a", "b", "c")])
+    met = own.join(F.broadcast(bases), "_part")
+    live = F.col("_starts") + F.col("_a") - F.col("_stops") - F.col("_b")
+    run = t * live.cast("decimal(18,0)") - (F.col("_times") + F.col("_c"))
+    told = met.select(*keys, "_s", (F.col("_starts") + F.col("_a")).alias("begun"), (F.col("_gone") + F.col("_b")).alias("gone"), run.alias("run"))
+    at = lambda sign, c: F.max(F.when(F.col("_s") == sign, F.col(c)))
+    return told.groupBy(*keys).agg((at(-1, "begun") - at(1, "gone")).alias("met"), (at(-1, "run") - at(1, "run")).cast("long").alias("shared"))
+
+
 def same(a: Sequence[str], left: str = "a", right: str = "b") -> Column:
     """Whether both sides of a pair have equal columns."""
     return reduce(lambda x, y: x & y, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in a])

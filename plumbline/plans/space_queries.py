@@ -168,9 +168,11 @@ SELECT a.user_id, a.lo, count(*) AS others, CAST(sum(least(a.hi, b.hi) - greates
 FROM sessions a JOIN sessions b ON a.lo <= b.hi AND b.lo <= a.hi AND a.user_id <> b.user_id GROUP BY a.user_id, a.lo""")
 def session_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many sessions of other users each session overlaps, and for how long in all."""
-    rows = sessions(spark, sf_dir)
-    met = intervals.overlapping(rows, rows).where("a.user_id <> b.user_id").withColumn("shared", intervals.shared_length(F.col("a"), F.col("b")))
-    return met.groupBy(F.col("a.user_id").alias("user_id"), F.col("a.lo").alias("lo")).agg(F.count("*").alias("others"), F.sum("shared").alias("shared_us"))
+    rows = sessions(spark, sf_dir).where("user_id is not null")
+    # A user's sessions are apart, so of those that a session overlaps only it itself is its user's.
+    length = F.col("hi") - F.col("lo")
+    totals = intervals.overlap_totals(rows, ["user_id", "lo", "hi"]).select("user_id", "lo", (F.col("met") - 1).alias("others"), (F.col("shared") - length).alias("shared_us"))
+    return totals.where("others > 0")
 
 
 @query("WITH " + SESSIONS_SQL + """

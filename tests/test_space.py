@@ -214,6 +214,19 @@ def test_interval_joins(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("count", [1, 9])
+def test_overlap_totals(spark, count):
+    rnd = random.Random(8)
+    far = 1 << 52
+    rows = [(i, lo, rnd.choice([lo, lo + rnd.randint(0, 30), lo + rnd.randint(-3, 300)])) for i in range(400) for lo in [far + rnd.randint(0, 400)]] + [(900, None, far), (901, far, None)]
+    known = [r for r in rows if None not in r and r[1] <= r[2]]
+    made = intervals.overlap_totals(spark.createDataFrame(rows, "id long, lo long, hi long").repartition(5), ["id"], ranges=count)
+    got = {r.id: (r.met, r.shared) for r in made.collect()}
+    meet = lambda a: [min(a[2], b[2]) - max(a[1], b[1]) for b in known if a[1] <= b[2] and b[1] <= a[2]]
+    assert got == {a[0]: (len(meet(a)), sum(meet(a))) for a in known}
+    assert intervals.overlap_totals(spark.createDataFrame([], "id long, lo long, hi long"), ["id"]).count() == 0
+
+
 # ---- brackets
 
 
