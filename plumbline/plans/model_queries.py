@@ -137,20 +137,28 @@ def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def told_of_texts(texts: DataFrame) -> DataFrame:
     """What compiling each text says: why it was refused, its sizes, whether its text comes back, who can run it, and l's dimension."""
 
+    def told(text: str) -> tuple:
+        try:
+            m = compile_model(text)
+        except ModelError as e:
+            return str(e), None, None, None, None, None, None
+        runs = ",".join(e for e in ("columns", "lanes", "scalar") if executors.EXECUTORS[e].refuses(m) is None)
+        return None, len(m.params), len(m.outputs), len(m.rules), to_text(from_text(to_text(m))) == to_text(m), runs, units.dim_text(m.param_units[1].dim)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, found = None, ()
         for f in frames:
             rows = []
             for key, text in f.itertuples(index=False):
-                try:
-                    m = compile_model(text)
-                except ModelError as e:
-                    rows.append((key, str(e), None, None, None, None, None, None))
-                    continue
-                runs = ",".join(e for e in ("columns", "lanes", "scalar") if executors.EXECUTORS[e].refuses(m) is None)
-                rows.append((key, None, len(m.params), len(m.outputs), len(m.rules), to_text(from_text(to_text(m))) == to_text(m), runs, units.dim_text(m.param_units[1].dim)))
+                if not found or text != last:
+                    last, found = text, told(text)
+                rows.append((key, *found))
             yield pd.DataFrame(rows, columns=["p_partkey", "refusal", "inputs", "outputs", "rules", "same", "runs", "dimension"]).astype({"inputs": "Int64", "outputs": "Int64", "rules": "Int64"})
 
-    return texts.mapInPandas(run, "p_partkey long, refusal string, inputs long, outputs long, rules long, same boolean, runs string, dimension string")
+    # A table of few bytes is much work, so it is dealt over tasks by number, not by size; equal texts meet and are compiled once.
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.repartition(tasks, "text").sortWithinPartitions("text")
+    return dealt.mapInPandas(run, "p_partkey long, refusal string, inputs long, outputs long, rules long, same boolean, runs string, dimension string")
 
 
 @query("SELECT p_partkey, 2 AS inputs, CASE WHEN p_size % 2 = 1 THEN 2 ELSE 1 END AS outputs, 1 AS rules, true AS same FROM part WHERE p_partkey % 9 = 0")
