@@ -28,6 +28,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 ZERO = "0" * 64
+#: Lines of one journal that a batch holds before they go into the state.
+AT_ONCE = 10_000
 OUT = "journal string, nr long, digest string, status string"
 _PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -60,31 +62,57 @@ class LineChain(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "nr long", "line string, at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        nr, digest, seen = self.head.get() if self.head.exists() else (0, ZERO, 0)
+        known = self.head.get()
+        nr, digest, seen = known or (0, ZERO, 0)
+        held = {k[0] for k in self.waiting.keys()} if known else set()
+        fresh: dict[int, tuple[str, int | None]] = {}  # of these rows; what has its turn at once never goes into the state
         for r in rows:
             at = int(r["at_ms"]) if r["at_ms"] is not None else None
             seen = max(seen, at or 0)
             if r["nr"] <= nr:
                 yield Row(journal=key[0], nr=r["nr"], digest=None, status="late")
-            elif not self.waiting.containsKey((r["nr"],)):
-                self.waiting.updateValue((r["nr"],), (r["line"], at))
-            else:
-                line, first = self.waiting.getValue((r["nr"],))
-                self.waiting.updateValue((r["nr"],), (min(line, r["line"]), first if at is None else at if first is None else min(first, at)))
+            elif r["nr"] in fresh:
+                fresh[r["nr"]] = self.first(fresh[r["nr"]], r["line"], at)
+                yield Row(journal=key[0], nr=r["nr"], digest=None, status="late")
+            elif r["nr"] in held:
+                self.waiting.updateValue((r["nr"],), self.first(self.waiting.getValue((r["nr"],)), r["line"], at))
                 yield Row(journal=key[0], nr=r["nr"], digest=None, status="late")
-        yield from self.drained(key[0], nr, digest, seen)
-
-    def drained(self, journal: str, nr: int, digest: str, seen: int) -> Iterator[Row]:
-        """Link what has its turn, and set the timer for what is left."""
-        while self.waiting.containsKey((nr + 1,)):
-            line, _ = self.waiting.getValue((nr + 1,))
-            nr, digest = nr + 1, link(digest, line)
-            self.waiting.removeKey((nr,))
+            else:
+                fresh[r["nr"]] = (r["line"], at)
+                if len(fresh) >= AT_ONCE:
+                    self.wait(fresh, held)
+        yield from self.drained(key[0], nr, digest, seen, fresh, held, known is not None)
+
+    @staticmethod
+    def first(one: tuple, line: str, at: int | None) -> tuple[str, int | None]:
+        """Of two lines with one number the first by text, and the earlier of their times."""
+        return min(one[0], line), one[1] if at is None else at if one[1] is None else min(one[1], at)
+
+    def wait(self, fresh: dict[int, tuple[str, int | None]], held: set[int]) -> None:
+        for n, value in fresh.items():
+            self.waiting.updateValue((n,), value)
+        held.update(fresh)
+        fresh.clear()
+
+    def drained(self, journal: str, nr: int, digest: str, seen: int, fresh: dict[int, tuple[str, int | None]], held: set[int], timed: bool) -> Iterator[Row]:
+        """Link what has its turn, let the rest wait, and set the timer for what is left. timed: a timer may be set."""
+        while nr + 1 in fresh or nr + 1 in held:
+            nr += 1
+            if nr in fresh:
+                line, _ = fresh.pop(nr)
+            else:
+                line, _ = self.waiting.getValue((nr,))
+                self.waiting.removeKey((nr,))
+                held.remove(nr)
+            digest = link(digest, line)
             yield Row(journal=journal, nr=nr, digest=digest, status="linked")
+        times = [v[1] for v in self.waiting.values()] if held else []
+        times += [at for _, at in fresh.values()]
+        self.wait(fresh, held)
         self.head.update((nr, digest, seen))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        times = [v[1] for v in self.waiting.values()]
+        if timed:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
         known = [t for t in times if t is not None]
         if known:
             self.handle.registerTimer(min(known) + self.patience)
@@ -100,7 +128,7 @@ class LineChain(StatefulProcessor):
             return
         nr = min(waiting) - 1
         yield Row(journal=key[0], nr=nr, digest=None, status="gap")
-        yield from self.drained(key[0], nr, digest, seen)
+        yield from self.drained(key[0], nr, digest, seen, {}, set(waiting), True)
 
     def close(self) -> None:
         pass

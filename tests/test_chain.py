@@ -60,3 +60,43 @@ def test_the_session_keeps_its_state_store(spark):
     with chain.provider(spark):
         assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
+class Held:
+    """A journal's state in memory, which counts what is put into it."""
+
+    def __init__(self):
+        self.value, self.map, self.puts, self.timers = None, {}, 0, []
+
+    getValueState = getMapState = lambda self, *_: self
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    update = lambda self, v: setattr(self, "value", v)
+    containsKey = lambda self, k: k in self.map
+    getValue = lambda self, k: self.map[k]
+    removeKey = lambda self, k: self.map.pop(k)
+    keys = lambda self: list(self.map)
+    values = lambda self: list(self.map.values())
+    listTimers = lambda self: self.timers
+    deleteTimer = lambda self, t: self.timers.remove(t)
+    registerTimer = lambda self, t: self.timers.append(t)
+
+    def updateValue(self, k, v):
+        self.map[k], self.puts = v, self.puts + 1
+
+
+def test_lines_that_have_their_turn_do_not_wait(monkeypatch):
+    row = lambda nr, text=None: {"nr": nr, "line": text or f"l{nr}", "at_ms": nr}
+    batches = [[row(k) for k in (3, 1, 2, 3, 9, 8)], [row(k) for k in (5, 4, 8, 6, 1)], [row(7), row(10)]]
+    for most, puts in ((10_000, 3), (2, None)):
+        monkeypatch.setattr(chain, "AT_ONCE", most, raising=False)
+        state, journal = Held(), chain.LineChain(100, 1000)
+        journal.init(state)
+        out = [[(r.nr, r.status, r.digest) for r in journal.handleInputRows(("a",), iter(b), None)] for b in batches]
+        digest, want = chain.ZERO, {}
+        for nr in range(1, 11):
+            digest = chain.link(digest, f"l{nr}")
+            want[nr] = (nr, "linked", digest)
+        assert out == [[(3, "late", None), want[1], want[2], want[3]], [(8, "late", None), (1, "late", None), want[4], want[5], want[6]], [want[7], want[8], want[9], want[10]]]
+        assert not state.map and state.timers == [10 + 1000]
+        assert puts is None or state.puts == puts  # 8 and 9 wait, and 8 comes twice
