@@ -140,8 +140,11 @@ def approx(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
     return le(F.abs(a - b), F.lit(tolerance) * fmax(F.abs(b), F.lit(1.0)))
 
 
-def result_flags(v: Column) -> Column:
-    return F.when(F.isnan(v), F.lit(int(Flag.NAN))).when(F.abs(v) == INF, F.lit(int(Flag.INF))).otherwise(F.lit(0))
+def result_flags(values: Column) -> Column:
+    """What an array of results raises; a null raises nothing."""
+    nan = F.when(F.array_contains(values, F.lit(NAN)), F.lit(int(Flag.NAN))).otherwise(F.lit(0))
+    inf = F.array_contains(values, F.lit(INF)) | F.array_contains(values, F.lit(-INF))
+    return nan.bitwiseOR(F.when(inf, F.lit(int(Flag.INF))).otherwise(F.lit(0)))
 
 
 def median_or_zero(x: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,12 @@ from plumbline.lang.model import Model, Operand
 from plumbline.operators.evidence import Rule
 
 
+#: The code of an operation, in operations like +; all others are taken as one.
+SIZES = {"/": 4, "%": 3, "pow": 3, "clamp": 3, "min": 2, "max": 2, "ln": 2, "log2": 2, "log10": 2, "floor": 5, "ceil": 5, "trunc": 10, "round": 24}
+#: How much is evaluated in one go, so that its method has room for what reads the results, below 8,000 bytes.
+BLOCK = 24
+
+
 def _truth(c: Column) -> Column:
     return c.cast("double")
 
@@ -34,40 +43,91 @@ def expressible(model: Model) -> bool:
 
 
 def operand(model: Model, o: Operand) -> Column:
+    """An operand of run_model, which has a column for each input (_p) and each instruction (_n)."""
     kind, at = o
     if kind == "lit":
         return F.lit(float(at))
     if kind == "param":
-        v = F.get("x", F.lit(int(at)))
-        return ieee.trunc(v) if model.params[int(at)].integer else v
+        return F.col(f"_p{int(at)}")
     if kind == "slot":
         return operand(model, model.slots[int(at)][1])
     return F.col(f"_n{int(at)}")
 
 
-def run_model(points: DataFrame, model: Model, single: bool = False) -> DataFrame:
-    """points (with x) with y, flags, steps and rules; each instruction is a column of its own, computed once."""
-    out = points
+def _waves(model: Model, block: range) -> list[list[int]]:
+    """The block's instructions by the length of the longest chain of the block's instructions that they wait for."""
+    depth: dict[int, int] = {}
+
+    def at(o: Operand) -> int:
+        kind, i = o
+        return at(model.slots[int(i)][1]) if kind == "slot" else depth.get(int(i), 0) if kind == "node" else 0
+
+    for i in block:
+        depth[i] = 1 + max(map(at, model.instrs[i].args), default=0)
+    return [[i for i in block if depth[i] == wave] for wave in sorted(set(depth.values()))]
+
+
+def _evaluated(out: DataFrame, model: Model, block: range, single: bool) -> DataFrame:
+    """out with the block's results, and what they raise, told of all of them together, as _f and the block's start."""
     f32 = lambda c: c.cast("float").cast("double")
+    results, zero, outside = [], [], []
+    for wave in _waves(model, block):
+        made = {}
+        for i in wave:
+            ins = model.instrs[i]
+            exact = ins.op in ("i2f", "copy")
+            args = [f32(operand(model, a)) if single and not exact else operand(model, a) for a in ins.args]
+            value = VALUES[ins.op](*args)
+            if ins.kind == "f64" and not exact:
+                value = f32(value) if single else value
+                results.append(F.col(f"_n{i}"))
+            made[f"_n{i}"] = value
+            if ins.op in ("/", "%"):
+                zero.append(args[1] == 0)
+            if ins.op in OUTSIDE:
+                outside.append(OUTSIDE[ins.op](*args))
+        out = out.withColumns(made)
+    flags = F.lit(0)
+    for told, flag in ((zero, Flag.ZERO_DIVISION), (outside, Flag.INVALID_DOMAIN)):
+        if told:
+            flags = flags.bitwiseOR(F.when(reduce(lambda a, b: a | b, told), F.lit(int(flag))).otherwise(F.lit(0)))
+    if results:
+        out = out.withColumn("_results", F.array(*results))
+        flags = flags.bitwiseOR(ieee.result_flags(F.col("_results")))
+    return out.withColumn(f"_f{block.start}", flags).drop("_results")
+
+
+def _parted(out: DataFrame, made: list[str]) -> DataFrame:
+    """out, with its columns made handed on by a generator of one row, which no generated method reaches across."""
+    return out.select(*[F.col(f"`{c}`") for c in out.columns if c not in made], F.inline(F.array(F.struct(*made))))
+
+
+def _blocks(model: Model) -> list[range]:
+    starts, size = [0], 0
     for i, ins in enumerate(model.instrs):
-        args = [operand(model, a) for a in ins.args]
-        if single and ins.op not in ("i2f", "copy"):
-            args = [f32(a) for a in args]
-        value = VALUES[ins.op](*args)
-        raised = F.lit(0)
-        if ins.kind == "f64" and ins.op not in ("i2f", "copy"):
-            if single:
-                value = f32(value)
-            raised = ieee.result_flags(F.col(f"_n{i}"))
-        out = out.withColumn(f"_n{i}", value)
-        if ins.op in ("/", "%"):
-            raised = raised.bitwiseOR(F.when(args[1] == 0, F.lit(int(Flag.ZERO_DIVISION))).otherwise(F.lit(0)))
-        if ins.op in OUTSIDE:
-            raised = raised.bitwiseOR(F.when(OUTSIDE[ins.op](*args), F.lit(int(Flag.INVALID_DOMAIN))).otherwise(F.lit(0)))
-        out = out.withColumn(f"_f{i}", raised)
+        size += SIZES.get(ins.op, 1)
+        if size > BLOCK and i > starts[-1]:
+            starts.append(i)
+            size = SIZES.get(ins.op, 1)
+    return [range(a, b) for a, b in pairwise([*starts, len(model.instrs)])]
+
+
+def run_model(points: DataFrame, model: Model, single: bool = False) -> DataFrame:
+    """points (with x) with y, flags, steps and rules; each instruction is a column of its own, computed once.
+
+    Spark makes one method of all that projections in a row do, and the JVM compiles none of over 8,000 bytes but
+    interprets it. So inputs are taken out of x once, and blocks of instructions are parted.
+    """
+    out = points.withColumns({f"_p{k}": F.get("x", F.lit(k)) for k in range(len(model.params))})
+    whole = [f"_p{k}" for k, p in enumerate(model.params) if p.integer]
+    for some in (whole[i : i + 2] for i in range(0, len(whole), 2)):
+        out = _parted(out.withColumns({c: ieee.trunc(F.col(c)) for c in some}), some)
     flags = F.lit(0)
-    for i in range(len(model.instrs)):
-        flags = flags.bitwiseOR(F.col(f"_f{i}"))
+    for block in _blocks(model):
+        out = _evaluated(out, model, block, single)
+        if block.stop < len(model.instrs):
+            out = _parted(out, [*[f"_n{i}" for i in block], f"_f{block.start}"])
+        flags = flags.bitwiseOR(F.col(f"_f{block.start}"))
     y = F.array(*[operand(model, o) for _, o in model.outputs])
     rules = F.array(*[F.array(operand(model, r.left), operand(model, r.right) if r.right else F.lit(0.0)) for r in model.rules]) if model.rules else F.array().cast("array<array<double>>")
     return out.select(*points.columns, y.cast("array<double>").alias("y"), F.array().cast("array<array<double>>").alias("traces"), flags.cast("int").alias("flags"), F.lit(len(model.instrs)).cast("long").alias("steps"), rules.alias("rules"))

@@ -1,8 +1,11 @@
 """The engine: language, evaluators, evidence, atlas, campaigns, truth, archives, streams."""
 
+import contextlib
+import io
 import json
 import math
 import random
+import re
 import sys
 from decimal import Decimal
 
@@ -15,7 +18,7 @@ from plumbline.lang import columns, lanes, scalar, units
 from plumbline.lang.model import compile_model, from_text, to_text
 from plumbline.lang.syntax import ModelError
 from plumbline.operators import atlas, calibrate, compare, evidence, metrics, minimal, regions
-from plumbline.plans import campaign, partition, readings, search
+from plumbline.plans import campaign, model_queries, partition, readings, search
 from plumbline.plans.campaign import Campaign, Config
 from plumbline.sources import archive, corpus, program, sample
 from plumbline.sources.sample import Axis
@@ -90,6 +93,32 @@ def test_columns_agree_with_scalar(spark):
     assert items == sum(len([e for e in readings.pointwise(m, readings.Observation(i, v.tolist(), q.y, q.traces, q.flags, q.steps, q.rules)) if "require" in e.subject]) for i, v in enumerate(x) for q in (run(v.tolist()),))
 
 
+def test_columns_stay_in_methods_that_the_jvm_compiles(spark):
+    steps = ("{v} * q + 1", "sqrt({v}) / (d - 0.5)", "floor({v} % 7)", "round({v} * d)", "clamp({v}, d, n) - trunc({v} / 3)", "max({v}, d) + ln({v})")
+    lets = " ".join(f"let v{k} = {steps[k % len(steps)].format(v=f'v{k - 1}')}" for k in range(1, 13))
+    long = f"model long {{ input q in [-60, 60] input d in [0, 1] input n : count in [0, 5] let v0 = q {lets} require v3 < 30 }}"
+    for text in (model_queries.PRICE, long):
+        m = compile_model(text)
+        at = spark.range(50).select("id", F.array((F.col("id") - 25).cast("double"), (F.col("id") % 3) / 4, (F.col("id") % 5).cast("double")).alias("x"))
+        made = columns.run_model(at, m)
+        told = io.StringIO()
+        with contextlib.redirect_stdout(told):
+            made.explain("codegen")
+        sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", told.getvalue())]
+        assert sizes and max(sizes) < 8000, sizes
+        run = scalar.compiled(m)
+        for r in made.collect():
+            p = run(r.x[: len(m.params)])
+            assert np.allclose(p.y, r.y, rtol=1e-9, equal_nan=True) and np.allclose(p.rules, r.rules, rtol=1e-9, equal_nan=True) and (p.flags, p.steps) == (r.flags, r.steps), (p, r)
+
+
+def test_columns_of_points_with_nulls_raise_what_their_other_results_raise(spark):
+    m = compile_model("model m { input a in [0, 1] input b in [0, 1] let s = a + 1 let t = 1 / b let u = sqrt(b) }")
+    df = spark.createDataFrame([(0, [None, 1.0]), (1, [None, 0.0]), (2, [None, -1.0]), (3, [math.nan, None])], "id long, x array<double>")
+    got = {r.id: (r.y[0], r.flags) for r in columns.run_model(df, m).collect()}
+    assert [got[i] for i in range(3)] == [(None, 0), (None, 6), (None, 9)] and math.isnan(got[3][0]) and got[3][1] == 1
+
+
 def test_reference_path_is_more_exact():
     m = compile_model("model c { input a in [1, 2] let y = (a + 1e16) - 1e16 - a }")
     x = np.array([[1.25], [1.75]])
