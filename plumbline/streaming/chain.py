@@ -10,9 +10,11 @@ of the chain before it and the line; it can go on only with the next number, so
 * ``closed``: nothing came for ``forget`` of event time after the last line; the journal's state goes, so state does not
   grow with journals that have ended. A journal that goes on after that begins anew, with a gap.
 
-Lines that are ``late`` by more than the stream's watermark allows are dropped by Spark before they come here. Of several
-waiting lines with one number the first by text stays. Lines without journal or number are left out, and lines
-without a time wait without a limit. The session needs the RocksDB state store (``provider``).
+A call to the state, and a row to or from Python, costs far more than a line, so lines come to the state in bundles of one
+journal (``bundled``) and what is told leaves it in runs. A bundle all of whose lines are late by more than the stream's
+watermark allows is dropped by Spark before it comes here; a line as late that shares a bundle with a later one is told
+like any other. Of several waiting lines with one number the first by text stays. Lines without journal or number are left
+out, and lines without a time wait without a limit. The session needs the RocksDB state store (``provider``).
 """
 
 from __future__ import annotations
@@ -306,7 +308,7 @@ def bundled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _bundles(lines: pd.DataFrame) -> pd.DataFrame:
     codes, names = pd.factorize(lines["journal"])
     which = codes * 2 + (lines["us"].to_numpy() == UNTIMED)
-    order = np.argsort(which, kind="stable")
+    order = np.lexsort((lines["nr"].to_numpy(), which))
     which, us = which[order], lines["us"].to_numpy()[order]
     nrs, times = lines["nr"].to_numpy()[order].tolist(), (us // 1000).tolist()
     texts = lines["line"].to_numpy()[order].tolist()
